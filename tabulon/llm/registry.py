@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.language import op6_language
 from tabulon.llm.media import op1_media
+from tabulon.llm.packing import op7_packing
 from tabulon.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,8 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_media": _on_documents(op1_media),
+    "op6_language": _on_documents(op6_language),
+    "op7_packing": _on_documents(op7_packing),
 }
 
 ORACLE_SQL: dict[str, str] = {}
