@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.language import op6_language
 from tabulon.llm.media import op1_media
+from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
 from tabulon.session import table
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op1_media": _on_documents(op1_media),
     "op6_language": _on_documents(op6_language),
     "op7_packing": _on_documents(op7_packing),
+    "op8_neardup": _on_documents(op8_neardup),
 }
 
 ORACLE_SQL: dict[str, str] = {}
