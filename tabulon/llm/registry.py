@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.language import op6_language
+from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
 from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": _on_documents(op6_language),
     "op7_packing": _on_documents(op7_packing),
     "op8_neardup": _on_documents(op8_neardup),
+    "op10_lines": _on_documents(op10_lines),
 }
 
 ORACLE_SQL: dict[str, str] = {}
