@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.decontam import op4_decontam
 from tabulon.llm.language import op6_language
 from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
@@ -22,6 +23,7 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_media": _on_documents(op1_media),
+    "op4_decontam": lambda spark, sf_dir: op4_decontam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_language": _on_documents(op6_language),
     "op7_packing": _on_documents(op7_packing),
     "op8_neardup": _on_documents(op8_neardup),
