@@ -12,6 +12,7 @@ from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
 from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
+from tabulon.llm.toxicity import op9_toxicity
 from tabulon.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": _on_documents(op6_language),
     "op7_packing": _on_documents(op7_packing),
     "op8_neardup": _on_documents(op8_neardup),
+    "op9_toxicity": lambda spark, sf_dir: op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lines": _on_documents(op10_lines),
 }
 
