@@ -12,6 +12,7 @@ from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
 from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
+from tabulon.llm.substrings import op5_substrings
 from tabulon.llm.toxicity import op9_toxicity
 from tabulon.session import table
 
@@ -25,6 +26,7 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_media": _on_documents(op1_media),
     "op4_decontam": lambda spark, sf_dir: op4_decontam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op5_substrings": _on_documents(op5_substrings),
     "op6_language": _on_documents(op6_language),
     "op7_packing": _on_documents(op7_packing),
     "op8_neardup": _on_documents(op8_neardup),
