@@ -12,8 +12,10 @@ from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
 from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
+from tabulon.llm.preferences import OP2_SQL, op2_preferences
 from tabulon.llm.substrings import op5_substrings
 from tabulon.llm.toxicity import op9_toxicity
+from tabulon.llm.weak_labels import op3_quality
 from tabulon.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,8 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_media": _on_documents(op1_media),
+    "op2_preferences": lambda spark, sf_dir: op2_preferences(table(spark, sf_dir, "conversations")),
+    "op3_quality": _on_documents(op3_quality),
     "op4_decontam": lambda spark, sf_dir: op4_decontam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_substrings": _on_documents(op5_substrings),
     "op6_language": _on_documents(op6_language),
@@ -34,4 +38,6 @@ QUERIES: dict[str, Query] = {
     "op10_lines": _on_documents(op10_lines),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_preferences": OP2_SQL,
+}
