@@ -51,6 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
     The table outlives lost executors. It stays until the shared folder is cleaned, as other DataFrames may read it.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what a written table was shuffled through can go
     path = f"{shared_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
