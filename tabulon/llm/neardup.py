@@ -2,9 +2,13 @@
 
 A document is its set of distinct shingles (four words, or all of them if fewer). Documents with equal sets are one
 class. Classes meet in bands of MinHash samples (128 samples, 32 bands of 4: a pair of similarity 0.8 is missed with
-probability 5e-8). The samples are folded into an odd sketch, a bitmap of 512 parities; the count of bits that differ in two sketches estimates
-a high similarity precisely, and a pair goes on only if the estimate isn't five standard errors below the threshold.
-What is left is confirmed on the full sets.
+probability 5e-8). Those that meet another one get an odd sketch: 2048 samples folded into a bitmap of 4096 parities. The
+bits in which two sketches differ estimate a high similarity precisely, and a pair goes on only if the estimate is at
+most ``SLACK`` (4.5 standard errors) below the threshold. What is left is confirmed on the full sets.
+
+No bucket is expanded into its pairs at once. First every class is compared with the leaders of its buckets by sketch and confirmed
+with the likeliest one. Buckets that still hold several components are compared in blocks of ``BLOCK`` rows, by sketch
+alone, and of each two components the likeliest pair is confirmed; at last all pairs that may link two different components are.
 
 Null texts, empty ones and texts without words have no shingles and link with nothing. Repeated rows of a text form one
 class; a repeated doc_id gives one row for each of its rows. Extra columns are ignored.
@@ -17,17 +21,19 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.bytesops import mix64, small_batches, utf8
-from tabulon.llm.linking import linked_components
+from tabulon.operators.graph import connected_components
 from tabulon.session import cut
 
 SAMPLES = 128
 BANDS = 32
-SKETCH_BITS = 512
-SLACK = 0.18  # five standard errors of a similarity of 0.8 from 128 samples
+SKETCH_SAMPLES = 2048
+SKETCH_BITS = 4096
+SLACK = 0.04
+BLOCK = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 P = 0x100000001B3
 P_INVERSE = pow(P, -1, 1 << 64)
@@ -89,8 +95,9 @@ def minhash(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     times, plus = _permutations(samples)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     best = np.full(samples, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), 1024):
-        part = short[at:at + 1024, None] ^ plus
+    rows = max(1, (1 << 17) // samples)
+    for at in range(0, len(short), rows):
+        part = short[at:at + rows, None] ^ plus
         part *= times
         np.minimum(best, part.min(axis=0), out=best)
     return best
@@ -112,11 +119,11 @@ def band_keys(samples: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
-    """One row a document: the size and two digests of its set, band keys and odd sketch."""
+    """One row a document: the size and two digests of its set, and its band keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,13 +132,11 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
             for text in b["text"]:
                 h = shingle_hashes(text, words)
                 if not len(h):
-                    rows.append((0, 0, 0, [], []))
+                    rows.append((0, 0, 0, []))
                     continue
-                with np.errstate(over="ignore"):
-                    keys = int(h.sum().view(np.int64)), int(mix64(h ^ STEP).sum().view(np.int64))
-                samples = minhash(h)
-                rows.append((len(h), *keys, band_keys(samples), odd_sketch(samples)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "odd"])
+                keys = int(h.sum().view(np.int64)), int(mix64(h ^ STEP).sum().view(np.int64))
+                rows.append((len(h), *keys, band_keys(minhash(h))))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
@@ -139,24 +144,94 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, hashes): the whole set of each document."""
+    """(id, n, hashes, odd): the whole set of each document and its odd sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "hashes": [shingle_hashes(t, words).view(np.int64) for t in b["text"]]})
+            sets = [shingle_hashes(t, words) for t in b["text"]]
+            odd = [odd_sketch(minhash(h, SKETCH_SAMPLES)).tobytes() for h in sets]
+            yield pd.DataFrame({"id": b["doc_id"], "n": [len(h) for h in sets], "hashes": [h.view(np.int64) for h in sets], "odd": odd})
+
+    return docs.mapInPandas(run, "id long, n long, hashes array<long>, odd binary")
+
+
+def most_apart(percent: int) -> float:
+    """The count of differing bits at which the estimate 1 + bits / (4 samples) ln(1 - 2 apart / bits) is SLACK below the threshold."""
+    return SKETCH_BITS / 2 * (1 - np.exp(-4 * SKETCH_SAMPLES / SKETCH_BITS * (1 - percent / 100 + SLACK)))
+
+
+def _words(odd: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(odd), "<u8").reshape(len(odd), -1)
+
 
-    return docs.mapInPandas(run, "doc_id long, hashes array<long>")
+def _likeliest(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (id, leader) with both sketches, the one of each id with the fewest differing bits that may be a link."""
+    limit = most_apart(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                apart = np.bitwise_count(_words(b["odd"]) ^ _words(b["leader_odd"])).sum(axis=1).astype(np.int64)
+                yield pd.DataFrame({"id": b["id"], "leader": b["leader"], "apart": apart})[apart <= limit]
+
+    found = pairs.mapInPandas(run, "id long, leader long, apart long")
+    return found.groupBy("id").agg(F.min(F.struct("apart", "leader")).alias("m")).select(F.least("id", "m.leader").alias("a"), F.greatest("id", "m.leader").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components whose sketches allow a link, each from its first common bucket.
+
+    ``mixed`` has (bucket, id, component, n, odd, own); own lists all mixed buckets of the id. With ``best_only``, the
+    likeliest pair of each two components and block.
+    """
+    sizes = mixed.groupBy("bucket").agg(((F.count("*") + BLOCK - 1) / BLOCK).cast("int").alias("blocks"))
+    dealt = mixed.join(sizes, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("*", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "odd", "own")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    limit = most_apart(percent)
+
+    def pairs_of(g: pd.DataFrame) -> pd.DataFrame | None:
+        i, j = g["i"].iat[0], g["j"].iat[0]
+        left = g[g["block"] == i]
+        right = g[g["block"] == j]
+        if not len(left) or not len(right):
+            return None
+        ids, comps, n, bits = right["id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy(), _words(right["odd"])
+        found = []
+        for x, c, k, row, own in zip(left["id"], left["component"], left["n"], _words(left["odd"]), left["own"], strict=True):
+            ok = (comps != c) & (np.minimum(n, k) * 100 >= np.maximum(n, k) * percent)
+            if i == j:
+                ok &= ids > x
+            at = np.nonzero(ok)[0]
+            apart = np.bitwise_count(bits[at] ^ row).sum(axis=1)
+            at, apart = at[apart <= limit], apart[apart <= limit]
+            mine = set(own)
+            for k2, d in zip(at.tolist(), apart.tolist(), strict=True):
+                if min(mine.intersection(right["own"].iat[k2])) == g["bucket"].iat[0]:
+                    found.append((min(x, ids[k2]), max(x, ids[k2]), min(c, comps[k2]), max(c, comps[k2]), d))
+        if not found:
+            return None
+        out = pd.DataFrame(found, columns=["a", "b", "ca", "cb", "apart"])
+        return out.sort_values(["apart", "a", "b"]).drop_duplicates(["ca", "cb"]) if best_only else out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            groups = [g for _, g in b.groupby(["bucket", "i", "j"], sort=False)]
+            held = groups.pop() if groups else None  # the last group may go on in the next batch
+            yield from (out[["a", "b"]] for g in groups if len(g) > 1 and (out := pairs_of(g)) is not None)
+        if held is not None and len(held) > 1 and (out := pairs_of(held)) is not None:
+            yield out[["a", "b"]]
 
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
-def _may_link(percent: int) -> "callable":
-    def may(a: Column, b: Column) -> Column:
-        apart = F.aggregate(F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        # estimate = 1 + bits / (4 * samples) * ln(1 - 2 * apart / bits), so its lower bound is one on the bits that differ
-        most = SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES / SKETCH_BITS * (1 - percent / 100 + SLACK)))
-        sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-        return sizes & (apart <= F.lit(float(most)))
 
-    return may
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -164,23 +239,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut(sketch(source, words))
     some = sketches.where("n_shingles > 0")
-    classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id")))
-    reps = some.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
-    buckets = reps.select(F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), "odd").alias("info"), F.explode("bands").alias("bucket"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        # documents with these ids, whichever row of a repeated id: each id stands for its class through the class's digests
-        texts = source.join(wanted, "doc_id", "left_semi")
-        sets = cut(full_sets(texts, words).where(F.size("hashes") > 0).dropDuplicates(["doc_id"]))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
-
-    components = linked_components(buckets, verify, _may_link(percent))
-    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"])
+    classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands")))
+    buckets = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
+    first = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))
+    leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("m")).where("n > 1")
+    shared = cut(buckets.join(leaders.select("bucket", F.col("m.id").alias("leader")), "bucket"))
+    texts = source.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(full_sets(texts, words).dropDuplicates(["id"]))
+    odd = sets.select("id", "odd")
+
+    star = shared.where("id <> leader").select("id", "leader").distinct()
+    star = star.join(odd, "id").join(odd.select(F.col("id").alias("leader"), F.col("odd").alias("leader_odd")), "leader")
+    links = cut(_confirmed(_likeliest(star, percent), sets, percent))
+    components = connected_components(links, "a", "b")
+    tried = None
+    for best_only in (True, False):
+        parts = shared.select("bucket", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = parts.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        mixed = parts.join(several, "bucket")
+        own = mixed.groupBy("id").agg(F.collect_list("bucket").alias("own"))  # at most BANDS values
+        mixed = mixed.join(own, "id").join(sets.select("id", "n", "odd"), "id")
+        pairs = _across(mixed, percent, best_only)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs
+        new = cut(_confirmed(pairs, sets, percent))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            components = connected_components(links, "a", "b")
+
+    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("bands"), ["set_a", "set_b", "n_shingles"])
     found = found.join(components.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     linked = found.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
