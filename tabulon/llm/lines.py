@@ -1,11 +1,11 @@
 """Removal of repeated and nearly repeated lines, by DataFrame functions only.
 
 Lines are what ``\\n`` separates; blank ones (white space only) stay and link with nothing. Equal lines are one class.
-A class's signature has 64 MinHash samples over character shingles, in 16 bands of 4 (a pair of similarity 0.8 is
-missed with probability 2e-4, one of 0.9 with 1e-7). Lines of up to 100 characters sign all their shingles of five
-characters. Lines of 64 characters and more sign the shingles of eight characters that begin at words, a sixth of all;
-where words are very long they sign all shingles too. So two lines of similarity 0.8 share at least one of the two
-kinds. Pairs that meet in a band are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
+A class's signature has bands of neighbours in the MinHash order of its character shingles. Lines of up to
+100 characters take all their shingles of five characters, in 24 bands of 4 (a pair of similarity 0.8 is missed with
+probability 4e-3, one of 0.9 with 1e-9). Lines of 64 characters and more take the shingles that begin at words and end two characters into the next
+one, a sixth of all, in 16 bands of 3 (2e-3 and 1e-8); where words are very long they take all shingles of eight characters instead. So two lines of
+similarity 0.8 share at least one of the two kinds. Pairs that meet in a band are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
 shingles, a line shorter than that being one shingle. Of each component of links, the line that comes first (smallest
 doc_id, then position) stays; all other occurrences of its lines go.
 
@@ -15,53 +15,57 @@ each treated as first occurrences of the same place and both keep the line. Othe
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.binding import let
 from tabulon.llm.linking import linked_components
 from tabulon.session import cut
 
 SHINGLE = 5
-ANCHORED = 8
+LONGER = 8
 SHORT, LONG = 100, 64
-BANDS, ROWS = 16, 4
 PERCENT = 80
-MASK = (1 << 31) - 1
 
 
 def _all_shingles(line: Column, size: int) -> Column:
     """64-bit hashes of all character shingles; a character is four bytes here, so each is found at once."""
-    wide = F.encode(line, "UTF-32")
-    last = F.greatest(F.octet_length(wide) / 4 - size, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size))))
+
+    def shingles(wide: Column) -> Column:
+        last = F.greatest(F.octet_length(wide) / 4 - size, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size))))
+
+    return let(F.encode(line, "UTF-32"), shingles)
 
 
 def _anchored(line: Column) -> Column:
-    """Hashes of the shingles of ANCHORED characters that begin at a word."""
-    words = F.split(line, " ")
-    return F.transform(words, lambda w, i: F.xxhash64(F.substring(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)), F.lit(1), F.lit(ANCHORED))))
+    """Hashes of the character shingles that run from each word's beginning to two characters into the next word."""
+    return let(F.split(line, " "), lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.get(words, i + 1), 1, 2))))
+
+
+def _bands(hashes: Column, kind: int, rows: int, bands: int) -> Column:
+    """Keys of the first ``bands`` runs of ``rows`` neighbours in the order of a line's distinct hashes; one key if there are fewer.
+
+    The hashes are the order of one random permutation. In the joint order of two sets of similarity j each place is common
+    with probability j, so a run of ``rows`` common ones among the first bands + rows - 1 makes both have its key.
+    """
+
+    def keys(order: Column) -> Column:
+        last = F.least(F.size(order) - rows, F.lit(bands - 1))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(kind), *[F.get(order, i + k) for k in range(rows)]))
+        return F.when(F.size(order) > 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.sort_array(F.array_distinct(hashes)), keys)
 
 
 def signatures(classes: DataFrame) -> DataFrame:
-    """(cid, bucket) for each band of each class (cid, line)."""
-    size = F.length("line")
+    """(cid, keys): the bands of each class (cid, line)."""
+    line, size, none = F.col("line"), F.length("line"), F.array().cast("array<bigint>")
     few_words = F.size(F.split("line", " ")) * 16 < size
-    kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), F.when(size <= SHORT, _all_shingles(F.col("line"), SHINGLE)).alias("hashes")),
-        F.struct(F.lit(1).alias("kind"), F.when(size >= LONG, F.when(few_words, _all_shingles(F.col("line"), ANCHORED)).otherwise(_anchored(F.col("line")))).alias("hashes")),
-    )
-    signed = classes.select("cid", F.explode(kinds).alias("k")).select("cid", "k.kind", F.explode("k.hashes").alias("h"))
-    signed = signed.select("cid", "kind", F.col("h").bitwiseAND(MASK).alias("h"))
-    draw = random.Random(31)
-    least = []
-    for k in range(BANDS * ROWS):
-        times, plus = draw.getrandbits(31) | 1, draw.getrandbits(31)
-        least.append(F.min((F.col("h").bitwiseXOR(F.lit(plus).cast("long")) * F.lit(times).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))).alias(f"m{k}"))
-    found = signed.groupBy("cid", "kind").agg(*least)
-    keys = [F.xxhash64("kind", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return found.select("cid", F.explode(F.array(*keys)).alias("bucket"))
+    all_of = F.when(size <= SHORT, _bands(_all_shingles(line, SHINGLE), 0, 4, 24)).otherwise(none)
+    chosen = F.when(few_words, _all_shingles(line, LONGER)).otherwise(_anchored(line))
+    at_words = F.when(size < LONG, none).otherwise(_bands(chosen, 1, 3, 16))
+    return classes.select("cid", F.concat(all_of, at_words).alias("keys"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -74,7 +78,8 @@ def line_groups(docs: DataFrame) -> DataFrame:
     """(k1, k2, grp): the component of every line that has an equal or a similar one."""
     classes = split_lines(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "line"))
-    buckets = signatures(classes.select("cid", "line")).select(F.col("cid").alias("id"), "bucket", F.lit(0).alias("info"))
+    signed = cut(signatures(classes.select("cid", "line")))
+    buckets = signed.select(F.col("cid").alias("id"), F.explode("keys").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
@@ -85,7 +90,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
 
-    components = linked_components(buckets, verify, lambda a, b: F.lit(True))
+    components = linked_components(buckets, verify)
     found = classes.select("cid", "k1", "k2", "n").join(components.select(F.col("id").alias("cid"), "component"), "cid", "left")
     return found.where("n > 1 or component is not null").select("k1", "k2", F.coalesce("component", "cid").alias("grp"))
 
@@ -104,9 +109,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and the array ``removed_lines`` of their positions."""
     gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("pos")).alias("removed_lines"))
     both = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_lines")
-    kept = F.array_join(F.transform(places, lambda p: F.get(lines, p)), "\n")
+
+    def rest(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_lines")
+        return F.array_join(F.transform(places, lambda p: F.get(lines, p)), "\n")
+
+    kept = let(F.split(F.col("text").cast("string"), "\n"), rest)
     text = F.when(F.col("removed_lines").isNull(), F.col("text").cast("string")).otherwise(kept)
     names = [c for c in docs.columns if c != "text"]
     return both.select(*[F.col(c) for c in names], text.alias("text"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))

@@ -1,58 +1,55 @@
-"""From buckets of similar items to components of verified links, without all pairs of a bucket.
+"""From buckets of similar items to components of verified links, without all pairs of a bucket, by DataFrame functions.
 
-Every item is compared with its buckets' leaders first; a leader is drawn by hash, so an item meets another one in each
-of its buckets. Components of what links there are contracted. Only in buckets that still hold several components is
-each item outside the bucket's largest component compared with the items of other components, so that no link between
-components of one bucket is missed.
+Every item is compared with its buckets' leaders (their smallest items) first, and components of what links there are
+contracted. Buckets that still hold several components compare the items outside the bucket's largest component with
+the likeliest item of that one, and at last with all items of other components, so that no link within a bucket is missed.
+A pair is made in its first common bucket only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.graph import connected_components
 from tabulon.session import cut
 
 Verify = Callable[[DataFrame], DataFrame]
-MayLink = Callable[[Column, Column], Column]
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked_components(buckets: DataFrame, verify: Verify, may_link: MayLink, star_rounds: int = 2) -> DataFrame:
-    """(id, component) of all items of ``buckets`` (id, bucket, info) that have a link.
+def linked_components(buckets: DataFrame, verify: Verify) -> DataFrame:
+    """(id, component) of all items of ``buckets`` (id, bucket) that have a link.
 
-    ``verify`` keeps those of the pairs (a, b) that are links; ``may_link`` tells from two items' ``info`` whether
-    they may be one, and must be true for every link. An item has one row for each of its buckets.
+    ``verify`` keeps those of the pairs (a, b) that are links. An item has one row for each of its buckets; ``buckets``
+    is read twice.
     """
-    first = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), F.struct("id", "info").alias("item")))
-    leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("m")).where("n > 1")
-    shared = cut(buckets.join(leaders.select("bucket", F.col("m.item").alias("leader")), "bucket"))
-    star = shared.where((F.col("id") != F.col("leader.id")) & may_link(F.col("info"), F.col("leader.info")))
-    links = cut(verify(_pairs(star, "id", "leader.id")))
-    for k in range(1, star_rounds + 1):
-        components = connected_components(links, "a", "b")
-        held = shared.select("bucket", "id", "info").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.struct("id", "info").alias("item"))).alias("m"))
-        largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", F.col("m.item").alias("leader"))).alias("top")).where("parts > 1")
-        mixed = held.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("top.leader").alias("leader")), "bucket")
-        mixed = cut(mixed)
-        if mixed.isEmpty():
-            return components
+    leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
+    shared = cut(buckets.join(leaders, "bucket"))
+    links = cut(verify(_pairs(shared.where("id <> leader"), "id", "leader")))
+    components = connected_components(links, "a", "b")
+    for last in (False, True):
+        held = shared.select("bucket", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("member"))
+        largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "member")).alias("top")).where("parts > 1")
+        mixed = cut(held.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("top.member").alias("member")), "bucket"))
         minor = mixed.where("component <> main")
-        if k < star_rounds:
-            star = minor.where(may_link(F.col("info"), F.col("leader.info")))
-            new = verify(_pairs(star, "id", "leader.id"))
+        if not last:
+            new = cut(verify(_pairs(minor, "id", "member")))
         else:
-            left = minor.select("bucket", F.col("id").alias("a_id"), F.col("component").alias("a_part"), F.col("info").alias("a_info"), "main")
-            right = mixed.select("bucket", F.col("id").alias("b_id"), F.col("component").alias("b_part"), F.col("info").alias("b_info"))
+            own = mixed.groupBy("id").agg(F.collect_set("bucket").alias("own"))  # as many as an item has buckets
+            left = minor.join(own, "id").select("bucket", F.col("id").alias("a_id"), F.col("component").alias("a_part"), F.col("own").alias("a_own"), "main")
+            right = mixed.join(own, "id").select("bucket", F.col("id").alias("b_id"), F.col("component").alias("b_part"), F.col("own").alias("b_own"))
             other = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
-            both = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & other & may_link(F.col("a_info"), F.col("b_info")))
-            new = verify(_pairs(both, "a_id", "b_id"))
-        links = cut(links.unionByName(new))
-    return connected_components(links, "a", "b")
+            here = F.array_min(F.array_intersect("a_own", "b_own")) == F.col("l.bucket")
+            both = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & other & here)
+            new = cut(verify(_pairs(both, "a_id", "b_id")))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            components = connected_components(links, "a", "b")
+    return components

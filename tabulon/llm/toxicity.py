@@ -7,8 +7,8 @@ vocabulary are counted over all documents.
 
 Search: the examples' unit vectors form an inverted index of postings in blocks of ``BLOCK`` examples, each block with
 the largest weight it holds for a term. A query bounds every block by these, visits blocks from the highest bound on, and
-stops when no bound reaches its k-th best cosine: the neighbours are exact, ties go to the smaller id. Votes weighted by 1 / (1 - cosine + 0.1) give
-the raw score, and isotonic regression over the examples' own leave-one-out votes turns it into a calibrated one.
+stops when no bound reaches its k-th best cosine: the neighbours are exact, ties go to the smaller id. Votes weighted by cosine, and one vote
+of the rate of examples without a term, give the raw score; isotonic regression over the examples' own leave-one-out votes turns it into a calibrated one.
 The evidence is the nearest examples and the query's heaviest terms.
 
 Texts without any term of the vocabulary (null and empty ones too) get the calibrated rate of such examples. Without
@@ -147,9 +147,9 @@ class Model:
         return [(row, min(1.0, -c)) for c, _, row in best]
 
     def vote(self, found: list[tuple[int, float]]) -> float:
-        w = np.array([1 / (1.1 - c) for _, c in found])
+        w = np.array([c for _, c in found])
         y = self.labels[[r for r, _ in found]]
-        return float((w * y).sum() / w.sum())
+        return float(((w * y).sum() + self.blank_rate) / (w.sum() + 1))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression (pool adjacent violators) of labels on votes, one prior row at either end."""
