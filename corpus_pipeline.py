@@ -28,26 +28,27 @@ def _like_documents(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; null and empty texts stay."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("toxicity.score < 0.5").select(*docs.columns)
+    scored = score_toxicity(docs.select(F.struct("*").alias("doc")), model, "doc.text")
+    return scored.where("toxicity.score < 0.5").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; a document of which no line is left goes too, unless it was blank before."""
-    found = dedup_lines(docs)
+    found = dedup_lines(docs)  # its own column replaces one of the same name; documents has none
     emptied = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"\S")
     return _like_documents(found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8 or more) the document with the smallest id stays."""
-    dropped = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    dropped = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a benchmark item go."""
-    found = contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+    found = contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HELD_OUT_FOLDS = 5
@@ -16,6 +16,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_FOLDS == 0
 
 
+def documents_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of all rows that have a doc_id; whatever else the table holds is left behind."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where("doc_id is not null")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts don't multiply a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.bytesops import documents_of
 from tabulon.session import cut
 
 WINDOW = 6
@@ -72,7 +73,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
     ``n_changed`` counts slot values that differ from the item's: 0 for a literal copy.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = documents_of(docs).where("text is not null")
     words = F.col("words")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).where(F.size(words) > 0)
     items = cut(items.select("item_id", "words", canonical(words).alias("form")).dropDuplicates(["item_id", "words"]))

@@ -7,7 +7,7 @@ difference of the two ranks, or the length of a profile where the profile lacks
 Letters are what ``str.isalpha`` accepts, after lower-casing; runs of anything else count as one word border, which
 n-grams may hold at either end only. Equal counts rank by code point, equal distances by language name. A null text, an empty one or one
 without letters is ``und`` with score 0, and so is every text if nothing can be learnt from. Repeated rows learn and
-predict each for itself; extra columns are ignored.
+predict each for itself; extra columns are ignored, and so are rows without doc_id in the query.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def predict_language(df: DataFrame, profiles: DataFrame, text: str = "text", top
 def op6_language(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """The language of every document, learnt from the rows that aren't held out."""
     held = held_out(F.col("doc_id")) if held is None else held
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
     profiles = learn_profiles(rows.where(~held))
     found = predict_language(rows.select("doc_id", "text"), profiles)
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
+from tabulon.llm.bytesops import documents_of
 from tabulon.llm.linking import linked_components
 from tabulon.session import cut
 
 SHINGLE = 5
 LONGER = 8
+
 SHORT, LONG = 100, 64
 PERCENT = 80
 
@@ -107,23 +109,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and the array ``removed_lines`` of their positions."""
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_set("pos")).alias("removed_lines"))
-    both = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc"))  # no name can clash
+    both = whole.join(gone, "doc_id", "left")
+    text = F.col("doc.text").cast("string")
 
     def rest(lines: Column) -> Column:
-        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_lines")
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
         return F.array_join(F.transform(places, lambda p: F.get(lines, p)), "\n")
 
-    kept = let(F.split(F.col("text").cast("string"), "\n"), rest)
-    text = F.when(F.col("removed_lines").isNull(), F.col("text").cast("string")).otherwise(kept)
-    names = [c for c in docs.columns if c != "text"]
-    return both.select(*[F.col(c) for c in names], text.alias("text"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), rest))
+    own = [kept.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "removed_lines"]
+    return both.select(*own, F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def op10_lines(docs: DataFrame) -> DataFrame:
     """Per document: how many lines it has, which ones go, and the digest of what stays."""
     text = F.col("text").cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    found = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), n_lines.alias("n_lines")))
+    found = dedup_lines(documents_of(docs).withColumn("n_lines", n_lines))
     n_removed = F.size("removed_lines").cast("long")
     return found.select("doc_id", "n_lines", n_removed.alias("n_removed"), "removed_lines", F.sha2("text", 256).alias("kept_sha256"))

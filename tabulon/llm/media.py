@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.bytesops import crc32, small_batches, utf8
+from tabulon.llm.bytesops import crc32, documents_of, small_batches, utf8
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version bits.
 BITRATES = {
@@ -340,7 +340,7 @@ def read_audio(df: DataFrame, media: str = "media", payload: bool = False) -> Da
 def op1_media(docs: DataFrame) -> DataFrame:
     """The digest of every text's stored stream: see ``store_audio`` and ``read_audio``.
 
-    A null or empty text gives 64 zero bytes of payload; repeated rows give repeated results; extra columns are ignored.
+    A null or empty text gives 64 zero bytes of payload; repeated rows give repeated results; extra columns and rows without doc_id are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -359,4 +359,4 @@ def op1_media(docs: DataFrame) -> DataFrame:
             yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, duration_s double"
-    return store_audio(docs).mapInPandas(digest, schema)
+    return store_audio(documents_of(docs)).mapInPandas(digest, schema)

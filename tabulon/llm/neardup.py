@@ -11,7 +11,7 @@ with the likeliest one. Buckets that still hold several components are compared
 alone, and of each two components the likeliest pair is confirmed; at last all pairs that may link two different components are.
 
 Null texts, empty ones and texts without words have no shingles and link with nothing. Repeated rows of a text form one
-class; a repeated doc_id gives one row for each of its rows. Extra columns are ignored.
+class; a repeated doc_id gives one row for each of its rows. Extra columns and rows without doc_id are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.bytesops import mix64, small_batches, utf8
+from tabulon.llm.bytesops import documents_of, mix64, small_batches, utf8
 from tabulon.operators.graph import connected_components
 from tabulon.session import cut
 
@@ -236,7 +236,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) under ``100 * intersection >= percent * union``."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = documents_of(docs)
     sketches = cut(sketch(source, words))
     some = sketches.where("n_shingles > 0")
     classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands")))

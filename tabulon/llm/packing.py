@@ -9,7 +9,7 @@ The plan (configurations and how often each is used) doesn't grow with the rows;
 within their length.
 
 Null and empty texts are one piece of length 1. Repeated rows are pieces of their own, kept apart by a row number where
-id and piece tie. Extra columns are ignored; an empty table gives an empty result.
+id and piece tie. Extra columns and rows without doc_id are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.bytesops import crc32, small_batches
+from tabulon.llm.bytesops import crc32, documents_of, small_batches
 from tabulon.session import cut
 
 CAPACITY = 4096
@@ -129,8 +129,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 group, size = [], 0
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents_of(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the linear program, on the histogram alone ----

@@ -10,7 +10,7 @@ its own fingerprint, and the first of each name (smallest doc_id, then start) is
 are 64-bit ones within groups of equal 64-bit anchors.
 
 A null text is empty. doc_id is a key: rows repeated whole give one row each, with the same result, as their strings
-start at the same place. Extra columns are ignored.
+start at the same place. Extra columns and rows without doc_id are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.bytesops import mix64, small_batches, utf8
+from tabulon.llm.bytesops import documents_of, mix64, small_batches, utf8
 from tabulon.llm.neardup import _power_tables
 from tabulon.session import cut
 
@@ -130,7 +130,7 @@ def removed_spans(raw: np.ndarray, repeats: list[tuple[int, int]], firsts: np.nd
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``; spans are byte positions."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = documents_of(docs).fillna("", "text")
     found = find_contexts(source)
     repeated = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = cut(found.join(repeated, "anchor"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.bytesops import held_out, small_batches
+from tabulon.llm.bytesops import documents_of, held_out, small_batches
 from tabulon.session import cut
 
 MAX_EXAMPLES = 30_000
@@ -208,7 +208,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
     """The model of at most ``max_examples`` examples; statistics of its terms come from all of ``docs``."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = documents_of(docs)
     examples = cut(_examples(source, labels, max_examples))
     terms = _vocabulary(examples, max_terms)
 
@@ -285,7 +285,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 def op9_toxicity(docs: DataFrame, labels: DataFrame, held: Column | None = None) -> DataFrame:
     """Every document's calibrated score with its evidence."""
     model = learn_toxicity(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents_of(docs)
     held = held_out(F.col("doc_id")) if held is None else held
     found = score_toxicity(rows, model)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("toxicity.score")))

@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.bytesops import documents_of
 from tabulon.session import cut
 
 MAX_ROWS = 20_000
@@ -82,7 +83,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
 
 def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(doc_id, pattern, posterior), written; and each labeller's accuracy on bad and good documents."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = documents_of(docs).fillna("", "text")
     votes = labellers(F.col("text"))
     voted = cut(source.select("doc_id", F.array(*votes.values()).alias("pattern")))
     rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers rows at most
@@ -97,7 +98,7 @@ def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, floa
 def score_quality(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, posterior, score, kept) of every document."""
     labelled, _ = weak_labels(docs)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = documents_of(docs).fillna("", "text")
     chosen = labelled.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
     tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES, binary=True)
     norm = Normalizer(inputCol="tf", outputCol="features")
