@@ -24,3 +24,10 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return query
 
     return enter
+
+
+def _load() -> None:
+    from tabulon.queries import analytics, checks, relational  # noqa: F401
+
+
+_load()
