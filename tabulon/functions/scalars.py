@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from tabulon.functions.binding import let
 
@@ -102,7 +103,7 @@ def normalize_name(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(s), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Lower case without any combining marks, for all scripts."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
@@ -136,7 +137,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings."""
     from difflib import SequenceMatcher
