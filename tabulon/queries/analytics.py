@@ -111,9 +111,9 @@ def _(spark, sf):
     return A.totals_with_all(V.sales(spark, sf), "product_id", "warehouse", "quantity")
 
 
-@register("a17_weekly_product", _with("SELECT product_id, week, units, round(price, 3) AS price, promo_share FROM weekly", WEEKLY))
+@register("a17_weekly_product", _with("SELECT product_id, week, units, promo_share FROM weekly", WEEKLY))
 def _(spark, sf):
-    return _weekly(spark, sf).withColumn("price", F.round("price", 3))
+    return _weekly(spark, sf).drop("price")
 
 
 @register("a18_category_week_means", _with("SELECT category, week, round(avg(units), 6) AS units, round(avg(weekly.price), 6) AS price FROM weekly JOIN products USING (product_id) GROUP BY ALL", WEEKLY))

@@ -1 +1,311 @@
+"""Queries of quality rules, windowed metrics (batch form), matching and composite pipelines."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.functions import scalars as S
+from tabulon.operators import aggregates as A
+from tabulon.operators import joins as J
+from tabulon.operators import quality as Q
+from tabulon.operators import windows as W
+from tabulon.operators.graph import connected_components
+from tabulon.plans import forecasting, matching, pipelines
+from tabulon.plans import views as V
+from tabulon.queries.analytics import CLF_CTE, COSTS, INV, WEEKLY
+from tabulon.queries.relational import _with
+from tabulon.registry import register
+from tabulon.session import table
+from tabulon.streaming import metrics as R
+
+D = "double"
+
+
+def _transactions(spark, sf):
+    """Line items as transactions, some of them wrong on purpose."""
+    li = table(spark, sf, "lineitem")
+    k = F.col("l_orderkey") + F.col("l_partkey")
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", F.when(k % 10 != 0, F.lit("P1")).alias("product"), F.when(k % 17 == 0, "x").otherwise("store 1").alias("store"), F.col("l_quantity").alias("quantity"), F.lit(2.5).alias("price"), F.when(k % 13 == 0, F.lit(5000.0)).otherwise(F.col("l_quantity") * 2.5).alias("total"), F.when(k % 3 == 0, "credit_card").otherwise("cash").alias("payment"))
+
+
+def _rules():
+    return [*Q.required("product"), *Q.short_text("store"), *Q.transaction_rules("quantity", "price", "total", "payment")]
+
+
+TX = """tx AS (SELECT l_orderkey, l_partkey, l_suppkey, (l_orderkey + l_partkey) % 10 = 0 AS r1, (l_orderkey + l_partkey) % 17 = 0 AS r2, (l_orderkey + l_partkey) % 13 = 0 AND l_quantity <> 2000 AS r3,
+(l_orderkey + l_partkey) % 13 = 0 AND (l_orderkey + l_partkey) % 3 <> 0 AS r4 FROM lineitem)"""
+
+
+@register("q4_q10_validate", "WITH " + TX + " SELECT l_orderkey, l_partkey, l_suppkey, concat_ws(',', CASE WHEN r1 THEN 'product_required' END, CASE WHEN r2 THEN 'store_short' END, CASE WHEN r3 THEN 'total_mismatch' END, CASE WHEN r4 THEN 'large_needs_card' END) AS errors, NOT (r1 OR r3 OR r4) AS is_valid FROM tx")
+def _(spark, sf):
+    v = Q.validate(_transactions(spark, sf), _rules())
+    return v.select("l_orderkey", "l_partkey", "l_suppkey", F.array_join(F.transform("validation_errors", lambda e: e["rule_name"]), ",").alias("errors"), "is_valid")
+
+
+@register("q11_route", "WITH " + TX + " SELECT CASE WHEN NOT (r1 OR r3 OR r4) THEN 'valid' WHEN r1 THEN 'dead' ELSE 'invalid' END AS route, count(*) AS n FROM tx GROUP BY 1")
+def _(spark, sf):
+    parts = Q.route(Q.validate(_transactions(spark, sf), _rules()))
+    named = [p.select(F.lit(n).alias("route")) for p, n in zip(parts, ("valid", "dead", "invalid"), strict=True)]
+    return W.union_all(*named).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@register("q2_expect_or_drop", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+def _(spark, sf):
+    return Q.expect_or_drop(table(spark, sf, "orders"), "price", F.col("o_totalprice") > 100000).select("o_orderkey")
+
+
+@register("q1_expect_or_fail", "SELECT o_orderkey FROM orders")
+def _(spark, sf):
+    return Q.expect_or_fail(table(spark, sf, "orders"), "key", F.col("o_orderkey") >= 0).select("o_orderkey")
+
+
+@register("q3_violations", "SELECT 'orders' AS \"table\", 'cheap' AS expectation, count(*) FILTER (NOT o_totalprice < 100000) AS violations FROM orders UNION ALL SELECT 'orders', 'final', count(*) FILTER (o_orderstatus <> 'F') FROM orders")
+def _(spark, sf):
+    return Q.violations(table(spark, sf, "orders"), "orders", {"cheap": F.col("o_totalprice") < 100000, "final": F.col("o_orderstatus") == "F"})
+
+
+@register("q6_duplicates", "SELECT l_orderkey, l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS is_duplicate FROM lineitem")
+def _(spark, sf):
+    return Q.duplicate_rule(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_suppkey", "is_duplicate")
+
+
+@register("q8_stock_rules", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'large_change_reason,negative_reason' WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'negative_reason' ELSE '' END AS errors FROM events")
+def _(spark, sf):
+    m = F.col("event_id") % 4
+    e = table(spark, sf, "events").select("event_id", F.when(m == 0, -2000).when(m == 1, -5).when(m == 2, -6).otherwise(7).alias("change"), F.when(m == 1, "sale").when(m == 2, "magic").alias("reason"))
+    return Q.validate(e, Q.stock_rules("change", "reason")).select("event_id", F.array_join(F.transform("validation_errors", lambda x: x["rule_name"]), ",").alias("errors"))
+
+
+@register("q9_click_rules", "SELECT event_id, event_id % 5 <> 0 AND user_id BETWEEN 1 AND 1000000 AS is_valid FROM events")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.concat(F.lit("s-"), F.col("user_id").cast("string"))).alias("session"))
+    return Q.validate(e, Q.click_rules("session")).select("event_id", "is_valid")
+
+
+@register("q12_table_gates", _with("SELECT 'product_price' AS gate, count(*) FILTER (NOT price > 0) AS n, count(*) FILTER (NOT price > 0) = 0 AS passed FROM products UNION ALL SELECT 'sale_quantity', count(*) FILTER (NOT quantity > 0), count(*) FILTER (NOT quantity > 0) = 0 FROM sales UNION ALL SELECT 'sale_orphan', count(*), count(*) = 0 FROM sales WHERE product_id NOT IN (SELECT product_id FROM products)"))
+def _(spark, sf):
+    return Q.table_gates(V.products(spark, sf), V.sales(spark, sf))
+
+
+@register("q13_check_unique", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10")
+def _(spark, sf):
+    return Q.check_unique(table(spark, sf, "lineitem"), "l_orderkey")
+
+
+@register("q14_check_fk", "SELECT count(*) AS orphans, count(DISTINCT l_partkey) AS orphan_keys FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+def _(spark, sf):
+    return Q.check_fk(table(spark, sf, "lineitem"), table(spark, sf, "part").where("p_size > 5"), "l_partkey", "p_partkey")
+
+
+@register("q15_completeness", "SELECT 'text' AS name, avg(CASE WHEN text IS NOT NULL THEN 100 ELSE 0 END)::DOUBLE AS percent, avg(CASE WHEN text IS NOT NULL THEN 100 ELSE 0 END) >= 95 AS passed FROM documents UNION ALL SELECT 'toxic', count(toxic) * 100.0 / count(*), count(toxic) * 100.0 / count(*) >= 95 FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return Q.completeness(both, ["text", "toxic"])
+
+
+@register("q17_audit_cash", "SELECT o_orderkey, abs(100 + o_totalprice - o_totalprice - CASE WHEN o_orderkey % 50 = 0 THEN 90 ELSE 100 END) < 0.01 AS ok FROM orders")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.lit(100.0).alias("begin_balance"), F.col("o_totalprice").alias("inflows"), F.col("o_totalprice").alias("outflows"), F.when(F.col("o_orderkey") % 50 == 0, 90.0).otherwise(100.0).alias("end_balance"))
+    return Q.audit_cash(o).select("o_orderkey", "ok")
+
+
+@register("q18_audit_cost_of_sales", "SELECT l_orderkey, l_partkey, l_suppkey, abs(l_extendedprice / l_quantity * l_quantity - CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE l_extendedprice END) < 0.01 AS ok FROM lineitem")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").withColumns({"unit_cost": F.col("l_extendedprice") / F.col("l_quantity"), "units_sold": F.col("l_quantity"), "total_cost": F.when(F.col("l_partkey") % 9 == 0, 0.0).otherwise(F.col("l_extendedprice"))})
+    return Q.audit_cost_of_sales(li).select("l_orderkey", "l_partkey", "l_suppkey", "ok")
+
+
+@register("q19_audit_ppe", "SELECT p_partkey, p_partkey % 6 <> 0 AS ok FROM part")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("acquisition_cost"), F.lit(10.0).alias("accum_depreciation"), (F.col("p_retailprice") - F.when(F.col("p_partkey") % 6 == 0, 11.0).otherwise(10.0)).alias("net_book_value"))
+    return Q.audit_ppe(p).select("p_partkey", "ok")
+
+
+@register("q20_alert_thresholds", """WITH c AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS w, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1), cal AS (SELECT unnest(generate_series((SELECT min(w) FROM c), (SELECT max(w) FROM c), INTERVAL 10 MINUTES)) AS w)
+SELECT cal.w AS window_start, coalesce(n, 0) AS n, coalesce(e, 0) AS errors, coalesce(n, 0) / 600.0 < 0.003 AS low_volume, CASE WHEN e / n::DOUBLE > 0.5 THEN 'critical' WHEN e / n::DOUBLE > 0.1 THEN 'warning' ELSE 'ok' END AS error_level FROM cal LEFT JOIN c ON cal.w = c.w""")
+def _(spark, sf):
+    return Q.alert_thresholds(table(spark, sf, "events"), 600, 0.003)
+
+
+@register("q21_check_fresh", "SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 30 MINUTES) > 0 AS fresh FROM events")
+def _(spark, sf):
+    return Q.check_fresh(table(spark, sf, "events"), "ts", 30, F.lit("2024-01-20").cast("timestamp"))
+
+
+@register("a38_dq_counters", "WITH " + TX + " SELECT count(*) AS total, count(*) FILTER (NOT (r1 OR r3 OR r4)) AS valid, count(*) FILTER (r1 OR r3 OR r4) AS invalid, count(*) FILTER (r1) AS missing, sum(r1::INT + r2::INT + r3::INT + r4::INT)::BIGINT AS rule_violations FROM tx")
+def _(spark, sf):
+    return Q.dq_counters(Q.validate(_transactions(spark, sf), _rules()))
+
+
+# ---- windowed metrics, on the batch form of their streams ----
+
+
+def _logs(spark, sf):
+    return R.parse_logs(V.logs(spark, sf))
+
+
+MINUTE = 'time_bucket(INTERVAL 1 MINUTE, "timestamp")'
+
+
+@register("r1_requests_per_minute", f"WITH {CLF_CTE} SELECT {MINUTE} AS window_start, {MINUTE} + INTERVAL 1 MINUTE AS window_end, count(*) AS requests FROM parsed GROUP BY 1, 2")
+def _(spark, sf):
+    return R.requests_per_minute(_logs(spark, sf))
+
+
+@register("r2_errors_per_minute", f"WITH {CLF_CTE} SELECT {MINUTE} AS window_start, {MINUTE} + INTERVAL 1 MINUTE AS window_end, count(*) AS errors FROM parsed WHERE status_code >= 500 GROUP BY 1, 2")
+def _(spark, sf):
+    return R.errors_per_minute(_logs(spark, sf))
+
+
+@register("r3_status_distribution", f"WITH {CLF_CTE} SELECT {MINUTE} AS window_start, {MINUTE} + INTERVAL 1 MINUTE AS window_end, (status_code // 100) || 'xx' AS status, count(*) AS n FROM parsed GROUP BY ALL")
+def _(spark, sf):
+    return R.status_distribution(_logs(spark, sf))
+
+
+@register("r4_top_endpoints", f"WITH {CLF_CTE}, e AS (SELECT split_part(split_part(request_line, ' ', 2), '?', 1) AS endpoint, {MINUTE} - INTERVAL 1 MINUTE * k AS w FROM parsed, range(5) t(k)) SELECT w AS window_start, w + INTERVAL 5 MINUTES AS window_end, endpoint, count(*) AS hits FROM e GROUP BY ALL HAVING count(*) > 1")
+def _(spark, sf):
+    return R.top_endpoints(_logs(spark, sf), 1)
+
+
+@register("r5_gmv_per_minute", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS gmv, count(*) AS orders FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
+def _(spark, sf):
+    return R.gmv_per_minute(table(spark, sf, "events").where("event_type = 'purchase'"))
+
+
+@register("r8_product_views", "WITH " + V.SQL["ev"] + " SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, product_id, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY ALL")
+def _(spark, sf):
+    return R.product_counts(V.events(spark, sf).where("event_type = 'view'"), "1 minute")
+
+
+@register("r7_top_products", "WITH " + V.SQL["ev"] + ", c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS window_start, product_id, count(*) AS n FROM ev, range(6) t(k) WHERE event_type = 'purchase' GROUP BY ALL) SELECT *, window_start + INTERVAL 6 HOURS AS window_end, CAST(row_number() OVER (PARTITION BY window_start ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5")
+def _(spark, sf):
+    counts = R.product_counts(V.events(spark, sf).where("event_type = 'purchase'"), "6 hours", "1 hour")
+    return W.top_n_per(counts, ["window_start", "window_end"], "n", 5, "product_id")
+
+
+@register("r9_windowed_sums", "WITH " + V.SQL["ev"] + " SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS window_end, product_id, s AS store_id, CAST(count(*) AS BIGINT) AS total FROM ev, unnest([CAST(store_id AS VARCHAR), 'ALL']) u(s) WHERE event_type = 'purchase' GROUP BY ALL")
+def _(spark, sf):
+    return R.windowed_sums(V.events(spark, sf).where("event_type = 'purchase'"), "store_id", F.lit(1), 300)
+
+
+SLIDING = "SELECT w AS window_start, w + INTERVAL 3 DAYS AS window_end, warehouse, CAST(sum(amount) AS DOUBLE) AS revenue, sum(quantity) AS units, count(DISTINCT order_id) AS orders FROM (SELECT *, CAST(event_time AS DATE) - INTERVAL 1 DAY * k AS w FROM sales, range(3) t(k)) GROUP BY ALL"
+
+
+@register("r11_sales_performance", _with(SLIDING, views=("sales",)))
+def _(spark, sf):
+    return R.sales_performance(V.sales(spark, sf), "3 days", "1 day")
+
+
+@register("r12_order_anomalies", _with("SELECT window_start, window_start + INTERVAL 30 DAYS AS window_end, order_id, warehouse, order_total FROM w JOIN q USING (window_start, warehouse) WHERE q3 > q1 AND (order_total < q1 - 1.5 * (q3 - q1) OR order_total > q3 + 1.5 * (q3 - q1))", "t AS (SELECT order_id, warehouse, max(event_time) AS last_time, CAST(sum(amount) AS DOUBLE) AS order_total FROM sales GROUP BY ALL), w AS (SELECT t.*, time_bucket(INTERVAL 30 DAYS, last_time, TIMESTAMP '1970-01-01') AS window_start FROM t), q AS (SELECT window_start, warehouse, quantile_cont(order_total, 0.25) AS q1, quantile_cont(order_total, 0.75) AS q3 FROM w GROUP BY ALL)", views=("sales",)))
+def _(spark, sf):
+    totals = A.order_totals(V.sales(spark, sf))
+    return R.order_anomalies(totals, 1.5, "30 days", "30 days").select("window_start", "window_end", "order_id", "warehouse", "order_total")
+
+
+@register("r15_parse_events", "SELECT event_id % 6 AS kind, CASE WHEN event_id % 6 = 0 THEN 'malformed' WHEN event_id % 6 = 1 THEN 'missing: qty' END AS error, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    m = F.col("event_id") % 6
+    raw = table(spark, sf, "events").select(m.alias("kind"), F.when(m == 0, "oops").when(m == 1, '{"product_id": "P1"}').otherwise('{"product_id": "P1", "qty": 2}').alias("value"))
+    parsed = R.parse_events(raw, "product_id string, qty int", ["product_id", "qty"])
+    kind = F.when(F.col("raw") == "oops", 0).when(F.col("qty").isNull(), 1)
+    return table(spark, sf, "events").select(m.alias("kind")).distinct().join(parsed.select(F.coalesce(kind, F.lit(2)).alias("k"), "error").distinct(), F.least("kind", F.lit(2)) == F.col("k")).drop("k").join(table(spark, sf, "events").groupBy(m.alias("kind")).agg(F.count("*").alias("n")), "kind")
+
+
+@register("r21_inspect_dlq", "SELECT 'malformed' AS error, count(*) AS n, 'oops' AS example FROM events WHERE event_id % 6 = 0")
+def _(spark, sf):
+    raw = table(spark, sf, "events").select(F.when(F.col("event_id") % 6 == 0, "oops").otherwise('{"product_id": "P1"}').alias("value"))
+    return R.inspect_dlq(R.dead_letters(R.parse_events(raw, "product_id string", ["product_id"])), 10)
+
+
+@register("k7_serving_rows", "WITH " + V.SQL["ev"] + ", c AS (SELECT product_id, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS e, count(*) AS n FROM ev GROUP BY ALL) SELECT product_id AS row_key, 'stats' AS family, 'view_count' AS qualifier, CAST(arg_max(n, e) AS VARCHAR) AS value, max(e) AS cell_ts FROM c GROUP BY product_id")
+def _(spark, sf):
+    return R.to_serving_rows(R.product_counts(V.events(spark, sf), "1 hour"))
+
+
+@register("j14_error_rate", f"WITH {CLF_CTE}, q AS (SELECT {MINUTE} AS window_start, count(*) AS requests, count(*) FILTER (status_code >= 500) AS errors FROM parsed GROUP BY 1) SELECT window_start, requests, errors, errors * 100.0::DOUBLE / requests AS error_rate FROM q")
+def _(spark, sf):
+    logs = _logs(spark, sf)
+    return J.error_rate(R.requests_per_minute(logs).select("window_start", "requests"), R.errors_per_minute(logs).select("window_start", "errors"))
+
+
+@register("a27_log_summary", f"WITH {CLF_CTE} SELECT (SELECT count(*) FROM log_lines) AS lines, count(*) AS parsed, count(*) FILTER (status_code >= 400) AS errors, count(DISTINCT client_ip) AS clients, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log_lines), 6) AS success_pct FROM parsed")
+def _(spark, sf):
+    r = V.logs(spark, sf).withColumn("r", S.parse_clf(F.col("line")))
+    return r.agg(F.count("*").alias("lines"), F.count("r").alias("parsed"), F.count_if(S.is_error(F.col("r.status_code"))).alias("errors"), F.count_distinct("r.client_ip").alias("clients"), F.round(F.count("r") * 100.0 / F.count("*"), 6).alias("success_pct"))
+
+
+# ---- composite pipelines ----
+
+
+@register("c5_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, o_orderkey % 700 + 1000 AS b FROM orders WHERE o_orderkey % 40 = 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON r.id = g.a) SELECT id, min(c) AS component FROM r GROUP BY id""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 40 = 0")
+    return connected_components(o.select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") % 700 + 1000).alias("dst")))
+
+
+@register("c4_deduplicate")
+def _(spark, sf):
+    p = V.products(spark, sf)
+    return matching.deduplicate(p.select(F.col("product_id").alias("id"), "product_name", "brand", F.lit(None).cast("string").alias("gtin"), "category", "price"), "id", "product_name")
+
+
+@register("c6_canonical_records", "SELECT p_brand, min(p_retailprice) AS price_min, max(p_retailprice) AS price_max, median(p_retailprice) AS price_median, count(*) AS size FROM part GROUP BY 1")
+def _(spark, sf):
+    p = V.products(spark, sf).withColumns({"component": F.col("brand"), "gtin": F.lit(None).cast("string")})
+    return matching.canonical_records(p, "product_name").select(F.col("component").alias("p_brand"), "price_min", "price_max", "price_median", "size")
+
+
+@register("a39_dedup_summary", "SELECT count(*) AS records, count(DISTINCT p_brand || p_name) AS clusters, (SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_brand || p_name HAVING count(*) > 1)) AS multi, count(*) / count(DISTINCT p_brand || p_name)::DOUBLE AS mean_size FROM part")
+def _(spark, sf):
+    return matching.dedup_summary(V.products(spark, sf).withColumn("component", F.concat("brand", "product_name")))
+
+
+@register("c3_update_stock", _with("SELECT warehouse, product_id, greatest(q - coalesce(sold, 0), 0) AS quantity_on_hand FROM inv LEFT JOIN so USING (warehouse, product_id)", "inv AS (SELECT warehouse, product_id, arg_max(quantity_on_hand, inventory_date) AS q FROM inventory GROUP BY ALL), so AS (SELECT warehouse, product_id, sum(quantity) AS sold FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 365 DAYS GROUP BY ALL)", views=INV))
+def _(spark, sf):
+    return pipelines.update_stock(V.inventory(spark, sf), V.sales(spark, sf), 365).select("warehouse", "product_id", "quantity_on_hand")
+
+
+@register("c9_price_elasticity", _with("SELECT category, round(regr_slope(ln(units), ln(weekly.price)), 5) AS elasticity FROM weekly JOIN products USING (product_id) GROUP BY 1", WEEKLY))
+def _(spark, sf):
+    w = A.weekly_product(V.sales(spark, sf), F.col("discount") > 0.05).join(V.products(spark, sf).select("product_id", "category"), "product_id")
+    return A.elasticity(w, "category", 50).select("category", F.round("elasticity", 5).alias("elasticity"))
+
+
+MONTHLY = "m AS (SELECT region_id, CAST(date_trunc('month', event_time) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS v FROM sales GROUP BY ALL)"
+
+
+def _monthly(spark, sf):
+    return V.sales(spark, sf).groupBy("region_id", F.to_date(F.date_trunc("month", "event_time")).alias("month")).agg(A.total("amount").alias("v"))
+
+
+@register("c10_seasonal_naive", _with("SELECT region_id, CAST(last + INTERVAL 1 MONTH * k AS DATE) AS month, round(avg(v), 2) AS forecast FROM (SELECT region_id, max(month) AS last FROM m GROUP BY 1) l CROSS JOIN range(1, 4) t(k) JOIN m USING (region_id) WHERE month(m.month) = month(last + INTERVAL 1 MONTH * k) GROUP BY ALL", MONTHLY))
+def _(spark, sf):
+    return forecasting.seasonal_naive(_monthly(spark, sf), ["region_id"], "month", "v", 3).withColumn("forecast", F.round("forecast", 2))
+
+
+@register("c11_backtest", _with("SELECT region_id, round(avg(abs(f - v)), 2) AS mae, round(avg(f - v), 2) AS bias, count(*) AS folds FROM (SELECT region_id, v, coalesce(lag(v, 12) OVER w, lag(v) OVER w) AS f, row_number() OVER (PARTITION BY region_id ORDER BY month DESC) AS rn FROM m WINDOW w AS (PARTITION BY region_id ORDER BY month)) WHERE rn <= 6 AND f IS NOT NULL GROUP BY 1", MONTHLY))
+def _(spark, sf):
+    out = forecasting.backtest(_monthly(spark, sf), ["region_id"], "month", "v", 6)
+    return out.select("region_id", F.round("mae", 2).alias("mae"), F.round("bias", 2).alias("bias"), "folds")
+
+
+@register("j12_forecast_compare", _with("SELECT region_id, month, v, coalesce(lag(v, 12) OVER (PARTITION BY region_id ORDER BY month), lag(v) OVER (PARTITION BY region_id ORDER BY month)) AS forecast FROM m", MONTHLY))
+def _(spark, sf):
+    return forecasting.one_step(_monthly(spark, sf), ["region_id"], "month", "v")
+
+
+@register("c12_build_star", "SELECT 'boats' AS name, count(DISTINCT upper(left(p_brand, 1)) || substr(p_brand, 2)) AS n FROM part UNION ALL SELECT 'fact', count(*) FROM part UNION ALL SELECT 'ties', (SELECT sum(n) FROM (SELECT count(*) AS n FROM part GROUP BY p_type, p_size HAVING count(*) > 1))")
+def _(spark, sf):
+    return pipelines.star_report(table(spark, sf, "part"), "p_brand", ["p_type", "p_size"])
+
+
+@register("c13_run_audit", "SELECT 'cash' AS ledger, count(*) AS n, count(*) FILTER (o_orderkey % 50 <> 0) AS ok FROM orders UNION ALL SELECT 'ppe', count(*), count(*) FILTER (p_partkey % 6 <> 0) FROM part")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.lit(100.0).alias("begin_balance"), F.col("o_totalprice").alias("inflows"), F.col("o_totalprice").alias("outflows"), F.when(F.col("o_orderkey") % 50 == 0, 90.0).otherwise(100.0).alias("end_balance"))
+    p = table(spark, sf, "part").select(F.col("p_retailprice").alias("acquisition_cost"), F.lit(10.0).alias("accum_depreciation"), (F.col("p_retailprice") - F.when(F.col("p_partkey") % 6 == 0, 11.0).otherwise(10.0)).alias("net_book_value"))
+    return pipelines.run_audit({"cash": Q.audit_cash(o), "ppe": Q.audit_ppe(p)})
+
+
+@register("c2_lakehouse_gold", _with("SELECT warehouse, category, CAST(sum(amount) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM (SELECT DISTINCT ON (order_id, line_no, product_id) * FROM sales WHERE quantity > 1 ORDER BY order_id, line_no, product_id, event_time DESC, warehouse DESC, quantity DESC, amount DESC) JOIN products USING (product_id) GROUP BY ALL"))
+def _(spark, sf):
+    return pipelines.build_lakehouse(V.sales(spark, sf), V.products(spark, sf))["gold_category"]

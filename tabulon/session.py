@@ -53,5 +53,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what a written table was shuffled through can go
     path = f"{shared_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
