@@ -19,8 +19,10 @@ Repeated rows are scored each for itself; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.bytesops import documents_of, held_out, small_batches
 from tabulon.session import cut
 
-MAX_EXAMPLES = 30_000
-MAX_TERMS = 20_000
+MAX_EXAMPLES = 20_000
+MAX_TERMS = 5_000
 MIN_ROWS = 5
-MIN_Z = 5.0
+MIN_Z = 8.0
 MIN_PRECISION = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
@@ -95,7 +97,7 @@ class Model:
         key = cols[order] * max(1, self.blocks) + self.rows // BLOCK
         own, at = np.unique(key, return_index=True)  # postings of one term and block are neighbours
         self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0)
-        self.block_at, self.block_of = at, own % max(1, self.blocks)
+        self.block_of = own % max(1, self.blocks)
         self.block_starts = np.searchsorted(own // max(1, self.blocks), np.arange(len(terms) + 1))
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
         self.blank_rate = float(self.labels[self.blank].mean()) if self.blank.any() else 0.0
@@ -118,32 +120,31 @@ class Model:
             s = slice(self.block_starts[t], self.block_starts[t + 1])
             bound[self.block_of[s]] += w * self.block_max[s]
         order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
         best: list[tuple[float, int, int]] = []
-        step, p = 4, 0
+        step, p = 8, 0
         while p < len(order):
             kth = best[self.k - 1][0] if len(best) >= self.k else 0.0
             some = order[p:p + step]
-            some = some[(bound[some] > 0) & (bound[some] >= -kth - 1e-9)]
+            some = some[bound[some] >= -kth - 1e-9]
             if not len(some):
                 break
-            scores = np.zeros((len(some), BLOCK))
             place = np.full(self.blocks, -1)
             place[some] = np.arange(len(some))
+            scores = np.zeros(len(some) * BLOCK)
             for t, w in zip(at.tolist(), q.tolist(), strict=True):
-                s0, s1 = self.block_starts[t], self.block_starts[t + 1]
-                hit = np.nonzero(place[self.block_of[s0:s1]] >= 0)[0] + s0
-                for b in hit.tolist():
-                    lo = self.block_at[b]
-                    hi = self.block_at[b + 1] if b + 1 < len(self.block_at) else len(self.rows)
-                    scores[place[self.block_of[b]], self.rows[lo:hi] % BLOCK] += w * self.weights[lo:hi]
-            for i, j in zip(*np.nonzero(scores > 0), strict=True):
-                row = int(some[i]) * BLOCK + int(j)
-                if leave is None or self.ids[row] != leave:
-                    best.append((-float(scores[i, j]), int(self.ids[row]), row))
-            best.sort()
-            del best[self.k:]
+                s = slice(self.starts[t], self.starts[t + 1])
+                own = place[self.rows[s] // BLOCK]
+                here = own >= 0
+                scores[own[here] * BLOCK + self.rows[s][here] % BLOCK] += w * self.weights[s][here]  # one posting a term and row
+            hit = np.nonzero(scores > 0)[0]
+            rows = some[hit // BLOCK] * BLOCK + hit % BLOCK
+            if leave is not None:
+                hit, rows = hit[self.ids[rows] != leave], rows[self.ids[rows] != leave]
+            first = np.lexsort((self.ids[rows], -scores[hit]))[: self.k]
+            best = sorted([*best, *zip((-scores[hit[first]]).tolist(), self.ids[rows[first]].tolist(), rows[first].tolist(), strict=True)])[: self.k]
             p += step
-            step *= 2
+            step *= 4
         return [(row, min(1.0, -c)) for c, _, row in best]
 
     def vote(self, found: list[tuple[int, float]]) -> float:
@@ -189,13 +190,13 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
         return []
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_terms = lru_cache(100_000)(terms_of)
         for b in batches:
-            rows: dict[str, list[int]] = {}
+            rows: tuple[Counter, Counter] = Counter(), Counter()
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                own = {t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)}
-                for t in own:
-                    rows.setdefault(t, [0, 0])[toxic > 0] += 1
-            yield pd.DataFrame({"term": list(rows), "n0": [v[0] for v in rows.values()], "n1": [v[1] for v in rows.values()]})
+                words = set(WORD.findall((text or "").lower()))
+                rows[toxic > 0].update(set(chain.from_iterable(map(own_terms, words))))
+            yield pd.DataFrame([(t, rows[0][t], rows[1][t]) for t in rows[0].keys() | rows[1].keys()], columns=["term", "n0", "n1"])
 
     counted = examples.select("text", "toxic").mapInPandas(spread, "term string, n0 long, n1 long")
     total = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
