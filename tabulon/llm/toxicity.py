@@ -53,24 +53,30 @@ def terms_of(word: str) -> list[str]:
     return list({edged, *(edged[i:i + n] for n in GRAMS for i in range(len(edged) - n + 1))})
 
 
+class _Known(dict):
+    """Indices of the vocabulary's terms in a word, found when first asked for."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.index = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = self[word] = tuple(i for t in terms_of(word) if (i := self.index.get(t)) is not None)
+        return own
+
+
 class Vectors:
     """Term counts of texts over a fixed vocabulary; what a word holds of it is kept, up to a bound."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(terms)
 
     def counts(self, text: str | None) -> dict[int, int]:
         found: dict[int, int] = {}
         if not text:
             return found
-        known = self.known
-        for word in WORD.findall(text.lower()):
-            own = known.get(word)
-            if own is None:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                own = known[word] = tuple(i for t in terms_of(word) if (i := self.index.get(t)) is not None)
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        for own in filter(None, map(self.known.__getitem__, WORD.findall(text.lower()))):
             for i in own:
                 found[i] = found.get(i, 0) + 1
         return found
