@@ -81,7 +81,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     hashed = F.transform("form", lambda t: F.xxhash64(t))
     size_of = F.least(F.size("words"), F.lit(WINDOW))
     asked = items.select("item_id", size_of.alias("size"), hashed.alias("th"))
-    whole = F.concat(*[F.when(F.col("size") == k, _windows(F.col("th"), k)) .otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")) for k in sizes]) if sizes else F.array().cast("array<struct<pos:int,h:bigint>>")
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    whole = F.concat(none, *[F.when(F.col("size") == k, _windows(F.col("th"), k)).otherwise(none) for k in sizes])
     asked = cut(asked.select("item_id", "size", F.explode(whole).alias("w")).select("item_id", "size", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h")))
     n_windows = asked.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
 
