@@ -30,29 +30,39 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, 0).when(good, 1).otherwise(-1)
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes by name. All are shares or counts of the whole text."""
-    n_chars = F.greatest(F.length(text), F.lit(1))
-    n_words = F.regexp_count(text, F.lit(r"\S+"))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    digits = F.length(F.regexp_replace(text, r"[^\p{N}]", ""))
-    signs = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    n_lines = F.size(lines)
-    repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(n_lines, F.lit(1))
-    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?\"”']\s*$"))) / F.greatest(n_lines, F.lit(1))
+def statistics(text: Column) -> dict[str, Column]:
+    """Counts of the whole text that the labellers need."""
+    return {
+        "n_chars": F.greatest(F.length(text), F.lit(1)),
+        "n_words": F.regexp_count(text, F.lit(r"\S+")),
+        "n_space": F.regexp_count(text, F.lit(r"\s")),
+        "n_capitals": F.regexp_count(text, F.lit(r"\p{Lu}")),
+        "n_digits": F.regexp_count(text, F.lit(r"\p{N}")),
+        "n_signs": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")),
+        "lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0),
+        "boilerplate": F.lower(text).rlike(r"\b(" + "|".join(BOILERPLATE) + r")\b"),
+    }
+
+
+def labellers() -> dict[str, Column]:
+    """Votes by name, from the columns of ``statistics``."""
+    n_chars, n_words, lines = F.col("n_chars"), F.col("n_words"), F.col("lines")
+    letters = n_chars - F.col("n_space") - F.col("n_digits") - F.col("n_signs")
+    n_lines = F.greatest(F.size(lines), F.lit(1))
+    repeated = 1 - F.size(F.array_distinct(lines)) / n_lines
+    ended = F.size(F.filter(lines, lambda x: x.rlike(r"[.!?\"”']\s*$"))) / n_lines
     mean_word = (n_chars - n_words + 1) / F.greatest(n_words, F.lit(1))
+    capitals = F.col("n_capitals") / F.greatest(letters, F.lit(1))
     return {
         "length": _vote(n_words >= 50, n_words < 20),
         "word_length": _vote(mean_word.between(3, 10), ~mean_word.between(2, 14)),
         "letters": _vote(letters / n_chars > 0.7, letters / n_chars < 0.6),
-        "signs": _vote(signs / n_chars < 0.05, signs / n_chars > 0.1),
-        "digits": _vote(digits / n_chars < 0.01, digits / n_chars > 0.1),
-        "repeats": _vote((n_lines >= 2) & (repeated == 0), repeated > 0.2),
+        "signs": _vote(F.col("n_signs") / n_chars < 0.05, F.col("n_signs") / n_chars > 0.1),
+        "digits": _vote(F.col("n_digits") / n_chars < 0.01, F.col("n_digits") / n_chars > 0.1),
+        "repeats": _vote((F.size(lines) >= 2) & (repeated == 0), repeated > 0.2),
         "endings": _vote(ended > 0.8, ended < 0.4),
-        "capitals": _vote(capitals / F.greatest(letters, F.lit(1)) < 0.08, capitals / F.greatest(letters, F.lit(1)) > 0.3),
-        "boilerplate": _vote(F.lit(False), F.lower(text).rlike(r"\b(" + "|".join(BOILERPLATE) + r")\b")),
+        "capitals": _vote(capitals < 0.08, capitals > 0.3),
+        "boilerplate": _vote(F.lit(False), F.col("boilerplate")),
     }
 
 
@@ -84,8 +94,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
 def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(doc_id, pattern, posterior), written; and each labeller's accuracy on bad and good documents."""
     source = documents_of(docs).fillna("", "text")
-    votes = labellers(F.col("text"))
-    voted = cut(source.select("doc_id", F.array(*votes.values()).alias("pattern")))
+    votes = labellers()
+    counted = source.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    voted = cut(counted.select("doc_id", F.array(*votes.values()).alias("pattern")))
     rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers rows at most
     if not rows:
         return voted.withColumn("posterior", F.lit(None).cast("double")), {}
@@ -104,8 +115,9 @@ def score_quality(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     norm = Normalizer(inputCol="tf", outputCol="features")
 
     def hashed(df: DataFrame) -> DataFrame:
-        shape = F.regexp_replace(F.regexp_replace(F.lower("text"), r"\p{N}", "0"), r"([^\p{L}\p{N}\s])", " $1 ")
-        return norm.transform(tf.transform(df.withColumn("words", F.split(F.trim(shape), r"\s+")))).drop("words", "tf", "text")
+        shape = F.translate(F.lower("text"), "123456789", "000000000")
+        words = F.regexp_extract_all(shape, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+        return norm.transform(tf.transform(df.withColumn("words", words))).drop("words", "tf", "text")
 
     train = cut(hashed(source.join(F.broadcast(chosen.select("doc_id", "posterior")), "doc_id")))
     seen = train.agg(F.min("posterior").alias("lo"), F.max("posterior").alias("hi")).first()
