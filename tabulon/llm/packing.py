@@ -31,7 +31,7 @@ from tabulon.session import cut
 CAPACITY = 4096
 ROUNDS = 12
 EPSILON = 0.5
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
 BUCKET_ROWS = 1000
 SIMPLE = 0x250
 
@@ -43,15 +43,16 @@ def _simple_text() -> re.Pattern:
 
 
 @cache
-def _word_pattern() -> re.Pattern:
-    """The tokenizer's own splitting pattern, for texts of simple characters."""
+def _word_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """The tokenizer's own splitting pattern, for texts of simple characters, and what is left of it in texts without apostrophes."""
     classes = {"L": "", "N": ""}
     for c in map(chr, range(SIMPLE)):
         kind = unicodedata.category(c)[0]
         if kind in classes:
             classes[kind] += re.escape(c)
     letters, digits = classes["L"], classes["N"]
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\s\\x85\\xa0{letters}{digits}]+")
+    plain = f"[{letters}]+|[{digits}]|[^\\s\\x85\\xa0{letters}{digits}]+"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{plain}"), re.compile(plain)
 
 
 class WordTokenizer:
@@ -79,7 +80,7 @@ class WordTokenizer:
             if _simple_text().fullmatch(text):
                 if not text.isascii():
                     text = unicodedata.normalize("NFC", text)
-                words[i] = _word_pattern().findall(text.lower())
+                words[i] = _word_patterns()["'" not in text].findall(text.lower())
                 missing.update(words[i])
             else:
                 rest.append(i)
