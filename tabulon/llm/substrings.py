@@ -29,6 +29,7 @@ from tabulon.session import cut
 
 LENGTH = 100
 GRAM = 28
+PART = 8
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
@@ -44,12 +45,12 @@ def _names(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, context, lo, hi): the windows that start at lo to hi have this anchor; both are fingerprints."""
+def contexts(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, context, lo, hi, at): the windows that start at lo to hi have this anchor, which is at ``at``; both are fingerprints."""
     n = len(raw) - LENGTH + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     prefix = _prefix(raw)
     _, down = _power_tables(len(raw))
     h = mix64((prefix[GRAM:] - prefix[:-GRAM]) * down[:len(raw) - GRAM + 1])
@@ -65,7 +66,7 @@ def contexts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     lo = np.concatenate([[0], edge + 1])
     hi = np.concatenate([edge, [len(at) - 1]])
     own = _names(prefix, lo, hi + LENGTH)
-    return least[lo].view(np.int64), own.view(np.int64), lo, hi
+    return least[lo].view(np.int64), own.view(np.int64), lo, hi, at[lo]
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -73,7 +74,7 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def find_contexts(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, lo, hi) of every document."""
+    """(anchor, context, doc_id, lo, hi, at) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -83,10 +84,10 @@ def find_contexts(docs: DataFrame) -> DataFrame:
                 ids.append(np.full(len(found[0]), i, np.int64))
                 parts.append(found)
             if ids:
-                columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-                yield pd.DataFrame({"anchor": columns[0], "context": columns[1], "doc_id": np.concatenate(ids), "lo": columns[2], "hi": columns[3]})
+                columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+                yield pd.DataFrame({"anchor": columns[0], "context": columns[1], "doc_id": np.concatenate(ids), "lo": columns[2], "hi": columns[3], "at": columns[4]})
 
-    return docs.mapInPandas(run, "anchor long, context long, doc_id long, lo int, hi int")
+    return docs.mapInPandas(run, "anchor long, context long, doc_id long, lo int, hi int, at int")
 
 
 def _first_windows(docs: DataFrame, several: DataFrame) -> DataFrame:
@@ -98,17 +99,19 @@ def _first_windows(docs: DataFrame, several: DataFrame) -> DataFrame:
             for i, text, places in zip(b["doc_id"], b["text"], b["places"], strict=True):
                 lo = np.array([p["lo"] for p in places], np.int64)
                 hi = np.array([p["hi"] for p in places], np.int64)
+                at = np.array([p["at"] for p in places], np.int64)
                 anchor = np.array([p["anchor"] for p in places], np.int64)
                 n = hi - lo + 1
                 starts = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 name = _names(_prefix(_bytes(text)), starts, starts + LENGTH).view(np.int64)
-                out.append(pd.DataFrame({"anchor": np.repeat(anchor, n), "name": name, "doc_id": i, "start": starts}))
+                out.append(pd.DataFrame({"anchor": np.repeat(anchor, n), "part": (np.repeat(at, n) - starts) // PART, "name": name, "doc_id": i, "start": starts}))
             if out:
                 yield pd.concat(out)
 
-    places = several.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("places"))
-    windows = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInPandas(run, "anchor long, name long, doc_id long, start int")
-    return windows.groupBy("anchor", "name").agg(F.min(F.struct("doc_id", "start")).alias("f")).select("f.doc_id", "f.start")
+    places = several.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("places"))
+    windows = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInPandas(run, "anchor long, part int, name long, doc_id long, start int")
+    # equal windows have their anchor at equal offsets; dealt by it, windows of one context stay together, which compresses
+    return windows.repartition("anchor", "part").groupBy("anchor", "part", "name").agg(F.min(F.struct("doc_id", "start")).alias("f")).select("f.doc_id", "f.start")
 
 
 def removed_spans(raw: np.ndarray, repeats: list[tuple[int, int]], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +137,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     found = find_contexts(source)
     repeated = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = cut(found.join(repeated, "anchor"))
-    kinds = cut(places.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("f")))
+    kinds = cut(places.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "lo", "hi", "at")).alias("f")))
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    several = cut(kinds.join(many, "anchor").select("anchor", "f.doc_id", "f.lo", "f.hi"))
+    several = cut(kinds.join(many, "anchor").select("anchor", "f.doc_id", "f.lo", "f.hi", "f.at"))
     firsts = cut(_first_windows(source, several))
     first_of = kinds.select("anchor", "context", F.col("f.doc_id").alias("first_doc"), F.col("f.lo").alias("first_lo"))
     later = places.join(first_of, ["anchor", "context"]).where("doc_id <> first_doc or lo <> first_lo").select("doc_id", "lo", "hi")
