@@ -29,7 +29,7 @@ from tabulon.session import cut
 
 LENGTH = 100
 GRAM = 28
-PART = 8
+PART = 24
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
