@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
 from tabulon.llm.bytesops import documents_of
-from tabulon.llm.linking import linked_components
+from tabulon.llm.linking import Verify, linked_components
 from tabulon.session import cut
 
 SHINGLE = 5
@@ -83,16 +83,18 @@ def line_groups(docs: DataFrame) -> DataFrame:
     signed = cut(signatures(classes.select("cid", "line")))
     buckets = signed.select(F.col("cid").alias("id"), F.explode("keys").alias("bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        texts = classes.select("cid", "line").join(wanted, "cid")
-        sets = texts.select("cid", F.array_distinct(_all_shingles(F.col("line"), SHINGLE)).alias("s"))
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+    def prepare(ids: DataFrame) -> Verify:
+        texts = classes.select(F.col("cid").alias("id"), "line").join(ids, "id", "left_semi")
+        sets = cut(texts.select("id", F.array_distinct(_all_shingles(F.col("line"), SHINGLE)).alias("s")))
 
-    components = linked_components(buckets, verify)
+        def verify(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+            common = F.size(F.array_intersect("sa", "sb"))
+            return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+
+        return verify
+
+    components = linked_components(buckets, prepare)
     found = classes.select("cid", "k1", "k2", "n").join(components.select(F.col("id").alias("cid"), "component"), "cid", "left")
     return found.where("n > 1 or component is not null").select("k1", "k2", F.coalesce("component", "cid").alias("grp"))
 

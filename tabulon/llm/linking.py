@@ -23,14 +23,16 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked_components(buckets: DataFrame, verify: Verify) -> DataFrame:
+def linked_components(buckets: DataFrame, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
     """(id, component) of all items of ``buckets`` (id, bucket) that have a link.
 
-    ``verify`` keeps those of the pairs (a, b) that are links. An item has one row for each of its buckets; ``buckets``
+    ``prepare`` gets the items (id) that share a bucket and gives a function that keeps those of the pairs (a, b) of
+    such items that are links. An item has one row for each of its buckets; ``buckets``
     is read twice.
     """
-    leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
+    leaders = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"))
     shared = cut(buckets.join(leaders, "bucket"))
+    verify = prepare(shared.select("id").distinct())
     links = cut(verify(_pairs(shared.where("id <> leader"), "id", "leader")))
     components = connected_components(links, "a", "b")
     for last in (False, True):
