@@ -84,13 +84,17 @@ def line_groups(docs: DataFrame) -> DataFrame:
     buckets = signed.select(F.col("cid").alias("id"), F.explode("keys").alias("bucket"))
 
     def prepare(ids: DataFrame) -> Verify:
-        texts = classes.select(F.col("cid").alias("id"), "line").join(ids, "id", "left_semi")
-        sets = cut(texts.select("id", F.array_distinct(_all_shingles(F.col("line"), SHINGLE)).alias("s")))
+        texts = cut(classes.select(F.col("cid").alias("id"), "line").join(ids, "id", "left_semi"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-            common = F.size(F.array_intersect("sa", "sb"))
-            return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+            # lines travel as text, an eighth of their sets
+            both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+            sets = F.struct(*[F.array_distinct(_all_shingles(F.col(c), SHINGLE)).alias(c) for c in ("la", "lb")])
+
+            def similar(x: Column) -> Column:
+                return let(F.size(F.array_intersect(x["la"], x["lb"])), lambda n: n * 100 >= (F.size(x["la"]) + F.size(x["lb"]) - n) * PERCENT)
+
+            return both.where(let(sets, similar)).select("a", "b")
 
         return verify
 
