@@ -1,23 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Learning: of the labelled rows, at most ``max_examples`` (the first ones by a hash of the id) are examples. Their terms are words
-and the character 4- to 6-grams of words with their borders; those that tell toxic examples apart (``MIN_Z``,
-``MIN_PRECISION``, at least ``MIN_ROWS`` rows) are the vocabulary, at most ``max_terms``. Document frequencies of the
-vocabulary are counted over all documents.
+Learning: of the labelled rows, at most ``max_examples`` (the first ones by a hash of the id) are examples. They are indexed twice:
+by all their words, whatever these tell, and by a lexicon of words and character 4- to 6-grams of words with their borders
+that tell toxic examples apart (``MIN_Z``, ``MIN_PRECISION``, at least ``MIN_ROWS`` rows, at most ``max_terms``). N-grams
+outside the lexicon aren't indexed. Document frequencies of words and lexicon are counted over all documents.
 
-Search: the examples' unit vectors form an inverted index of postings in blocks of ``BLOCK`` examples, each block with
+Search by all words: a text's cosine with every example is summed over the postings of its words, in full; words are
+64-bit fingerprints. Votes weigh c / (1 - c), so a copy of an example gets that one's label.
+
+Search in the lexicon: the examples' unit vectors form an inverted index of postings in blocks of ``BLOCK`` examples, each block with
 the largest weight it holds for a term. A query bounds every block by these, visits blocks from the highest bound on, and
 stops when no bound reaches its k-th best cosine: the neighbours are exact, ties go to the smaller id. Votes weighted by cosine, and one vote
 of the rate of examples without a term, give the raw score; isotonic regression over the examples' own leave-one-out votes turns it into a calibrated one.
-The evidence is the nearest examples and the query's heaviest terms.
+Votes by all words are calibrated likewise, over the examples that the lexicon gives less than 0.5 and in pools of
+``LEAST_POOL`` at least. The score is the larger one. The evidence is
+the nearest examples and the query's heaviest terms in the lexicon, or among all words where these decide.
 
-Texts without any term of the vocabulary (null and empty ones too) get the calibrated rate of such examples. Without
+Texts without any term of the lexicon (null and empty ones too) have the calibrated rate of such examples there. Without
 examples every score is 0. Rows with a null label are not labelled; a document labelled twice takes its largest label.
 Repeated rows are scored each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,30 +32,29 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.bytesops import documents_of, held_out, small_batches
 from tabulon.session import cut
 
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 5_000
+MAX_EXAMPLES = 30_000
+MAX_TERMS = 20_000
 MIN_ROWS = 5
-MIN_Z = 8.0
+MIN_Z = 5.0
 MIN_PRECISION = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
 GRAMS = (4, 5, 6)
 CACHED_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 40
+LEAST_POOL = 50
 
 
 def terms_of(word: str) -> list[str]:
-    """A word with its borders, and its character n-grams; words over LONGEST_WORD letters have no n-grams."""
+    """A word with its borders, and its character n-grams."""
     edged = f"^{word}$"
-    if len(word) > LONGEST_WORD:
-        return [edged]
     return list({edged, *(edged[i:i + n] for n in GRAMS for i in range(len(edged) - n + 1))})
 
 
@@ -82,6 +87,103 @@ class Vectors:
         return found
 
 
+class _Fingerprints(dict):
+    def __missing__(self, word: str) -> int:
+        own = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return own
+
+
+_fingerprints = _Fingerprints()
+
+
+def all_words(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Fingerprints, counts and spellings of a text's distinct words."""
+    if len(_fingerprints) > CACHED_WORDS:
+        _fingerprints.clear()
+    found = Counter(WORD.findall((text or "").lower()))
+    words = list(found)
+    return np.fromiter(map(_fingerprints.__getitem__, words), np.uint64, len(words)), np.fromiter(found.values(), np.int32, len(words)), words
+
+
+class WordIndex:
+    """All words of the examples: each word's postings, and the cosines of a text with all examples."""
+
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> None:
+        """``examples`` is (doc_id, label, places in ``vocabulary``, counts)."""
+        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.labels = np.array([e[1] for e in examples], np.float64)
+        self.rate = float(self.labels.mean()) if len(examples) else 0.0
+        cols = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int32)]).astype(np.int32)
+        weights = np.concatenate([self.unit(e[2], e[3]).astype(np.float32) for e in examples] or [np.empty(0, np.float32)])
+        order = np.argsort(cols, kind="stable")
+        self.rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])[order]
+        self.weights = weights[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=len(vocabulary)))])
+        self.curve: tuple[np.ndarray, np.ndarray] | None = None
+
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[at]
+        return w / max(np.sqrt((w * w).sum()), 1e-300)
+
+    def place(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary, and which of ``words`` it has."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+        return at, self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
+
+    def query(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, weights, which words) of a text; words that no example has count in its length, at the weight of unseen ones."""
+        at, here = self.place(words)
+        w = (1 + np.log(counts)) * np.where(here, self.idf[at] if len(self.idf) else 0.0, self.unseen)
+        return at[here], (w / max(np.sqrt((w * w).sum()), 1e-300))[here], here
+
+    unseen = 1.0
+
+    def neighbours(self, at: np.ndarray, weights: np.ndarray, leave: int | None = None) -> list[tuple[int, float]]:
+        """(row, cosine) of the k nearest examples with a cosine over 0; ties go to the smaller id."""
+        scores = np.zeros(len(self.ids))
+        for s, e, w in zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), weights.tolist(), strict=True):
+            scores[self.rows[s:e]] += w * self.weights[s:e]
+        if leave is not None:
+            scores[self.ids == leave] = 0.0
+        rows = np.nonzero(scores > 0)[0]
+        if len(rows) > self.k:
+            kth = np.partition(scores, -self.k)[-self.k]
+            rows = np.nonzero((scores > 0) & (scores >= kth))[0]
+        first = rows[np.lexsort((self.ids[rows], -scores[rows]))[: self.k]]
+        return [(r, min(1.0, c)) for r, c in zip(first.tolist(), scores[first].tolist(), strict=True)]
+
+    def vote(self, found: list[tuple[int, float]]) -> float:
+        w = np.array([c / (1 - c + 1e-3) for _, c in found])
+        return float(((w * self.labels[[r for r, _ in found]]).sum() + self.rate) / (w.sum() + 1))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+        words, counts, spelt = all_words(text)
+        at, w, here = self.query(words, counts)
+        found = self.neighbours(at, w) if len(at) else []
+        if not found or self.curve is None:
+            return 0.0, [], []
+        own = np.nonzero(here)[0][np.argsort(-w, kind="stable")[:3]]
+        near = [(int(self.ids[r]), c, int(self.labels[r])) for r, c in found[:3]]
+        return float(np.interp(self.vote(found), *self.curve)), near, [f"^{spelt[i]}$" for i in own.tolist()]
+
+
+def isotonic(votes: np.ndarray, labels: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators, of runs of ``least`` rows, with one prior row at either end."""
+    order = np.argsort(votes, kind="stable")
+    runs = [order[i:i + least] for i in range(0, len(order) - len(order) % least, least)] if len(order) >= least else [order] if len(order) else []
+    if runs and len(order) >= least and len(order) % least:
+        runs[-1] = order[(len(runs) - 1) * least:]
+    first = [(float(labels[r].sum()), float(len(r)), float(votes[r[0]]), float(votes[r[-1]])) for r in runs]
+    pools: list[list[float]] = []
+    for pool in [(0.0, 1.0, 0.0, 0.0), *first, (1.0, 1.0, 1.0, 1.0)]:
+        pools.append(list(pool))
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    return np.array([v for p in pools for v in (p[2], p[3])]), np.array([p[0] / p[1] for p in pools for _ in (0, 1)])
+
+
 class Model:
     """The index of bounded examples. ``examples`` is (doc_id, label, counts) rows; ``idf`` has a weight for each term."""
 
@@ -106,6 +208,8 @@ class Model:
         self.block_of = own % max(1, self.blocks)
         self.block_starts = np.searchsorted(own // max(1, self.blocks), np.arange(len(terms) + 1))
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
+        self.words: WordIndex | None = None
+        self.shared: Broadcast | None = None
         self.blank_rate = float(self.labels[self.blank].mean()) if self.blank.any() else 0.0
         self._search = lru_cache(20_000)(self._search_one)
 
@@ -159,15 +263,8 @@ class Model:
         return float(((w * y).sum() + self.blank_rate) / (w.sum() + 1))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Isotonic regression (pool adjacent violators) of labels on votes, one prior row at either end."""
-        order = np.argsort(votes, kind="stable")
-        pools: list[list[float]] = []
-        for x, y in [(0.0, 0.0), *zip(votes[order].tolist(), labels[order].tolist(), strict=True), (1.0, 1.0)]:
-            pools.append([y, 1.0, x, x])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-                last = pools.pop()
-                pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
-        self.curve = np.array([v for p in pools for v in (p[2], p[3])]), np.array([p[0] / p[1] for p in pools for _ in (0, 1)])
+        """Isotonic regression of labels on votes."""
+        self.curve = isotonic(votes, labels)
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
         """Calibrated score, the three nearest examples (id, cosine, label), the heaviest terms."""
@@ -181,6 +278,15 @@ class Model:
         return out, near, [self.terms[i] for i in at[np.argsort(-w, kind="stable")[:3]].tolist()]
 
 
+    def score_text(self, text: str | None, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+        """The larger of the lexicon's score and that of all words, with its evidence."""
+        by_terms = self.score(counts)
+        if self.words is None or by_terms[0] >= 0.5:
+            return by_terms
+        by_words = self.words.score(text)
+        return by_words if by_words[0] > by_terms[0] or not by_terms[1] and by_words[0] == by_terms[0] else by_terms
+
+
 def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -219,27 +325,50 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     examples = cut(_examples(source, labels, max_examples))
     terms = _vocabulary(examples, max_terms)
 
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = Vectors(terms)
+        for b in batches:
+            own = [vectors.counts(t) for t in b["text"]]
+            whole = [all_words(t) for t in b["text"]]
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"], "toxic": b["toxic"], "at": [list(c) for c in own], "n": [list(c.values()) for c in own],
+                "words": [w.tobytes() for w, _, _ in whole], "times": [n.tobytes() for _, n, _ in whole],
+            })
+
+    schema = "doc_id long, toxic int, at array<int>, n array<int>, words binary, times binary"
+    held = sorted(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema).collect(), key=lambda r: r["doc_id"])
+    vocabulary = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in held] or [np.empty(0, np.uint64)]))
+    seen = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, n, df = Vectors(terms), 0, np.zeros(len(terms), np.int64)
+        vectors, n, df = Vectors(terms), 0, np.zeros(len(terms) + len(seen.value), np.int64)
         for b in batches:
             n += len(b)
             for text in b["text"]:
                 df[list(vectors.counts(text))] += 1
-        yield pd.DataFrame({"term": np.append(np.arange(len(terms)), -1), "n": np.append(df, n)})
-
-    counted = source.select("text").mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    known = {r["term"]: r["n"] for r in counted.collect()}  # a row for each term
-    rows = known.get(-1, 0)
-    idf = np.array([np.log((1 + rows) / (1 + known.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = Vectors(terms)
+                if len(seen.value):
+                    own = all_words(text)[0]
+                    at = np.minimum(np.searchsorted(seen.value, own), len(seen.value) - 1)
+                    df[len(terms) + at[seen.value[at] == own]] += 1
+        some = np.nonzero(df)[0]
+        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], n)})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [vectors.counts(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "at": [list(c) for c in own], "n": [list(c.values()) for c in own]})
-
-    held = examples.select("doc_id", "toxic", "text").mapInPandas(counts, "doc_id long, toxic int, at array<int>, n array<int>").collect()
-    model = Model(terms, idf, [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in sorted(held, key=lambda r: r["doc_id"])])
+            yield pd.DataFrame({"terms": [b["term"].to_numpy(np.int64).tobytes()], "ns": [b["n"].to_numpy(np.int64).tobytes()]})
+
+    counted = source.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows, df = 0, np.zeros(len(terms) + len(vocabulary), np.int64)
+    for r in counted.mapInPandas(packed, "terms binary, ns binary").collect():  # 16 bytes for each term
+        at, n = np.frombuffer(r["terms"], np.int64), np.frombuffer(r["ns"], np.int64)
+        df[at[at >= 0]] = n[at >= 0]
+        rows += int(n[at < 0].sum())
+    idf = np.log((1 + rows) / (1 + df)) + 1
+    model = Model(terms, idf[: len(terms)], [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in held])
+    whole = [(r["doc_id"], int(r["toxic"] > 0), np.searchsorted(vocabulary, np.frombuffer(r["words"], np.uint64)).astype(np.int32), np.frombuffer(r["times"], np.int32)) for r in held]
+    model.words = WordIndex(vocabulary, idf[len(terms):], whole)
+    model.words.unseen = float(np.log(1 + rows) + 1)
+    del held, whole
     shared = docs.sparkSession.sparkContext.broadcast(_state(model))
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,17 +377,25 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
             rows = []
             for i, y, t in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
                 at, w = own.vector(vectors.counts(t))
-                if len(at) and (found := own.neighbours(at, w, int(i))):
-                    rows.append((own.vote(found), float(y > 0)))
-            yield pd.DataFrame(rows, columns=["vote", "label"])
-
-    votes = examples.select("doc_id", "toxic", "text").mapInPandas(leave_one_out, "vote double, label double").toPandas()
-    model.calibrate(votes["vote"].to_numpy(float), votes["label"].to_numpy(float))
+                found = own.neighbours(at, w, int(i)) if len(at) else []
+                at, w, _ = own.words.query(*all_words(t)[:2])
+                near = own.words.neighbours(at, w, int(i)) if len(at) else []
+                rows.append((own.vote(found) if found else None, own.words.vote(near) if near else None, float(y > 0)))
+            yield pd.DataFrame(rows, columns=["vote", "by_words", "label"])
+
+    votes = examples.select("doc_id", "toxic", "text").mapInPandas(leave_one_out, "vote double, by_words double, label double").toPandas()
+    votes = votes.astype(float)
+    model.calibrate(*(votes.dropna(subset="vote")[c].to_numpy() for c in ("vote", "label")))
+    if len(votes):
+        lexicon = np.interp(votes["vote"].fillna(0.0), *model.curve)
+        missed = votes[np.where(votes["vote"].isna(), model.blank_rate, lexicon) < 0.5].dropna(subset="by_words")
+        model.words.curve = isotonic(missed["by_words"].to_numpy(), missed["label"].to_numpy(), LEAST_POOL)
+    model.shared = shared  # scoring needs no second copy on disk, only the curves
     return model
 
 
 def _state(model: Model) -> dict:
-    return {k: v for k, v in model.__dict__.items() if k != "_search"}
+    return {k: v for k, v in model.__dict__.items() if k not in ("_search", "shared")}
 
 
 def _restore(state: dict) -> Model:
@@ -270,16 +407,20 @@ def _restore(state: dict) -> Model:
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the struct column ``toxicity``: score, nearest examples, heaviest terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(_state(model))
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(_state(model))
+    curves = model.curve, model.words.curve if model.words else None
     kept: dict[int, tuple[Model, Vectors]] = {}
 
     @F.pandas_udf("score double, nearest array<struct<doc_id:bigint,cosine:double,label:int>>, terms array<string>")
     def toxicity(texts: pd.Series) -> pd.DataFrame:
         if not kept:
             own = _restore(shared.value)
+            own.curve = curves[0]
+            if own.words:
+                own.words.curve = curves[1]
             kept[0] = own, Vectors(own.terms)
         own, vectors = kept[0]
-        rows = [own.score(vectors.counts(t)) for t in texts]
+        rows = [own.score_text(t, vectors.counts(t)) for t in texts]
         return pd.DataFrame({
             "score": [r[0] for r in rows],
             "nearest": [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in r[1]] for r in rows],

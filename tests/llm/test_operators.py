@@ -289,6 +289,33 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.op9_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_of_ordinary_words(spark):
+    rng = random.Random(19)
+    rows = [(i, words(rng, 40)) for i in range(600)]
+    toxic = {i for i, _ in rows if i % 10 == 3}
+    known = [i for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 5]
+    rows += [(1000, rows[known[0]][1]), (1001, rows[known[1]][1] + " one more"), (1002, words(rng, 40)), (1003, rows[0][1])]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(600)], "doc_id long, toxic int")
+    got = by_id(toxicity.op9_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels))
+    assert [got[i].predicted for i in (1000, 1001, 1002, 1003)] == [1, 1, 0, 0]
+    assert got[1000].nearest[0].doc_id == known[0] and got[1000].nearest[0].cosine > 0.999 and got[1000].terms
+    assert "vermin" in toxicity.terms_of("x" * 50 + "vermin")
+
+
+def test_search_by_all_words_is_exact():
+    rng = random.Random(16)
+    rows = [(i, i % 2, np.array(sorted(rng.sample(range(40), rng.randint(0, 6))), np.int32)) for i in range(300)]
+    index = toxicity.WordIndex(np.arange(40, dtype=np.uint64), np.linspace(1, 3, 40), [(*r, np.full(len(r[2]), 2, np.int32)) for r in rows], k=7)
+    dense = np.zeros((300, 40))
+    for i, _, at in rows:
+        dense[i, at] = index.unit(at, np.full(len(at), 2))
+    for q in range(40):
+        at, w, _ = index.query(np.array(sorted(rng.sample(range(40), 4)), np.uint64), np.ones(4, np.int32))
+        cosines = dense[:, at] @ w
+        want = sorted((round(float(c), 6) for i, c in enumerate(cosines) if c > 0 and i != q), reverse=True)[:7]
+        assert [c for _, c in index.neighbours(at, w, q)] == pytest.approx(want, abs=1e-5)
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(6)
     terms = [f"t{i}" for i in range(40)]
