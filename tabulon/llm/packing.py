@@ -8,6 +8,7 @@ the same way on the rest, each as often as the rest allows, and slack is filled
 The plan (configurations and how often each is used) doesn't grow with the rows; pieces find their places by rank
 within their length.
 
+Ids are the tokenizer's own: the literal of a special token in a text is that token.
 Null and empty texts are one piece of length 1. Repeated rows are pieces of their own, kept apart by a row number where
 id and piece tie. Extra columns and rows without doc_id are ignored; an empty table gives an empty result.
 """
@@ -63,7 +64,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts with an added token's literal, in any case, aren't cut into words here; with none, nothing matches
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -77,7 +80,7 @@ class WordTokenizer:
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         for i, text in enumerate(texts):
-            if _simple_text().fullmatch(text):
+            if _simple_text().fullmatch(text) and not self.added.search(text):
                 if not text.isascii():
                     text = unicodedata.normalize("NFC", text)
                 words[i] = _word_patterns()["'" not in text].findall(text.lower())

@@ -206,6 +206,18 @@ def test_packing(docs, texts, empty):
     assert packing.op7_packing(empty).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b 'tis <|endoftext|>", "<|ENDOFTEXT|> and é <|endoftext|>", "漢<|endoftext|>", "endoftext < | > plain"]
+    got = by_id(packing.op7_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        ids = [*own.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+    assert own.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+
+
 def test_packing_plan_covers_exactly():
     rng = random.Random(4)
     for n in (1, 50, 3000):
