@@ -70,6 +70,20 @@ def candidate_pairs(df: DataFrame, key: str, blocks: Column, max_block: int | No
     return rows.join(other, "block").where("id < b").select(F.col("id").alias("a"), "b").distinct()
 
 
+def block_pairs(df: DataFrame, key: str, blocks: Column, cell_rows: int = 1000) -> DataFrame:
+    """All distinct pairs (a, b), a < b, of rows that share a block key.
+
+    Larger blocks are dealt into cells of about ``cell_rows`` rows, and each two cells meet on their own: a block isn't one task's work.
+    """
+    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(blocks)).alias("block")).where("block is not null")
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / cell_rows).alias("cells"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = rows.join(sizes, "block").withColumn("cell", F.expr("pmod(xxhash64(id), cells)"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    left = dealt.select("block", F.col("id").alias("a"), F.col("cell").alias("left_cell"), every.alias("right_cell"))
+    right = dealt.select("block", F.col("id").alias("b"), F.col("cell").alias("right_cell"), every.alias("left_cell"))
+    return left.join(right, ["block", "left_cell", "right_cell"]).where("a < b").select("a", "b").distinct()
+
+
 def backfill(fact: DataFrame, raw: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Missing values from rows of ``raw`` with the same keys, compared trimmed and upper-cased."""
     norm = [F.upper(F.trim(F.col(k).cast("string"))).alias(f"_k{i}") for i, k in enumerate(keys)]

@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import canonical_gtin, edit_ratio, jaccard, model_tokens, normalize_name, stable_uid, tokens
 from tabulon.operators.graph import connected_components
-from tabulon.operators.joins import candidate_pairs
+from tabulon.operators.joins import block_pairs
 from tabulon.session import cut
 
 WEIGHTS = {"name": 0.40, "edit": 0.20, "brand": 0.30, "model": 0.10}
-MAX_BLOCK = 1000
 
 
-def block_keys(name: str) -> Column:
-    """GTIN, brand with first token, brand with model token, whole name."""
+def block_keys(name: str, model: str | None = None) -> Column:
+    """GTIN, brand with model (if there is such a column), brand with first model token and with the first two in order, first three tokens, first five tokens in order."""
     words, brand = tokens(F.col(name)), normalize_name(F.col("brand"))
-    model = F.get(model_tokens(F.col(name)), F.lit(0))
-    keys = [F.concat(F.lit("g:"), canonical_gtin(F.col("gtin"))), F.concat(F.lit("b:"), brand, F.lit("|"), normalize_name(F.col(name))), F.concat(F.lit("m:"), brand, F.lit("|"), model), F.concat(F.lit("n:"), brand, F.lit("|"), F.array_join(F.array_sort(words), " "))]
+    brand = F.when(brand != "", brand)
+    models, ordered = model_tokens(F.col(name)), F.array_sort(F.array_distinct(words))
+    two = F.slice(F.array_sort(F.array_distinct(models)), 1, 2)
+    keys = [F.concat(F.lit("g:"), canonical_gtin(F.col("gtin"))), F.concat(F.lit("m:"), brand, F.lit("|"), F.get(models, F.lit(0)))]
+    keys += [
+        F.when(F.size(two) > 0, F.concat(F.lit("t:"), brand, F.lit("|"), F.array_join(two, " "))),
+        F.when(F.size(words) >= 3, F.concat(F.lit("3:"), F.array_join(F.slice(words, 1, 3), " "))),
+        F.when(F.size(words) > 0, F.concat(F.lit("5:"), F.array_join(F.slice(ordered, 1, 5), " "))),
+    ]
+    if model is not None:
+        own = normalize_name(F.col(model))
+        keys.append(F.concat(F.lit("b:"), brand, F.lit("|"), F.when(own != "", own)))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
@@ -36,10 +45,17 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, key: str, name: str, threshold: float = 0.8) -> DataFrame:
-    """(id, component): rows whose chained scores reach ``threshold`` share a component, others have their own."""
+    """(id, component): rows whose chained scores reach ``threshold`` share a component, others have their own.
+
+    Rows that are equal in all that is scored meet through the smallest id of them; all other pairs of a block are scored.
+    """
     rows = df.withColumn("id", F.col(key))
-    pairs = candidate_pairs(rows, "id", block_keys(name), MAX_BLOCK)
-    links = cut(score_pairs(pairs, rows, name).where(F.col("score") >= threshold).select("a", "b"))
+    model = "model" if "model" in df.columns else None
+    scored = [c for c in (name, "brand", "gtin", model) if c]
+    first = cut(rows.groupBy(*scored).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    equal = rows.select("id", *scored).alias("r").join(first.where("n > 1").alias("f"), [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scored]).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = block_pairs(first.where("brand is not null or gtin is not null"), "id", block_keys(name, model))  # others score 0 with any row
+    links = cut(score_pairs(equal.unionByName(pairs), rows, name).where(F.col("score") >= threshold).select("a", "b"))
     components = connected_components(links, "a", "b")
     return rows.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 

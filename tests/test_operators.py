@@ -93,6 +93,19 @@ def test_candidate_pairs_of_a_large_block_stay_linear(spark):
     assert J.candidate_pairs(df, "id", F.array("k")).count() == 199 * 100
 
 
+def test_deduplicate_meets_by_first_tokens_and_in_large_blocks(spark):
+    rows = [(1, "acme garden hose reel large", "acme", None), (2, "acme garden hose reel", "acme", None), (3, "other thing here", "acme", None)]
+    rows += [(10 + i, f"bolt set steel v{i % 3}x", "zed", None) for i in range(3000)]
+    names = [f"lamp desk oak {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows += [(5000 + i, n, "lux", None) for i, n in enumerate(names)] + [(6000, names[0] + " " + names[0], "lux", None), (7000, "nobrand item", None, None), (7001, "nobrand item", None, None)]
+    df = spark.createDataFrame(rows, "id long, product_name string, brand string, gtin string")
+    got = {r["id"]: r["component"] for r in matching.deduplicate(df, "id", "product_name").collect()}
+    assert len(got) == len(rows) and got[1] == got[2] != got[3] and got[7000] != got[7001]
+    assert len({got[10 + i] for i in range(0, 3000, 3)}) == 1
+    pairs = J.block_pairs(df.where("id between 10 and 109"), "id", F.array("brand"), 7)
+    assert pairs.count() == 100 * 99 // 2
+
+
 def test_deduplicate_toy_catalogue(spark):
     rows = [(1, "Phone X100 black", "Acme", None, 1.0), (2, "phone x100  BLACK", "ACME", None, 2.0), (3, "Tablet T9", "Acme", None, 3.0), (4, "Other", "Zed", "12345678", 1.0), (5, "Different name", "Zed", "1234-5678", 1.0)]
     out = matching.deduplicate(spark.createDataFrame(rows, "id long, product_name string, brand string, gtin string, price double"), "id", "product_name")
