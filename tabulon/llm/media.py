@@ -3,7 +3,8 @@
 ``store_audio`` writes a payload as a standard stream: an ID3v2.4 tag, a ``Xing`` frame with the table of the variable
 bit rate, silent MPEG-1 Layer III frames with CRC protection that carry the payload as ancillary data, an ID3v1 tag.
 ``read_audio`` takes any MPEG audio: it skips or parses tags, resynchronises on frame headers, reads the table of the
-variable bit rate, verifies the frames' checksums and the table's own two, and gives exact durations and seek offsets.
+variable bit rate, verifies the frames' checksums and the table's own two, and gives exact durations, every frame's offset
+and a short table of ``SEEK_POINTS`` of them.
 
 Null or empty input: a null or empty payload is stored as 64 zero bytes; null or empty audio parses to a result with no
 frames. Bytes between frames are skipped and counted in ``skipped_bytes``; a cut last frame counts as skipped too.
@@ -294,7 +295,7 @@ def parse(data: bytes | None, payload: bool = False) -> Parsed:
 
 AUDIO = (
     "frames long, samples long, sample_rate int, duration_s double, mean_kbps double, crc_checked long, crc_bad long, skipped_bytes long, "
-    "vbr_table string, vbr_frames long, table_crc_ok boolean, music_crc_ok boolean, tags map<string,string>, seek_offsets array<long>, payload binary"
+    "vbr_table string, vbr_frames long, table_crc_ok boolean, music_crc_ok boolean, tags map<string,string>, seek_offsets array<long>, frame_offsets array<long>, payload binary"
 )
 
 
@@ -305,7 +306,7 @@ def _row(data: bytes | None, payload: bool) -> tuple:
     held = b"".join(p.parts)[: p.payload_len if p.payload_len >= 0 else None] if payload else None
     return (
         p.frames, p.samples, p.rate, seconds, p.kbit / seconds if seconds else 0.0, p.crc_checked, p.crc_bad, p.skipped,
-        p.vbr, p.vbr_frames, p.table_crc_ok, p.music_crc_ok, p.tags, points, held,
+        p.vbr, p.vbr_frames, p.table_crc_ok, p.music_crc_ok, p.tags, points, p.offsets, held,
     )
 
 
@@ -354,9 +355,9 @@ def op1_media(docs: DataFrame) -> DataFrame:
                 ok = p.crc_bad == 0 and p.skipped == 0 and bool(p.table_crc_ok) and bool(p.music_crc_ok) and p.vbr_frames == p.frames
                 seek = crc32(np.asarray(p.offsets, "<u8").tobytes())
                 feature = f"frames={p.frames};samples={p.samples};rate={p.rate};kbit={p.kbit:.3f};ok={int(ok)};seek={seek:08x}"
-                rows.append((len(data), sha, crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, p.frames, p.samples / p.rate))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_s"]
+                rows.append((len(data), sha, crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, p.frames, p.samples / p.rate, p.offsets))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_s", "frame_offsets"]
             yield pd.concat([b[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, duration_s double"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, duration_s double, frame_offsets array<long>"
     return store_audio(documents_of(docs)).mapInPandas(digest, schema)

@@ -70,6 +70,18 @@ def test_media_round_trip(docs, texts, empty):
     assert media.op1_media(empty).count() == 0
 
 
+def test_media_offset_of_every_frame(spark):
+    rows = [(1, "x" * 40_000), (2, None)]
+    got = by_id(media.op1_media(spark.createDataFrame(rows, "doc_id long, text string")))
+    stored = media.store_audio(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    read = by_id(media.read_audio(stored))
+    for i, r in by_id(stored).items():
+        want = media.parse(r.media).offsets
+        assert got[i].frame_offsets == read[i].audio.frame_offsets == want and len(want) == got[i].frames
+        assert all(r.media[at] == 0xFF and r.media[at + 1] >= 0xE0 for at in want)
+    assert len(got[1].frame_offsets) > media.SEEK_POINTS
+
+
 def test_media_resync_and_damage():
     stream = media.mux(bytes(range(256)) * 16)
     clean = media.parse(stream)
