@@ -40,9 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8 or more) the document with the smallest id stays, and one row of each id.
+
+    Of an id's rows the one with the least text in Spark's order stays; rows without an id all stay.
+    """
     dropped = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    rows = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("doc"))
+    ones = rows.groupBy("doc_id").agg(F.min_by("doc", F.struct("doc.text")).alias("doc")).select("doc.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(ones)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

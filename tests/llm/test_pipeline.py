@@ -59,6 +59,14 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, folder):
     assert {r.doc_id for r in docs.select("doc_id").exceptAll(out.select("doc_id")).collect()} == {300, 301}
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_id(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.near_dedup(spark, docs.unionByName(docs.where("doc_id is null or doc_id in (5, 300, 302, 303)")), folder)
+    n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert out.columns == docs.columns and n.pop(None) == 2 and set(n.values()) == {1}
+    assert set(n) == {*range(304)} - {300, 301}
+
+
 def test_run_packs_what_is_left(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.agg(F.count_distinct("doc_id")).first()[0] == 304 - 30 - 2 - 1
