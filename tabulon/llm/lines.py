@@ -1,11 +1,10 @@
 """Removal of repeated and nearly repeated lines, by DataFrame functions only.
 
 Lines are what ``\\n`` separates; blank ones (white space only) stay and link with nothing. Equal lines are one class.
-A class's signature has bands of neighbours in the MinHash order of its character shingles. Lines of up to
-100 characters take all their shingles of five characters, in 24 bands of 4 (a pair of similarity 0.8 is missed with
-probability 4e-3, one of 0.9 with 1e-9). Lines of 64 characters and more take the shingles that begin at words and end two characters into the next
-one, a sixth of all, in 16 bands of 3 (2e-3 and 1e-8); where words are very long they take all shingles of eight characters instead. So two lines of
-similarity 0.8 share at least one of the two kinds. Pairs that meet in a band are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
+A class's signature is made of all its distinct character shingles of five characters. Up to ``FEW`` of them, its keys are the
+set, the set less any one and, from 10 shingles on, less any two: a pair of similarity 0.8 whose smaller set has at most 9 always
+shares one. From 10 shingles on they are bands of 4 neighbours in MinHash orders, the first 24 of each order: four orders up to ``MIDDLE``
+shingles, two beyond (a pair of similarity 0.8 is missed with probability of about 2e-5). Pairs that meet in a band are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
 shingles, a line shorter than that being one shingle. Of each component of links, the line that comes first (smallest
 doc_id, then position) stays; all other occurrences of its lines go.
 
@@ -24,9 +23,9 @@ from tabulon.llm.linking import Verify, linked_components
 from tabulon.session import cut
 
 SHINGLE = 5
-LONGER = 8
-
-SHORT, LONG = 100, 64
+FEW = 11
+MIDDLE = 40
+ORDERS = 4
 PERCENT = 80
 
 
@@ -40,34 +39,49 @@ def _all_shingles(line: Column, size: int) -> Column:
     return let(F.encode(line, "UTF-32"), shingles)
 
 
-def _anchored(line: Column) -> Column:
-    """Hashes of the character shingles that run from each word's beginning to two characters into the next word."""
-    return let(F.split(line, " "), lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.substring(F.get(words, i + 1), 1, 2))))
+def _less_some(hashes: Column) -> Column:
+    """Keys of a small set, of it less each one of its members and less each two; its part is at least four fifths of it."""
+    n = F.size(hashes)
+
+    def key(members: Column) -> Column:
+        return F.xxhash64(F.lit(-1), members)
+
+    def less_one(i: Column) -> Column:
+        return F.array_remove(hashes, F.get(hashes, i))
+
+    def less_two(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), i - 1), lambda j: key(F.array_remove(less_one(i), F.get(hashes, j))))
 
+    none = F.array().cast("array<bigint>")
+    ones = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(less_one(i)))).otherwise(none)
+    twos = F.when(n >= 10, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), less_two))).otherwise(none)
+    return F.concat(F.array(key(hashes)), ones, twos)
 
-def _bands(hashes: Column, kind: int, rows: int, bands: int) -> Column:
-    """Keys of the first ``bands`` runs of ``rows`` neighbours in the order of a line's distinct hashes; one key if there are fewer.
 
-    The hashes are the order of one random permutation. In the joint order of two sets of similarity j each place is common
+def _bands(hashes: Column, kind: int, rows: int = 4, bands: int = 24) -> Column:
+    """Keys of the first ``bands`` runs of ``rows`` neighbours in one order of a line's distinct hashes.
+
+    The hashes, mixed with ``kind``, are a random order. In the joint order of two sets of similarity j each place is common
     with probability j, so a run of ``rows`` common ones among the first bands + rows - 1 makes both have its key.
     """
 
     def keys(order: Column) -> Column:
         last = F.least(F.size(order) - rows, F.lit(bands - 1))
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(kind), *[F.get(order, i + k) for k in range(rows)]))
-        return F.when(F.size(order) > 0, runs).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(kind), *[F.get(order, i + k) for k in range(rows)]))
 
-    return let(F.sort_array(F.array_distinct(hashes)), keys)
+    return let(F.sort_array(F.transform(hashes, lambda x: F.xxhash64(F.lit(kind), x))), keys)
 
 
 def signatures(classes: DataFrame) -> DataFrame:
-    """(cid, keys): the bands of each class (cid, line)."""
-    line, size, none = F.col("line"), F.length("line"), F.array().cast("array<bigint>")
-    few_words = F.size(F.split("line", " ")) * 16 < size
-    all_of = F.when(size <= SHORT, _bands(_all_shingles(line, SHINGLE), 0, 4, 24)).otherwise(none)
-    chosen = F.when(few_words, _all_shingles(line, LONGER)).otherwise(_anchored(line))
-    at_words = F.when(size < LONG, none).otherwise(_bands(chosen, 1, 3, 16))
-    return classes.select("cid", F.concat(all_of, at_words).alias("keys"))
+    """(cid, keys): the keys of each class (cid, line)."""
+    none = F.array().cast("array<bigint>")
+
+    def keys(hashes: Column) -> Column:
+        n = F.size(hashes)
+        orders = [F.when((n >= 10) & (F.lit(k < 2) | (n <= MIDDLE)), _bands(hashes, k)).otherwise(none) for k in range(ORDERS)]
+        return F.concat(F.when(n <= FEW, _less_some(hashes)).otherwise(none), *orders)
+
+    return classes.select("cid", let(F.sort_array(F.array_distinct(_all_shingles(F.col("line"), SHINGLE))), keys).alias("keys"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:

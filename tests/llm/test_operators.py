@@ -389,3 +389,31 @@ def test_lines(spark, texts):
         kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
         assert got[i].kept_sha256 == (None if kept is None else hashlib.sha256(kept.encode()).hexdigest())
     assert lines.op10_lines(docs.where("false")).count() == 0
+
+
+def test_line_keys_miss_hardly_any_pair(spark):
+    rng = random.Random(18)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def shingles_of(x):
+        return {x[k:k + 5] for k in range(max(1, len(x) - 4))}
+
+    pairs = [(x, x + letters(1)) for x in (letters(8) for _ in range(300))] + [("aaaaaaa", "aaaaaaaaa")]
+    for _ in range(1500):
+        x = letters(rng.randint(5, 45))
+        more = rng.randint(1, max(1, len(x) // 5))
+        pairs.append((x, x + letters(more) if rng.random() < 0.7 else letters(1) + x + letters(1)))
+    for _ in range(2000):  # long words
+        x = list(" ".join(letters(rng.randint(9, 14)) for _ in range(10))[: rng.randint(102, 130)])
+        y = list(x)
+        for _ in range(rng.randint(1, 2)):
+            y[rng.randrange(len(y))] = rng.choice("qxz")
+        pairs.append(("".join(x), "".join(y)))
+    pairs = [(x, y) for x, y in pairs if x != y and 100 * len(shingles_of(x) & shingles_of(y)) >= 80 * len(shingles_of(x) | shingles_of(y))]
+    texts = [t for pair in pairs for t in pair]
+    keys = {r.cid: set(r["keys"]) for r in lines.signatures(spark.createDataFrame(list(enumerate(texts)), "cid long, line string")).collect()}
+    missed = [p for k, p in enumerate(pairs) if not keys[2 * k] & keys[2 * k + 1]]
+    assert len(pairs) > 2500 and len(missed) <= 2
+    assert not [x for x, _ in missed if len(shingles_of(x)) <= 9]
