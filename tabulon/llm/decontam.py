@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows, by DataFrame functions only.
 
-A text becomes its words and numbers in lower case. Numbers (digits or number words), units that follow a number and
-names (capitalised words that follow a lower-case word) become the typed placeholders ``<num>``, ``<unit>`` and
-``<name>``. Windows of six canonical tokens (all of them for an item with fewer) are hash-joined between documents and
+A text becomes its words and numbers in lower case. Numbers (digits or number words, compound ones as one), units that follow
+a number, currency signs before one and names become the typed placeholders ``<num>``, ``<unit>`` and ``<name>``. Names are
+capitalised words that follow a lower-case word, and in a second form also other capitalised words that are such names elsewhere in
+the text; in a third form names stay words, so that copies in other case match. A window matches in any form. Windows of six canonical tokens (all of them for an item with fewer) are hash-joined between documents and
 benchmark items. Matches of one alignment (document position less item position) are checked for slot consistency: each
 value of a slot in the item must stand for one value in the document, as in a question asked again with other
 numbers; alignments that fail are dropped. A document is contaminated by an item if what is left covers at least half
@@ -39,33 +40,66 @@ NUMBER_WORDS = (
 )
 NAME = "\x01"
 NAME_START = r"(?<=[\p{Ll}\p{N},;][ \t])(?=\p{Lu}\p{Ll})"
-TOKEN = r"\x01?[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:/]\p{N}+)*|[%$€£¥°]"
+CAPITAL = "\x02"
+CAPITAL_START = r"(?<![\p{L}\p{M}\x01'’-])(?=\p{Lu}\p{Ll})"
+SIGNS = ("$", "€", "£", "¥")
+_NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
+COMPOUND = rf"(?<=\b{_NUMBER})[ \t-](?={_NUMBER}\b)|(?<=\b(?:hundred|thousand|million))[ \t]and[ \t](?={_NUMBER}\b)"
+TOKEN = r"[\x01\x02]?[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:/]\p{N}+)*|[%$€£¥°]"
 
 
 def tokens(text: Column) -> Column:
-    """Words, numbers and unit signs in lower case; names carry a mark."""
-    clean = F.translate(text.cast("string"), NAME, " ")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(clean, NAME_START, NAME)), F.lit(TOKEN), F.lit(0))
+    """Words, numbers and unit signs in lower case; names carry a mark, other capitalised words another one."""
+    clean = F.translate(text.cast("string"), NAME + CAPITAL, "  ")
+    marked = F.lower(F.regexp_replace(F.regexp_replace(clean, NAME_START, NAME), CAPITAL_START, CAPITAL))
+    return F.regexp_extract_all(F.regexp_replace(marked, COMPOUND, "-"), F.lit(TOKEN), F.lit(0))
+
+
+def plain(token: Column) -> Column:
+    return F.translate(token, NAME + CAPITAL, "")
 
 
 def _is_number(token: Column) -> Column:
-    return ((token >= "0") & (token < ":")) | token.isin(*NUMBER_WORDS)
+    """Of a token without marks; compound number words start with one and a hyphen."""
+    return ((token >= "0") & (token < ":")) | F.substring_index(token, "-", 1).isin(*NUMBER_WORDS) & token.rlike(rf"^{_NUMBER}(?:-{_NUMBER})*$")
 
 
 def canonical(words: Column) -> Column:
-    """Tokens with typed placeholders for names, numbers and units."""
+    """Unmarked tokens with typed placeholders for numbers and units."""
 
     def one(t: Column, i: Column) -> Column:
-        unit = t.isin(*UNITS) & (i > 0) & _is_number(F.get(words, i - 1))
-        return F.when(t.startswith(NAME), "<name>").when(_is_number(t), "<num>").when(unit, "<unit>").otherwise(t)
+        unit = t.isin(*UNITS) & (i > 0) & _is_number(F.get(words, i - 1)) | t.isin(*SIGNS) & F.coalesce(_is_number(F.get(words, i + 1)), F.lit(False))
+        return F.when(_is_number(t), "<num>").when(unit, "<unit>").otherwise(t)
 
     return F.transform(words, one)
 
 
-def _windows(hashes: Column, size: int) -> Column:
-    n = F.size(hashes) - size
+def _with_forms(rows: DataFrame, *keep: str) -> DataFrame:
+    """``rows`` (keep, marked) with words, form (all that may be a name is one), strict (only sure names are) and literal (none is)."""
+    words = F.transform("marked", plain)
+    sure = F.transform(F.filter("marked", lambda t: t.startswith(NAME)), plain)
+    maybe = F.transform(F.filter("marked", lambda t: t.startswith(CAPITAL)), plain)
+    rows = rows.select(*keep, "marked", words.alias("words"), F.array_intersect(sure, maybe).alias("also"))
+    rows = rows.select(*keep, "marked", "words", "also", canonical(F.col("words")).alias("literal"))
+    strict = F.transform("literal", lambda t, i: F.when(F.get("marked", i).startswith(NAME), "<name>").otherwise(t))
+    rows = rows.select(*keep, "marked", "words", "also", "literal", strict.alias("strict"))
+    form = F.transform("strict", lambda t, i: F.when(F.get("marked", i).startswith(CAPITAL) & F.array_contains("also", F.get("words", i)), "<name>").otherwise(t))
+    return rows.select(*keep, "words", "literal", "strict", F.when(F.size("also") > 0, form).otherwise(F.col("strict")).alias("form"))
+
+
+def _hashed(forms: DataFrame, *keep: str) -> DataFrame:
+    return forms.select(*keep, *[F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in ("form", "strict", "literal")])
+
+
+def _windows(size: int) -> Column:
+    """(pos, hs) of the windows of the hashed forms; hs has each form's hash once."""
+    n = F.size("form") - size
     places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("h")))
+
+    def window(i: Column) -> Column:
+        return F.struct(i.alias("pos"), F.array_distinct(F.array(*[F.xxhash64(F.slice(c, i + 1, size)) for c in ("form", "strict", "literal")])).alias("hs"))
+
+    return F.transform(places, window)
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -74,26 +108,23 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     ``n_changed`` counts slot values that differ from the item's: 0 for a literal copy.
     """
     texts = documents_of(docs).where("text is not null")
-    words = F.col("words")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).where(F.size(words) > 0)
-    items = cut(items.select("item_id", "words", canonical(words).alias("form")).dropDuplicates(["item_id", "words"]))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("marked")).where(F.size("marked") > 0)
+    items = cut(_with_forms(items.dropDuplicates(["item_id", "marked"]), "item_id"))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # WINDOW values at most
-    hashed = F.transform("form", lambda t: F.xxhash64(t))
-    size_of = F.least(F.size("words"), F.lit(WINDOW))
-    asked = items.select("item_id", size_of.alias("size"), hashed.alias("th"))
-    none = F.array().cast("array<struct<pos:int,h:bigint>>")
-    whole = F.concat(none, *[F.when(F.col("size") == k, _windows(F.col("th"), k)).otherwise(none) for k in sizes])
-    asked = cut(asked.select("item_id", "size", F.explode(whole).alias("w")).select("item_id", "size", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h")))
+    asked = _hashed(items, "item_id").withColumn("size", F.least(F.size("form"), F.lit(WINDOW)))
+    none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
+    whole = F.concat(none, *[F.when(F.col("size") == k, _windows(k)).otherwise(none) for k in sizes])
+    asked = cut(asked.select("item_id", "size", F.explode(whole).alias("w")).select("item_id", "size", F.col("w.pos").alias("ipos"), F.explode("w.hs").alias("h")))
     n_windows = asked.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
 
-    found = texts.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.transform(canonical(words), lambda t: F.xxhash64(t)).alias("th"))
-    parts = [found.select("doc_id", F.lit(k).alias("size"), F.explode(_windows(F.col("th"), k)).alias("w")) for k in sizes]
+    found = _hashed(_with_forms(texts.select("doc_id", tokens(F.col("text")).alias("marked")), "doc_id"), "doc_id")
+    parts = [found.select("doc_id", F.lit(k).alias("size"), F.explode(_windows(k)).alias("w")) for k in sizes]
     if not parts:
-        parts = [found.select("doc_id", F.lit(0).alias("size"), F.explode(_windows(F.col("th"), WINDOW)).alias("w")).where("false")]
+        parts = [found.select("doc_id", F.lit(0).alias("size"), F.explode(_windows(WINDOW)).alias("w")).where("false")]
     windows = parts[0]
     for part in parts[1:]:
         windows = windows.unionByName(part)
-    windows = windows.select("doc_id", "size", F.col("w.pos").alias("wpos"), F.col("w.h").alias("h"))
+    windows = windows.select("doc_id", "size", F.col("w.pos").alias("wpos"), F.explode("w.hs").alias("h"))
     small = asked.count() <= BROADCAST_ROWS
     matches = windows.join(F.broadcast(asked) if small else asked, ["size", "h"])
     aligned = matches.groupBy("doc_id", "item_id", "size", (F.col("wpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("iposes"))
@@ -102,7 +133,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
     # slot values of both sides, for what is left
     wanted = aligned.select("doc_id").distinct()
-    theirs = texts.join(wanted, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc_words")).dropDuplicates(["doc_id", "doc_words"])
+    theirs = texts.join(wanted, "doc_id", "left_semi").select("doc_id", F.transform(tokens(F.col("text")), plain).alias("doc_words")).dropDuplicates(["doc_id", "doc_words"])
     both = aligned.join(items.select("item_id", "words", "form"), "item_id").join(theirs, "doc_id")
     place = F.array_distinct(F.flatten(F.transform("iposes", lambda i: F.sequence(i, i + F.col("size") - 1))))
     slots = F.filter(place, lambda p: F.get("form", p).isin("<num>", "<unit>", "<name>"))

@@ -161,6 +161,25 @@ def test_decontamination(spark, docs):
     assert decontam.op4_decontam(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_by_case_names_and_numbers(spark):
+    items = [
+        (1, "Tom has 5 apples. Ann has 3 pears. Tom gives Ann 2 apples. How many apples does Tom have left?"),
+        (2, "Yesterday Anna met Bert and Carl in Rome before Oslo and Kiel were shown to Anna by Bert with Carl and others from Oslo"),
+        (3, "The baker sold twenty-five loaves at $3 each and then bought two hundred and five eggs for the next day at $4"),
+    ]
+    texts = [
+        (1, "Max has 7 apples. Eva has 4 pears. Max gives Eva 3 apples. How many apples does Max have left?", {1}),
+        (2, items[0][1].lower(), {1}),
+        (3, items[1][1].upper(), {2}),
+        (4, "The baker sold 31 loaves at £6 each and then bought 150 eggs for the next day at £7", {3}),
+        (5, "Max has 7 apples. Eva has 4 pears. Ida gives Eva 3 apples. How many plums does Uwe want?", set()),
+        (6, "The baker sold bread at the market and then went home for the next day", set()),
+    ]
+    found = decontam.op4_decontam(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, _, hits in texts for k in hits}
+    assert {r.doc_id: r.n_changed for r in found}[2] == {r.doc_id: r.n_changed for r in found}[3] == 0
+
+
 def test_substrings(docs, texts, empty):
     got, seen = by_id(substrings.op5_substrings(docs)), set()
     for i, t in sorted(texts.items()):
