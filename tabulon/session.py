@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,21 +39,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, or a temporary one where it is unset (tests, one machine)."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``; where it is unset, a temporary one, on one machine only."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as ``__``) for the jobs run within; the caller's own come back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: neither retries nor later jobs recompute it.
 
-    The table outlives lost executors. It stays until the shared folder is cleaned, as other DataFrames may read it.
+    The table outlives lost executors. It stays until ``free`` deletes it or the shared folder is cleaned.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what a written table was shuffled through can go
     path = f"{shared_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):  # what a written table was shuffled through can go
+        df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again; anything else is left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
