@@ -1,10 +1,11 @@
 """Removal of repeated and nearly repeated lines, by DataFrame functions only.
 
 Lines are what ``\\n`` separates; blank ones (white space only) stay and link with nothing. Equal lines are one class.
-A class's signature is made of all its distinct character shingles of five characters. Up to ``FEW`` of them, its keys are the
-set, the set less any one and, from 10 shingles on, less any two: a pair of similarity 0.8 whose smaller set has at most 9 always
-shares one. From 10 shingles on they are bands of 4 neighbours in MinHash orders, the first 24 of each order: four orders up to ``MIDDLE``
-shingles, two beyond (a pair of similarity 0.8 is missed with probability of about 2e-5). Pairs that meet in a band are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
+A class's signature is the bottom of a MinHash order of its character shingles: the least hashes, under a bound that leaves about
+``KEYS`` of them. Two lines whose signatures share a value are candidates: of two lines of similarity 0.8 at least 0.64 of the shingles
+are common, so they miss each other with a probability of about e^-9. Signatures of short lines are of shorter shingles (see ``CLASSES``; lines at
+a border have both kinds), and lines of one repeated pattern of up to three characters have one for the pattern.
+Candidates pass a test on bitmaps of their sets and are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
 shingles, a line shorter than that being one shingle. Of each component of links, the line that comes first (smallest
 doc_id, then position) stays; all other occurrences of its lines go.
 
@@ -14,113 +15,124 @@ each treated as first occurrences of the same place and both keep the line. Othe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
 from tabulon.llm.bytesops import documents_of
-from tabulon.llm.linking import Verify, linked_components
-from tabulon.session import cut
+from tabulon.llm.linking import linked_components
+from tabulon.session import cut, free
 
 SHINGLE = 5
-FEW = 11
-MIDDLE = 40
-ORDERS = 4
 PERCENT = 80
+KEYS = 14
+#: (shingle size, characters of a line from, to). Similar lines differ in length by a fifth at most, so each pair has a class in common.
+CLASSES = ((5, 0, 10), (8, 8, 64), (16, 48, None))
+BITS = 256
+SPACE = " \t\x0b\f\r"
 
 
-def _all_shingles(line: Column, size: int) -> Column:
-    """64-bit hashes of all character shingles; a character is four bytes here, so each is found at once."""
-
-    def shingles(wide: Column) -> Column:
-        last = F.greatest(F.octet_length(wide) / 4 - size, F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size))))
-
-    return let(F.encode(line, "UTF-32"), shingles)
-
-
-def _less_some(hashes: Column) -> Column:
-    """Keys of a small set, of it less each one of its members and less each two; its part is at least four fifths of it."""
-    n = F.size(hashes)
-
-    def key(members: Column) -> Column:
-        return F.xxhash64(F.lit(-1), members)
-
-    def less_one(i: Column) -> Column:
-        return F.array_remove(hashes, F.get(hashes, i))
+def _shingled(lines: DataFrame, size: int) -> DataFrame:
+    """(cid, n, h): a row for each place where a shingle of a line (cid, line) begins; n is how many the line has, at least one."""
+    # four bytes a character, so each shingle is found at once
+    wide = lines.select("cid", F.encode("line", "UTF-32").alias("wide"), F.greatest(F.length("line") - size + 1, F.lit(1)).alias("n"))
+    places = wide.select("cid", "n", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return places.select("cid", "n", F.xxhash64(F.lit(size), F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * size))).alias("h"))
 
-    def less_two(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), i - 1), lambda j: key(F.array_remove(less_one(i), F.get(hashes, j))))
 
-    none = F.array().cast("array<bigint>")
-    ones = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(less_one(i)))).otherwise(none)
-    twos = F.when(n >= 10, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), less_two))).otherwise(none)
-    return F.concat(F.array(key(hashes)), ones, twos)
+def signatures(classes: DataFrame) -> DataFrame:
+    """(id, bucket): the values of each class (cid, line)'s signature; a value may repeat, as a shingle may."""
+    parts = []
+    for size, low, high in CLASSES:
+        here = (F.length("line") >= low) if high is None else F.length("line").between(low, high)
+        bound = F.lit(2.0**64 * KEYS) / F.col("n") - F.lit(2.0**63)  # signed hashes
+        least = _shingled(classes.where(here), size).where(F.col("h").cast("double") < bound)
+        parts.append(least.select(F.col("cid").alias("id"), F.col("h").alias("bucket")))
+    same = [F.substr(F.col("line"), F.lit(p + 1)) == F.substr(F.col("line"), F.lit(1), F.length("line") - p) for p in (1, 2, 3)]
+    turns = [F.when(F.length("line") >= p + SHINGLE - 1, F.xxhash64(F.lit(-1), F.substring("line", p, SHINGLE))) for p in (1, 2, 3)]
+    pattern = classes.where(F.length("line") >= SHINGLE).where(reduce(Column.__or__, same)).select(F.col("cid").alias("id"), F.least(*turns).alias("bucket"))
+    return reduce(DataFrame.unionByName, [*parts, pattern])
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """(id, sketch) of lines (cid, line): the number of shingle places and a bitmap of the shingles.
+
+    The shingles of long lines are sampled by their hashes, each level half of the one before.
+    """
+    rows = _shingled(lines, SHINGLE)
+    rows = rows.withColumn("level", F.floor(F.log2(F.greatest(F.col("n") * 2 / BITS, F.lit(1.0)))).cast("int"))
+    rows = rows.where(F.col("h").bitwiseAND(F.expr("shiftleft(1L, level) - 1")) == 0)
+    rows = rows.withColumn("word", F.shiftrightunsigned("h", 62)).withColumn("bit", F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 56) & 63 as int))"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(BITS // 64)]
+    found = rows.groupBy("cid").agg(F.max("n").alias("n"), F.max("level").alias("level"), *words)
+    return found.select(F.col("cid").alias("id"), F.struct("n", "level", *[f"w{k}" for k in range(BITS // 64)]).alias("sketch"))
 
 
-def _bands(hashes: Column, kind: int, rows: int = 4, bands: int = 24) -> Column:
-    """Keys of the first ``bands`` runs of ``rows`` neighbours in one order of a line's distinct hashes.
+def likely(a: str, b: str) -> Column:
+    """Whether two sketches allow a link.
 
-    The hashes, mixed with ``kind``, are a random order. In the joint order of two sets of similarity j each place is common
-    with probability j, so a run of ``rows`` common ones among the first bands + rows - 1 makes both have its key.
+    Sets of similarity 0.8 differ in at most a ninth of the sum of their sizes, and each bit that differs needs a shingle
+    that does: without sampling no link is lost, with sampling the bound is five standard deviations higher.
     """
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(BITS // 64)])
+    level = F.col(f"{a}.level")
+    most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit((100 - PERCENT) / (100 + PERCENT)) / F.pow(F.lit(2.0), level)
+    return (level != F.col(f"{b}.level")) | (apart <= most + F.when(level > 0, 5 * F.sqrt(most)).otherwise(0.0))
 
-    def keys(order: Column) -> Column:
-        last = F.least(F.size(order) - rows, F.lit(bands - 1))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(kind), *[F.get(order, i + k) for k in range(rows)]))
 
-    return let(F.sort_array(F.transform(hashes, lambda x: F.xxhash64(F.lit(kind), x))), keys)
+def _set(line: Column) -> Column:
+    """The distinct shingles' hashes."""
 
+    def shingles(wide: Column) -> Column:
+        last = F.greatest(F.octet_length(wide) / 4 - SHINGLE, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))))
 
-def signatures(classes: DataFrame) -> DataFrame:
-    """(cid, keys): the keys of each class (cid, line)."""
-    none = F.array().cast("array<bigint>")
-
-    def keys(hashes: Column) -> Column:
-        n = F.size(hashes)
-        orders = [F.when((n >= 10) & (F.lit(k < 2) | (n <= MIDDLE)), _bands(hashes, k)).otherwise(none) for k in range(ORDERS)]
-        return F.concat(F.when(n <= FEW, _less_some(hashes)).otherwise(none), *orders)
-
-    return classes.select("cid", let(F.sort_array(F.array_distinct(_all_shingles(F.col("line"), SHINGLE))), keys).alias("keys"))
+    return F.array_distinct(let(F.encode(line, "UTF-32"), shingles))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, k1, k2) of every line that isn't blank; the two hashes stand for the line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    return lines.where(F.btrim("line", F.lit(SPACE)) != "").select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
-    """(k1, k2, grp): the component of every line that has an equal or a similar one."""
+    """(k1, k2, grp): the component of every line that has an equal or a similar one; a written table."""
     classes = split_lines(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "line"))
-    signed = cut(signatures(classes.select("cid", "line")))
-    buckets = signed.select(F.col("cid").alias("id"), F.explode("keys").alias("bucket"))
-
-    def prepare(ids: DataFrame) -> Verify:
-        texts = cut(classes.select(F.col("cid").alias("id"), "line").join(ids, "id", "left_semi"))
+    buckets = cut(signatures(classes.select("cid", "line")))
+    texts = []
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            # lines travel as text, an eighth of their sets
-            both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-            sets = F.struct(*[F.array_distinct(_all_shingles(F.col(c), SHINGLE)).alias(c) for c in ("la", "lb")])
+    def own(ids: DataFrame) -> DataFrame:
+        texts.append(cut(classes.select("cid", "line").join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi")))
+        return sketches(texts[0])
 
-            def similar(x: Column) -> Column:
-                return let(F.size(F.array_intersect(x["la"], x["lb"])), lambda n: n * 100 >= (F.size(x["la"]) + F.size(x["lb"]) - n) * PERCENT)
+    def verify(pairs: DataFrame) -> DataFrame:
+        # lines travel as text, an eighth of their sets
+        lines = [texts[0].select(F.col("cid").alias(c), F.col("line").alias(f"l{c}")) for c in "ab"]
+        sets = F.struct(_set(F.col("la")).alias("la"), _set(F.col("lb")).alias("lb"))
 
-            return both.where(let(sets, similar)).select("a", "b")
+        def similar(x: Column) -> Column:
+            return let(F.size(F.array_intersect(x["la"], x["lb"])), lambda n: n * 100 >= (F.size(x["la"]) + F.size(x["lb"]) - n) * PERCENT)
 
-        return verify
+        return pairs.join(lines[0], "a").join(lines[1], "b").where(let(sets, similar)).select("a", "b")
 
-    components = linked_components(buckets, prepare)
+    components = linked_components(buckets, own, likely, verify)
+    free(buckets, *texts)
     found = classes.select("cid", "k1", "k2", "n").join(components.select(F.col("id").alias("cid"), "component"), "cid", "left")
-    return found.where("n > 1 or component is not null").select("k1", "k2", F.coalesce("component", "cid").alias("grp"))
+    out = cut(found.where("n > 1 or component is not null").select("k1", "k2", F.coalesce("component", "cid").alias("grp")))
+    free(classes, components)
+    return out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos) of every occurrence that goes."""
     places = split_lines(docs).select("doc_id", "pos", "k1", "k2")
-    grouped = cut(places.join(line_groups(docs), ["k1", "k2"]).select("doc_id", "pos", "grp"))
+    groups = line_groups(docs)
+    grouped = cut(places.join(groups, ["k1", "k2"]).select("doc_id", "pos", "grp"))
+    free(groups)
     first_doc = grouped.groupBy("grp").agg(F.min("doc_id").alias("first_doc"))
     with_first = grouped.join(first_doc, "grp")
     first = with_first.where("doc_id = first_doc").groupBy("grp").agg(F.min("pos").alias("first_pos"))
@@ -129,7 +141,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and the array ``removed_lines`` of their positions."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = cut(repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc"))  # no name can clash
     both = whole.join(gone, "doc_id", "left")
     text = F.col("doc.text").cast("string")

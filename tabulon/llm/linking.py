@@ -2,56 +2,87 @@
 
 Every item is compared with its buckets' leaders (their smallest items) first, and components of what links there are
 contracted. Buckets that still hold several components compare the items outside the bucket's largest component with
-the likeliest item of that one, and at last with all items of other components, so that no link within a bucket is missed.
-A pair is made in its first common bucket only.
+the likeliest item of that one. At last the items of different components of one bucket are compared, where a bucket of more than
+``CROWD`` rows is split by its items' other buckets first, up to ``SPLITS`` times: similar items share more than one.
+Pairs pass a cheap test on two sketches before they are verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.graph import connected_components
-from tabulon.session import cut
+from tabulon.session import cut, free
 
-Verify = Callable[[DataFrame], DataFrame]
+CROWD = 64
+SPLITS = 3
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked_components(buckets: DataFrame, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
-    """(id, component) of all items of ``buckets`` (id, bucket) that have a link.
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Buckets of several components, by whether they have more than ``CROWD`` rows."""
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return several.where("lo <> hi").select("bucket", (F.col("n") > CROWD).alias("crowded"))
 
-    ``prepare`` gets the items (id) that share a bucket and gives a function that keeps those of the pairs (a, b) of
-    such items that are links. An item has one row for each of its buckets; ``buckets``
-    is read twice.
+
+def linked_components(buckets: DataFrame, sketches: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) of all items of the written table ``buckets`` (id, bucket) that have a link.
+
+    ``sketches`` gives (id, sketch) of the items (id) that share a bucket, ``likely`` says whether two sketch columns
+    allow a link, ``verify`` keeps the links of pairs (a, b). Rows may repeat.
     """
-    leaders = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"))
-    shared = cut(buckets.join(leaders, "bucket"))
-    verify = prepare(shared.select("id").distinct())
-    links = cut(verify(_pairs(shared.where("id <> leader"), "id", "leader")))
+    shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last"))
+    large = shared.where("n > 2").select("bucket", "leader")
+    members = cut(buckets.join(large, "bucket").distinct())
+    both = shared.where("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
+    star = cut(_pairs(both.unionByName(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))), "a", "b"))
+    own = cut(sketches(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        one, two = own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), own.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        return cut(verify(pairs.join(one, "a").join(two, "b").where(likely("sa", "sb")).select("a", "b")))
+
+    links = confirmed(star)
     components = connected_components(links, "a", "b")
-    for last in (False, True):
-        held = shared.select("bucket", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("member"))
-        largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "member")).alias("top")).where("parts > 1")
-        mixed = cut(held.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("top.member").alias("member")), "bucket"))
-        minor = mixed.where("component <> main")
-        if not last:
-            new = cut(verify(_pairs(minor, "id", "member")))
-        else:
-            own = mixed.groupBy("id").agg(F.collect_set("bucket").alias("own"))  # as many as an item has buckets
-            left = minor.join(own, "id").select("bucket", F.col("id").alias("a_id"), F.col("component").alias("a_part"), F.col("own").alias("a_own"), "main")
-            right = mixed.join(own, "id").select("bucket", F.col("id").alias("b_id"), F.col("component").alias("b_part"), F.col("own").alias("b_own"))
-            other = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
-            here = F.array_min(F.array_intersect("a_own", "b_own")) == F.col("l.bucket")
-            both = left.alias("l").join(right.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & other & here)
-            new = cut(verify(_pairs(both, "a_id", "b_id")))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            components = connected_components(links, "a", "b")
+    free(shared, star)
+
+    def grown(links: DataFrame, components: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if new.isEmpty():
+            return links, components
+        more = links.unionByName(new)
+        found = connected_components(more, "a", "b")
+        free(components)
+        return more, found
+
+    def held(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("bucket", "id", *more).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    rows = held(members)
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("member"))
+    largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "member")).alias("top")).where("parts > 1")
+    mixed = rows.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("top.member").alias("member")), "bucket")
+    links, components = grown(links, components, confirmed(_pairs(mixed.where("component <> main"), "id", "member")))
+
+    rows = cut(held(members).withColumn("last", F.col("bucket")))
+    free(members)
+    for level in range(SPLITS + 1):
+        kinds = cut(_crowded(rows))
+        mixed = rows.join(kinds, "bucket").join(own, "id")
+        few = mixed if level == SPLITS else mixed.where("not crowded")
+        one = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+        two = few.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
+        pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("sa", "sb"))
+        links, components = grown(links, components, cut(verify(pairs.select("a", "b").distinct())))
+        if level == SPLITS or kinds.where("crowded").isEmpty():
+            break
+        crowded = rows.join(kinds.where("crowded").select("bucket"), "bucket").select(F.col("bucket").alias("within"), "last", "id")
+        split = crowded.join(buckets, "id").where("bucket > last").select(F.xxhash64("within", "bucket").alias("own"), "bucket", "id")  # each set of buckets once
+        before, rows = rows, cut(held(split.select(F.col("own").alias("bucket"), "id", F.col("bucket").alias("last")), "last"))
+        free(before, kinds)
     return components

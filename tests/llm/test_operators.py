@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontam, language, lines, media, neardup, packing, preferences, substrings, toxicity, weak_labels
+from tabulon.llm import decontam, language, lines, linking, media, neardup, packing, preferences, substrings, toxicity, weak_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, bucket string, component long, kept string, score string, removed_lines string"
 
@@ -378,10 +378,15 @@ def test_block_max_search_is_exact():
         assert [c for c, _ in got] == pytest.approx([c for c, _ in want])
 
 
-def test_lines(spark, texts):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_lines(spark, texts, monkeypatch, crowd):
+    monkeypatch.setattr(linking, "CROWD", crowd)
     rng = random.Random(8)
     shared = [words(rng, n) for n in (3, 12, 20, 40)]
-    own = {i: t for i, t in texts.items() if i != 59}
+    own = dict(texts)
+    own[91] = texts[59][:-9] + "another end"
+    own[92] = "-----\n" + "-" * 90 + "\n" + "=-" * 9 + "\n" + "-=" * 70
+    own[93] = "\n".join(f"{shared[3][:60]} {words(rng, 8)}" for _ in range(40))  # alike, but not enough
     for k in range(70, 90):
         parts = [shared[k % 4], words(rng, 10), shared[(k + 1) % 4][:-1] + "q", ""]
         own[k] = "\n".join(parts)
@@ -419,7 +424,7 @@ def test_line_keys_miss_hardly_any_pair(spark):
     def shingles_of(x):
         return {x[k:k + 5] for k in range(max(1, len(x) - 4))}
 
-    pairs = [(x, x + letters(1)) for x in (letters(8) for _ in range(300))] + [("aaaaaaa", "aaaaaaaaa")]
+    pairs = [(x, x + letters(1)) for x in (letters(8) for _ in range(300))] + [("aaaaaaa", "aaaaaaaaa"), ("-----", "-" * 300), ("-= " * 3, "= -" * 30)]
     for _ in range(1500):
         x = letters(rng.randint(5, 45))
         more = rng.randint(1, max(1, len(x) // 5))
@@ -432,7 +437,23 @@ def test_line_keys_miss_hardly_any_pair(spark):
         pairs.append(("".join(x), "".join(y)))
     pairs = [(x, y) for x, y in pairs if x != y and 100 * len(shingles_of(x) & shingles_of(y)) >= 80 * len(shingles_of(x) | shingles_of(y))]
     texts = [t for pair in pairs for t in pair]
-    keys = {r.cid: set(r["keys"]) for r in lines.signatures(spark.createDataFrame(list(enumerate(texts)), "cid long, line string")).collect()}
+    keys = collections.defaultdict(set)
+    for r in lines.signatures(spark.createDataFrame(list(enumerate(texts)), "cid long, line string")).collect():
+        keys[r.id].add(r.bucket)
     missed = [p for k, p in enumerate(pairs) if not keys[2 * k] & keys[2 * k + 1]]
     assert len(pairs) > 2500 and len(missed) <= 2
     assert not [x for x, _ in missed if len(shingles_of(x)) <= 9]
+    sketches = lines.sketches(spark.createDataFrame(list(enumerate(texts)), "cid long, line string"))
+    one, two = sketches.select("id", F.col("sketch").alias("sa")), sketches.select((F.col("id") - 1).alias("id"), F.col("sketch").alias("sb"))
+    assert one.where("id % 2 = 0").join(two, "id").where(~lines.likely("sa", "sb")).count() == 0
+
+
+def test_line_sketches_of_long_lines(spark):
+    rng = random.Random(19)
+    base = words(rng, 900)
+    close = " ".join(w if rng.random() > 0.03 else "zzz" for w in base.split(" "))
+    rows = spark.createDataFrame([(0, base), (1, close), (2, words(rng, 900)), (3, words(rng, 60)), (4, words(rng, 60))], "cid long, line string")
+    found = lines.sketches(rows)
+    both = found.select(F.col("id").alias("a"), F.col("sketch").alias("sa")).join(found.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), F.col("a") < F.col("b"))
+    kept = {(r.a, r.b) for r in both.where(lines.likely("sa", "sb")).collect()}
+    assert (0, 1) in kept and (0, 2) not in kept and (3, 4) not in kept
