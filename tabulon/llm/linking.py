@@ -2,14 +2,15 @@
 
 Every item is compared with its buckets' leaders (their smallest items) first, and components of what links there are
 contracted. Buckets that still hold several components compare the items outside the bucket's largest component with
-the likeliest item of that one. At last the items of different components of one bucket are compared, where a bucket of more than
-``CROWD`` rows is split by its items' other buckets first, up to ``SPLITS`` times: similar items share more than one.
-Pairs pass a cheap test on two sketches before they are verified.
+the likeliest item of that one. At last the items of different components of one bucket are compared; a bucket of more than
+``CROWD`` rows is first split by finer keys, which similar items still share. Pairs pass a test on two sketches before they are
+verified, and none is verified twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,24 +19,33 @@ from tabulon.operators.graph import connected_components
 from tabulon.session import cut, free
 
 CROWD = 64
-SPLITS = 3
+CELL = 1000
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Buckets of several components, by whether they have more than ``CROWD`` rows."""
-    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return several.where("lo <> hi").select("bucket", (F.col("n") > CROWD).alias("crowded"))
+def _across(rows: DataFrame, own: DataFrame, likely: Callable[[str, str], Column]) -> DataFrame:
+    """Likely pairs (a, b) of items of one bucket and different components.
+
+    Buckets are dealt into cells of about ``CELL`` rows, and each two cells meet on their own, so that no task has a whole bucket.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).alias("cells"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = rows.join(sizes.where("lo <> hi").select("bucket", "cells"), "bucket").join(own, "id").withColumn("cell", F.expr("pmod(xxhash64(id), cells)"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    one = mixed.select("bucket", F.col("cell").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+    two = mixed.select("bucket", every.alias("i"), F.col("cell").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
+    return one.join(two, ["bucket", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("sa", "sb")).select("a", "b")
 
 
-def linked_components(buckets: DataFrame, sketches: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(buckets: DataFrame, sketches: Step, likely: Callable[[str, str], Column], verify: Step, finer: Step) -> DataFrame:
     """(id, component) of all items of the written table ``buckets`` (id, bucket) that have a link.
 
     ``sketches`` gives (id, sketch) of the items (id) that share a bucket, ``likely`` says whether two sketch columns
-    allow a link, ``verify`` keeps the links of pairs (a, b). Rows may repeat.
+    allow a link, ``verify`` keeps the links of pairs (a, b), ``finer`` gives (id, key) to split crowded buckets by. Rows may repeat.
     """
     shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last"))
     large = shared.where("n > 2").select("bucket", "leader")
@@ -43,10 +53,16 @@ def linked_components(buckets: DataFrame, sketches: Callable[[DataFrame], DataFr
     both = shared.where("n = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))
     star = cut(_pairs(both.unionByName(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))), "a", "b"))
     own = cut(sketches(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()))
+    tried: list[DataFrame] = []
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one, two = own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), own.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-        return cut(verify(pairs.join(one, "a").join(two, "b").where(likely("sa", "sb")).select("a", "b")))
+    def confirmed(pairs: DataFrame, tested: bool = False) -> DataFrame:
+        if not tested:
+            one, two = own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), own.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+            pairs = pairs.join(one, "a").join(two, "b").where(likely("sa", "sb")).select("a", "b")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(cut(pairs))
+        return cut(verify(tried[-1]))
 
     links = confirmed(star)
     components = connected_components(links, "a", "b")
@@ -60,8 +76,8 @@ def linked_components(buckets: DataFrame, sketches: Callable[[DataFrame], DataFr
         free(components)
         return more, found
 
-    def held(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("bucket", "id", *more).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     rows = held(members)
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("id").alias("member"))
@@ -69,20 +85,18 @@ def linked_components(buckets: DataFrame, sketches: Callable[[DataFrame], DataFr
     mixed = rows.join(largest.select("bucket", F.col("top.component").alias("main"), F.col("top.member").alias("member")), "bucket")
     links, components = grown(links, components, confirmed(_pairs(mixed.where("component <> main"), "id", "member")))
 
-    rows = cut(held(members).withColumn("last", F.col("bucket")))
+    rows = cut(held(members))
     free(members)
-    for level in range(SPLITS + 1):
-        kinds = cut(_crowded(rows))
-        mixed = rows.join(kinds, "bucket").join(own, "id")
-        few = mixed if level == SPLITS else mixed.where("not crowded")
-        one = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-        two = few.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-        pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("sa", "sb"))
-        links, components = grown(links, components, cut(verify(pairs.select("a", "b").distinct())))
-        if level == SPLITS or kinds.where("crowded").isEmpty():
-            break
-        crowded = rows.join(kinds.where("crowded").select("bucket"), "bucket").select(F.col("bucket").alias("within"), "last", "id")
-        split = crowded.join(buckets, "id").where("bucket > last").select(F.xxhash64("within", "bucket").alias("own"), "bucket", "id")  # each set of buckets once
-        before, rows = rows, cut(held(split.select(F.col("own").alias("bucket"), "id", F.col("bucket").alias("last")), "last"))
-        free(before, kinds)
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    kinds = cut(several.select("bucket", (F.col("n") > CROWD).alias("crowded")))
+    rest = cut(_across(rows.join(kinds.where("not crowded").select("bucket"), "bucket"), own, likely).distinct())
+    links, components = grown(links, components, confirmed(rest, True))
+    if not kinds.where("crowded").isEmpty():
+        crowded = cut(held(rows.join(kinds.where("crowded").select("bucket"), "bucket")))
+        keys = finer(crowded.select("id").distinct())
+        split = cut(crowded.join(keys, "id").select(F.xxhash64("bucket", "key").alias("bucket"), "id", "component"))
+        dense = cut(_across(split, own, likely).distinct())
+        links, components = grown(links, components, confirmed(dense, True))
+        free(crowded, split, dense)
+    free(rows, kinds, rest, own, *tried)
     return components

@@ -381,6 +381,7 @@ def test_block_max_search_is_exact():
 @pytest.mark.parametrize("crowd", [64, 2])
 def test_lines(spark, texts, monkeypatch, crowd):
     monkeypatch.setattr(linking, "CROWD", crowd)
+    monkeypatch.setattr(linking, "CELL", crowd)
     rng = random.Random(8)
     shared = [words(rng, n) for n in (3, 12, 20, 40)]
     own = dict(texts)
