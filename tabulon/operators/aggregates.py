@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.ranks import equal_bins, quantiles
+from tabulon.session import cut
+
 DOUBLE = "double"
 
 
@@ -74,12 +78,12 @@ def supplier_summary(suppliers: DataFrame, focus: DataFrame) -> DataFrame:
     return by.join(areas, "s_nationkey", "left")
 
 
-def order_totals(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("order_id", "warehouse").agg(F.max("event_time").alias("last_time"), F.sum("quantity").alias("units"), total("amount").alias("order_total"))
+def order_totals(sales: DataFrame, *more: str) -> DataFrame:
+    return sales.groupBy("order_id", "warehouse", *more).agg(F.max("event_time").alias("last_time"), F.sum("quantity").alias("units"), total("amount").alias("order_total"))
 
 
-def quartiles(df: DataFrame, keys: Sequence[Column | str], value: str, approximate: bool = False) -> DataFrame:
-    """Interpolated quartiles, or Spark's approximate ones for data that doesn't fit a group."""
+def quartiles(df: DataFrame, keys: Sequence[Column | str], value: str, approximate: bool = True) -> DataFrame:
+    """Quartiles from Spark's bounded summaries; interpolated exact ones only for groups known to be small."""
     q = F.percentile_approx(value, [0.25, 0.5, 0.75]) if approximate else F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return df.groupBy(*keys).agg(q.alias("q")).select("*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).drop("q")
 
@@ -111,8 +115,8 @@ def elasticity(weekly: DataFrame, key: str, min_obs: int) -> DataFrame:
 
 
 def promo_uplift(weekly: DataFrame, key: str) -> DataFrame:
-    """Mean units with promotion over those without, less 1."""
-    on, off = F.avg(F.when(F.col("promo_share") > 0.5, F.col("units"))), F.avg(F.when(F.col("promo_share") <= 0.5, F.col("units")))
+    """Mean units of weeks with any promotion over those of weeks without one, less 1."""
+    on, off = F.avg(F.when(F.col("promo_share") > 0, F.col("units"))), F.avg(F.when(F.col("promo_share") == 0, F.col("units")))
     return weekly.groupBy(key).agg((F.try_divide(on, off) - 1).alias("uplift"))
 
 
@@ -134,14 +138,17 @@ def waterfall(sales: DataFrame, cost: Column) -> DataFrame:
 
 
 def rfm(sales: DataFrame, bins: int = 5) -> DataFrame:
-    """Recency in days, frequency and monetary value per customer, with bins by rank."""
-    from pyspark.sql import Window
-
+    """Recency in days, frequency and monetary value per customer, with bins of equal sizes by rank (ties by id)."""
     last = sales.agg(F.max("order_time").alias("as_of"))
     by = sales.groupBy("customer_id").agg(F.max("order_time").alias("latest"), F.count_distinct("order_id").alias("frequency"), total("amount").alias("monetary"))
-    by = by.join(F.broadcast(last)).select("customer_id", F.datediff("as_of", "latest").alias("recency"), "frequency", "monetary")  # one row
-    r, f = Window.orderBy(F.desc("recency"), "customer_id"), Window.orderBy("frequency", "customer_id")
-    return by.withColumns({"r_bin": F.ntile(bins).over(r), "f_bin": F.ntile(bins).over(f)})
+    by = cut(by.join(F.broadcast(last)).select("customer_id", F.datediff("as_of", "latest").alias("recency"), "frequency", "monetary"))  # one row is broadcast
+    binned = equal_bins(equal_bins(by, -F.col("recency"), "customer_id", bins, "r_bin"), F.col("frequency"), "customer_id", bins, "f_bin")
+    return binned.select("customer_id", "recency", "frequency", "monetary", "r_bin", "f_bin")
+
+
+def rfm_heatmap(binned: DataFrame) -> DataFrame:
+    """Customers and their mean value in each pair of bins."""
+    return binned.groupBy("r_bin", "f_bin").agg(F.count("*").alias("customers"), F.avg("monetary").alias("monetary"))
 
 
 def cohort_retention(sales: DataFrame) -> DataFrame:
@@ -163,21 +170,18 @@ def funnel(events: DataFrame, steps: Sequence[str]) -> DataFrame:
 
 
 def category_share(df: DataFrame, key: str, value: str) -> DataFrame:
-    from pyspark.sql import Window
-
     by = df.groupBy(key).agg(F.count("*").alias("n"), total(value).alias("revenue"))
-    return by.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    rows = by.agg(F.sum("n").alias("rows"))
+    return by.join(F.broadcast(rows)).withColumn("share", F.col("n") * 100.0 / F.col("rows")).drop("rows")  # one row
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of each column, as rows."""
-    names = ("count", "mean", "std", "min", "q1", "median", "q3", "max")
-    aggs = []
-    for c in columns:
-        q = [F.percentile(c, p) for p in (0.25, 0.5, 0.75)]
-        aggs.append(F.struct(*[x.cast(DOUBLE).alias(n) for n, x in zip(names, (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *q, F.max(c)), strict=True)]).alias(c))
-    one = df.agg(*aggs)
-    return one.selectExpr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, {c}' for c in columns)}) as (name, s)").select("name", "s.*")
+    names = ("count", "mean", "std", "min", "max")
+    one = df.agg(*[F.struct(*[x.cast(DOUBLE).alias(n) for n, x in zip(names, (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)), strict=True)]).alias(c) for c in columns])
+    rows = one.selectExpr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, {c}' for c in columns)}) as (name, s)").select("name", "s.*")
+    found = [quantiles(df, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumn("name", F.lit(c)) for c in columns]
+    return rows.join(reduce(DataFrame.unionByName, found), "name", "left").select("name", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -202,18 +206,18 @@ def collapse_dim(df: DataFrame, key: str, order: str, text: str, number: str) ->
 
 
 def regatta_measures(fact: DataFrame) -> DataFrame:
+    """Figures of results (regatta, race, boat, rank, points, elapsed); the median is one of the points."""
     missing = F.count_if(F.col("elapsed").isNull()) * 100.0 / F.count("*")
-    return fact.agg(F.count_distinct("boat").alias("boats"), F.count_distinct("race").alias("races"), F.count_if(F.col("rank") == 1).alias("winners"), F.avg("points").alias("avg_points"), F.median("points").alias("median_points"), missing.alias("missing_pct"))
+    return fact.agg(F.count_distinct("boat").alias("boats"), F.count_distinct("race").alias("races"), F.count_distinct("regatta").alias("regattas"), F.count_if(F.col("rank") == 1).alias("winners"), F.avg("points").alias("avg_points"), F.percentile_approx("points", 0.5).alias("median_points"), missing.alias("missing_pct"))
 
 
 def cost_review(costs: DataFrame, budget: float, days: int = 7) -> DataFrame:
     """Per service: total, share over 40 %, last week over 1.2 times the mean, use of the budget over 80 %."""
-    from pyspark.sql import Window
-
     last = costs.agg(F.max("day").alias("last"))
     by = costs.join(F.broadcast(last)).groupBy("service").agg(F.sum("cost").alias("total"), F.avg("cost").alias("mean"), F.avg(F.when(F.datediff("last", "day") < days, F.col("cost"))).alias("recent"))  # one row
-    share = F.try_divide(F.col("total"), F.sum("total").over(Window.partitionBy()))
-    return by.select("service", F.col("total").cast(DOUBLE), share.cast(DOUBLE).alias("share"), (share > 0.4).alias("dominant"), (F.coalesce("recent", F.lit(0)) > F.col("mean") * 1.2).alias("spike"), (F.col("total") > budget * 0.8).alias("over_budget"))
+    every = costs.agg(F.sum("cost").alias("every"))
+    share = F.try_divide(F.col("total"), F.col("every"))
+    return by.join(F.broadcast(every)).select("service", F.col("total").cast(DOUBLE), share.cast(DOUBLE).alias("share"), (share > 0.4).alias("dominant"), (F.coalesce("recent", F.lit(0)) > F.col("mean") * 1.2).alias("spike"), (F.col("total") > budget * 0.8).alias("over_budget"))
 
 
 def cost_projection(costs: DataFrame, days: int = 7) -> DataFrame:
@@ -225,8 +229,8 @@ def cost_projection(costs: DataFrame, days: int = 7) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, column: str, ok: Column) -> DataFrame:
-    q = [F.percentile(column, p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("avg"), *q, F.try_divide(F.count_if(ok), F.count("*")).alias("success_rate"))
+    one = df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("avg"), F.try_divide(F.count_if(ok), F.count("*")).alias("success_rate"))
+    return one.join(F.broadcast(quantiles(df, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99})))  # one row each
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
@@ -241,7 +245,72 @@ def coverage_score(inventory: DataFrame, threshold: float) -> DataFrame:
     return inventory.agg((100 - F.try_divide(low, F.sum("quantity_on_hand")) * 100).alias("score"))
 
 
-def monitoring_series(events: DataFrame, seconds: int) -> DataFrame:
-    """Per window and type: rate, exact quantiles of the value, share of errors."""
-    w = F.window("ts", f"{seconds} seconds")
-    return events.groupBy(w.alias("w"), "event_type").agg((F.count("*") / seconds).alias("rate"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95")).select(F.col("w.start").alias("window_start"), "event_type", "rate", "p50", "p95")
+def monitoring_series(events: DataFrame, seconds: int, dead_letters: DataFrame | None = None) -> DataFrame:
+    """Per window and type: rate, approximate quantiles of the value, share of errors in the window, and its dead letters."""
+    w = F.window("ts", f"{seconds} seconds")["start"]
+    by = events.groupBy(w.alias("window_start"), "event_type").agg(F.count("*").alias("n"), (F.count("*") / seconds).alias("rate"), F.percentile_approx("value", 0.5).alias("p50"), F.percentile_approx("value", 0.95).alias("p95"))
+    errors = by.groupBy("window_start").agg(F.try_divide(F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)), F.sum("n")).alias("error_rate"))
+    out = by.join(errors, "window_start").drop("n")
+    if dead_letters is None:
+        return out.withColumn("dlq", F.lit(0).cast("long"))
+    dead = dead_letters.groupBy(w.alias("window_start")).agg(F.count("*").alias("dlq"))
+    return out.join(dead, "window_start", "left").fillna(0, "dlq")
+
+
+def period_kpis(sales: DataFrame) -> DataFrame:
+    """Total, average order, units and customers of a period."""
+    return sales.agg(total("amount").alias("total"), (total("amount") / F.count_distinct("order_id")).alias("average_order"), F.sum("quantity").alias("units"), F.count_distinct("customer_id").alias("customers"))
+
+
+def qc_totals(sales: DataFrame) -> DataFrame:
+    return sales.agg(total("amount").alias("total"), F.count_distinct("customer_id").alias("clients"))
+
+
+def promo_table(sales: DataFrame, campaigns: DataFrame, period: Column) -> DataFrame:
+    """Per campaign (campaign_id, campaign_name, is_promo) and period: rows, sales, and the discount as a share of gross sales."""
+    by = sales.join(campaigns, "campaign_id").groupBy("campaign_name", "is_promo", period.alias("period"))
+    sums = by.agg(F.count("*").alias("n"), total("amount").alias("sales"), total("gross").alias("_g"))
+    return sums.withColumn("discount_share", 1 - F.try_divide(F.col("sales"), F.col("_g"))).drop("_g")
+
+
+def log_summary(lines: DataFrame, parsed: Column, class_of: Column, method: Column, endpoint: Column, status: Column) -> DataFrame:
+    """(kind, key, n) in one pass over all lines: totals, and counts by status class, method and endpoint of what ``parsed`` gave.
+
+    ``totals`` has lines, parsed and errors; parse success and error rate follow from them.
+    """
+    error = (status >= 400) & (status < 600)
+    kinds = F.array(
+        F.struct(F.lit("total").alias("kind"), F.lit("lines").alias("key")),
+        F.when(parsed.isNotNull(), F.struct(F.lit("total").alias("kind"), F.lit("parsed").alias("key"))),
+        F.when(error, F.struct(F.lit("total").alias("kind"), F.lit("errors").alias("key"))),
+        *[F.when(parsed.isNotNull(), F.struct(F.lit(k).alias("kind"), c.alias("key"))) for k, c in (("class", class_of), ("method", method), ("endpoint", endpoint))],
+    )
+    return lines.select(F.inline(F.array_compact(kinds))).groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+
+def sums_by(df: DataFrame, keys: Sequence[str | Column], value: str) -> DataFrame:
+    """Totals of an amount: operating expenses by category, sales by region, product or month."""
+    return df.groupBy(*keys).agg(total(value).alias("total"))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Sorted values for a slicer."""
+    return df.select(column).distinct().orderBy(column)
+
+
+def app_log_stats(logs: DataFrame, as_of: Column) -> DataFrame:
+    """Per hour and level of parsed log lines (ts, level): entries, and those of the last hour before ``as_of``."""
+    recent = (F.col("ts") > as_of - F.expr("interval 1 hour")) & (F.col("ts") <= as_of)
+    return logs.groupBy("level", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.count_if(recent).alias("last_hour"))
+
+
+def pipeline_health(views: DataFrame) -> DataFrame:
+    """Per hour: rows, products, and mean rows a product."""
+    by = views.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"))
+    return by.withColumn("avg_views", F.try_divide(F.col("n"), F.col("products")))
+
+
+def best_days(sales: DataFrame, n: int = 7) -> DataFrame:
+    """The days of most revenue, with their average order."""
+    by = sales.groupBy(F.to_date("event_time").alias("day")).agg(total("amount").alias("revenue"), F.count_distinct("order_id").alias("orders"))
+    return by.select("day", "revenue", F.try_divide(F.col("revenue"), F.col("orders")).alias("average_order")).orderBy(F.desc("revenue"), "day").limit(n)

@@ -50,28 +50,8 @@ def with_category_fallback(values: DataFrame, products: DataFrame, by_category:
     return out.withColumn(value, F.coalesce(value, "_fallback")).drop("_fallback")
 
 
-def candidate_pairs(df: DataFrame, key: str, blocks: Column, max_block: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows that share a block key; ``blocks`` is an array of keys.
-
-    A block over ``max_block`` rows says too little to be a key: its rows pair with their neighbours in id order only,
-    as many on either side as ``max_block``, so nothing grows with the square of a block.
-    """
-    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(blocks)).alias("block")).where("block is not null")
-    if max_block is not None:
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
-        cell = F.floor(place / max_block)
-        rows = rows.withColumn("cell", cell)
-        near = rows.select("block", F.col("id").alias("b"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
-        pairs = rows.join(near, ["block", "cell"]).where("id <> b")
-        return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    other = rows.select(F.col("id").alias("b"), "block")
-    return rows.join(other, "block").where("id < b").select(F.col("id").alias("a"), "b").distinct()
-
-
-def block_pairs(df: DataFrame, key: str, blocks: Column, cell_rows: int = 1000) -> DataFrame:
-    """All distinct pairs (a, b), a < b, of rows that share a block key.
+def candidate_pairs(df: DataFrame, key: str, blocks: Column, cell_rows: int = 1000) -> DataFrame:
+    """All distinct pairs (a, b), a < b, of rows that share a block key; ``blocks`` is an array of keys.
 
     Larger blocks are dealt into cells of about ``cell_rows`` rows, and each two cells meet on their own: a block isn't one task's work.
     """
@@ -93,13 +73,27 @@ def backfill(fact: DataFrame, raw: DataFrame, keys: Sequence[str], values: Seque
 
 
 def apply_sales_merge(inventory: DataFrame, sold: DataFrame) -> DataFrame:
-    """The next stock snapshot: quantities less what was sold (not below 0), revenue added, last sale moved on."""
+    """The next stock snapshot of ``inventory`` (warehouse, product_id, quantity_on_hand, last_sale, lifetime_revenue, any more).
+
+    Rows with sales: the quantity less what was ``sold`` (not below 0), the new last sale, the revenue added to what there
+    was, and the time of the update where the table has ``last_updated``. All other rows, and columns, stay as they are.
+    """
     keys = ["warehouse", "product_id"]
-    both = inventory.join(sold, keys, "left")
-    return both.select(
-        *keys, F.greatest(F.col("quantity_on_hand") - F.coalesce("sold", F.lit(0.0)), F.lit(0.0)).alias("quantity_on_hand"),
-        F.coalesce("last_sale", F.lit(None)).alias("last_sale"), F.coalesce("revenue", F.lit(0).cast("decimal(28,4)")).alias("revenue"),
-    )
+    new = sold.where("sold > 0").select(*keys, F.col("sold").alias("_sold"), F.col("last_sale").alias("_last"), F.col("revenue").alias("_revenue"), F.lit(True).alias("_hit"))
+    changes = {
+        "quantity_on_hand": F.greatest(F.col("quantity_on_hand") - F.col("_sold"), F.lit(0).cast(inventory.schema["quantity_on_hand"].dataType)),
+        "last_sale": F.col("_last"),
+        "lifetime_revenue": (F.coalesce(F.col("lifetime_revenue"), F.lit(0)) + F.col("_revenue")).cast("double"),
+        "last_updated": F.current_timestamp(),
+    }
+    return inventory.join(new, keys, "left").select(*[F.when(F.col("_hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in inventory.columns])
+
+
+def merge_on_month(actual: DataFrame, forecast: DataFrame, month: str, value: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Actual and forecast values of the months that have both, with error and absolute percentage error."""
+    both = actual.select(*keys, month, value).join(forecast.select(*keys, month, predicted), [*keys, month])
+    error = F.col(predicted) - F.col(value)
+    return both.withColumns({"error": error, "ape": F.abs(F.try_divide(error, F.col(value)))})
 
 
 def error_rate(requests: DataFrame, errors: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -42,31 +43,144 @@ def short_text(*fields: str) -> list[Rule]:
     return [Rule(f"{f}_short", F.length(F.trim(F.col(f))) < 2, f, "completeness", "warning") for f in fields]
 
 
+@dataclass(frozen=True)
+class EventSchema:
+    """What events of one type must look like: kinds are string, int or number, ranges hold both ends."""
+
+    required: Sequence[str]
+    kinds: Mapping[str, str]
+    patterns: Mapping[str, str]
+    ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)
+    important: Sequence[str] = ()
+    duplicate_key: Sequence[str] = ()
+
+
+# Fields, patterns, ranges, important fields and duplicate keys of each event type.
+EVENT_SCHEMAS = {
+    "click": EventSchema(
+        required=("event_type", "product_id", "user_id", "timestamp"),
+        kinds={"event_type": "string", "product_id": "string", "user_id": "string", "session_id": "string", "page_type": "string", "user_agent": "string", "timestamp": "string"},
+        patterns={
+            "product_id": r"^product_[a-zA-Z0-9]+$", "user_id": r"^user_[a-zA-Z0-9]+$", "session_id": r"^session_[a-zA-Z0-9]+$",
+            "page_type": r"^(product|category|search|home)$", "timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$",
+        },
+        important=("session_id", "page_type"),
+        duplicate_key=("user_id", "product_id", "timestamp"),
+    ),
+    "transaction": EventSchema(
+        required=("event_type", "product_id", "store_id", "quantity", "unit_price", "timestamp"),
+        kinds={
+            "event_type": "string", "product_id": "string", "store_id": "string", "quantity": "int", "unit_price": "number", "total_amount": "number",
+            "currency": "string", "payment_method": "string", "timestamp": "string",
+        },
+        patterns={
+            "product_id": r"^product_[a-zA-Z0-9]+$", "store_id": r"^store_[a-zA-Z0-9]+$", "currency": r"^[A-Z]{3}$",
+            "payment_method": r"^(credit_card|paypal|apple_pay|google_pay)$", "timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$",
+        },
+        ranges={"quantity": (1, 1000), "unit_price": (0.01, 10000.00)},
+        important=("currency", "payment_method"),
+        duplicate_key=("transaction_id",),
+    ),
+    "stock": EventSchema(
+        required=("event_type", "product_id", "warehouse_id", "quantity_change", "timestamp"),
+        kinds={"event_type": "string", "product_id": "string", "warehouse_id": "string", "quantity_change": "int", "reason": "string", "timestamp": "string"},
+        patterns={
+            "product_id": r"^product_[a-zA-Z0-9]+$", "warehouse_id": r"^warehouse_[a-zA-Z0-9]+$",
+            "reason": r"^(restock|sale|return|adjustment|damaged|transfer)$", "timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$",
+        },
+        ranges={"quantity_change": (-10000, 10000)},
+        important=("reason",),
+        duplicate_key=("product_id", "warehouse_id", "timestamp"),
+    ),
+}
+
+
+def _blank(name: str) -> Column:
+    return F.col(name).isNull() | (F.trim(F.col(name).cast("string")) == "")
+
+
+def schema_rules(columns: Sequence[str], schemas: Mapping[str, EventSchema] = EVENT_SCHEMAS, kind: str = "event_type") -> list[Rule]:
+    """Rules by event type on the frame's ``columns``: known type, required fields, types, patterns and ranges.
+
+    A field that the frame lacks counts as missing. Numbers may come as text: one that doesn't parse has the wrong type
+    and no range.
+    """
+    here = set(columns)
+    rules = [Rule("valid_event_type", ~F.coalesce(F.col(kind).isin(*schemas), F.lit(False)), kind, "schema")]
+    for name, schema in schemas.items():
+        own = F.col(kind) == name
+        rules += [Rule("required_field", own & (_blank(f) if f in here else F.lit(True)), f, "schema") for f in schema.required]
+        for f, k in schema.kinds.items():
+            if f in here and k != "string":
+                parsed = F.col(f).cast("string").try_cast("long" if k == "int" else "double")
+                rules.append(Rule("field_type", own & F.col(f).isNotNull() & parsed.isNull(), f, "schema"))
+        rules += [Rule("field_pattern", own & ~F.col(f).cast("string").rlike(p), f, "schema") for f, p in schema.patterns.items() if f in here]
+        rules += [Rule("field_range", own & ~F.col(f).cast("string").try_cast("double").between(lo, hi), f, "schema") for f, (lo, hi) in schema.ranges.items() if f in here]
+    return rules
+
+
+def completeness_rules(columns: Sequence[str], texts: Sequence[str], schemas: Mapping[str, EventSchema] = EVENT_SCHEMAS, kind: str = "event_type") -> list[Rule]:
+    """Warnings: texts of fewer than two characters, and missing fields that are important for their event type."""
+    rules = [Rule("data_completeness", F.length(F.trim(F.col(t))) < 2, t, "completeness", "warning") for t in texts]
+    for name, schema in schemas.items():
+        for f in schema.important:
+            missing = F.col(f).isNull() | (F.col(f).cast("string") == "") if f in columns else F.lit(True)
+            rules.append(Rule("important_field_missing", (F.col(kind) == name) & missing, f, "completeness", "warning"))
+    return rules
+
+
 def transaction_rules(quantity: str, price: str, total: str, payment: str) -> list[Rule]:
-    q, p, t = F.col(quantity), F.col(price), F.col(total)
+    """The total is quantity times price; over 1000 only credit cards are usual. Missing numbers count as 0."""
+    q, p, t = (F.coalesce(F.col(c), F.lit(0)) for c in (quantity, price, total))
     return [
-        Rule("total_mismatch", F.abs(t - F.round(q * p, 2)) > 0.01, total),
-        Rule("large_needs_card", (t > 1000) & (F.col(payment) != "credit_card"), payment),
-        Rule("quantity_positive", q <= 0, quantity),
+        Rule("transaction_amount_calculation", F.abs(t - F.round(q * p, 2)) > 0.01, total, "business_rule"),
+        Rule("high_value_transaction_payment", (t > 1000) & ~F.coalesce(F.col(payment).isin("credit_card"), F.lit(False)), payment, "business_rule", "warning"),
     ]
 
 
 def stock_rules(change: str, reason: str) -> list[Rule]:
-    c, r = F.col(change), F.col(reason)
-    return [Rule("large_change_reason", (F.abs(c) > 1000) & r.isNull(), reason), Rule("negative_reason", (c < 0) & ~F.coalesce(r.isin("sale", "damage", "return", "adjustment"), F.lit(False)), reason)]
+    """Large changes and negative ones need a reason that fits."""
+    c = F.col(change)
+
+    def other(*reasons: str) -> Column:
+        return ~F.coalesce(F.col(reason).isin(*reasons), F.lit(False))
+
+    return [
+        Rule("large_stock_change_reason", (F.abs(c) > 1000) & other("restock", "adjustment"), reason, "business_rule", "warning"),
+        Rule("negative_stock_reason", (c < 0) & other("sale", "damaged", "return"), reason, "business_rule", "warning"),
+    ]
 
 
 def click_rules(session: str) -> list[Rule]:
-    number = F.regexp_replace(session, "[^0-9]", "").try_cast("long")
-    return [Rule("session_range", ~F.coalesce(number.between(1, 1_000_000), F.lit(False)), session)]
+    """A session's number is usually from 1 to 1 000 000; sessions that aren't numbered pass."""
+    number = F.replace(F.col(session), F.lit("session_"), F.lit(""))
+    out = ~F.trim(number).try_cast("decimal(38,0)").between(1, 1_000_000)
+    return [Rule("session_id_range", number.rlike(r"^\s*[+-]?[0-9]+\s*$") & out, session, "business_rule", "warning")]
 
 
 def duplicate_rule(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that share their key with another one; a null key is no key."""
-    known = F.lit(True)
-    for k in keys:
-        known &= F.col(k).isNotNull()
-    return df.withColumn("is_duplicate", known & (F.count("*").over(Window.partitionBy(*keys)) > 1))
+    return _with_duplicates(df, F.when(_all_known(keys), F.struct(*keys)))
+
+
+def _all_known(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+
+
+def _with_duplicates(df: DataFrame, key: Column) -> DataFrame:
+    """Counted in one aggregate and joined back, so that no key's rows must meet in one task."""
+    rows = df.withColumn("_key", key)
+    repeated = rows.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    return rows.join(repeated, "_key", "left").withColumn("is_duplicate", F.col("_n").isNotNull()).drop("_key", "_n")
+
+
+def window_duplicates(df: DataFrame, time: str, size: str, schemas: Mapping[str, EventSchema] = EVENT_SCHEMAS, kind: str = "event_type") -> DataFrame:
+    """Events whose key by their type occurs again within the same window of ``time``; a missing field of a key counts as empty."""
+    parts = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, schema in schemas.items():
+        values = [F.coalesce(F.col(f).cast("string"), F.lit("")) if f in df.columns else F.lit("") for f in schema.duplicate_key]
+        parts = parts.when(F.col(kind) == name, F.md5(F.concat_ws("|", *values)))
+    return _with_duplicates(df, F.when(parts.isNotNull(), F.struct(F.window(time, size)["start"].alias("w"), F.col(kind).alias("t"), parts.alias("k"))))
 
 
 def expect_or_fail(df: DataFrame, name: str, predicate: Column) -> DataFrame:
@@ -74,12 +188,10 @@ def expect_or_fail(df: DataFrame, name: str, predicate: Column) -> DataFrame:
     return df.where(F.when(F.coalesce(predicate, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(f"expectation {name} failed")).cast("boolean")))
 
 
-def expect_or_drop(df: DataFrame, name: str, predicate: Column) -> DataFrame:
-    """Only rows that satisfy, with the count of others as an observed metric."""
-    from pyspark.sql import Observation
-
-    ok = F.coalesce(predicate, F.lit(False))
-    return df.observe(Observation(name), F.count_if(~ok).alias("dropped"), F.count("*").alias("total")).where(ok)
+def expect_or_drop(df: DataFrame, name: str, predicate: Column) -> tuple[DataFrame, Observation]:
+    """Only rows that satisfy, and an observation of ``dropped`` and ``total``, which can be read after an action."""
+    ok, seen = F.coalesce(predicate, F.lit(False)), Observation(name)
+    return df.observe(seen, F.count_if(~ok).alias("dropped"), F.count("*").alias("total")).where(ok), seen
 
 
 def violations(df: DataFrame, table: str, expectations: Mapping[str, Column]) -> DataFrame:
@@ -90,8 +202,13 @@ def violations(df: DataFrame, table: str, expectations: Mapping[str, Column]) ->
 
 
 def dq_counters(validated: DataFrame) -> DataFrame:
+    """Rows in all, valid, invalid, repeated (where ``is_duplicate`` was set), with a schema error, and violations of rules."""
     kinds = F.transform("validation_errors", lambda e: e["error_type"])
-    return validated.agg(F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if(F.array_contains(kinds, "schema")).alias("missing"), F.sum(F.size("validation_errors")).alias("rule_violations"))
+    repeated = F.count_if(F.col("is_duplicate")) if "is_duplicate" in validated.columns else F.lit(0).cast("long")
+    return validated.agg(
+        F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), repeated.alias("duplicates"),
+        F.count_if(F.array_contains(kinds, "schema")).alias("missing"), F.sum(F.size("validation_errors")).alias("rule_violations"),
+    )
 
 
 def check_unique(df: DataFrame, column: str, sample: int = 10) -> DataFrame:
@@ -118,6 +235,18 @@ def table_gates(products: DataFrame, sales: DataFrame) -> DataFrame:
     return p.unionByName(s).unionByName(o).withColumn("passed", F.col("n") == 0)
 
 
+def require_gates(gates: DataFrame) -> None:
+    """Fail with every gate that didn't pass; the table has a row a gate."""
+    failed = [f"{r['gate']}: {r['n']}" for r in gates.where(~F.col("passed")).orderBy("gate").collect()]
+    if failed:
+        raise ValueError("gates failed: " + "; ".join(failed))
+
+
+def check_stock(reconciled: DataFrame) -> DataFrame:
+    """Of reconciled stock: rows, rows that don't agree with what was sold (clamped at 0), rows below 0."""
+    return reconciled.agg(F.count("*").alias("rows"), F.count_if(~F.col("consistent")).alias("inconsistent"), F.count_if(F.col("after") < 0).alias("negative"))
+
+
 def audit_cash(df: DataFrame, tol: float = 0.01) -> DataFrame:
     diff = F.abs(F.col("begin_balance") + F.col("inflows") - F.col("outflows") - F.col("end_balance"))
     return df.withColumns({"abs_diff": diff, "ok": diff < tol})

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.ranks import running
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """One row a key, the one with the greatest ``order`` values: a maximum of structs, without a sort of the groups."""
+    """One row a key, the one with the greatest ``order`` values: a maximum of structs, so one row a key and task is shuffled."""
     best = F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("_row")))
     return df.groupBy(*keys).agg(best.alias("_b")).select("_b._row.*")
 
@@ -25,12 +27,17 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.withColumn("share", F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))
 
 
+def rank_by(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Rank within a selection, greatest first, with gaps after ties."""
+    return df.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(by))))
+
+
 def pareto(df: DataFrame, key: str, value: str, cut: float = 0.8) -> DataFrame:
     """Rank with gaps, cumulative share (ties together) and whether a key is within the first ``cut`` of the total."""
     by = df.groupBy(key).agg(F.sum(value).alias("value"))
-    w = Window.orderBy(F.desc("value"))
-    share = F.sum("value").over(w.rangeBetween(Window.unboundedPreceding, 0)) / F.sum("value").over(Window.partitionBy())
-    return by.select(key, F.col("value").cast("double"), F.rank().over(w).alias("rank"), share.cast("double").alias("cumulative"), (share <= cut).alias("within"))
+    levels = by.groupBy((-F.col("value")).alias("_v")).agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    placed = running(levels, "_v", "n", "s").select((-F.col("_v")).alias("value"), (F.col("before_n") + 1).cast("int").alias("rank"), ((F.col("before_s") + F.col("s")) / F.col("all_s")).alias("share"))
+    return by.join(placed, "value").select(key, F.col("value").cast("double"), "rank", F.col("share").cast("double").alias("cumulative"), (F.col("share") <= cut).alias("within"))
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, rows: int, min_periods: int) -> DataFrame:
@@ -66,6 +73,11 @@ def pct_change(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Da
     return df.withColumn("change_pct", F.try_divide((F.col(value) - before) * 100.0, before))
 
 
+def sort_by(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Sorted by several keys; each is a column, or a name, with ``-`` in front for descending."""
+    return df.orderBy(*[F.desc(o[1:]) if isinstance(o, str) and o.startswith("-") else o for o in order])
+
+
 def top_k(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(n)
 

@@ -2,71 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.scalars import canonical_gtin, edit_ratio, jaccard, model_tokens, normalize_name, stable_uid, tokens
+from tabulon.functions.scalars import canonical_gtin, jaccard, model_tokens, normalize_name, seq_ratio, stable_uid, tokens
 from tabulon.operators.graph import connected_components
-from tabulon.operators.joins import block_pairs
+from tabulon.operators.joins import candidate_pairs
 from tabulon.session import cut
 
-WEIGHTS = {"name": 0.40, "edit": 0.20, "brand": 0.30, "model": 0.10}
+# Weights of the pair score, and the identifiers whose equality decides.
+WEIGHTS = {"name": 0.40, "ratio": 0.20, "model": 0.30, "brand": 0.10}
+CODES = ("gtin", "ean", "upc")
+MAX_URLS = 100
 
 
-def block_keys(name: str, model: str | None = None) -> Column:
-    """GTIN, brand with model (if there is such a column), brand with first model token and with the first two in order, first three tokens, first five tokens in order."""
-    words, brand = tokens(F.col(name)), normalize_name(F.col("brand"))
-    brand = F.when(brand != "", brand)
-    models, ordered = model_tokens(F.col(name)), F.array_sort(F.array_distinct(words))
-    two = F.slice(F.array_sort(F.array_distinct(models)), 1, 2)
-    keys = [F.concat(F.lit("g:"), canonical_gtin(F.col("gtin"))), F.concat(F.lit("m:"), brand, F.lit("|"), F.get(models, F.lit(0)))]
-    keys += [
-        F.when(F.size(two) > 0, F.concat(F.lit("t:"), brand, F.lit("|"), F.array_join(two, " "))),
-        F.when(F.size(words) >= 3, F.concat(F.lit("3:"), F.array_join(F.slice(words, 1, 3), " "))),
-        F.when(F.size(words) > 0, F.concat(F.lit("5:"), F.array_join(F.slice(ordered, 1, 5), " "))),
+def _text(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that the frame has and that isn't empty; else an empty text."""
+    have = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
+    return F.coalesce(*have, F.lit(""))
+
+
+def prepared(df: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """(id, name, words, brand, models, codes, model) of each row: what keys and scores are made of."""
+    words, own = tokens(_text(df, name, "title")), normalize_name(_text(df, "model"))
+    codes = F.array_distinct(F.array_compact(F.array(*[canonical_gtin(F.col(c).cast("string")) for c in CODES if c in df.columns]))) if set(CODES) & set(df.columns) else F.array().cast("array<string>")
+    return df.select(
+        F.col(key).alias("id"), normalize_name(_text(df, name, "title")).alias("name"), words.alias("words"), normalize_name(_text(df, "brand")).alias("brand"),
+        F.concat(model_tokens(_text(df, name, "title")), tokens(_text(df, "model"))).alias("models"), model_tokens(_text(df, name, "title")).alias("name_models"), codes.alias("codes"), own.alias("model"),
+    )
+
+
+def block_keys() -> Column:
+    """Keys of a prepared row: first code; brand with model; first three words; brand with the first two model tokens in order; first five words in order."""
+    ordered, two = F.array_sort(F.array_distinct("words")), F.slice(F.array_sort(F.array_distinct("name_models")), 1, 2)
+    brand = F.nullif(F.col("brand"), F.lit(""))
+    keys = [
+        F.concat(F.lit("g:"), F.get("codes", F.lit(0))),
+        F.concat(F.lit("m:"), brand, F.lit(":"), F.nullif(F.col("model"), F.lit(""))),
+        F.when(F.size("words") >= 3, F.concat(F.lit("3:"), F.array_join(F.slice("words", 1, 3), ":"))),
+        F.when(F.size(two) > 0, F.concat(F.lit("t:"), brand, F.lit(":"), F.array_join(two, ":"))),
+        F.when(F.size("words") > 0, F.concat(F.lit("x:"), F.array_join(F.slice(ordered, 1, 5), ":"))),
     ]
-    if model is not None:
-        own = normalize_name(F.col(model))
-        keys.append(F.concat(F.lit("b:"), brand, F.lit("|"), F.when(own != "", own)))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def score_pairs(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """Pairs with their score: equal GTINs are 1, else the weighted similarity of names, brands and models."""
-    side = rows.select("id", F.col(name).alias("name"), "brand", canonical_gtin(F.col("gtin")).alias("gtin"))
-    left = side.select(*[F.col(c).alias(f"a_{c}" if c != "id" else "a") for c in side.columns])
-    right = side.select(*[F.col(c).alias(f"b_{c}" if c != "id" else "b") for c in side.columns])
-    both = pairs.join(left, "a").join(right, "b")
-    score = (
-        WEIGHTS["name"] * jaccard(tokens(F.col("a_name")), tokens(F.col("b_name"))) + WEIGHTS["edit"] * edit_ratio(normalize_name(F.col("a_name")), normalize_name(F.col("b_name")))
-        + WEIGHTS["brand"] * (normalize_name(F.col("a_brand")) == normalize_name(F.col("b_brand"))).cast("double") + WEIGHTS["model"] * (jaccard(model_tokens(F.col("a_name")), model_tokens(F.col("b_name"))) + (F.size(model_tokens(F.col("a_name"))) + F.size(model_tokens(F.col("b_name"))) == 0).cast("double"))
-    )
-    return both.select("a", "b", F.when(F.col("a_gtin") == F.col("b_gtin"), 1.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("score"))
+def score_pairs(pairs: DataFrame, rows: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Pairs (a, b) of prepared rows with a score of ``threshold`` or more: a common code is 1, else the weighted similarity of names, models and brands.
+
+    The ratio of names, the dearest part, is only computed where the rest leaves the threshold in reach.
+    """
+    left = rows.select(*[F.col(c).alias(f"a_{c}" if c != "id" else "a") for c in rows.columns])
+    right = rows.select(*[F.col(c).alias(f"b_{c}" if c != "id" else "b") for c in rows.columns])
+    brand = (F.col("a_brand") != "") & (F.col("a_brand") == F.col("b_brand"))
+    rest = WEIGHTS["name"] * jaccard(F.col("a_words"), F.col("b_words")) + WEIGHTS["model"] * jaccard(F.col("a_models"), F.col("b_models")) + WEIGHTS["brand"] * brand.cast("double")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_name", "b_name", F.arrays_overlap("a_codes", "b_codes").alias("same"), rest.alias("rest"))
+    sure = both.where("same").select("a", "b", F.lit(1.0).alias("score"))
+    open_ = both.where(~F.col("same") & (F.col("rest") + WEIGHTS["ratio"] >= threshold - 1e-9))
+    ratio = F.when((F.col("a_name") != "") & (F.col("b_name") != ""), seq_ratio("a_name", "b_name")).otherwise(0.0)
+    return sure.unionByName(open_.select("a", "b", (F.col("rest") + WEIGHTS["ratio"] * ratio).alias("score")).where(F.col("score") >= threshold))
 
 
-def deduplicate(df: DataFrame, key: str, name: str, threshold: float = 0.8) -> DataFrame:
+def deduplicate(df: DataFrame, key: str, name: str = "name", threshold: float = 0.8) -> DataFrame:
     """(id, component): rows whose chained scores reach ``threshold`` share a component, others have their own.
 
     Rows that are equal in all that is scored meet through the smallest id of them; all other pairs of a block are scored.
     """
-    rows = df.withColumn("id", F.col(key))
-    model = "model" if "model" in df.columns else None
-    scored = [c for c in (name, "brand", "gtin", model) if c]
-    first = cut(rows.groupBy(*scored).agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    equal = rows.select("id", *scored).alias("r").join(first.where("n > 1").alias("f"), [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in scored]).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
-    pairs = block_pairs(first.where("brand is not null or gtin is not null"), "id", block_keys(name, model))  # others score 0 with any row
-    links = cut(score_pairs(equal.unionByName(pairs), rows, name).where(F.col("score") >= threshold).select("a", "b"))
+    rows = cut(prepared(df, key, name))
+    alike = [c for c in rows.columns if c != "id"]
+    first = cut(rows.groupBy(*alike).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    equal = rows.alias("r").join(first.where("n > 1").alias("f"), alike).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = candidate_pairs(first, "id", block_keys())
+    links = cut(score_pairs(equal.unionByName(pairs), rows, threshold).select("a", "b"))
     components = connected_components(links, "a", "b")
     return rows.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def canonical_records(df: DataFrame, name: str) -> DataFrame:
-    """One record a component: the commonest name (ties: longest, then greatest), prices, a stable id."""
-    names = df.groupBy("component", F.col(name).alias("n")).agg(F.count("*").alias("c"))
-    best = names.groupBy("component").agg(F.max(F.struct("c", F.length("n").alias("l"), "n")).alias("m")).select("component", F.col("m.n").alias("name"))
-    facts = df.groupBy("component").agg(F.count("*").alias("size"), F.min("price").alias("price_min"), F.max("price").alias("price_max"), F.median("price").alias("price_median"), F.min("brand").alias("brand"), F.min(canonical_gtin(F.col("gtin"))).alias("gtin"))
-    uid = stable_uid(F.coalesce("gtin", F.concat_ws("|", normalize_name(F.col("brand")), normalize_name(F.col("name")))))
-    return facts.join(best, "component").withColumn("uid", uid)
+def _majority(df: DataFrame, column: str) -> DataFrame:
+    """(component, column): of the texts of each component, the longest one of the commonest normalised form.
+
+    Equal counts go to the form with the longest text, equal lengths to the greater text.
+    """
+    texts = df.where(F.trim(F.col(column).cast("string")) != "").select("component", F.col(column).cast("string").alias("t"), normalize_name(F.col(column).cast("string")).alias("norm"))
+    forms = texts.groupBy("component", "norm").agg(F.count("*").alias("c"), F.max(F.struct(F.length("t").alias("l"), "t")).alias("m"))
+    return forms.groupBy("component").agg(F.max(F.struct("c", "m.l", "m.t")).alias("best")).select("component", F.col("best.t").alias(column))
+
+
+def _modal(df: DataFrame, column: str, code: bool) -> DataFrame:
+    """(component, column): the commonest value, or for codes the least text of the commonest code; equal counts go to the lesser value."""
+    texts = df.where(F.trim(F.col(column).cast("string")) != "").select("component", F.col(column).cast("string").alias("t"))
+    forms = texts.withColumn("norm", canonical_gtin(F.col("t")) if code else F.col("t")).where("norm is not null")
+    counts = forms.groupBy("component", "norm").agg(F.count("*").alias("c"), F.min("t").alias("t"))
+    return counts.groupBy("component").agg(F.min(F.struct((-F.col("c")).alias("c"), "norm", "t")).alias("best")).select("component", F.col("best.t").alias(column))
+
+
+def canonical_records(df: DataFrame) -> DataFrame:
+    """One record a component of the rows (component, and any catalogue columns).
+
+    Texts by majority, identifiers by mode, up to ``MAX_URLS`` distinct addresses (the least ones), prices, and a stable id from the code, else
+    brand and model, else name.
+    """
+    have = set(df.columns)
+    out = df.groupBy("component").agg(F.count("*").alias("size"))
+    for c in ("name", "title", "brand", "model", "description"):
+        if c in have:
+            out = out.join(_majority(df, c), "component", "left")
+    for c in (*CODES, "sku"):
+        if c in have:
+            out = out.join(_modal(df, c, c != "sku"), "component", "left")
+    for c in ("url", "product_url", "image", "image_url", "images"):
+        if c in have:
+            distinct = df.where(F.trim(F.col(c).cast("string")) != "").select("component", F.col(c).cast("string").alias("u")).distinct()
+            first = distinct.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("u"))).where(F.col("k") <= MAX_URLS)
+            out = out.join(first.groupBy("component").agg(F.array_sort(F.collect_list("u")).alias(f"{c}_list")), "component", "left")
+    price = next((c for c in ("price", "amount", "price_value") if c in have), None)
+    if price:
+        value = F.col(price).cast("string").try_cast("double")
+        out = out.join(df.groupBy("component").agg(F.min(value).alias("price_min"), F.max(value).alias("price_max"), F.median(value).alias("price_median")), "component", "left")
+    brand, model = normalize_name(_text(out, "brand")), normalize_name(_text(out, "model"))
+    code = F.coalesce(*[canonical_gtin(F.col(c)) for c in CODES if c in out.columns], F.lit(None).cast("string"))
+    named = F.nullif(normalize_name(_text(out, "name", "title")), F.lit(""))
+    both = F.when((brand != "") | (model != ""), F.concat(brand, F.lit("|"), model))
+    return out.withColumn("uid", stable_uid(F.coalesce(code, both, named)))
 
 
 def dedup_summary(mapped: DataFrame) -> DataFrame:

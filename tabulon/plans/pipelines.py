@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tabulon.functions.scalars import recommend, to_seconds
 from tabulon.operators import aggregates as A
 from tabulon.operators import cleaning as P
 from tabulon.operators import joins as J
@@ -25,51 +26,121 @@ def run_log_analytics(spark: SparkSession, source: str, out: str) -> list[Stream
     return [T.start(df, name, f"{out}/checkpoints/{name}", f"{out}/{name}") for name, df in frames.items()]
 
 
-def build_lakehouse(sales: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """Bronze, silver and gold tables: valid sales, latest by key, known products, and their aggregates."""
-    bronze, rejected = P.split_valid(sales, F.col("quantity") > 1)
-    silver = W.latest_by(bronze, ["order_id", "line_no", "product_id"], "event_time", "warehouse", "quantity", "amount")
-    enriched = J.join_dim(silver, products.select("product_id", "category"), "product_id")
-    gold = enriched.groupBy("warehouse", "category").agg(A.total("amount").alias("revenue"), F.count_distinct("order_id").alias("orders"))
-    return {"bronze": bronze, "rejected": rejected, "silver": silver, "unknown": J.anti_join(silver, products, "product_id"), "gold_category": gold, "gold_performance": R.sales_performance(silver, "3 days", "1 day")}
-
-
-def update_stock(inventory: DataFrame, sales: DataFrame, days: int) -> DataFrame:
-    """The next snapshot: the latest stock less what was sold in the last ``days`` days."""
-    now = W.latest_by(inventory, ["warehouse", "product_id"], "inventory_date")
-    sold = A.sales_by_warehouse_product(P.trailing(sales, "event_time", days))
-    return J.apply_sales_merge(now, sold)
-
-
-def run_audit(ledgers: Mapping[str, DataFrame]) -> DataFrame:
-    """How many rows of each audited ledger there are, and how many pass."""
-    parts = [df.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).select(F.lit(name).alias("ledger"), "n", "ok") for name, df in ledgers.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def build_lakehouse(sales: DataFrame, products: DataFrame, country: Column) -> dict[str, DataFrame]:
+    """Bronze, silver and gold tables: valid sales, the latest of each order, product and warehouse, known products, and their aggregates.
 
+    ``products`` is a reference (product_id, product_name, category, avg_cost); ``country`` is that of a warehouse.
+    """
+    bronze, rejected = P.split_valid(sales, (F.col("quantity") > 0) & (F.col("amount") > 0))
+    silver = W.latest_by(bronze, ["order_id", "product_id", "warehouse"], "event_time", "line_no", "quantity", "amount").withColumn("country", country)
+    enriched, unknown = R.enrich_stream(silver, products)
+    gold = enriched.groupBy("warehouse", "category").agg(A.total("amount").alias("revenue"), F.count_distinct("order_id").alias("orders"))
+    totals = A.order_totals(enriched, "country")
+    return {"bronze": bronze, "rejected": rejected, "silver": silver, "enriched": enriched, "unknown": unknown, "gold_category": gold, "gold_performance": R.sales_performance(enriched), "gold_anomalies": R.order_anomalies(totals)}
 
-def star_report(rows: DataFrame, boat: str, tie_keys: Sequence[str]) -> DataFrame:
-    """Sizes of the fact and its boat dimension, and the rows in ties."""
-    fact = W.flag_ties(rows.withColumn("boat", P.normalize_text(F.col(boat))), tie_keys)
-    one = fact.agg(F.count_distinct("boat").alias("b"), F.count("*").alias("f"), F.count_if("tied").alias("t"))
-    return one.selectExpr("stack(3, 'boats', b, 'fact', f, 'ties', t) as (name, n)")
 
+def update_stock(inventory: DataFrame, sales: DataFrame, days: int, newest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The next snapshot: the latest stock less what was sold in the last ``days`` days; and the sales that can't be applied.
 
-def run_fashion(products: DataFrame, transactions: DataFrame, region: str = "region_id") -> dict[str, DataFrame]:
-    """Cleaned dimension and fact, gates, and the top products of each region."""
-    dim = products.where("price > 0")
-    fact = J.known_only(transactions.where("quantity > 0"), dim, "product_id")
-    by = fact.groupBy(region, "product_id").agg(F.sum("quantity").alias("units"))
-    return {"products": dim, "sales": fact, "gates": Q.table_gates(dim, fact), "recommendations": W.top_n_per(by, [region], "units", 10, "product_id", dense=True)}
+    Sales of unknown products or without a positive quantity are rejected.
+    """
+    now = W.latest_by(inventory, ["warehouse", "product_id"], "inventory_date")
+    sold = A.sales_by_warehouse_product(P.trailing(sales, "event_time", days, newest=newest))
+    keys = now.select("warehouse", "product_id")
+    unknown = J.anti_join(sold, keys, ["warehouse", "product_id"]).withColumn("reason", F.lit("unknown product"))
+    valid, empty = P.split_valid(J.known_only(sold, keys, ["warehouse", "product_id"]), F.col("sold") > 0)
+    rejected = unknown.unionByName(empty.withColumn("reason", F.lit("no positive quantity")))
+    return {"inventory": J.apply_sales_merge(now, valid), "applied": valid, "rejected": rejected}
+
+
+def write_stock(spark: SparkSession, root: str, log: str, before: int, inventory: DataFrame, sales: DataFrame, days: int) -> int:
+    """Write the next version of the stock and a line of the version log; gives the new version, or the old one if no sale applies."""
+    out = update_stock(inventory, sales, days)
+    applied, rejected = out["applied"].count(), out["rejected"].count()
+    if not applied:
+        return before
+    T.write_versioned(out["inventory"], root, before + 1)
+    row = spark.createDataFrame([(before, before + 1, days, rejected, applied)], "previous_version int, current_version int, days int, invalid_rows long, valid_rows long")
+    row.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(log)
+    return before + 1
+
+
+def run_audit(ledgers: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The audit of each ledger that is there: tested rows, summaries of invoices, expenses by category."""
+    audits = {
+        "cash": Q.audit_cash,
+        "payable": lambda df: A.describe(df.withColumn("total", F.col("invoice_amount") + F.col("paid_amount")), ["invoice_amount", "paid_amount", "total"]),
+        "receivable": lambda df: A.describe(df.withColumn("total", F.col("invoice_amount") + F.col("received_amount")), ["invoice_amount", "received_amount", "total"]),
+        "cost_of_sales": Q.audit_cost_of_sales,
+        "operating_expenses": lambda df: A.sums_by(df, ["category"], "monthly_cost"),
+        "ppe": Q.audit_ppe,
+    }
+    return {name: audit(ledgers[name]) for name, audit in audits.items() if name in ledgers}
+
+
+def audit_counts(audited: Mapping[str, DataFrame]) -> DataFrame:
+    """How many rows of each tested ledger there are, and how many pass."""
+    parts = [df.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).select(F.lit(name).alias("ledger"), "n", "ok") for name, df in audited.items() if "ok" in df.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def build_star(rows: DataFrame) -> dict[str, DataFrame]:
+    """Race results (regatta, race, division, rank, sail, boat, class, club, rating, points, elapsed, corrected) as a fact with keys, three dimensions and a report.
+
+    Texts are normalised, times become seconds, ranks and numbers are coerced; a missing corrected time comes from elapsed time and
+    rating where both are there. The report has one row a check.
+    """
+    P.require_columns(rows, ["regatta", "race", "division", "rank", "sail", "boat", "class", "club", "rating", "points", "elapsed", "corrected"])
+    texts = {c: P.normalize_text(F.col(c)) for c in ("division", "boat", "class", "club")}
+    numbers = {c: P.coerce_integer(F.col(c).cast("string")) for c in ("regatta", "race", "rank")}
+    values = {c: F.col(c).cast("string").try_cast("double") for c in ("rating", "points")}
+    times = {c: to_seconds(F.col(c).cast("string")) for c in ("elapsed", "corrected")}
+    clean = rows.withColumns(texts | numbers | values | times | {"sail": F.nullif(F.upper(F.trim("sail")), F.lit(""))})
+    clean = clean.withColumn("race_key", P.compose_key(F.col("regatta"), F.col("race")))
+    fact = W.flag_ties(clean, ["regatta", "race", "division", "rank"])
+    boats = A.collapse_dim(clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "boat", "club")), "sail", "_o", "boat", "rating")
+    clubs = A.collapse_dim(clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "club", "boat")), "sail", "_o", "club", "rating").select("sail", "club")
+    dim_boat = boats.join(clubs, "sail")
+    dim_race = W.distinct_keys(clean.where("race_key is not null"), ["race_key", "regatta", "race"])
+    dim_division = W.distinct_keys(clean.where("division is not null"), ["division"])
+    checks = clean.agg(F.count("*").alias("rows"), F.count_if(F.col("elapsed").isNull()).alias("missing_elapsed"), F.count_if(F.col("corrected").isNull()).alias("missing_corrected"), F.count_if(F.col("sail").isNull()).alias("missing_sail"))
+    checks = checks.selectExpr("stack(4, 'rows', rows, 'missing_elapsed', missing_elapsed, 'missing_corrected', missing_corrected, 'missing_sail', missing_sail) as (name, n)")
+    ties = fact.where("tied").select("regatta", "race", "division", "rank").distinct().agg(F.count("*").alias("n")).select(F.lit("tie_groups").alias("name"), "n")
+    sizes = [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, d in (("boats", dim_boat), ("races", dim_race), ("divisions", dim_division))]
+    measures = fact.select("regatta", "race_key", "division", "sail", "rank", "points", "rating", "elapsed", "corrected", "tied")
+    return {"fact_results": measures, "dim_boat": dim_boat, "dim_race": dim_race, "dim_division": dim_division, "report": W.union_all(checks, ties, *sizes)}
+
+
+def run_fashion(products: DataFrame, transactions: DataFrame, days: int = 30, as_of: Column | None = None) -> dict[str, DataFrame]:
+    """Staged products and transactions as cleaned dimension and fact, the gates, and the ten best ranks of products of each region in the last ``days`` days."""
+    dim = P.transform_products(products)
+    fact = P.transform_transactions(transactions, dim)
+    by = P.trailing(fact, "sale_date", days, as_of).groupBy("region", "product_id").agg(F.sum("quantity").alias("units"))
+    return {"products": dim, "sales": fact, "gates": Q.table_gates(dim, fact), "recommendations": W.top_n_per(by, ["region"], "units", 10, "product_id", dense=True)}
+
+
+def run_retail_elt(sales: DataFrame, customers: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sales with their customer and product and a total (derived where the table has none), and the control totals."""
+    joined = J.left_join_renamed(J.left_join_renamed(sales, customers, "customer_id", "c_id"), products, "product_id", "p_id")
+    joined = P.derive_if_missing(joined, "total", F.col("quantity") * F.col("unit_price"))
+    return joined, joined.agg(F.round(F.sum("total"), 2).alias("total"), F.count_distinct("customer_id").alias("clients"))
 
 
-def run_retail_elt(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sales with their product and total, and the control totals."""
-    joined = P.derive_if_missing(sales.join(products, "product_id", "left"), "total", F.col("quantity") * F.col("unit_price"))
-    return joined, joined.agg(F.round(F.sum("total"), 2).alias("total"), F.count_distinct("customer_id").alias("clients"))
+def price_elasticity(weekly: DataFrame, products: DataFrame, min_product: int = 12, min_category: int = 50) -> DataFrame:
+    """Elasticity of each product with enough weeks, that of its category where it has too few, promotion uplift and advice."""
+    own = A.elasticity(weekly, "product_id", min_product)
+    known = weekly.join(products.select("product_id", "category"), "product_id")
+    by_category = A.elasticity(known, "category", min_category).select("category", "elasticity")
+    filled = J.with_category_fallback(own.select("product_id", "elasticity"), products, by_category, "elasticity")
+    sold = filled.join(own.select("product_id", "n"), "product_id", "left").join(A.promo_uplift(weekly, "product_id"), "product_id", "left")
+    return sold.withColumn("advice", recommend(F.col("elasticity"), F.when(F.col("n").isNotNull(), F.col("uplift"))))
 
 
-def run_catalog(spark: SparkSession, root: str, schema: str) -> dict[str, DataFrame]:
-    """Raw product files by source and day: latest per key, and the summary queries."""
+def run_catalog(spark: SparkSession, root: str, schema: str, out: str | None = None) -> dict[str, DataFrame]:
+    """Raw product files by source and day: latest per key, written to ``out`` by source and day if given, and the summary queries."""
     raw = T.read_partitioned_json(spark, root, schema)
     latest = W.latest_by(raw, ["source", "id"], "ingest_ts", "run_date")
+    if out is not None:
+        T.write_partitioned(latest, out, "source", "run_date")
+        latest = spark.read.parquet(out)
     return {"silver": latest, "top_brands": A.top_groups(latest, "brand", 10), "prices": A.bucket_counts(latest, P.price_bucket(F.col("price"))), "ratings": A.average_by(latest, "category", "rating")}

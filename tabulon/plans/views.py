@@ -29,6 +29,11 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def newest_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest time of a sale, from the base table alone."""
+    return table(spark, sf_dir, "lineitem").select(F.max("l_shipdate"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))

@@ -31,9 +31,14 @@ def _(spark, sf):
     return A.top_groups(table(spark, sf, "part"), "p_brand", 10)
 
 
-@register("a2_bucket_counts", "SELECT CASE WHEN o_totalprice < 50 THEN '0-50' WHEN o_totalprice < 100 THEN '50-100' WHEN o_totalprice < 500 THEN '100-500' WHEN o_totalprice < 1000 THEN '500-1000' ELSE '1000+' END AS bucket, count(*) AS n FROM orders GROUP BY 1")
+@register("a2_bucket_counts", "SELECT CASE WHEN v < 10 THEN '< $10' WHEN v < 50 THEN '$10-$49' WHEN v < 100 THEN '$50-$99' WHEN v < 500 THEN '$100-$499' ELSE '$500+' END AS bucket, count(*) AS n FROM (SELECT o_totalprice / 1000 AS v FROM orders) GROUP BY 1")
 def _(spark, sf):
-    return A.bucket_counts(table(spark, sf, "orders"), P.price_bucket(F.col("o_totalprice")))
+    return A.bucket_counts(table(spark, sf, "orders"), P.price_bucket(F.col("o_totalprice") / 1000))
+
+
+@register("a2_rating_counts", "SELECT CASE WHEN v >= 4.5 THEN '4.5-5.0' WHEN v >= 4.0 THEN '4.0-4.4' WHEN v >= 3.5 THEN '3.5-3.9' WHEN v >= 3.0 THEN '3.0-3.4' ELSE '< 3.0' END AS bucket, count(*) AS n FROM (SELECT l_quantity / 10 AS v FROM lineitem) GROUP BY 1")
+def _(spark, sf):
+    return A.bucket_counts(table(spark, sf, "lineitem"), P.rating_bucket(F.col("l_quantity") / 10))
 
 
 @register("a3_average_by", "SELECT p_type, avg(p_size) AS average, count(p_size) AS n FROM part GROUP BY 1")
@@ -85,7 +90,7 @@ def _(spark, sf):
     return A.order_totals(V.sales(spark, sf))
 
 
-@register("a12_quartiles", "SELECT event_type, CAST(ts AS DATE) AS day, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY ALL")
+@register("a12_quartiles", "SELECT event_type, CAST(ts AS DATE) AS day, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.75) AS q3 FROM events GROUP BY ALL")
 def _(spark, sf):
     return A.quartiles(table(spark, sf, "events"), ["event_type", F.to_date("ts").alias("day")], "value")
 
@@ -97,13 +102,12 @@ def _(spark, sf):
 
 @register("a14_period_kpis", _with("SELECT CAST(sum(amount) AS DOUBLE) AS total, CAST(sum(amount) AS DOUBLE) / count(DISTINCT order_id) AS average_order, sum(quantity) AS units, count(DISTINCT customer_id) AS customers FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 30 DAYS"))
 def _(spark, sf):
-    s = P.trailing(V.sales(spark, sf), "event_time", 30)
-    return s.agg(A.total("amount").alias("total"), (A.total("amount") / F.count_distinct("order_id")).alias("average_order"), F.sum("quantity").alias("units"), F.count_distinct("customer_id").alias("customers"))
+    return A.period_kpis(P.trailing(V.sales(spark, sf), "event_time", 30, newest=V.newest_sale(spark, sf)))
 
 
 @register("a15_qc_totals", _with("SELECT CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT customer_id) AS clients FROM sales"))
 def _(spark, sf):
-    return V.sales(spark, sf).agg(A.total("amount").alias("total"), F.count_distinct("customer_id").alias("clients"))
+    return A.qc_totals(V.sales(spark, sf))
 
 
 @register("a16_totals_with_all", _with("SELECT product_id, CASE WHEN grouping(warehouse) = 1 THEN 'ALL' ELSE warehouse END AS warehouse, sum(quantity) AS total FROM sales GROUP BY GROUPING SETS ((product_id, warehouse), (product_id))"))
@@ -127,7 +131,7 @@ def _(spark, sf):
     return A.elasticity(_weekly(spark, sf), "product_id", 12).select("product_id", F.round("elasticity", 6).alias("elasticity"), F.round("r2", 6).alias("r2"), "n")
 
 
-@register("a20_promo_uplift", _with("SELECT product_id, round(avg(units) FILTER (promo_share > 0.5) / avg(units) FILTER (promo_share <= 0.5) - 1, 6) AS uplift FROM weekly GROUP BY 1", WEEKLY))
+@register("a20_promo_uplift", _with("SELECT product_id, round(avg(units) FILTER (promo_share > 0) / avg(units) FILTER (promo_share = 0) - 1, 6) AS uplift FROM weekly GROUP BY 1", WEEKLY))
 def _(spark, sf):
     return A.promo_uplift(_weekly(spark, sf), "product_id").withColumn("uplift", F.round("uplift", 6))
 
@@ -151,10 +155,11 @@ def _(spark, sf):
     return A.waterfall(V.sales(spark, sf).join(V.products(spark, sf), "product_id"), F.col("price"))
 
 
-@register("a23_promo_table", _with("SELECT discount, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS sales, round(1 - sum(amount)::DOUBLE / sum(gross)::DOUBLE, 8) AS discount_share FROM sales GROUP BY 1"))
+@register("a23_promo_table", _with("SELECT 'campaign ' || k AS campaign_name, k > 0 AS is_promo, CAST(date_trunc('year', event_time) AS DATE) AS period, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS sales, round(1 - sum(amount)::DOUBLE / sum(gross)::DOUBLE, 8) AS discount_share FROM (SELECT *, CAST(round(discount * 100) AS BIGINT) % 4 AS k FROM sales) GROUP BY ALL"))
 def _(spark, sf):
-    by = V.sales(spark, sf).groupBy("discount").agg(F.count("*").alias("n"), A.total("amount").alias("sales"), A.total("gross").alias("g"))
-    return by.select("discount", "n", "sales", F.round(1 - F.col("sales") / F.col("g"), 8).alias("discount_share"))
+    s = V.sales(spark, sf).withColumn("campaign_id", F.round(F.col("discount") * 100).cast("long") % 4)
+    campaigns = spark.range(4).select(F.col("id").alias("campaign_id"), F.concat(F.lit("campaign "), F.col("id").cast("string")).alias("campaign_name"), (F.col("id") > 0).alias("is_promo"))
+    return A.promo_table(s, campaigns, F.to_date(F.date_trunc("year", "event_time"))).withColumn("discount_share", F.round("discount_share", 8))
 
 
 @register("a24_rfm", _with("SELECT customer_id, recency, frequency, monetary, CAST(ntile(5) OVER (ORDER BY recency DESC, customer_id) AS INTEGER) AS r_bin, CAST(ntile(5) OVER (ORDER BY frequency, customer_id) AS INTEGER) AS f_bin FROM (SELECT customer_id, CAST(date_diff('day', CAST(max(order_time) AS DATE), (SELECT CAST(max(order_time) AS DATE) FROM sales)) AS INTEGER) AS recency, count(DISTINCT order_id) AS frequency, CAST(sum(amount) AS DOUBLE) AS monetary FROM sales GROUP BY 1)"))
@@ -162,14 +167,19 @@ def _(spark, sf):
     return A.rfm(V.sales(spark, sf))
 
 
+@register("a24_rfm_heatmap", _with("SELECT r_bin, f_bin, count(*) AS customers, round(avg(monetary), 1) AS monetary FROM (SELECT customer_id, recency, frequency, monetary, CAST(ntile(5) OVER (ORDER BY recency DESC, customer_id) AS INTEGER) AS r_bin, CAST(ntile(5) OVER (ORDER BY frequency, customer_id) AS INTEGER) AS f_bin FROM (SELECT customer_id, CAST(date_diff('day', CAST(max(order_time) AS DATE), (SELECT CAST(max(order_time) AS DATE) FROM sales)) AS INTEGER) AS recency, count(DISTINCT order_id) AS frequency, CAST(sum(amount) AS DOUBLE) AS monetary FROM sales GROUP BY 1)) GROUP BY ALL"))
+def _(spark, sf):
+    return A.rfm_heatmap(A.rfm(V.sales(spark, sf))).withColumn("monetary", F.round("monetary", 1))
+
+
 @register("a25_cohort_retention", _with("SELECT cohort, CAST(date_diff('month', cohort, month) AS INTEGER) AS age, count(*) AS customers, any_value(size) AS size, count(*) / any_value(size)::DOUBLE AS retention FROM (SELECT DISTINCT customer_id, CAST(date_trunc('month', order_time) AS DATE) AS month FROM sales) JOIN first USING (customer_id) JOIN (SELECT cohort, count(*) AS size FROM first GROUP BY 1) USING (cohort) GROUP BY ALL", "first AS (SELECT customer_id, CAST(date_trunc('month', min(order_time)) AS DATE) AS cohort FROM sales GROUP BY 1)"))
 def _(spark, sf):
     return A.cohort_retention(V.sales(spark, sf))
 
 
-@register("a26_funnel", "WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS a, bool_or(event_type = 'click') AS b, bool_or(event_type = 'purchase') AS c FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1) SELECT 0 AS step, 'view' AS name, count(*) FILTER (a) AS users FROM u UNION ALL SELECT 1, 'click', count(*) FILTER (a AND b) FROM u UNION ALL SELECT 2, 'purchase', count(*) FILTER (a AND b AND c) FROM u")
+@register("a26_funnel", "WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS a, bool_or(event_type = 'click') AS b, bool_or(event_type = 'purchase') AS c FROM events GROUP BY 1) SELECT 0 AS step, 'view' AS name, count(*) FILTER (a) AS users FROM u UNION ALL SELECT 1, 'click', count(*) FILTER (a AND b) FROM u UNION ALL SELECT 2, 'purchase', count(*) FILTER (a AND b AND c) FROM u")
 def _(spark, sf):
-    return A.funnel(table(spark, sf, "events").where("ts < timestamp'2024-01-03'"), ["view", "click", "purchase"])
+    return A.funnel(table(spark, sf, "events"), ["view", "click", "purchase"])
 
 
 @register("a28_category_share", _with("SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS revenue, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM sales JOIN products USING (product_id) GROUP BY 1"))
@@ -179,7 +189,7 @@ def _(spark, sf):
 
 @register("a29_opex", "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM customer GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast(D).alias("total"))
+    return A.sums_by(table(spark, sf, "customer").withColumn("cost", F.col("c_acctbal").cast("decimal(18,2)")), ["c_mktsegment"], "cost")
 
 
 DESCRIBE = "SELECT '{c}' AS name, count({c})::DOUBLE AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, quantile_cont({c}, 0.25)::DOUBLE AS q1, median({c})::DOUBLE AS median, quantile_cont({c}, 0.75)::DOUBLE AS q3, max({c})::DOUBLE AS max FROM lineitem"
@@ -207,9 +217,9 @@ def _(spark, sf):
     return A.collapse_dim(p, "p_brand", "p_partkey", "p_name", "p_size")
 
 
-@register("a34_regatta_measures", "SELECT count(DISTINCT l_suppkey) AS boats, count(DISTINCT l_orderkey) AS races, count(*) FILTER (l_linenumber = 1) AS winners, avg(l_quantity) AS avg_points, median(l_quantity) AS median_points, count(*) FILTER (l_returnflag = 'R') * 100.0 / count(*) AS missing_pct FROM lineitem")
+@register("a34_regatta_measures", "SELECT count(DISTINCT l_suppkey) AS boats, count(DISTINCT l_orderkey) AS races, count(DISTINCT l_partkey) AS regattas, count(*) FILTER (l_linenumber = 1) AS winners, avg(l_quantity) AS avg_points, quantile_disc(l_quantity, 0.5) AS median_points, count(*) FILTER (l_returnflag = 'R') * 100.0 / count(*) AS missing_pct FROM lineitem")
 def _(spark, sf):
-    fact = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("boat"), F.col("l_orderkey").alias("race"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").alias("points"), F.when(F.col("l_returnflag") != "R", 1).alias("elapsed"))
+    fact = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("boat"), F.col("l_orderkey").alias("race"), F.col("l_partkey").alias("regatta"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").alias("points"), F.when(F.col("l_returnflag") != "R", 1).alias("elapsed"))
     return A.regatta_measures(fact).withColumn("missing_pct", F.col("missing_pct").cast(D))
 
 
@@ -235,7 +245,7 @@ def _(spark, sf):
 
 @register("a41_distinct_values", "SELECT DISTINCT p_type FROM part ORDER BY 1")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_type").distinct().orderBy("p_type")
+    return A.distinct_values(table(spark, sf, "part"), "p_type")
 
 
 @register("a42_coverage_score", _with("SELECT 100 - sum(CASE WHEN quantity_on_hand <= 20 THEN quantity_on_hand ELSE 0 END) / sum(quantity_on_hand) * 100 AS score FROM inventory", views=INV))
@@ -245,29 +255,32 @@ def _(spark, sf):
 
 @register("a43_sales_kpis", _with("SELECT region_id, CAST(date_trunc('month', event_time) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS total FROM sales GROUP BY ALL"))
 def _(spark, sf):
-    return V.sales(spark, sf).groupBy("region_id", F.to_date(F.date_trunc("month", "event_time")).alias("month")).agg(A.total("amount").alias("total"))
+    return A.sums_by(V.sales(spark, sf), ["region_id", F.to_date(F.date_trunc("month", "event_time")).alias("month")], "amount")
 
 
-@register("a44_app_log_stats", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+@register("a44_app_log_stats", "SELECT upper(event_type) AS level, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (date_trunc('millisecond', ts) > (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 1 HOUR) AS last_hour FROM events WHERE event_id % 9 <> 0 GROUP BY ALL")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - "), F.upper("event_type"), F.lit(" - user "), F.col("user_id").cast("string"))
+    lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 9 == 0, "no log line").otherwise(line).alias("line"))
+    parsed = lines.select(S.parse_app_log(F.col("line")).alias("r")).where("r is not null").select("r.*")
+    newest = table(spark, sf, "events").select(F.max(F.date_trunc("millisecond", "ts")))
+    return A.app_log_stats(parsed, newest.scalar())
 
 
-@register("a45_pipeline_health", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS products FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+@register("a45_pipeline_health", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS products, count(*) / count(DISTINCT json_extract_string(props, '$.k'))::DOUBLE AS avg_views FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
 def _(spark, sf):
-    e = P.trailing(V.events(spark, sf), "ts", 1)
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"))
+    return A.pipeline_health(P.trailing(V.events(spark, sf), "ts", 1))
 
 
-@register("a46_monitoring_series", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) / 3600.0::DOUBLE AS rate, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY ALL")
+@register("a46_monitoring_series", "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, * FROM events), w AS (SELECT window_start, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS error_rate, count(*) FILTER (value > 150) AS dlq FROM e GROUP BY 1) SELECT window_start, event_type, count(*) / 3600.0::DOUBLE AS rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, any_value(error_rate) AS error_rate, any_value(dlq) AS dlq FROM e JOIN w USING (window_start) GROUP BY ALL")
 def _(spark, sf):
-    return A.monitoring_series(table(spark, sf, "events"), 3600)
+    e = table(spark, sf, "events")
+    return A.monitoring_series(e, 3600, e.where("value > 150"))
 
 
 @register("a47_best_days", _with("SELECT day, revenue::DOUBLE AS revenue, revenue::DOUBLE / orders AS average_order FROM (SELECT CAST(event_time AS DATE) AS day, sum(amount) AS revenue, count(DISTINCT order_id) AS orders FROM sales GROUP BY 1) ORDER BY 2 DESC, 1 LIMIT 7"))
 def _(spark, sf):
-    by = V.sales(spark, sf).groupBy(F.to_date("event_time").alias("day")).agg(A.total("amount").alias("revenue"), F.count_distinct("order_id").alias("orders"))
-    return by.select("day", "revenue", (F.col("revenue") / F.col("orders")).alias("average_order")).orderBy(F.desc("revenue"), "day").limit(7)
+    return A.best_days(V.sales(spark, sf))
 
 
 # ---- scalar functions ----
@@ -311,7 +324,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.normalize_name(F.col("text"))).alias("h"))
 
 
-@register("f12_nfkd")
+@register("f12_nfkd", "SELECT doc_id, md5(strip_accents(lower(text))) AS h FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.nfkd("text")).alias("h"))
 
@@ -364,10 +377,13 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", S.dup_key(F.col("user_id"), F.col("event_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_type"))).alias("k"))
 
 
-@register("f23_recommend", _with("SELECT product_id, CASE WHEN e IS NULL THEN 'no data' WHEN e < -1.2 AND coalesce(u, 0) > 0.1 THEN 'promote' WHEN e < -1.0 THEN 'lower price' WHEN e > -0.5 THEN 'raise price' ELSE 'hold' END AS advice FROM (SELECT product_id, round(regr_slope(ln(units), ln(price)), 6) AS e, round(avg(units) FILTER (promo_share > 0.5) / avg(units) FILTER (promo_share <= 0.5) - 1, 6) AS u FROM weekly GROUP BY 1)", WEEKLY))
+ADVICE = "CASE WHEN e IS NULL THEN 'Keep price; insufficient data' WHEN e > -0.8 THEN 'Candidate +2–5% price (inelastic)' WHEN e < -1.2 AND u < 0.05 THEN 'Reduce discounts; focus on value' ELSE 'Monitor price; A/B small steps' END"
+
+
+@register("f23_recommend", _with("SELECT product_id, " + ADVICE + " AS advice FROM (SELECT product_id, CASE WHEN count(*) >= 12 THEN round(regr_slope(ln(units), ln(price)), 6) END AS e, round(avg(units) FILTER (promo_share > 0) / avg(units) FILTER (promo_share = 0) - 1, 6) AS u FROM weekly GROUP BY 1)", WEEKLY))
 def _(spark, sf):
     w = _weekly(spark, sf)
-    both = A.promo_uplift(w, "product_id").join(A.elasticity(w, "product_id", 0), "product_id", "left")
+    both = A.promo_uplift(w, "product_id").join(A.elasticity(w, "product_id", 12), "product_id", "left")
     return both.select("product_id", S.recommend(F.round("elasticity", 6), F.round("uplift", 6)).alias("advice"))
 
 

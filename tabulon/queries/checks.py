@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import scalars as S
 from tabulon.operators import aggregates as A
+from tabulon.operators import cleaning as P
 from tabulon.operators import joins as J
 from tabulon.operators import quality as Q
 from tabulon.operators import windows as W
@@ -13,7 +15,7 @@ from tabulon.operators.graph import connected_components
 from tabulon.plans import forecasting, matching, pipelines
 from tabulon.plans import views as V
 from tabulon.queries.analytics import CLF_CTE, COSTS, INV, WEEKLY
-from tabulon.queries.relational import _with
+from tabulon.queries.relational import STAGED, STAGED_DIM, STAGED_FACT, STOCK, _with, staged_products, staged_transactions
 from tabulon.registry import register
 from tabulon.session import table
 from tabulon.streaming import metrics as R
@@ -36,13 +38,13 @@ TX = """tx AS (SELECT l_orderkey, l_partkey, l_suppkey, (l_orderkey + l_partkey)
 (l_orderkey + l_partkey) % 13 = 0 AND (l_orderkey + l_partkey) % 3 <> 0 AS r4 FROM lineitem)"""
 
 
-@register("q4_q10_validate", "WITH " + TX + " SELECT l_orderkey, l_partkey, l_suppkey, concat_ws(',', CASE WHEN r1 THEN 'product_required' END, CASE WHEN r2 THEN 'store_short' END, CASE WHEN r3 THEN 'total_mismatch' END, CASE WHEN r4 THEN 'large_needs_card' END) AS errors, NOT (r1 OR r3 OR r4) AS is_valid FROM tx")
+@register("q4_q10_validate", "WITH " + TX + " SELECT l_orderkey, l_partkey, l_suppkey, concat_ws(',', CASE WHEN r1 THEN 'product_required' END, CASE WHEN r2 THEN 'store_short' END, CASE WHEN r3 THEN 'transaction_amount_calculation' END, CASE WHEN r4 THEN 'high_value_transaction_payment' END) AS errors, NOT (r1 OR r3) AS is_valid FROM tx")
 def _(spark, sf):
     v = Q.validate(_transactions(spark, sf), _rules())
     return v.select("l_orderkey", "l_partkey", "l_suppkey", F.array_join(F.transform("validation_errors", lambda e: e["rule_name"]), ",").alias("errors"), "is_valid")
 
 
-@register("q11_route", "WITH " + TX + " SELECT CASE WHEN NOT (r1 OR r3 OR r4) THEN 'valid' WHEN r1 THEN 'dead' ELSE 'invalid' END AS route, count(*) AS n FROM tx GROUP BY 1")
+@register("q11_route", "WITH " + TX + " SELECT CASE WHEN NOT (r1 OR r3) THEN 'valid' WHEN r1 THEN 'dead' ELSE 'invalid' END AS route, count(*) AS n FROM tx GROUP BY 1")
 def _(spark, sf):
     parts = Q.route(Q.validate(_transactions(spark, sf), _rules()))
     named = [p.select(F.lit(n).alias("route")) for p, n in zip(parts, ("valid", "dead", "invalid"), strict=True)]
@@ -51,7 +53,7 @@ def _(spark, sf):
 
 @register("q2_expect_or_drop", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
 def _(spark, sf):
-    return Q.expect_or_drop(table(spark, sf, "orders"), "price", F.col("o_totalprice") > 100000).select("o_orderkey")
+    return Q.expect_or_drop(table(spark, sf, "orders"), "price", F.col("o_totalprice") > 100000)[0].select("o_orderkey")
 
 
 @register("q1_expect_or_fail", "SELECT o_orderkey FROM orders")
@@ -69,17 +71,56 @@ def _(spark, sf):
     return Q.duplicate_rule(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_suppkey", "is_duplicate")
 
 
-@register("q8_stock_rules", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'large_change_reason,negative_reason' WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'negative_reason' ELSE '' END AS errors FROM events")
+def _typed_events(spark, sf):
+    """Events as texts of three types and an unknown one, some of them wrong on purpose."""
+    k, n = F.col("event_id"), F.col("event_id").cast("string")
+    kind = F.element_at(F.array(F.lit("click"), F.lit("transaction"), F.lit("stock"), F.lit("other")), (k % 4 + 1).cast("int"))
+    return table(spark, sf, "events").select(
+        "event_id", "ts", kind.alias("event_type"), F.when(k % 7 == 0, F.concat(F.lit("item "), n)).otherwise(F.concat(F.lit("product_"), n)).alias("product_id"), F.when(k % 5 != 0, F.concat(F.lit("user_"), n)).alias("user_id"),
+        F.concat(F.lit("store_"), n).alias("store_id"), F.lit("warehouse_1").alias("warehouse_id"), F.when(k % 3 == 0, "x").otherwise((k % 1500).cast("string")).alias("quantity"), F.lit("2.5").alias("unit_price"),
+        F.when(k % 3 != 1, (k % 30 * 1000 - 15000).cast("string")).alias("quantity_change"), F.when(k % 6 == 0, "").otherwise("EUR").alias("currency"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+    )
+
+
+TYPED = """te AS (SELECT event_id, ts, event_id % 4 AS t, event_id % 7 = 0 AS bad_product, event_id % 5 = 0 AS no_user, event_id % 3 = 0 AS no_number, event_id % 1500 AS q, event_id % 30 * 1000 - 15000 AS c, event_id % 3 <> 1 AS has_c, event_id % 6 = 0 AS no_currency FROM events)"""
+
+
+@register("q4_schema_rules", "WITH " + TYPED + """ SELECT event_id, concat_ws(',', CASE WHEN t = 3 THEN 'valid_event_type:event_type' END, CASE WHEN t = 0 AND no_user THEN 'required_field:user_id' END, CASE WHEN t = 0 AND bad_product THEN 'field_pattern:product_id' END,
+CASE WHEN t = 1 AND no_number THEN 'field_type:quantity' END, CASE WHEN t = 1 AND bad_product THEN 'field_pattern:product_id' END, CASE WHEN t = 1 AND no_currency THEN 'field_pattern:currency' END, CASE WHEN t = 1 AND NOT no_number AND q NOT BETWEEN 1 AND 1000 THEN 'field_range:quantity' END,
+CASE WHEN t = 2 AND NOT has_c THEN 'required_field:quantity_change' END, CASE WHEN t = 2 AND bad_product THEN 'field_pattern:product_id' END, CASE WHEN t = 2 AND has_c AND c NOT BETWEEN -10000 AND 10000 THEN 'field_range:quantity_change' END) AS errors FROM te""")
+def _(spark, sf):
+    e = _typed_events(spark, sf)
+    named = F.transform("validation_errors", lambda x: F.concat(x["rule_name"], F.lit(":"), x["field"]))
+    return Q.validate(e, Q.schema_rules(e.columns)).select("event_id", F.array_join(named, ",").alias("errors"))
+
+
+@register("q5_completeness_rules", "WITH " + TYPED + " SELECT event_id, concat_ws(',', CASE WHEN no_currency THEN 'data_completeness:currency' END, CASE WHEN no_number OR q < 10 THEN 'data_completeness:quantity' END, CASE WHEN t = 0 THEN 'important_field_missing:session_id' END, CASE WHEN t = 0 THEN 'important_field_missing:page_type' END, CASE WHEN t = 1 AND no_currency THEN 'important_field_missing:currency' END, CASE WHEN t = 1 THEN 'important_field_missing:payment_method' END, CASE WHEN t = 2 THEN 'important_field_missing:reason' END) AS errors, true AS is_valid FROM te")
+def _(spark, sf):
+    e = _typed_events(spark, sf)
+    named = F.transform("validation_errors", lambda x: F.concat(x["rule_name"], F.lit(":"), x["field"]))
+    return Q.validate(e, Q.completeness_rules(e.columns, ["currency", "quantity"])).select("event_id", F.array_join(named, ",").alias("errors"), "is_valid")
+
+
+@register("q6_window_duplicates", "SELECT event_id, event_type IN ('click', 'view') AND count(*) OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts), event_type IN ('click', 'view'), user_id % 20, event_type) > 1 AS is_duplicate FROM events")
+def _(spark, sf):
+    kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "view", "stock").otherwise("other")
+    u = (F.col("user_id") % 20).cast("string")
+    e = table(spark, sf, "events").select("event_id", "ts", kind.alias("event_type"), u.alias("user_id"), u.alias("product_id"), F.lit("w").alias("warehouse_id"), F.lit("t").alias("timestamp"))
+    return Q.window_duplicates(e, "ts", "1 hour").select("event_id", "is_duplicate")
+
+
+@register("q8_stock_rules", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'large_stock_change_reason,negative_stock_reason' WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'negative_stock_reason' ELSE 'large_stock_change_reason' END AS errors, true AS is_valid FROM events")
 def _(spark, sf):
     m = F.col("event_id") % 4
-    e = table(spark, sf, "events").select("event_id", F.when(m == 0, -2000).when(m == 1, -5).when(m == 2, -6).otherwise(7).alias("change"), F.when(m == 1, "sale").when(m == 2, "magic").alias("reason"))
-    return Q.validate(e, Q.stock_rules("change", "reason")).select("event_id", F.array_join(F.transform("validation_errors", lambda x: x["rule_name"]), ",").alias("errors"))
+    e = table(spark, sf, "events").select("event_id", F.when(m == 0, -2000).when(m == 1, -5).when(m == 2, -6).otherwise(1001).alias("change"), F.when(m == 1, "damaged").when(m == 2, "restock").when(m == 3, "transfer").alias("reason"))
+    return Q.validate(e, Q.stock_rules("change", "reason")).select("event_id", F.array_join(F.transform("validation_errors", lambda x: x["rule_name"]), ",").alias("errors"), "is_valid")
 
 
-@register("q9_click_rules", "SELECT event_id, event_id % 5 <> 0 AND user_id BETWEEN 1 AND 1000000 AS is_valid FROM events")
+@register("q9_click_rules", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 OR user_id = 0 THEN 'session_id_range' ELSE '' END AS errors, true AS is_valid FROM events")
 def _(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.concat(F.lit("s-"), F.col("user_id").cast("string"))).alias("session"))
-    return Q.validate(e, Q.click_rules("session")).select("event_id", "is_valid")
+    m = F.col("event_id") % 5
+    e = table(spark, sf, "events").select("event_id", F.when(m == 0, "session_abc").when(m == 1, "session_1000001").otherwise(F.concat(F.lit("session_"), F.col("user_id").cast("string"))).alias("session"))
+    return Q.validate(e, Q.click_rules("session")).select("event_id", F.array_join(F.transform("validation_errors", lambda x: x["rule_name"]), ",").alias("errors"), "is_valid")
 
 
 @register("q12_table_gates", _with("SELECT 'product_price' AS gate, count(*) FILTER (NOT price > 0) AS n, count(*) FILTER (NOT price > 0) = 0 AS passed FROM products UNION ALL SELECT 'sale_quantity', count(*) FILTER (NOT quantity > 0), count(*) FILTER (NOT quantity > 0) = 0 FROM sales UNION ALL SELECT 'sale_orphan', count(*), count(*) = 0 FROM sales WHERE product_id NOT IN (SELECT product_id FROM products)"))
@@ -132,9 +173,9 @@ def _(spark, sf):
     return Q.check_fresh(table(spark, sf, "events"), "ts", 30, F.lit("2024-01-20").cast("timestamp"))
 
 
-@register("a38_dq_counters", "WITH " + TX + " SELECT count(*) AS total, count(*) FILTER (NOT (r1 OR r3 OR r4)) AS valid, count(*) FILTER (r1 OR r3 OR r4) AS invalid, count(*) FILTER (r1) AS missing, sum(r1::INT + r2::INT + r3::INT + r4::INT)::BIGINT AS rule_violations FROM tx")
+@register("a38_dq_counters", "WITH " + TX + " SELECT count(*) AS total, count(*) FILTER (NOT (r1 OR r3)) AS valid, count(*) FILTER (r1 OR r3) AS invalid, sum(d::INT)::BIGINT AS duplicates, count(*) FILTER (r1) AS missing, sum(r1::INT + r2::INT + r3::INT + r4::INT)::BIGINT AS rule_violations FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1 AS d FROM tx)")
 def _(spark, sf):
-    return Q.dq_counters(Q.validate(_transactions(spark, sf), _rules()))
+    return Q.dq_counters(Q.duplicate_rule(Q.validate(_transactions(spark, sf), _rules()), ["l_orderkey", "l_partkey"]))
 
 
 # ---- windowed metrics, on the batch form of their streams ----
@@ -172,6 +213,11 @@ def _(spark, sf):
     return R.gmv_per_minute(table(spark, sf, "events").where("event_type = 'purchase'"))
 
 
+@register("r6_orders_per_minute", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS orders FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
+def _(spark, sf):
+    return R.orders_per_minute(table(spark, sf, "events").where("event_type = 'purchase'"))
+
+
 @register("r8_product_views", "WITH " + V.SQL["ev"] + " SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, product_id, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY ALL")
 def _(spark, sf):
     return R.product_counts(V.events(spark, sf).where("event_type = 'view'"), "1 minute")
@@ -188,27 +234,48 @@ def _(spark, sf):
     return R.windowed_sums(V.events(spark, sf).where("event_type = 'purchase'"), "store_id", F.lit(1), 300)
 
 
-SLIDING = "SELECT w AS window_start, w + INTERVAL 3 DAYS AS window_end, warehouse, CAST(sum(amount) AS DOUBLE) AS revenue, sum(quantity) AS units, count(DISTINCT order_id) AS orders FROM (SELECT *, CAST(event_time AS DATE) - INTERVAL 1 DAY * k AS w FROM sales, range(3) t(k)) GROUP BY ALL"
+COUNTRIES = {"NATION_1": "Romania", "NATION_2": "Germany", "NATION_3": "France"}
+COUNTRY_SQL = "CASE warehouse WHEN 'NATION_1' THEN 'Romania' WHEN 'NATION_2' THEN 'Germany' WHEN 'NATION_3' THEN 'France' ELSE 'Unknown' END"
+ENRICHED = f"e AS (SELECT sales.*, category, {COUNTRY_SQL} AS country, CAST(amount - CAST(quantity AS DECIMAL(18,4)) * CAST(price AS DECIMAL(18,4)) AS DECIMAL(18,2)) AS margin FROM sales JOIN products USING (product_id) WHERE size > 2)"
+
+
+def _country():
+    return P.lookup(F.col("warehouse"), COUNTRIES, "Unknown")
+
+
+def _reference(spark, sf):
+    """Products of which the reference table knows name and cost."""
+    return V.products(spark, sf).where("size > 2").select("product_id", "product_name", "category", F.col("price").alias("avg_cost"))
+
 
+def _enriched(spark, sf):
+    return R.enrich_stream(V.sales(spark, sf).withColumn("country", _country()), _reference(spark, sf))
 
-@register("r11_sales_performance", _with(SLIDING, views=("sales",)))
+
+SLIDING = "SELECT w AS window_start, w + INTERVAL 3 DAYS AS window_end, warehouse, country, CAST(sum(amount) AS DOUBLE) AS revenue, sum(quantity) AS units, CAST(sum(margin) AS DOUBLE) AS margin, count(DISTINCT order_id) AS orders FROM (SELECT *, CAST(event_time AS DATE) - INTERVAL 1 DAY * k AS w FROM e, range(3) t(k)) GROUP BY ALL"
+
+
+@register("r11_sales_performance", _with(SLIDING, ENRICHED))
+def _(spark, sf):
+    return R.sales_performance(_enriched(spark, sf)[0], "3 days", "1 day")
+
+
+@register("r14_unknown_products", _with("SELECT order_id, line_no, product_id, warehouse, CAST(amount AS DOUBLE) AS amount FROM sales WHERE product_id NOT IN (SELECT product_id FROM products WHERE size > 2)"))
 def _(spark, sf):
-    return R.sales_performance(V.sales(spark, sf), "3 days", "1 day")
+    return _enriched(spark, sf)[1].select("order_id", "line_no", "product_id", "warehouse", F.col("amount").cast(D).alias("amount"))
 
 
-@register("r12_order_anomalies", _with("SELECT window_start, window_start + INTERVAL 30 DAYS AS window_end, order_id, warehouse, order_total FROM w JOIN q USING (window_start, warehouse) WHERE q3 > q1 AND (order_total < q1 - 1.5 * (q3 - q1) OR order_total > q3 + 1.5 * (q3 - q1))", "t AS (SELECT order_id, warehouse, max(event_time) AS last_time, CAST(sum(amount) AS DOUBLE) AS order_total FROM sales GROUP BY ALL), w AS (SELECT t.*, time_bucket(INTERVAL 30 DAYS, last_time, TIMESTAMP '1970-01-01') AS window_start FROM t), q AS (SELECT window_start, warehouse, quantile_cont(order_total, 0.25) AS q1, quantile_cont(order_total, 0.75) AS q3 FROM w GROUP BY ALL)", views=("sales",)))
+@register("r12_order_anomalies", _with("SELECT window_start, window_start + INTERVAL 30 DAYS AS window_end, order_id, warehouse, country, order_total, q1, q3, q3 - q1 AS iqr, q3 <> q1 AND (order_total < q1 - 1.5 * (q3 - q1) OR order_total > q3 + 1.5 * (q3 - q1)) AS is_anomalous FROM w JOIN q USING (window_start, warehouse)", f"t AS (SELECT order_id, warehouse, {COUNTRY_SQL} AS country, max(event_time) AS last_time, CAST(sum(amount) AS DOUBLE) AS order_total FROM sales GROUP BY ALL), w AS (SELECT t.*, time_bucket(INTERVAL 15 DAYS, last_time, TIMESTAMP '1970-01-01') - INTERVAL 15 DAY * k AS window_start FROM t, range(2) r(k)), q AS (SELECT window_start, warehouse, quantile_disc(order_total, 0.25) AS q1, quantile_disc(order_total, 0.75) AS q3 FROM w GROUP BY ALL)", views=("sales",)))
 def _(spark, sf):
-    totals = A.order_totals(V.sales(spark, sf))
-    return R.order_anomalies(totals, 1.5, "30 days", "30 days").select("window_start", "window_end", "order_id", "warehouse", "order_total")
+    totals = A.order_totals(V.sales(spark, sf).withColumn("country", _country()), "country").drop("units")
+    return R.order_anomalies(totals, 1.5, "30 days", "15 days", accuracy=10_000).drop("last_time")
 
 
-@register("r15_parse_events", "SELECT event_id % 6 AS kind, CASE WHEN event_id % 6 = 0 THEN 'malformed' WHEN event_id % 6 = 1 THEN 'missing: qty' END AS error, count(*) AS n FROM events GROUP BY ALL")
+@register("r15_parse_events", "SELECT event_id % 6 AS kind, CASE WHEN event_id % 6 = 0 THEN 'malformed' WHEN event_id % 6 = 1 THEN 'missing: qty' END AS error, CASE WHEN event_id % 6 > 1 THEN 2 END AS qty, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
     m = F.col("event_id") % 6
     raw = table(spark, sf, "events").select(m.alias("kind"), F.when(m == 0, "oops").when(m == 1, '{"product_id": "P1"}').otherwise('{"product_id": "P1", "qty": 2}').alias("value"))
-    parsed = R.parse_events(raw, "product_id string, qty int", ["product_id", "qty"])
-    kind = F.when(F.col("raw") == "oops", 0).when(F.col("qty").isNull(), 1)
-    return table(spark, sf, "events").select(m.alias("kind")).distinct().join(parsed.select(F.coalesce(kind, F.lit(2)).alias("k"), "error").distinct(), F.least("kind", F.lit(2)) == F.col("k")).drop("k").join(table(spark, sf, "events").groupBy(m.alias("kind")).agg(F.count("*").alias("n")), "kind")
+    return R.parse_events(raw, "product_id string, qty int", ["product_id", "qty"], keep=["kind"]).groupBy("kind", "error", "qty").agg(F.count("*").alias("n"))
 
 
 @register("r21_inspect_dlq", "SELECT 'malformed' AS error, count(*) AS n, 'oops' AS example FROM events WHERE event_id % 6 = 0")
@@ -224,35 +291,46 @@ def _(spark, sf):
 
 @register("j14_error_rate", f"WITH {CLF_CTE}, q AS (SELECT {MINUTE} AS window_start, count(*) AS requests, count(*) FILTER (status_code >= 500) AS errors FROM parsed GROUP BY 1) SELECT window_start, requests, errors, errors * 100.0::DOUBLE / requests AS error_rate FROM q")
 def _(spark, sf):
-    logs = _logs(spark, sf)
-    return J.error_rate(R.requests_per_minute(logs).select("window_start", "requests"), R.errors_per_minute(logs).select("window_start", "errors"))
+    return R.error_rate(_logs(spark, sf)).select("window_start", "requests", "errors", "error_rate")
 
 
-@register("a27_log_summary", f"WITH {CLF_CTE} SELECT (SELECT count(*) FROM log_lines) AS lines, count(*) AS parsed, count(*) FILTER (status_code >= 400) AS errors, count(DISTINCT client_ip) AS clients, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log_lines), 6) AS success_pct FROM parsed")
+@register("a27_log_summary", f"WITH {CLF_CTE} SELECT 'total' AS kind, 'lines' AS key, count(*) AS n FROM log_lines UNION ALL SELECT 'total', 'parsed', count(*) FROM parsed UNION ALL SELECT 'total', 'errors', count(*) FROM parsed WHERE status_code >= 400 UNION ALL SELECT 'class', (status_code // 100) || 'xx', count(*) FROM parsed GROUP BY 2 UNION ALL SELECT 'method', split_part(request_line, ' ', 1), count(*) FROM parsed GROUP BY 2 UNION ALL SELECT 'endpoint', split_part(split_part(request_line, ' ', 2), '?', 1), count(*) FROM parsed GROUP BY 2")
 def _(spark, sf):
     r = V.logs(spark, sf).withColumn("r", S.parse_clf(F.col("line")))
-    return r.agg(F.count("*").alias("lines"), F.count("r").alias("parsed"), F.count_if(S.is_error(F.col("r.status_code"))).alias("errors"), F.count_distinct("r.client_ip").alias("clients"), F.round(F.count("r") * 100.0 / F.count("*"), 6).alias("success_pct"))
+    q, c = F.col("r.request_line"), F.col("r.status_code")
+    return A.log_summary(r, F.col("r"), S.status_class(c), S.http_method(q), S.endpoint(q), c)
 
 
 # ---- composite pipelines ----
 
 
-@register("c5_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, o_orderkey % 700 + 1000 AS b FROM orders WHERE o_orderkey % 40 = 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON r.id = g.a) SELECT id, min(c) AS component FROM r GROUP BY id""")
+@register("c5_connected_components", "SELECT n_nationkey AS id, n_nationkey AS component FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) UNION ALL SELECT c_custkey + 1000, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_orderkey + 1000000000, c_nationkey FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) JOIN customer ON o_custkey = c_custkey")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 40 = 0")
-    return connected_components(o.select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") % 700 + 1000).alias("dst")))
+    """Nations, customers and orders: each customer hangs on a nation, a customer's orders are a chain from it."""
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") + 1_000_000_000).alias("k"), "o_custkey").distinct()
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
+    chain = o.withColumn("before", F.lag("k").over(Window.partitionBy("o_custkey").orderBy("k"))).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    steps = chain.select(F.col("k").alias("src"), F.coalesce("before", F.col("c_custkey") + 1000).alias("dst"))
+    return connected_components(steps.union(chain.select((F.col("c_custkey") + 1000).alias("src"), F.col("nation").alias("dst"))))
 
 
 @register("c4_deduplicate")
 def _(spark, sf):
     p = V.products(spark, sf)
-    return matching.deduplicate(p.select(F.col("product_id").alias("id"), "product_name", "brand", F.lit(None).cast("string").alias("gtin"), "category", "price"), "id", "product_name")
+    return matching.deduplicate(p.withColumn("name", F.col("product_name")), "product_id")
 
 
-@register("c6_canonical_records", "SELECT p_brand, min(p_retailprice) AS price_min, max(p_retailprice) AS price_max, median(p_retailprice) AS price_median, count(*) AS size FROM part GROUP BY 1")
+@register("c6_canonical_records", """WITH r AS (SELECT p_brand AS component, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, p_type, p_retailprice AS price, CASE WHEN p_partkey % 4 = 0 THEN '1234567' || p_partkey % 2 END AS gtin, 'u' || p_size AS url FROM part),
+n AS (SELECT component, lower(name) AS norm, count(*) AS c, max(length(name)) AS l, arg_max(name, (length(name), name)) AS t FROM r GROUP BY ALL), best AS (SELECT component, arg_max(t, (c, l, t)) AS name FROM n GROUP BY 1)
+SELECT component, any_value(best.name) AS name, count(*) AS size, min(price) AS price_min, max(price) AS price_max, median(price) AS price_median, min(gtin) AS gtin, array_to_string(list_sort(list_distinct(list(url))), ',') AS urls,
+left(sha1(coalesce(lpad(min(gtin), 14, '0'), regexp_replace(trim(lower(component)), '[^a-z0-9]+', ' ', 'g') || '|')), 16) AS uid FROM r JOIN best USING (component) GROUP BY 1""")
 def _(spark, sf):
-    p = V.products(spark, sf).withColumns({"component": F.col("brand"), "gtin": F.lit(None).cast("string")})
-    return matching.canonical_records(p, "product_name").select(F.col("component").alias("p_brand"), "price_min", "price_max", "price_median", "size")
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(
+        F.col("p_brand").alias("component"), F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"),
+        F.when(k % 4 == 0, F.concat(F.lit("1234567"), (k % 2).cast("string"))).alias("gtin"), F.concat(F.lit("u"), F.col("p_size").cast("string")).alias("url"),
+    )
+    return matching.canonical_records(p).withColumn("urls", F.array_join("url_list", ",")).select("component", "name", "size", "price_min", "price_max", "price_median", "gtin", "urls", "uid")
 
 
 @register("a39_dedup_summary", "SELECT count(*) AS records, count(DISTINCT p_brand || p_name) AS clusters, (SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_brand || p_name HAVING count(*) > 1)) AS multi, count(*) / count(DISTINCT p_brand || p_name)::DOUBLE AS mean_size FROM part")
@@ -260,15 +338,36 @@ def _(spark, sf):
     return matching.dedup_summary(V.products(spark, sf).withColumn("component", F.concat("brand", "product_name")))
 
 
-@register("c3_update_stock", _with("SELECT warehouse, product_id, greatest(q - coalesce(sold, 0), 0) AS quantity_on_hand FROM inv LEFT JOIN so USING (warehouse, product_id)", "inv AS (SELECT warehouse, product_id, arg_max(quantity_on_hand, inventory_date) AS q FROM inventory GROUP BY ALL), so AS (SELECT warehouse, product_id, sum(quantity) AS sold FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 365 DAYS GROUP BY ALL)", views=INV))
+STOCKED = """inv AS (SELECT warehouse, product_id, arg_max(quantity_on_hand, inventory_date) AS q, max(inventory_date) AS inventory_date FROM inventory WHERE product_id % 5 <> 0 GROUP BY ALL),
+so AS (SELECT warehouse, product_id, sum(quantity) AS sold, max(event_time) AS new_sale, CAST(sum(amount) AS DOUBLE) AS revenue FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 365 DAYS GROUP BY ALL)"""
+
+
+def _stock(spark, sf):
+    inventory = V.inventory(spark, sf).where("product_id % 5 <> 0").withColumns({"last_sale": F.lit(None).cast("timestamp"), "lifetime_revenue": F.lit(None).cast(D)})
+    return pipelines.update_stock(inventory, V.sales(spark, sf), 365, V.newest_sale(spark, sf))
+
+
+@register("c3_update_stock", _with("SELECT warehouse, product_id, inventory_date, CASE WHEN sold IS NULL THEN q ELSE greatest(q - sold, 0) END AS quantity_on_hand, new_sale AS last_sale, revenue AS lifetime_revenue FROM inv LEFT JOIN so USING (warehouse, product_id)", STOCKED, views=INV))
 def _(spark, sf):
-    return pipelines.update_stock(V.inventory(spark, sf), V.sales(spark, sf), 365).select("warehouse", "product_id", "quantity_on_hand")
+    return _stock(spark, sf)["inventory"].select("warehouse", "product_id", "inventory_date", "quantity_on_hand", "last_sale", "lifetime_revenue")
 
 
-@register("c9_price_elasticity", _with("SELECT category, round(regr_slope(ln(units), ln(weekly.price)), 5) AS elasticity FROM weekly JOIN products USING (product_id) GROUP BY 1", WEEKLY))
+@register("c3_rejected_sales", _with("SELECT warehouse, product_id, sold, 'unknown product' AS reason FROM so WHERE NOT EXISTS (SELECT 1 FROM inv WHERE inv.warehouse = so.warehouse AND inv.product_id = so.product_id)", STOCKED, views=INV))
 def _(spark, sf):
-    w = A.weekly_product(V.sales(spark, sf), F.col("discount") > 0.05).join(V.products(spark, sf).select("product_id", "category"), "product_id")
-    return A.elasticity(w, "category", 50).select("category", F.round("elasticity", 5).alias("elasticity"))
+    return _stock(spark, sf)["rejected"].select("warehouse", "product_id", "sold", "reason")
+
+
+@register("q16_check_stock", _with("SELECT count(*) AS rows, count(*) FILTER (greatest(before - coalesce(sold, 0), 0) <> after) AS inconsistent, count(*) FILTER (after < 0) AS negative FROM prev JOIN cur USING (warehouse, product_id) LEFT JOIN sold USING (warehouse, product_id)", STOCK))
+def _(spark, sf):
+    s = V.sales(spark, sf)
+    by = lambda cond: s.where(cond).groupBy("warehouse", "product_id").agg(F.sum("quantity").alias("quantity"))
+    return Q.check_stock(J.reconcile_stock(by("channel <> 'R'"), by("channel = 'N'"), by("channel = 'A'")))
+
+
+@register("c9_price_elasticity", _with("SELECT products.product_id, products.category, round(coalesce(own.e, cat.e), 5) AS elasticity, own.n AS n FROM products LEFT JOIN (SELECT product_id, regr_slope(ln(units), ln(price)) AS e, count(*) AS n FROM weekly GROUP BY 1 HAVING count(*) >= 12) own USING (product_id) LEFT JOIN (SELECT category, regr_slope(ln(units), ln(weekly.price)) AS e FROM weekly JOIN products USING (product_id) GROUP BY 1 HAVING count(*) >= 50) cat ON products.category = cat.category", WEEKLY))
+def _(spark, sf):
+    w = A.weekly_product(V.sales(spark, sf), F.col("discount") > 0.05)
+    return pipelines.price_elasticity(w, V.products(spark, sf)).select("product_id", "category", F.round("elasticity", 5).alias("elasticity"), "n")
 
 
 MONTHLY = "m AS (SELECT region_id, CAST(date_trunc('month', event_time) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS v FROM sales GROUP BY ALL)"
@@ -289,23 +388,123 @@ def _(spark, sf):
     return out.select("region_id", F.round("mae", 2).alias("mae"), F.round("bias", 2).alias("bias"), "folds")
 
 
-@register("j12_forecast_compare", _with("SELECT region_id, month, v, coalesce(lag(v, 12) OVER (PARTITION BY region_id ORDER BY month), lag(v) OVER (PARTITION BY region_id ORDER BY month)) AS forecast FROM m", MONTHLY))
+@register("c10_weekday_forecast", _with("SELECT region_id, CAST(last + INTERVAL 1 DAY * k AS DATE) AS day, round(avg(v), 4) AS forecast FROM (SELECT region_id, max(day) AS last FROM d GROUP BY 1) l CROSS JOIN range(1, 31) t(k) JOIN d USING (region_id) WHERE date_diff('day', d.day, last) < 56 AND dayofweek(d.day) = dayofweek(last + INTERVAL 1 DAY * k) GROUP BY ALL", "d AS (SELECT region_id, CAST(event_time AS DATE) AS day, sum(quantity) AS v FROM sales GROUP BY ALL)", views=("sales",)))
 def _(spark, sf):
-    return forecasting.one_step(_monthly(spark, sf), ["region_id"], "month", "v")
+    daily = V.sales(spark, sf).groupBy("region_id", F.to_date("event_time").alias("day")).agg(F.sum("quantity").alias("v"))
+    return forecasting.weekday_forecast(daily, ["region_id"], "day", "v").withColumn("forecast", F.round("forecast", 4))
 
 
-@register("c12_build_star", "SELECT 'boats' AS name, count(DISTINCT upper(left(p_brand, 1)) || substr(p_brand, 2)) AS n FROM part UNION ALL SELECT 'fact', count(*) FROM part UNION ALL SELECT 'ties', (SELECT sum(n) FROM (SELECT count(*) AS n FROM part GROUP BY p_type, p_size HAVING count(*) > 1))")
+@register("j12_forecast_compare", _with("SELECT region_id, month, round(v, 1) AS v, round(f, 1) AS forecast, round(f - v, 1) AS error, round(abs((f - v) / v), 5) AS ape FROM (SELECT region_id, month, v, coalesce(lag(v, 12) OVER (PARTITION BY region_id ORDER BY month), lag(v) OVER (PARTITION BY region_id ORDER BY month)) AS f FROM m) WHERE month(month) <> 6", MONTHLY))
 def _(spark, sf):
-    return pipelines.star_report(table(spark, sf, "part"), "p_brand", ["p_type", "p_size"])
+    monthly = _monthly(spark, sf)
+    predicted = forecasting.one_step(monthly, ["region_id"], "month", "v").where(F.month("month") != 6).drop("v")
+    out = J.merge_on_month(monthly, predicted, "month", "v", "forecast", ["region_id"])
+    return out.select("region_id", "month", *[F.round(c, d).alias(c) for c, d in (("v", 1), ("forecast", 1), ("error", 1), ("ape", 5))])
+
+
+RACES = """races AS (SELECT o_custkey % 50 AS regatta, l_linenumber AS race, CASE WHEN l_suppkey % 2 = 0 THEN 'cruising' ELSE 'CLUB' END AS division, l_quantity AS rank, 'fr' || l_suppkey AS sail, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'boat ' || l_suppkey END AS boat, 'club' AS club,
+l_extendedprice AS rating, l_discount AS points, CASE WHEN l_partkey % 3 <> 0 THEN '1:' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ':05' END AS elapsed FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _star(spark, sf):
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        (F.col("o_custkey") % 50).alias("regatta"), F.col("l_linenumber").alias("race"), F.when(F.col("l_suppkey") % 2 == 0, "cruising").otherwise("CLUB").alias("division"), F.col("l_quantity").alias("rank"), F.concat(F.lit("fr"), F.col("l_suppkey").cast("string")).alias("sail"),
+        F.when(F.col("l_partkey") % 2 == 0, "").otherwise(F.concat(F.lit("boat "), F.col("l_suppkey").cast("string"))).alias("boat"), F.lit("c1").alias("class"), F.lit("club").alias("club"), F.col("l_extendedprice").alias("rating"), F.col("l_discount").alias("points"),
+        F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("1:"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(":05"))).alias("elapsed"), F.lit(None).cast("string").alias("corrected"),
+    )
+    return pipelines.build_star(rows)
+
+
+@register("c12_fact_results", "WITH " + RACES + " SELECT regatta, regatta || '-' || race AS race_key, CASE WHEN division = 'CLUB' THEN 'Club' ELSE 'Cruising' END AS division, upper(sail) AS sail, CAST(rank AS BIGINT) AS rank, CASE WHEN elapsed IS NOT NULL THEN 3605.0 + 60 * race END AS elapsed, count(*) OVER (PARTITION BY regatta, race, division, rank) > 1 AS tied, rating FROM races")
+def _(spark, sf):
+    return _star(spark, sf)["fact_results"].select("regatta", "race_key", "division", "sail", "rank", "elapsed", "tied", "rating")
+
+
+@register("c12_dim_boat", "WITH " + RACES + " SELECT upper(sail) AS sail, any_value(upper(left(boat, 1)) || substr(boat, 2)) FILTER (boat <> '') AS boat, median(rating) AS rating, 'Club' AS club FROM races GROUP BY 1")
+def _(spark, sf):
+    return _star(spark, sf)["dim_boat"]
+
+
+@register("c12_report", "WITH " + RACES + " SELECT 'rows' AS name, count(*) AS n FROM races UNION ALL SELECT 'missing_elapsed', count(*) FILTER (elapsed IS NULL) FROM races UNION ALL SELECT 'missing_corrected', count(*) FROM races UNION ALL SELECT 'missing_sail', 0 UNION ALL SELECT 'tie_groups', (SELECT count(*) FROM (SELECT 1 FROM races GROUP BY regatta, race, division, rank HAVING count(*) > 1)) UNION ALL SELECT 'boats', count(DISTINCT sail) FROM races UNION ALL SELECT 'races', count(DISTINCT regatta || '-' || race) FROM races UNION ALL SELECT 'divisions', 2")
+def _(spark, sf):
+    return _star(spark, sf)["report"]
+
+
+def _ledgers(spark, sf):
+    o, p, li = table(spark, sf, "orders"), table(spark, sf, "part"), table(spark, sf, "lineitem")
+    price, k = F.col("p_retailprice"), F.col("p_partkey")
+    return {
+        "cash": o.select(F.lit(100.0).alias("begin_balance"), F.col("o_totalprice").alias("inflows"), F.col("o_totalprice").alias("outflows"), F.when(F.col("o_orderkey") % 50 == 0, 90.0).otherwise(100.0).alias("end_balance")),
+        "payable": li.select(F.col("l_extendedprice").alias("invoice_amount"), F.col("l_quantity").alias("paid_amount")),
+        "receivable": o.select(F.col("o_totalprice").alias("invoice_amount"), (F.col("o_custkey") * 1.0).alias("received_amount")),
+        "cost_of_sales": li.select((F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_cost"), F.col("l_quantity").alias("units_sold"), F.when(F.col("l_partkey") % 9 == 0, 0.0).otherwise(F.col("l_extendedprice")).alias("total_cost")),
+        "operating_expenses": table(spark, sf, "customer").select(F.col("c_mktsegment").alias("category"), F.col("c_acctbal").cast("decimal(18,2)").alias("monthly_cost")),
+        "ppe": p.select(price.alias("acquisition_cost"), F.lit(10.0).alias("accum_depreciation"), (price - F.when(k % 6 == 0, 11.0).otherwise(10.0)).alias("net_book_value")),
+    }
+
+
+@register("c13_audit_counts", "SELECT 'cash' AS ledger, count(*) AS n, count(*) FILTER (o_orderkey % 50 <> 0) AS ok FROM orders UNION ALL SELECT 'cost_of_sales', count(*), count(*) FILTER (l_partkey % 9 <> 0) FROM lineitem UNION ALL SELECT 'ppe', count(*), count(*) FILTER (p_partkey % 6 <> 0) FROM part")
+def _(spark, sf):
+    return pipelines.audit_counts(pipelines.run_audit(_ledgers(spark, sf)))
+
+
+LEDGER = "SELECT '{l}' AS ledger, '{n}' AS name, count({e})::DOUBLE AS count, round(avg({e}), 4) AS mean, round(stddev_samp({e}), 4) AS std, min({e})::DOUBLE AS min, round(quantile_cont({e}, 0.25)::DOUBLE, 6) AS q1, round(median({e})::DOUBLE, 6) AS median, round(quantile_cont({e}, 0.75)::DOUBLE, 6) AS q3, max({e})::DOUBLE AS max FROM {t}"
+LEDGERS = [("payable", "invoice_amount", "l_extendedprice", "lineitem"), ("payable", "paid_amount", "l_quantity", "lineitem"), ("payable", "total", "(l_extendedprice + l_quantity)", "lineitem"), ("receivable", "invoice_amount", "o_totalprice", "orders"), ("receivable", "received_amount", "(o_custkey * 1.0::DOUBLE)", "orders"), ("receivable", "total", "(o_totalprice + o_custkey)", "orders")]
+
+
+@register("c13_invoices", " UNION ALL ".join(LEDGER.format(l=a, n=b, e=c, t=d) for a, b, c, d in LEDGERS))
+def _(spark, sf):
+    audited = pipelines.run_audit(_ledgers(spark, sf))
+    out = W.union_all(*[audited[n].withColumn("ledger", F.lit(n)) for n in ("payable", "receivable")])
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@register("c13_expenses", "SELECT c_mktsegment AS category, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM customer GROUP BY 1")
+def _(spark, sf):
+    return pipelines.run_audit(_ledgers(spark, sf))["operating_expenses"]
+
+
+@register("c7_recommendations", "WITH " + ", ".join([STAGED, STAGED_DIM, STAGED_FACT]) + " SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY region ORDER BY units DESC) AS INTEGER) AS rank FROM (SELECT region, product_id, sum(quantity) AS units FROM fact WHERE sale_date >= (SELECT max(sale_date) FROM fact) - INTERVAL 365 DAYS GROUP BY ALL)) WHERE rank <= 10")
+def _(spark, sf):
+    return pipelines.run_fashion(staged_products(spark, sf), staged_transactions(spark, sf), 365)["recommendations"]
+
+
+@register("c7_gates", "WITH " + ", ".join([STAGED, STAGED_DIM, STAGED_FACT]) + " SELECT unnest(['product_price', 'sale_quantity', 'sale_orphan']) AS gate, 0 AS n, true AS passed")
+def _(spark, sf):
+    return pipelines.run_fashion(staged_products(spark, sf), staged_transactions(spark, sf))["gates"]
+
+
+ELT_SALES = "(SELECT l_orderkey, l_linenumber, o_custkey AS customer_id, l_partkey, CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _elt(spark, sf):
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    sales = li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("product_id"), F.col("o_custkey").alias("customer_id"), F.col("l_quantity").cast("decimal(18,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").alias("unit_price"))
+    customers = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("c_id"), "c_name")
+    return pipelines.run_retail_elt(sales, customers, table(spark, sf, "part").select(F.col("p_partkey").alias("p_id"), "p_name"))
+
+
+@register("c8_retail_elt", "SELECT l_orderkey, l_linenumber, l_partkey AS product_id, customer_id, c_name, p_name, CAST(total AS DOUBLE) AS total FROM " + ELT_SALES + " LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON customer_id = c_custkey LEFT JOIN part ON l_partkey = p_partkey")
+def _(spark, sf):
+    return _elt(spark, sf)[0].select("l_orderkey", "l_linenumber", "product_id", "customer_id", "c_name", "p_name", F.col("total").cast(D).alias("total"))
+
+
+@register("c8_control_totals", "SELECT CAST(sum(total) AS DOUBLE) AS total, count(DISTINCT customer_id) AS clients FROM " + ELT_SALES)
+def _(spark, sf):
+    return _elt(spark, sf)[1].withColumn("total", F.col("total").cast(D))
+
+
+LAKE = f"""kept AS (SELECT *, {COUNTRY_SQL} AS country FROM sales WHERE quantity > 5 AND amount > 0), silver AS (SELECT DISTINCT ON (order_id, product_id, warehouse) * FROM kept ORDER BY order_id, product_id, warehouse, event_time DESC, line_no DESC, quantity DESC, amount DESC)"""
 
 
-@register("c13_run_audit", "SELECT 'cash' AS ledger, count(*) AS n, count(*) FILTER (o_orderkey % 50 <> 0) AS ok FROM orders UNION ALL SELECT 'ppe', count(*), count(*) FILTER (p_partkey % 6 <> 0) FROM part")
+@register("c2_lakehouse_gold", _with("SELECT warehouse, products.category, CAST(sum(amount) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM silver JOIN products USING (product_id) WHERE size > 2 GROUP BY ALL", LAKE))
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.lit(100.0).alias("begin_balance"), F.col("o_totalprice").alias("inflows"), F.col("o_totalprice").alias("outflows"), F.when(F.col("o_orderkey") % 50 == 0, 90.0).otherwise(100.0).alias("end_balance"))
-    p = table(spark, sf, "part").select(F.col("p_retailprice").alias("acquisition_cost"), F.lit(10.0).alias("accum_depreciation"), (F.col("p_retailprice") - F.when(F.col("p_partkey") % 6 == 0, 11.0).otherwise(10.0)).alias("net_book_value"))
-    return pipelines.run_audit({"cash": Q.audit_cash(o), "ppe": Q.audit_ppe(p)})
+    sales = V.sales(spark, sf).withColumn("quantity", F.when(F.col("quantity") > 5, F.col("quantity")).otherwise(-F.col("quantity")))
+    return pipelines.build_lakehouse(sales, _reference(spark, sf), _country())["gold_category"]
 
 
-@register("c2_lakehouse_gold", _with("SELECT warehouse, category, CAST(sum(amount) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM (SELECT DISTINCT ON (order_id, line_no, product_id) * FROM sales WHERE quantity > 1 ORDER BY order_id, line_no, product_id, event_time DESC, warehouse DESC, quantity DESC, amount DESC) JOIN products USING (product_id) GROUP BY ALL"))
+@register("c2_lakehouse_rejected", _with("SELECT order_id, line_no, product_id FROM sales WHERE quantity <= 5", views=("sales",)))
 def _(spark, sf):
-    return pipelines.build_lakehouse(V.sales(spark, sf), V.products(spark, sf))["gold_category"]
+    sales = V.sales(spark, sf).withColumn("quantity", F.when(F.col("quantity") > 5, F.col("quantity")).otherwise(-F.col("quantity")))
+    return pipelines.build_lakehouse(sales, _reference(spark, sf), _country())["rejected"].select("order_id", "line_no", "product_id")

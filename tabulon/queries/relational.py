@@ -59,15 +59,39 @@ def _(spark, sf):
     return li.select("l_orderkey", "l_partkey", "l_suppkey", P.sale_amount(F.col("l_quantity"), F.col("l_extendedprice"), F.when(F.col("l_linenumber") != 1, F.col("l_discount"))).alias("sale_amount"))
 
 
-@register("p6_transform_products", "SELECT p_partkey, upper(trim(p_name)) AS name, round(p_retailprice, 1) AS price FROM part WHERE p_retailprice > 910 AND p_size > 0")
+STAGED = """staged AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE ' ' || p_name END AS product_name, p_type AS category, p_type AS subcategory, p_brand AS brand, 'north ' AS region,
+CASE WHEN p_partkey % 9 = 0 THEN -p_retailprice ELSE p_retailprice END AS price, p_retailprice / 8 AS cost, DATE '2024-01-01' AS created_date, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-02-02' END AS updated_date FROM part)"""
+STAGED_DIM = "dim AS (SELECT product_id, trim(upper(product_name)) AS product_name, trim(upper(category)) AS category, trim(upper(subcategory)) AS subcategory, trim(upper(brand)) AS brand, trim(upper(region)) AS region, round(price, 2) AS price, round(cost, 2) AS cost, created_date, coalesce(updated_date, created_date) AS updated_date FROM staged WHERE product_name IS NOT NULL AND category IS NOT NULL AND price > 0 AND cost > 0)"
+
+
+def staged_products(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    return p.select(
+        k.alias("product_id"), F.when(k % 50 != 0, F.concat(F.lit(" "), "p_name")).alias("product_name"), F.col("p_type").alias("category"), F.col("p_type").alias("subcategory"), F.col("p_brand").alias("brand"), F.lit("north ").alias("region"),
+        F.when(k % 9 == 0, -F.col("p_retailprice")).otherwise(F.col("p_retailprice")).alias("price"), (F.col("p_retailprice") / 8).alias("cost"), F.lit("2024-01-01").cast("date").alias("created_date"), F.when(k % 2 == 0, F.lit("2024-02-02").cast("date")).alias("updated_date"),
+    )
+
+
+@register("p6_transform_products", "WITH " + STAGED + ", " + STAGED_DIM + " SELECT * FROM dim")
 def _(spark, sf):
-    return table(spark, sf, "part").where("p_retailprice > 910 and p_size > 0").select("p_partkey", F.upper(F.trim("p_name")).alias("name"), F.round("p_retailprice", 1).alias("price"))
+    return P.transform_products(staged_products(spark, sf))
+
+
+STAGED_FACT = """fact AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sale_id, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS sale_date, upper('zone ' || (l_suppkey % 4)) AS region, l_quantity AS quantity, round(l_extendedprice, 2) AS unit_price, round(l_extendedprice, 2) AS total_amount, 'CARD' AS payment_method
+FROM lineitem WHERE (l_orderkey % 11 <> 0) AND l_quantity > 0 AND l_extendedprice > 0 AND l_partkey IN (SELECT product_id FROM dim))"""
+
+
+def staged_transactions(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sale_id"), F.col("l_partkey").alias("product_id"), F.to_date("l_shipdate").alias("sale_date"), F.concat(F.lit("zone "), (F.col("l_suppkey") % 4).cast("string")).alias("region"),
+        F.when(F.col("l_orderkey") % 11 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), F.col("l_extendedprice").alias("unit_price"), F.col("l_extendedprice").alias("total_amount"), F.lit("card ").alias("payment_method"),
+    )
 
 
-@register("p7_transform_transactions", "SELECT l_orderkey, l_partkey, l_quantity, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10 AND l_extendedprice > 0")
+@register("p7_transform_transactions", "WITH " + ", ".join([STAGED, STAGED_DIM, STAGED_FACT]) + " SELECT * FROM fact")
 def _(spark, sf):
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    return J.join_dim(li.where("l_quantity > 10 and l_extendedprice > 0"), p.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").select("l_orderkey", "l_partkey", "l_quantity", "p_brand")
+    return P.transform_transactions(staged_transactions(spark, sf), P.transform_products(staged_products(spark, sf)))
 
 
 @register("p8_split_valid", "SELECT o_orderkey, NOT coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END > 100000, false) AS invalid FROM orders")
@@ -82,9 +106,10 @@ def _(spark, sf):
     return P.derive_if_missing(table(spark, sf, "lineitem"), "total", F.col("l_quantity") * F.col("l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "total")
 
 
-@register("p11_canonicalize_columns", "SELECT p_name AS name, p_brand AS brand, CAST(NULL AS VARCHAR) AS gtin FROM part")
+@register("p11_canonicalize_columns", "SELECT p_name AS name, p_brand AS brand, p_retailprice AS price, CASE WHEN length(p_partkey || '12345678') IN (8, 12, 13, 14) THEN lpad(p_partkey || '12345678', 14, '0') END AS gtin, CASE WHEN length(p_partkey || '12345678') IN (8, 12, 13, 14) THEN lpad(p_partkey || '12345678', 14, '0') END AS ean, CAST(NULL AS VARCHAR) AS upc, p_partkey || '-12345678' AS sku FROM part")
 def _(spark, sf):
-    return P.canonicalize_columns(table(spark, sf, "part"), {"name": ["P_NAME"], "brand": ["p_Brand"], "gtin": ["ean", "upc", "sku"]})
+    raw = table(spark, sf, "part").select(F.col("p_name").alias("Product_Name"), F.col("p_brand").alias("brand_name"), F.col("p_retailprice").alias("SALE_PRICE"), F.concat(F.col("p_partkey").cast("string"), F.lit("-12345678")).alias("product_identifier"))
+    return P.canonicalize_columns(raw).select("name", "brand", "price", "gtin", "ean", "upc", "sku")
 
 
 @register("p12_normalize_text", "SELECT p_partkey, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS name FROM part")
@@ -102,11 +127,14 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", P.compose_key(F.col("l_orderkey"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))).alias("k"))
 
 
-@register("p15_buckets", """SELECT p_partkey, CASE WHEN p_retailprice < 50 THEN '0-50' WHEN p_retailprice < 100 THEN '50-100' WHEN p_retailprice < 500 THEN '100-500' WHEN p_retailprice < 1000 THEN '500-1000' ELSE '1000+' END AS price_bucket,
-CASE WHEN p_size / 10.0 < 1 THEN '0-1' WHEN p_size / 10.0 < 2 THEN '1-2' WHEN p_size / 10.0 < 3 THEN '2-3' WHEN p_size / 10.0 < 4 THEN '3-4' ELSE '4-5' END AS rating_bucket,
-CASE WHEN p_size <= 0 THEN 'out' WHEN p_size <= 35 THEN 'low' ELSE 'ok' END AS stock FROM part""")
+@register("p15_buckets", """SELECT p_partkey, CASE WHEN p < 10 THEN '< $10' WHEN p < 50 THEN '$10-$49' WHEN p < 100 THEN '$50-$99' WHEN p < 500 THEN '$100-$499' ELSE '$500+' END AS price_bucket,
+CASE WHEN r >= 4.5 THEN '4.5-5.0' WHEN r >= 4.0 THEN '4.0-4.4' WHEN r >= 3.5 THEN '3.5-3.9' WHEN r >= 3.0 THEN '3.0-3.4' ELSE '< 3.0' END AS rating_bucket,
+CASE WHEN q >= 70 THEN 'healthy' WHEN q >= 35 THEN 'monitor' ELSE 'reorder' END AS stock, CASE WHEN q > 50 THEN 'Top 80 (vânzări)' ELSE 'Bottom 20' END AS label
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice - 895 END AS p, CASE WHEN p_partkey % 7 <> 0 THEN p_size / 10.0 END AS r, p_size * 2 AS q FROM part)""")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", P.price_bucket(F.col("p_retailprice")).alias("price_bucket"), P.rating_bucket(F.col("p_size") / 10).alias("rating_bucket"), P.stock_status(F.col("p_size")).alias("stock"))
+    k, q = F.col("p_partkey"), F.col("p_size") * 2
+    price, rating = F.when(k % 13 != 0, F.col("p_retailprice") - 895), F.when(k % 7 != 0, F.col("p_size") / 10)
+    return table(spark, sf, "part").select(k, P.price_bucket(price).alias("price_bucket"), P.rating_bucket(rating).alias("rating_bucket"), P.stock_status(q).alias("stock"), P.pareto_label(q > 50).alias("label"))
 
 
 @register("p16_lookup", "SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'Romania' WHEN 'NATION_2' THEN 'Germany' ELSE 'Unknown' END AS country FROM nation")
@@ -130,14 +158,19 @@ def _(spark, sf):
     return P.row_level_filter(table(spark, sf, "nation").withColumnRenamed("n_regionkey", "region_id"), grants, "ana").select("n_nationkey", "n_name")
 
 
-@register("p20_repeatable_sample")
+@register("p20_repeatable_sample", "SELECT * FROM events WHERE CAST('0x' || left(md5(CAST(event_id AS VARCHAR)), 8) AS BIGINT) % 10 = 0")
 def _(spark, sf):
     return P.repeatable_sample(table(spark, sf, "events"), "event_id", 10)
 
 
+@register("p20_random_rows", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM (SELECT o_orderkey FROM orders ORDER BY random() LIMIT 100)")
+def _(spark, sf):
+    return P.random_rows(table(spark, sf, "orders"), 100).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+
+
 @register("p21_lineage", "SELECT n_nationkey, 'tpch' AS lineage_source, 'load' AS lineage_step, '1' AS lineage_version, md5('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS row_md5 FROM nation")
 def _(spark, sf):
-    return P.with_lineage(table(spark, sf, "nation").select("n_nationkey", "n_name"), "tpch", "load").drop("n_name")
+    return P.with_lineage(table(spark, sf, "nation").select("n_nationkey", "n_name"), "tpch", "load").drop("n_name", "lineage_time")
 
 
 @register("p22_detect_pii", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS n_email,
@@ -153,9 +186,16 @@ def _(spark, sf):
     return P.apply_retention(table(spark, sf, "orders"), "o_orderdate", 2, F.lit("2001-06-30")).select("o_orderkey")
 
 
-@register("p24_filter_entries", "SELECT event_id, ts FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 50")
+@register("p23_ttl", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS")
 def _(spark, sf):
-    return P.filter_entries(table(spark, sf, "events"), "error", F.lit("2024-01-10").cast("timestamp"), 50, "ts", "event_type", "event_id").select("event_id", "ts")
+    return P.apply_ttl(table(spark, sf, "events"), "ts", F.lit("2024-01-20").cast("timestamp")).select("event_id")
+
+
+@register("p24_filter_entries", "SELECT event_id, ts FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND user_id % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(spark, sf):
+    e = table(spark, sf, "events").withColumn("status", F.when(F.col("user_id") % 2 == 0, "open").otherwise("closed"))
+    since, until = (F.lit(d).cast("timestamp") for d in ("2024-01-10", "2024-01-20"))
+    return P.filter_entries(e, "error", since, 50, "ts", "event_type", "event_id", until, "open").select("event_id", "ts")
 
 
 @register("p25_consent", """SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id) WHERE t = 'signup')""")
@@ -238,11 +278,16 @@ def _(spark, sf):
     return J.backfill(fact, raw, ["code"], ["r_name"]).select("n_nationkey", "r_name")
 
 
-@register("j13_apply_merge", _with("SELECT warehouse, product_id, greatest(q - coalesce(sold, 0), 0) AS quantity_on_hand, last_sale, coalesce(revenue, 0) AS revenue FROM inv LEFT JOIN so USING (warehouse, product_id)", "inv AS (SELECT warehouse, product_id, sum(quantity) AS q FROM sales GROUP BY ALL), so AS (SELECT warehouse, product_id, sum(quantity) AS sold, max(event_time) AS last_sale, sum(amount)::DECIMAL(28,4) AS revenue FROM sales WHERE channel = 'A' GROUP BY ALL)"))
+MERGE = """inv AS (SELECT warehouse, product_id, sum(quantity) AS q, max(event_time) AS last_sale, CASE WHEN product_id % 3 <> 0 THEN CAST(sum(amount) AS DOUBLE) END AS lifetime_revenue, 'note ' || product_id AS note FROM sales GROUP BY warehouse, product_id),
+so AS (SELECT warehouse, product_id, sum(quantity) AS sold, max(event_time) AS new_sale, CAST(sum(amount) AS DECIMAL(28,4)) AS revenue FROM sales WHERE channel = 'A' GROUP BY ALL)"""
+
+
+@register("j13_apply_merge", _with("SELECT warehouse, product_id, CASE WHEN sold IS NULL THEN q ELSE greatest(q - sold, 0) END AS quantity_on_hand, coalesce(new_sale, last_sale) AS last_sale, round(CASE WHEN sold IS NULL THEN lifetime_revenue ELSE coalesce(lifetime_revenue, 0) + CAST(revenue AS DOUBLE) END, 2) AS lifetime_revenue, note FROM inv LEFT JOIN so USING (warehouse, product_id)", MERGE))
 def _(spark, sf):
     s = V.sales(spark, sf)
-    inv = s.groupBy("warehouse", "product_id").agg(F.sum("quantity").alias("quantity_on_hand"))
-    return J.apply_sales_merge(inv, A.sales_by_warehouse_product(s.where("channel = 'A'")))
+    inv = s.groupBy("warehouse", "product_id").agg(F.sum("quantity").alias("quantity_on_hand"), F.max("event_time").alias("last_sale"), F.when(F.col("product_id") % 3 != 0, A.total("amount")).alias("lifetime_revenue"), F.concat(F.lit("note "), F.col("product_id").cast("string")).alias("note"))
+    out = J.apply_sales_merge(inv, A.sales_by_warehouse_product(s.where("channel = 'A'")))
+    return out.withColumn("lifetime_revenue", F.round("lifetime_revenue", 2))
 
 
 @register("k12_insert_ignore", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0")
@@ -278,7 +323,7 @@ def _(spark, sf):
 
 @register("w4_recommendations", _with("SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY region_id ORDER BY units DESC) AS INTEGER) AS rank FROM (SELECT region_id, product_id, sum(quantity) AS units FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 365 DAYS GROUP BY ALL)) WHERE rank <= 10"))
 def _(spark, sf):
-    by = P.trailing(V.sales(spark, sf), "event_time", 365).groupBy("region_id", "product_id").agg(F.sum("quantity").alias("units"))
+    by = P.trailing(V.sales(spark, sf), "event_time", 365, newest=V.newest_sale(spark, sf)).groupBy("region_id", "product_id").agg(F.sum("quantity").alias("units"))
     return W.top_n_per(by, ["region_id"], "units", 10, "product_id", dense=True)
 
 
@@ -331,9 +376,7 @@ def _(spark, sf):
 
 @register("w6_rank_by", "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC) AS INTEGER) AS rank FROM part")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    return table(spark, sf, "part").select("p_partkey", F.rank().over(Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"))).alias("rank"))
+    return W.rank_by(table(spark, sf, "part"), ["p_type"], "p_retailprice").select("p_partkey", "rank")
 
 
 @register("t1_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -343,7 +386,7 @@ def _(spark, sf):
 
 @register("t2_sort_by", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_brand", "p_size").orderBy("p_brand", F.desc("p_size"), "p_partkey")
+    return W.sort_by(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "-p_size", "p_partkey")
 
 
 @register("t3_region_top", _with("SELECT product_id, product_name, units FROM (SELECT product_id, sum(quantity) AS units FROM sales WHERE region_id = 2 GROUP BY 1) JOIN products USING (product_id) ORDER BY units DESC, product_id LIMIT 10"))

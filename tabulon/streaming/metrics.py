@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tabulon.functions.scalars import endpoint, is_server_error, parse_clf, status_class
 
@@ -41,6 +45,13 @@ def status_distribution(logs: DataFrame) -> DataFrame:
     return windowed_count(logs, "timestamp", "1 minute", "2 minutes", ["status"])
 
 
+def error_rate(logs: DataFrame) -> DataFrame:
+    """Requests, server errors and their share in percent per minute, in one pass."""
+    late = with_lateness(logs, "timestamp", "2 minutes")
+    sums = late.groupBy(F.window("timestamp", "1 minute").alias("window")).agg(F.count("*").alias("requests"), F.count_if(is_server_error(F.col("status_code"))).alias("errors"))
+    return with_window_bounds(sums.withColumn("error_rate", F.col("errors") * 100.0 / F.col("requests")))
+
+
 def top_endpoints(logs: DataFrame, min_hits: int = 5) -> DataFrame:
     return windowed_count(logs, "timestamp", "5 minutes", "2 minutes", ["endpoint"], "1 minute", "hits").where(F.col("hits") > min_hits)
 
@@ -62,39 +73,82 @@ def windowed_sums(df: DataFrame, sub: str, value: Column, seconds: int, delay: s
     return with_window_bounds(both.groupBy(F.window("ts", f"{seconds} seconds").alias("window"), "product_id", sub).agg(F.sum("_v").alias("total")))
 
 
-def sales_performance(sales: DataFrame, size: str = "1 hour", slide: str = "5 minutes", keys: tuple[str, ...] = ("warehouse",), time: str = "event_time") -> DataFrame:
-    """Revenue, units and (approximate on a stream) distinct orders per sliding window."""
+def orders_per_minute(orders: DataFrame, time: str = "ts") -> DataFrame:
+    return windowed_count(orders, time, "1 minute", "5 minutes", name="orders")
+
+
+def sales_performance(sales: DataFrame, size: str = "1 hour", slide: str = "5 minutes", keys: tuple[str, ...] = ("warehouse", "country"), time: str = "event_time") -> DataFrame:
+    """Revenue, units, margin and (approximate on a stream) distinct orders per sliding window of enriched sales."""
     late = with_lateness(sales, time, "26 hours")
     orders = F.approx_count_distinct("order_id") if sales.isStreaming else F.count_distinct("order_id")
-    sums = late.groupBy(F.window(time, size, slide).alias("window"), *keys).agg(F.sum("amount").cast("double").alias("revenue"), F.sum("quantity").alias("units"), orders.alias("orders"))
+    sums = late.groupBy(F.window(time, size, slide).alias("window"), *keys).agg(F.sum("amount").cast("double").alias("revenue"), F.sum("quantity").alias("units"), F.sum("margin").cast("double").alias("margin"), orders.alias("orders"))
     return with_window_bounds(sums)
 
 
-def order_anomalies(totals: DataFrame, k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", key: str = "warehouse", time: str = "last_time", value: str = "order_total") -> DataFrame:
-    """Orders outside the quartile fences of their window; a window whose quartiles agree has none."""
+def order_anomalies(totals: DataFrame, k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", keys: tuple[str, ...] = ("warehouse", "country"), time: str = "last_time", value: str = "order_total", accuracy: int = 100) -> DataFrame:
+    """Every order in each of its windows, with the approximate quartiles there and whether it is outside their fences.
+
+    A window whose quartiles agree has no anomalies.
+    """
     windows = totals.withColumn("window", F.window(time, size, slide))
-    stats = windows.groupBy("window", key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    outside = (F.col(value) < F.col("q")[0] - k * iqr) | (F.col(value) > F.col("q")[1] + k * iqr)
-    return with_window_bounds(windows.join(stats, ["window", key]).where((iqr > 0) & outside).drop("q"))
+    stats = windows.groupBy("window", *keys).agg(F.percentile_approx(value, [0.25, 0.75], accuracy).alias("q"))
+    stats = stats.select("window", *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    outside = (F.col(value) < F.col("q1") - k * F.col("iqr")) | (F.col(value) > F.col("q3") + k * F.col("iqr"))
+    return with_window_bounds(windows.join(stats, ["window", *keys]).withColumn("is_anomalous", (F.col("iqr") != 0) & outside))
+
+
+def enrich_stream(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sales of known products (product_id, product_name, category, avg_cost) with their margin, and the side stream of all others."""
+    known = products.select("product_id", "product_name", "category", "avg_cost")
+    both = sales.join(known, "product_id", "left")
+    margin = (F.col("amount") - F.col("quantity").cast("decimal(18,4)") * F.col("avg_cost").cast("decimal(18,4)")).cast("decimal(18,2)")
+    return both.where("product_name is not null").withColumn("margin", margin), both.where("product_name is null").select(*sales.columns)
+
+
+def observe_counters(df: DataFrame, name: str, value: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with observed metrics: rows, nulls of each key, and least, greatest and sum of ``value``.
+
+    A batch's are read from an ``Observation``, a stream's from ``observedMetrics`` of its progress, as ``progress_counters`` does.
+    """
+    metrics = [F.count("*").alias("rows"), *[F.count_if(F.col(k).isNull()).alias(f"null_{k}") for k in keys]]
+    if value is not None:
+        metrics += [F.min(value).alias(f"min_{value}"), F.max(value).alias(f"max_{value}"), F.sum(value).alias(f"sum_{value}")]
+    return df.observe(name, *metrics)
+
+
+def progress_counters(query: StreamingQuery, name: str) -> list[dict]:
+    """The observed metrics ``name`` of each recent micro-batch of a stream."""
+    return [{k: row[k] for k in row.asDict()} for p in query.recentProgress if (row := p.observedMetrics.get(name)) is not None]
+
+
+def sensor_stream(raw: DataFrame, schema: str = "sensor_id string, value string", payload: str = "value") -> DataFrame:
+    """The fields of JSON sensor messages; a message that doesn't parse has nulls."""
+    return raw.select(F.from_json(F.col(payload).cast("string"), schema).alias("data")).select("data.*")
 
 
 def dedup_stream(df: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def parse_events(raw: DataFrame, schema: str, required: list[str], payload: str = "value") -> DataFrame:
-    """JSON payloads as columns with ``error`` (null if fine) and the raw text."""
-    parsed = raw.select(F.from_json(payload, schema).alias("e"), F.col(payload).alias("raw"))
+def parse_events(raw: DataFrame, schema: str, required: list[str], payload: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON payloads as columns with ``error`` (null if fine), the raw text and the columns to ``keep``."""
+    parsed = raw.select(*keep, F.from_json(payload, schema).alias("e"), F.col(payload).alias("raw"))
     missing = F.array_compact(F.array(*[F.when(F.col(f"e.{r}").isNull(), F.lit(r)) for r in required]))
     error = F.when(F.col("e").isNull() | (F.size(missing) == len(required)), "malformed").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
-    return parsed.select("e.*", error.alias("error"), "raw")
+    return parsed.select(*keep, "e.*", error.alias("error"), "raw")
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
+    """Rows with an error as JSON text, for a text or Kafka sink."""
     return parsed.where("error is not null").select(F.to_json(F.struct("error", "raw")).alias("value"))
 
 
+def start_dead_letters(parsed: DataFrame, name: str, checkpoint: str, path: str) -> StreamingQuery:
+    """The sink of dead letters: text files with a JSON row a line."""
+    writer = dead_letters(parsed).writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.format("text").option("path", path).trigger(availableNow=True).start()
+
+
 def inspect_dlq(dlq: DataFrame, n: int) -> DataFrame:
     """Errors by frequency, with an example of each."""
     e = F.from_json("value", "error string, raw string")
@@ -108,7 +162,11 @@ def to_serving_rows(views: DataFrame) -> DataFrame:
 
 
 def guarded_batch(df: DataFrame, is_bad: Column, limit: float) -> tuple[DataFrame, DataFrame]:
-    """(good, dead letters) of a micro-batch; if more than ``limit`` of it is bad, all of it is dead letters."""
-    share = df.agg(F.avg(F.coalesce(is_bad, F.lit(True)).cast("int"))).first()[0]
-    bad = F.coalesce(is_bad, F.lit(True))
-    return (df.where("false"), df) if share is not None and share > limit else (df.where(~bad), df.where(bad))
+    """(good, dead letters) of a micro-batch; if more than ``limit`` of it is bad, all of it is dead letters.
+
+    The share is a one-row subquery of the written batch, so no separate job runs, and the batch is kept while it is used twice.
+    """
+    flagged = df.withColumn("_bad", F.coalesce(is_bad, F.lit(True))).persist(StorageLevel.MEMORY_AND_DISK)
+    stop = flagged.select(F.avg(F.col("_bad").cast("int")) > limit).scalar()
+    dead = F.col("_bad") | F.coalesce(stop, F.lit(False))
+    return flagged.where(~dead).drop("_bad"), flagged.where(dead).drop("_bad")
