@@ -1,12 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Learning: of the labelled rows, at most ``max_examples`` (the first ones by a hash of the id) are examples. They are indexed twice:
-by all their words, whatever these tell, and by a lexicon of words and character 4- to 6-grams of words with their borders
+the first ``word_examples`` of them by all their words, whatever these tell, and all of them by a lexicon of words and character 4- to 6-grams of words with their borders
 that tell toxic examples apart (``MIN_Z``, ``MIN_PRECISION``, at least ``MIN_ROWS`` rows, at most ``max_terms``). N-grams
 outside the lexicon aren't indexed. Document frequencies of words and lexicon are counted over all documents.
 
-Search by all words: a text's cosine with every example is summed over the postings of its words, in full; words are
-64-bit fingerprints. Votes weigh c / (1 - c), so a copy of an example gets that one's label.
+Search by all words: a text's cosine with every one of these examples is summed over the postings of its words, in full. Votes weigh c / (1 - c), so a copy of an example gets that one's label.
 
 Search in the lexicon: the examples' unit vectors form an inverted index of postings in blocks of ``BLOCK`` examples, each block with
 the largest weight it holds for a term. A query bounds every block by these, visits blocks from the highest bound on, and
@@ -23,13 +22,13 @@ Repeated rows are scored each for itself; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
@@ -37,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.bytesops import documents_of, held_out, small_batches
-from tabulon.session import cut
+from tabulon.session import cut, free
 
-MAX_EXAMPLES = 30_000
+MAX_EXAMPLES = 20_000
+WORD_EXAMPLES = 4_000
 MAX_TERMS = 20_000
 MIN_ROWS = 5
 MIN_Z = 5.0
@@ -47,7 +47,6 @@ MIN_PRECISION = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
 GRAMS = (4, 5, 6)
-CACHED_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 LEAST_POOL = 50
 
@@ -58,59 +57,33 @@ def terms_of(word: str) -> list[str]:
     return list({edged, *(edged[i:i + n] for n in GRAMS for i in range(len(edged) - n + 1))})
 
 
-class _Known(dict):
-    """Indices of the vocabulary's terms in a word, found when first asked for."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.index = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        own = self[word] = tuple(i for t in terms_of(word) if (i := self.index.get(t)) is not None)
-        return own
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
 class Vectors:
-    """Term counts of texts over a fixed vocabulary; what a word holds of it is kept, up to a bound."""
+    """Term counts of texts over a fixed lexicon, found in one pass of an automaton over the words with their borders."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.known = _Known(terms)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if not text:
-            return found
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for own in filter(None, map(self.known.__getitem__, WORD.findall(text.lower()))):
-            for i in own:
-                found[i] = found.get(i, 0) + 1
-        return found
-
-
-class _Fingerprints(dict):
-    def __missing__(self, word: str) -> int:
-        own = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return own
-
+        self.automaton = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            self.automaton.add_word(t, i)
+        self.any = bool(terms)
+        if self.any:
+            self.automaton.make_automaton()
 
-_fingerprints = _Fingerprints()
-
-
-def all_words(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Fingerprints, counts and spellings of a text's distinct words."""
-    if len(_fingerprints) > CACHED_WORDS:
-        _fingerprints.clear()
-    found = Counter(WORD.findall((text or "").lower()))
-    words = list(found)
-    return np.fromiter(map(_fingerprints.__getitem__, words), np.uint64, len(words)), np.fromiter(found.values(), np.int32, len(words)), words
+    def counts(self, words: list[str]) -> dict[int, int]:
+        if not words or not self.any:
+            return {}
+        return dict(Counter(i for _, i in self.automaton.iter("^" + "$^".join(words) + "$")))
 
 
 class WordIndex:
     """All words of the examples: each word's postings, and the cosines of a text with all examples."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> None:
-        """``examples`` is (doc_id, label, places in ``vocabulary``, counts)."""
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], unseen: float = 1.0, k: int = NEIGHBOURS) -> None:
+        """``examples`` is (doc_id, label, places in ``vocabulary``, counts); a word of a text that no example has weighs ``unseen``."""
+        self.vocabulary, self.idf, self.unseen, self.k = vocabulary, idf, unseen, k
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.float64)
         self.rate = float(self.labels.mean()) if len(examples) else 0.0
@@ -121,29 +94,32 @@ class WordIndex:
         self.weights = weights[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=len(vocabulary)))])
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
+        self.places: dict[str, int] | None = None  # made where first needed, not sent around
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def place(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary, and which of ``words`` it has."""
-        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
-        return at, self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
-
-    def query(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, weights, which words) of a text; words that no example has count in its length, at the weight of unseen ones."""
-        at, here = self.place(words)
-        w = (1 + np.log(counts)) * np.where(here, self.idf[at] if len(self.idf) else 0.0, self.unseen)
-        return at[here], (w / max(np.sqrt((w * w).sum()), 1e-300))[here], here
-
-    unseen = 1.0
+    def query(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(places, weights, spellings) of a text's words that examples have; all its words count in its length."""
+        if self.places is None:
+            self.places = {w: i for i, w in enumerate(self.vocabulary)}
+        found = Counter(words)
+        known = [(self.places[w], n, w) for w, n in found.items() if w in self.places]
+        at, counts = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.float64)
+        w = (1 + np.log(counts)) * self.idf[at] if len(at) else counts
+        rest = np.array([n for t, n in found.items() if t not in self.places], np.float64)
+        length = (w * w).sum() + ((1 + np.log(rest)) ** 2).sum() * self.unseen**2
+        return at, w / max(np.sqrt(length), 1e-300), [k[2] for k in known]
 
     def neighbours(self, at: np.ndarray, weights: np.ndarray, leave: int | None = None) -> list[tuple[int, float]]:
         """(row, cosine) of the k nearest examples with a cosine over 0; ties go to the smaller id."""
-        scores = np.zeros(len(self.ids))
-        for s, e, w in zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), weights.tolist(), strict=True):
-            scores[self.rows[s:e]] += w * self.weights[s:e]
+        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        if not len(at) or not ends[-1]:
+            return []
+        own = np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)
+        scores = np.bincount(self.rows[own], self.weights[own] * np.repeat(weights, n), len(self.ids))
         if leave is not None:
             scores[self.ids == leave] = 0.0
         rows = np.nonzero(scores > 0)[0]
@@ -157,13 +133,12 @@ class WordIndex:
         w = np.array([c / (1 - c + 1e-3) for _, c in found])
         return float(((w * self.labels[[r for r, _ in found]]).sum() + self.rate) / (w.sum() + 1))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]], list[str]]:
-        words, counts, spelt = all_words(text)
-        at, w, here = self.query(words, counts)
-        found = self.neighbours(at, w) if len(at) else []
+    def score(self, words: list[str]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+        at, w, spelt = self.query(words)
+        found = self.neighbours(at, w)
         if not found or self.curve is None:
             return 0.0, [], []
-        own = np.nonzero(here)[0][np.argsort(-w, kind="stable")[:3]]
+        own = np.argsort(-w, kind="stable")[:3]
         near = [(int(self.ids[r]), c, int(self.labels[r])) for r, c in found[:3]]
         return float(np.interp(self.vote(found), *self.curve)), near, [f"^{spelt[i]}$" for i in own.tolist()]
 
@@ -277,13 +252,12 @@ class Model:
         near = [(int(self.ids[r]), c, int(self.labels[r])) for r, c in found[:3]]
         return out, near, [self.terms[i] for i in at[np.argsort(-w, kind="stable")[:3]].tolist()]
 
-
-    def score_text(self, text: str | None, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+    def score_text(self, words: list[str], counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
         """The larger of the lexicon's score and that of all words, with its evidence."""
         by_terms = self.score(counts)
         if self.words is None or by_terms[0] >= 0.5:
             return by_terms
-        by_words = self.words.score(text)
+        by_words = self.words.score(words)
         return by_words if by_words[0] > by_terms[0] or not by_terms[1] and by_words[0] == by_terms[0] else by_terms
 
 
@@ -318,38 +292,42 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     return [r["term"] for r in told.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
-    """The model of at most ``max_examples`` examples; statistics of its terms come from all of ``docs``."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, word_examples: int = WORD_EXAMPLES) -> Model:
+    """The model of at most ``max_examples`` examples, ``word_examples`` of them with all their words; statistics of its terms come from all of ``docs``."""
     small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
     source = documents_of(docs)
     examples = cut(_examples(source, labels, max_examples))
     terms = _vocabulary(examples, max_terms)
+    whole = {r["doc_id"] for r in examples.orderBy(F.xxhash64("doc_id"), "doc_id").limit(word_examples).select("doc_id").collect()}
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(terms)
         for b in batches:
-            own = [vectors.counts(t) for t in b["text"]]
-            whole = [all_words(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "toxic": b["toxic"], "at": [list(c) for c in own], "n": [list(c.values()) for c in own],
-                "words": [w.tobytes() for w, _, _ in whole], "times": [n.tobytes() for _, n, _ in whole],
-            })
-
-    schema = "doc_id long, toxic int, at array<int>, n array<int>, words binary, times binary"
+            rows = []
+            for i, toxic, text in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
+                words = words_of(text)
+                own = vectors.counts(words)
+                distinct = Counter(words) if i in whole else {}
+                rows.append((i, toxic, list(own), list(own.values()), " ".join(distinct), list(distinct.values())))
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "at", "n", "words", "times"])
+
+    schema = "doc_id long, toxic int, at array<int>, n array<int>, words string, times array<int>"
     held = sorted(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema).collect(), key=lambda r: r["doc_id"])
-    vocabulary = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in held] or [np.empty(0, np.uint64)]))
-    seen = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    vocabulary = sorted({w for r in held for w in r["words"].split()})
+    places = {w: i for i, w in enumerate(vocabulary)}
+    seen = context.broadcast((terms, vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, n, df = Vectors(terms), 0, np.zeros(len(terms) + len(seen.value), np.int64)
+        own_terms, own_words = seen.value
+        vectors, known = Vectors(own_terms), {w: len(own_terms) + i for i, w in enumerate(own_words)}
+        n, df = 0, np.zeros(len(own_terms) + len(own_words), np.int64)
         for b in batches:
             n += len(b)
             for text in b["text"]:
-                df[list(vectors.counts(text))] += 1
-                if len(seen.value):
-                    own = all_words(text)[0]
-                    at = np.minimum(np.searchsorted(seen.value, own), len(seen.value) - 1)
-                    df[len(terms) + at[seen.value[at] == own]] += 1
+                words = words_of(text)
+                df[list(vectors.counts(words))] += 1
+                df[[known[w] for w in set(words) if w in known]] += 1
         some = np.nonzero(df)[0]
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], n)})
 
@@ -365,21 +343,21 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         rows += int(n[at < 0].sum())
     idf = np.log((1 + rows) / (1 + df)) + 1
     model = Model(terms, idf[: len(terms)], [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in held])
-    whole = [(r["doc_id"], int(r["toxic"] > 0), np.searchsorted(vocabulary, np.frombuffer(r["words"], np.uint64)).astype(np.int32), np.frombuffer(r["times"], np.int32)) for r in held]
-    model.words = WordIndex(vocabulary, idf[len(terms):], whole)
-    model.words.unseen = float(np.log(1 + rows) + 1)
-    del held, whole
-    shared = docs.sparkSession.sparkContext.broadcast(_state(model))
+    indexed = [(r["doc_id"], int(r["toxic"] > 0), np.array([places[w] for w in r["words"].split()], np.int32), np.array(r["times"], np.int32)) for r in held if r["doc_id"] in whole]
+    model.words = WordIndex(vocabulary, idf[len(terms):], indexed, float(np.log(1 + rows) + 1))
+    del held, indexed, places
+    shared = context.broadcast(_state(model))
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, vectors = _restore(shared.value), Vectors(terms)
         for b in batches:
             rows = []
             for i, y, t in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
-                at, w = own.vector(vectors.counts(t))
+                words = words_of(t)
+                at, w = own.vector(vectors.counts(words))
                 found = own.neighbours(at, w, int(i)) if len(at) else []
-                at, w, _ = own.words.query(*all_words(t)[:2])
-                near = own.words.neighbours(at, w, int(i)) if len(at) else []
+                at, w, _ = own.words.query(words)
+                near = own.words.neighbours(at, w, int(i))
                 rows.append((own.vote(found) if found else None, own.words.vote(near) if near else None, float(y > 0)))
             yield pd.DataFrame(rows, columns=["vote", "by_words", "label"])
 
@@ -391,6 +369,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         missed = votes[np.where(votes["vote"].isna(), model.blank_rate, lexicon) < 0.5].dropna(subset="by_words")
         model.words.curve = isotonic(missed["by_words"].to_numpy(), missed["label"].to_numpy(), LEAST_POOL)
     model.shared = shared  # scoring needs no second copy on disk, only the curves
+    free(examples)
     return model
 
 
@@ -420,7 +399,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
                 own.words.curve = curves[1]
             kept[0] = own, Vectors(own.terms)
         own, vectors = kept[0]
-        rows = [own.score_text(t, vectors.counts(t)) for t in texts]
+        rows = [own.score_text(words, vectors.counts(words)) for words in map(words_of, texts)]
         return pd.DataFrame({
             "score": [r[0] for r in rows],
             "nearest": [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in r[1]] for r in rows],

@@ -348,17 +348,30 @@ def test_toxicity_of_ordinary_words(spark):
 def test_search_by_all_words_is_exact():
     rng = random.Random(16)
     rows = [(i, i % 2, np.array(sorted(rng.sample(range(40), rng.randint(0, 6))), np.int32)) for i in range(300)]
-    index = toxicity.WordIndex(np.arange(40, dtype=np.uint64), np.linspace(1, 3, 40), [(*r, np.full(len(r[2]), 2, np.int32)) for r in rows], k=7)
+    index = toxicity.WordIndex([f"w{i}" for i in range(40)], np.linspace(1, 3, 40), [(*r, np.full(len(r[2]), 2, np.int32)) for r in rows], k=7)
     dense = np.zeros((300, 40))
     for i, _, at in rows:
         dense[i, at] = index.unit(at, np.full(len(at), 2))
     for q in range(40):
-        at, w, _ = index.query(np.array(sorted(rng.sample(range(40), 4)), np.uint64), np.ones(4, np.int32))
+        at, w, spelt = index.query([f"w{i}" for i in rng.sample(range(50), 5)])
+        assert [f"w{i}" for i in at.tolist()] == spelt
         cosines = dense[:, at] @ w
         want = sorted((round(float(c), 6) for i, c in enumerate(cosines) if c > 0 and i != q), reverse=True)[:7]
         assert [c for _, c in index.neighbours(at, w, q)] == pytest.approx(want, abs=1e-5)
 
 
+def test_lexicon_counts_by_brute_force():
+    rng = random.Random(17)
+    terms = sorted({"".join(rng.choice("abc^$") for _ in range(rng.randint(2, 4))) for _ in range(60)} | {"^abc$"})
+    vectors = toxicity.Vectors(terms)
+    for _ in range(50):
+        found = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 9))]
+        text = "".join(f"^{w}$" for w in found)
+        want = {i: n for i, t in enumerate(terms) if (n := sum(text.startswith(t, k) for k in range(len(text))))}
+        assert vectors.counts(found) == want
+    assert toxicity.Vectors([]).counts(["abc"]) == {}
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(6)
     terms = [f"t{i}" for i in range(40)]
