@@ -282,12 +282,12 @@ MERGE = """inv AS (SELECT warehouse, product_id, sum(quantity) AS q, max(event_t
 so AS (SELECT warehouse, product_id, sum(quantity) AS sold, max(event_time) AS new_sale, CAST(sum(amount) AS DECIMAL(28,4)) AS revenue FROM sales WHERE channel = 'A' GROUP BY ALL)"""
 
 
-@register("j13_apply_merge", _with("SELECT warehouse, product_id, CASE WHEN sold IS NULL THEN q ELSE greatest(q - sold, 0) END AS quantity_on_hand, coalesce(new_sale, last_sale) AS last_sale, round(CASE WHEN sold IS NULL THEN lifetime_revenue ELSE coalesce(lifetime_revenue, 0) + CAST(revenue AS DOUBLE) END, 2) AS lifetime_revenue, note FROM inv LEFT JOIN so USING (warehouse, product_id)", MERGE))
+@register("j13_apply_merge", _with("SELECT warehouse, product_id, CASE WHEN sold IS NULL THEN q ELSE greatest(q - sold, 0) END AS quantity_on_hand, coalesce(new_sale, last_sale) AS last_sale, round(CASE WHEN sold IS NULL THEN lifetime_revenue ELSE coalesce(lifetime_revenue, 0) + CAST(revenue AS DOUBLE) END, 1) AS lifetime_revenue, note FROM inv LEFT JOIN so USING (warehouse, product_id)", MERGE))
 def _(spark, sf):
     s = V.sales(spark, sf)
     inv = s.groupBy("warehouse", "product_id").agg(F.sum("quantity").alias("quantity_on_hand"), F.max("event_time").alias("last_sale"), F.when(F.col("product_id") % 3 != 0, A.total("amount")).alias("lifetime_revenue"), F.concat(F.lit("note "), F.col("product_id").cast("string")).alias("note"))
     out = J.apply_sales_merge(inv, A.sales_by_warehouse_product(s.where("channel = 'A'")))
-    return out.withColumn("lifetime_revenue", F.round("lifetime_revenue", 2))
+    return out.withColumn("lifetime_revenue", F.round("lifetime_revenue", 1))
 
 
 @register("k12_insert_ignore", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0")
