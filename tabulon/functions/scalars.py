@@ -169,7 +169,7 @@ def _matched(a: str, b: str) -> int:
             runs = new
         while best and at > alo and bt > blo and a[at - 1] == b[bt - 1]:
             best, at, bt = best + 1, at - 1, bt - 1
-        while best and at + best < ahi and bt + best < bhi and a[at + best] == b[bt + best]:
+        while at + best < ahi and bt + best < bhi and a[at + best] == b[bt + best]:
             best += 1
         if best:
             total += best

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tabulon.operators.cleaning import with_ingest_lineage
+
 
 def read_log_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
@@ -34,6 +36,40 @@ def read_csv_stream(spark: SparkSession, path: str, schema: StructType | str, se
     return spark.readStream.schema(schema).option("header", True).option("sep", sep).csv(path)
 
 
+def evolved_schema(spark: SparkSession, path: str, hints: str) -> StructType:
+    """The hinted columns, and as text all further ones that the JSON files at ``path`` have by now: a restarted stream takes new columns on."""
+    hinted = StructType.fromDDL(hints)
+    known = {f.name for f in hinted}
+    found = spark.read.option("primitivesAsString", True).json(path).schema
+    return StructType([*hinted, *[f for f in found if f.name not in known]])
+
+
+def ingest_suppliers_stream(spark: SparkSession, path: str, hints: str) -> DataFrame:
+    """JSON lines as they arrive, with the columns of ``evolved_schema`` and their lineage."""
+    return with_ingest_lineage(spark.readStream.schema(evolved_schema(spark, path, hints)).json(path))
+
+
+def ingest_inventory_stream(spark: SparkSession, path: str, hints: str, sep: str = ",") -> DataFrame:
+    """CSV files as they arrive, with the hinted columns and their lineage; a row that doesn't fit them is kept in ``_rescued``."""
+    schema = StructType.fromDDL(hints).add("_rescued", "string")
+    rows = spark.readStream.schema(schema).options(header=True, sep=sep, columnNameOfCorruptRecord="_rescued").csv(path)
+    return with_ingest_lineage(rows)
+
+
+def _dated(root: str, name: str, day: str, suffix: str) -> str:
+    return f"{root}/raw/{name}/{day}/{name}_{day}.{suffix}*"  # also with .gz
+
+
+def load_products(spark: SparkSession, root: str, day: str, schema: StructType | str) -> DataFrame:
+    """The staged CSV of a day, gzipped or not."""
+    return read_csv(spark, _dated(root, "products", day, "csv"), schema)
+
+
+def load_transactions(spark: SparkSession, root: str, day: str, schema: StructType | str) -> DataFrame:
+    """The staged JSON lines of a day, gzipped or not."""
+    return read_json(spark, _dated(root, "transactions", day, "json"), schema)
+
+
 def read_partitioned_json(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
     """NDJSON under ``key=value`` folders; their values become columns."""
     return spark.read.schema(schema).option("basePath", root).json(root).withColumn("source_file", F.input_file_name())
@@ -88,10 +124,45 @@ def write_partitioned(df: DataFrame, path: str, *keys: str, mode: str = "overwri
     df.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def write_versioned(df: DataFrame, root: str, version: int, cluster: Sequence[str] = ()) -> None:
-    """A snapshot folder; clustered rows make its files' statistics selective."""
-    out = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster) if cluster else df
-    out.write.mode("errorifexists").parquet(f"{root}/v={version}")
+def interleaved(df: DataFrame, columns: Sequence[str], bits: int = 8) -> DataFrame:
+    """``df`` with ``_z``: the interleaved bits of each column's place among its approximate quantiles, so that rows near in all columns are near in ``_z``.
+
+    Texts are placed by their first four bytes.
+    """
+    kinds = dict(df.dtypes)
+    number = {c: F.conv(F.rpad(F.hex(F.left(F.col(c), F.lit(4))), 8, "0"), 16, 10).cast("double") if kinds[c] == "string" else F.col(c).cast("timestamp").cast("double") if kinds[c] == "date" else F.col(c).cast("double") for c in columns}
+    cuts = [k / 2**bits for k in range(1, 2**bits)]
+    ends = df.agg(*[F.percentile_approx(number[c], cuts).alias(f"_e{i}") for i, c in enumerate(columns)])
+    both = df.join(F.broadcast(ends))  # one row
+
+    def place_of(ends: str, value: Column) -> Column:
+        return F.coalesce(F.size(F.filter(ends, lambda e: e < value)), F.lit(0))
+
+    place = [place_of(f"_e{i}", number[c]) for i, c in enumerate(columns)]
+    both = both.withColumns({f"_p{i}": p for i, p in enumerate(place)})
+    z = F.lit(0).cast("long")
+    for b in range(bits):
+        for i in range(len(columns)):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"_p{i}"), b).bitwiseAND(1).cast("long"), b * len(columns) + i))
+    return both.withColumn("_z", z).select(*df.columns, "_z")
+
+
+def write_versioned(df: DataFrame, root: str, version: int, cluster: Sequence[str] = (), parts: Sequence[str] = ()) -> None:
+    """A snapshot folder, partitioned by ``parts``; rows clustered by one or several columns make its files' statistics selective."""
+    out = df
+    if len(cluster) == 1:
+        out = df.repartitionByRange(*cluster).sortWithinPartitions(*parts, *cluster)
+    elif cluster:
+        out = interleaved(df, cluster).repartitionByRange(*parts, "_z").sortWithinPartitions(*parts, "_z").drop("_z")
+    writer = out.write.mode("errorifexists")
+    (writer.partitionBy(*parts) if parts else writer).parquet(f"{root}/v={version}")
+
+
+def compact(spark: SparkSession, root: str, version: int, files: int, cluster: Sequence[str] = ()) -> int:
+    """The next version of a snapshot with the same rows in about ``files`` files; gives its number."""
+    rows = read_version(spark, root, version)
+    write_versioned(rows if cluster else rows.repartition(files), root, version + 1, cluster)
+    return version + 1
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:

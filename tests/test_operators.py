@@ -1,6 +1,9 @@
 """Literal cases and properties of operators."""
 
 import datetime as dt
+import hashlib
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,9 +15,10 @@ from tabulon.operators import aggregates as A
 from tabulon.operators import cleaning as P
 from tabulon.operators import joins as J
 from tabulon.operators import quality as Q
+from tabulon.operators import ranks
 from tabulon.operators import windows as W
 from tabulon.operators.graph import connected_components
-from tabulon.plans import matching
+from tabulon.plans import matching, pipelines
 
 LINE = '127.0.0.1 - - [10/Oct/2000:13:55:36 -0700] "GET /apache_pb.gif HTTP/1.0" 200 2326 "http://www.example.com/start.html" "Mozilla/4.08 [en] (Win98; I ;Nav)"'
 
@@ -81,37 +85,147 @@ def test_expect_or_fail(spark):
         Q.expect_or_fail(df, "positive", F.col("q") > 0).collect()
 
 
-def test_merge_conserves(spark):
-    inv = spark.createDataFrame([("w", 1, 10.0), ("w", 2, 3.0)], "warehouse string, product_id long, quantity_on_hand double")
-    sold = spark.createDataFrame([("w", 2, 5.0, None, None)], "warehouse string, product_id long, sold double, last_sale timestamp, revenue decimal(28,4)")
-    assert {(r.product_id, r.quantity_on_hand) for r in J.apply_sales_merge(inv, sold).collect()} == {(1, 10.0), (2, 0.0)}
+def test_merge_adds_revenue_and_keeps_the_rest(spark):
+    t = dt.datetime(2024, 1, 1)
+    inv = spark.createDataFrame([("w", 1, 10, t, 100.0, "a"), ("w", 2, 3, None, None, "b"), ("w", 3, 5, t, 7.0, "c")], "warehouse string, product_id long, quantity_on_hand int, last_sale timestamp, lifetime_revenue double, note string")
+    sold = spark.createDataFrame([("w", 2, 5.0, t, 4), ("w", 3, 1.0, t, 3), ("w", 9, 1.0, t, 3), ("w", 1, 0.0, t, 3)], "warehouse string, product_id long, sold double, last_sale timestamp, revenue long")
+    out = J.apply_sales_merge(inv, sold)
+    assert out.columns == inv.columns
+    assert {tuple(r) for r in out.collect()} == {("w", 1, 10, t, 100.0, "a"), ("w", 2, 0, t, 4.0, "b"), ("w", 3, 4, t, 10.0, "c")}
 
 
-def test_candidate_pairs_of_a_large_block_stay_linear(spark):
+def test_update_stock_splits(spark):
+    t = dt.datetime(2024, 1, 1)
+    inv = spark.createDataFrame([("w", 1, t, 10.0, None, None)], "warehouse string, product_id long, inventory_date timestamp, quantity_on_hand double, last_sale timestamp, lifetime_revenue double")
+    sales = spark.createDataFrame([("w", 1, 4.0, t, 2.0), ("w", 7, 1.0, t, 2.0)], "warehouse string, product_id long, quantity double, event_time timestamp, amount double")
+    out = pipelines.update_stock(inv, sales, 30)
+    assert out["inventory"].first().quantity_on_hand == 6.0 and [(r.product_id, r.reason) for r in out["rejected"].collect()] == [(7, "unknown product")]
+
+
+def test_rules_of_warnings(spark):
+    df = spark.createDataFrame([("session_abc", 1), ("session_5", 2), ("session_0", 3), (None, 4), ("session_99999999999999999999999", 5)], "s string, k int")
+    out = {r.k: [e.rule_name for e in r.validation_errors] for r in Q.validate(df, Q.click_rules("s")).collect()}
+    assert out == {1: [], 2: [], 3: ["session_id_range"], 4: [], 5: ["session_id_range"]}
+    assert Q.validate(df, Q.click_rules("s")).where("not is_valid").count() == 0
+
+
+def test_schema_rules_without_a_column(spark):
+    df = spark.createDataFrame([("click", "product_1"), (None, "x")], "event_type string, product_id string")
+    found = {r.event_type: {(e.rule_name, e.field) for e in r.validation_errors} for r in Q.validate(df, Q.schema_rules(df.columns)).collect()}
+    assert found["click"] == {("required_field", "user_id"), ("required_field", "timestamp")} and found[None] == {("valid_event_type", "event_type")}
+
+
+def test_dropped_rows_can_be_read(spark):
+    kept, seen = Q.expect_or_drop(spark.range(10), "big", F.col("id") > 6)
+    assert kept.count() == 3 and seen.get == {"dropped": 7, "total": 10}
+
+
+def test_gates_fail_with_all_messages(spark):
+    gates = spark.createDataFrame([("a", 0, True), ("b", 2, False), ("c", 1, False)], "gate string, n long, passed boolean")
+    Q.require_gates(gates.where("passed"))
+    with pytest.raises(ValueError, match="b: 2; c: 1"):
+        Q.require_gates(gates)
+
+
+def test_candidate_pairs_are_all_found(spark):
     df = spark.range(200).withColumn("k", F.lit("same"))
-    assert J.candidate_pairs(df, "id", F.array("k"), 10).count() < 200 * 20
-    assert J.candidate_pairs(df, "id", F.array("k")).count() == 199 * 100
+    assert J.candidate_pairs(df, "id", F.array("k"), 30).count() == 199 * 100
+    assert J.candidate_pairs(df.withColumn("k", F.lit(None).cast("string")), "id", F.array("k")).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text("abcd ", max_size=30), st.text("abcd ", max_size=30))
+def test_sequence_ratio(a, b):
+    assert 2 * S._matched(a, b) == pytest.approx(SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)))
+
+
+def test_sequence_ratio_of_long_texts():
+    rng = random.Random(4)
+    for n in (150, 250, 400):
+        a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for _ in range(2))
+        b = a[: n // 2] + b[n // 2 :]
+        assert 2 * S._matched(a, b) / (2 * n) == pytest.approx(SequenceMatcher(None, a, b).ratio())
+
+
+def test_pair_scores_by_hand(spark):
+    rows = [(1, "Acme Lamp X100b", "Acme", None, None), (2, "acme lamp x100b", None, None, None), (3, "Other", "Z", "12345678", None), (4, "Thing", "Y", None, "1234-5678"), (5, "no model here", None, None, None), (6, "no model there", None, None, None)]
+    df = matching.prepared(spark.createDataFrame(rows, "id long, name string, brand string, gtin string, ean string"), "id")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long")
+    got = {(r.a, r.b): round(r.score, 6) for r in matching.score_pairs(pairs, df).collect()}
+    ratio = SequenceMatcher(None, "no model here", "no model there").ratio()
+    assert got == {(1, 2): 0.9, (3, 4): 1.0, (5, 6): round(0.4 * 0.5 + 0.2 * ratio, 6)}
+
+
+def test_canonical_record(spark):
+    rows = [(1, "Phone X", "acme", "12345678", "u1", "5"), (1, "PHONE  X!", "Acme", "1234-5678", "u1", "7"), (1, "Phone Y long name", "acme", None, "u2", "x"), (2, " ", None, None, None, None)]
+    out = {r.component: r for r in matching.canonical_records(spark.createDataFrame(rows, "component long, name string, brand string, gtin string, url string, price string")).collect()}
+    one, two = out[1], out[2]
+    assert (one.name, one.gtin, one.url_list, one.size, one.price_min, one.price_max) == ("PHONE  X!", "1234-5678", ["u1", "u2"], 3, 5.0, 7.0)
+    assert one.uid == hashlib.sha1(b"00000012345678").hexdigest()[:16] and two.name is None and two.uid is None
+
+
+def test_pricing_advice(spark):
+    df = spark.createDataFrame([(None, 0.0), (-0.5, 0.0), (-1.5, 0.01), (-1.5, None), (-1.5, 0.2), (-1.0, 0.0)], "e double, u double")
+    got = [r[0] for r in df.select(S.recommend(F.col("e"), F.col("u"))).collect()]
+    assert got == [S.ADVICE[0], S.ADVICE[1], S.ADVICE[2], S.ADVICE[3], S.ADVICE[3], S.ADVICE[3]]
+
+
+def test_clf_lines_with_marks(spark):
+    good = '1.2.3.4 - u [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 200 -'
+    df = spark.createDataFrame([(good,), ("\x1e" + "\x1f".join("123456789"),), ("a\x1fb",), (good + "\x1f",)], "line string")
+    got = [r[0] for r in df.select(S.parse_clf(F.col("line"))).collect()]
+    assert got[0].response_size == 0 and got[0].referer is None and got[0].user == "u" and got[1:] == [None, None, None]
+
+
+def test_global_ranks(spark):
+    rng = random.Random(2)
+    rows = [(i, float(rng.randint(0, 40))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    got = ranks.quantiles(df.union(spark.createDataFrame([(900, None)], "id long, v double")), "v", {"a": 0.0, "b": 0.37, "c": 1.0}).first()
+    values = sorted(v for _, v in rows)
+    at = 0.37 * 499
+    assert (got.a, got.c) == (values[0], values[-1]) and got.b == pytest.approx(values[int(at)] + (values[int(at) + 1] - values[int(at)]) * (at - int(at)))
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    for bins in (7, 600):
+        binned = {r.id: r.b for r in ranks.equal_bins(df, F.col("v"), "id", bins, "b").collect()}
+        size, more = divmod(500, bins)
+        want = [b for b in range(1, bins + 1) for _ in range(size + (b <= more))]
+        assert [binned[i] for i, _ in order] == want
+    assert ranks.equal_bins(df.where("false"), F.col("v"), "id", 3, "b").count() == 0
+    assert ranks.quantiles(df.where("false"), "v", {"a": 0.5}).first().a is None
 
 
 def test_deduplicate_meets_by_first_tokens_and_in_large_blocks(spark):
-    rows = [(1, "acme garden hose reel large", "acme", None), (2, "acme garden hose reel", "acme", None), (3, "other thing here", "acme", None)]
-    rows += [(10 + i, f"bolt set steel v{i % 3}x", "zed", None) for i in range(3000)]
-    names = [f"lamp desk oak {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
-    rows += [(5000 + i, n, "lux", None) for i, n in enumerate(names)] + [(6000, names[0] + " " + names[0], "lux", None), (7000, "nobrand item", None, None), (7001, "nobrand item", None, None)]
-    df = spark.createDataFrame(rows, "id long, product_name string, brand string, gtin string")
-    got = {r["id"]: r["component"] for r in matching.deduplicate(df, "id", "product_name").collect()}
-    assert len(got) == len(rows) and got[1] == got[2] != got[3] and got[7000] != got[7001]
-    assert len({got[10 + i] for i in range(0, 3000, 3)}) == 1
-    pairs = J.block_pairs(df.where("id between 10 and 109"), "id", F.array("brand"), 7)
-    assert pairs.count() == 100 * 99 // 2
+    rows = [(1, "acme garden hose reel large", "acme", None), (2, "acme garden hose reel large new", "acme", None), (3, "other thing here", "acme", None)]
+    rows += [(10 + i, f"bolt set steel v{i % 3}x", "zed", None) for i in range(3000)] + [(7000, "nobrand item", None, None), (7001, "nobrand item", None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, brand string, gtin string")
+    got = {r["id"]: r["component"] for r in matching.deduplicate(df, "id", threshold=0.58).collect()}
+    assert len(got) == len(rows) and got[1] == got[2] != got[3]
+    strict = {r["id"]: r["component"] for r in matching.deduplicate(df, "id").collect()}
+    assert strict[1] != strict[2] and len({strict[10 + i] for i in range(0, 3000, 3)}) == 1 and strict[10] != strict[11]
+    assert strict[7000] != strict[7001]  # two equal names alone score 0.6
 
 
 def test_deduplicate_toy_catalogue(spark):
     rows = [(1, "Phone X100 black", "Acme", None, 1.0), (2, "phone x100  BLACK", "ACME", None, 2.0), (3, "Tablet T9", "Acme", None, 3.0), (4, "Other", "Zed", "12345678", 1.0), (5, "Different name", "Zed", "1234-5678", 1.0)]
-    out = matching.deduplicate(spark.createDataFrame(rows, "id long, product_name string, brand string, gtin string, price double"), "id", "product_name")
+    out = matching.deduplicate(spark.createDataFrame(rows, "id long, name string, brand string, gtin string, price double"), "id")
     assert {(r.id, r.component) for r in out.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
 
 
+def test_star_of_race_results(spark):
+    rows = [
+        ("101", "1", "spinnaker", "1", "a", "", "600", "1:02:03", "1:00:00"), ("101", "1", "Spinnaker", "1", "A ", "alpha", "602", "05:30", None),
+        ("101", "2", "cruising", "2", "b", None, "700", None, None), ("102", "1", "club", "3", None, "x", "n/a", "0.5", "2:00:00"),
+    ]
+    df = spark.createDataFrame([(*r[:6], "c", "club1", r[6], "1", *r[7:]) for r in rows], "regatta string, race string, division string, rank string, sail string, boat string, class string, club string, rating string, points string, elapsed string, corrected string")
+    out = pipelines.build_star(df)
+    report = {r["name"]: r.n for r in out["report"].collect()}
+    assert report == {"rows": 4, "missing_elapsed": 1, "missing_corrected": 2, "missing_sail": 1, "tie_groups": 1, "boats": 2, "races": 3, "divisions": 3}
+    assert {(r.sail, r.boat, r.club, r.rating) for r in out["dim_boat"].collect()} == {("A", "Alpha", "Club1", 601.0), ("B", None, "Club1", 700.0)}
+    assert {r.race_key for r in out["dim_race"].collect()} == {"101-1", "101-2", "102-1"}
+    assert sorted(r.elapsed or 0 for r in out["fact_results"].collect()) == [0, 330, 3723, 43200]
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=14))
 def test_connected_components(spark, edges):

@@ -1,6 +1,7 @@
 """Streams against their batch forms; readers and writers as round trips."""
 
 import datetime as dt
+import gzip
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,105 @@ def test_evolution_is_filled_with_nulls(spark, tmp_path):
     spark.createDataFrame([(1,)], "id long").write.parquet(str(tmp_path / "t" / "k=1"))
     spark.createDataFrame([(2, "x")], "id long, extra string").write.parquet(str(tmp_path / "t" / "k=2"))
     assert {(r.id, r.extra) for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "t")).collect()} == {(1, None), (2, "x")}
+
+
+def test_enrichment_of_a_stream_with_its_side_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 1, 2.0, 10.0, t), (2, 9, 1.0, 5.0, t)], "order_id long, product_id long, quantity double, amount double, event_time timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("order_id long, product_id long, quantity double, amount double, event_time timestamp").parquet(str(tmp_path / "in"))
+    products = spark.createDataFrame([(1, "lamp", "c", 3.0)], "product_id long, product_name string, category string, avg_cost double")
+    known, unknown = R.enrich_stream(stream, products)
+    T.start(R.observe_counters(known, "known", "quantity", ("product_name",)), "k", str(tmp_path / "c1"), str(tmp_path / "k")).awaitTermination(60)
+    T.start(unknown, "u", str(tmp_path / "c2"), str(tmp_path / "u")).awaitTermination(60)
+    assert [(r.order_id, float(r.margin)) for r in spark.read.parquet(str(tmp_path / "k")).collect()] == [(1, 4.0)]
+    side = spark.read.parquet(str(tmp_path / "u"))
+    assert side.columns == stream.columns and [r.order_id for r in side.collect()] == [2]
+
+
+def test_observed_counters(spark, tmp_path):
+    spark.createDataFrame([(1,), (None,), (5,)], "v int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("v int").parquet(str(tmp_path / "in"))
+    query = T.start(R.observe_counters(stream, "counters", "v", ("v",)), "o", str(tmp_path / "c"), str(tmp_path / "o"))
+    query.awaitTermination(60)
+    assert {"rows": 3, "null_v": 1, "min_v": 1, "max_v": 5, "sum_v": 6} in R.progress_counters(query, "counters")
+
+
+def test_sensor_stream_to_console(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"sensor_id": "s1", "value": "4"}\noops\n')
+    query = T.start(R.sensor_stream(spark.readStream.text(str(tmp_path / "in"))), "sensors", str(tmp_path / "c"))
+    query.awaitTermination(60)
+    assert sum(p.numInputRows for p in query.recentProgress) == 2 and "ConsoleTable" in query.recentProgress[0].sink.description
+    got = R.sensor_stream(spark.read.text(str(tmp_path / "in"))).collect()
+    assert [(r.sensor_id, r.value) for r in got] == [("s1", "4"), (None, None)]
+
+
+def test_dead_letter_sink(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"qty": 1}\noops\n')
+    parsed = R.parse_events(spark.readStream.text(str(tmp_path / "in")), "qty int", ["qty"])
+    R.start_dead_letters(parsed, "dlq", str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination(60)
+    assert R.inspect_dlq(spark.read.text(str(tmp_path / "out")), 5).collect() == [("malformed", 1, "oops")]
+
+
+def test_incremental_ingestion_evolves(spark, tmp_path):
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"supplier_id": "s1", "rating": 4.5}\n')
+
+    def ingest(run):
+        out = T.ingest_suppliers_stream(spark, str(tmp_path / "json"), "supplier_id string, rating double")
+        T.start(out, f"i{run}", str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination(60)
+        return spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out"))
+
+    assert "region" not in ingest(1).columns
+    (tmp_path / "json" / "b.json").write_text('{"supplier_id": "s2", "rating": 3.0, "region": 7}\n')
+    assert {(r.supplier_id, r.rating, r.region) for r in ingest(2).collect()} == {("s1", 4.5, None), ("s2", 3.0, "7")}
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("product_id;quantity\np1;3\np2;many;more\n")
+    rows = T.ingest_inventory_stream(spark, str(tmp_path / "csv"), "product_id string, quantity int", ";")
+    T.start(rows, "inv", str(tmp_path / "c3"), str(tmp_path / "inv")).awaitTermination(60)
+    assert {(r.product_id, r.quantity, r._rescued) for r in spark.read.parquet(str(tmp_path / "inv")).collect()} == {("p1", 3, None), ("p2", None, "p2;many;more")}
+
+
+def test_dated_gzip_staging(spark, tmp_path):
+    for name, text, suffix in (("products", "product_id,price\n1,2.5\n", "csv.gz"), ("transactions", '{"sale_id": "a", "quantity": 2}\n', "json.gz")):
+        folder = tmp_path / "raw" / name / "2024-01-01"
+        folder.mkdir(parents=True)
+        with gzip.open(folder / f"{name}_2024-01-01.{suffix}", "wt") as f:
+            f.write(text)
+    assert [tuple(r) for r in T.load_products(spark, str(tmp_path), "2024-01-01", "product_id int, price double").collect()] == [(1, 2.5)]
+    assert [tuple(r) for r in T.load_transactions(spark, str(tmp_path), "2024-01-01", "sale_id string, quantity int").collect()] == [("a", 2)]
+
+
+def test_relational_source_in_parts(spark):
+    url, driver = "jdbc:derby:memory:tabulon;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).select("id", (F.col("id") * 2).alias("v")).write.format("jdbc").options(url=url, dbtable="items", driver=driver).mode("overwrite").save()
+    out = T.read_jdbc(spark, url, "items", "id", 0, 100, 4, driver=driver)
+    assert out.rdd.getNumPartitions() == 4 and out.agg(F.sum("v")).first()[0] == 9900
+    assert T.read_jdbc(spark, url, "items", driver=driver).count() == 100
+
+
+def test_array_file_and_path_partition(spark, tmp_path):
+    (tmp_path / "source=s1").mkdir()
+    (tmp_path / "source=s1" / "x.json").write_text('[{"id": 1},\n{"id": 2}]')
+    rows = T.read_json(spark, str(tmp_path / "source=s1" / "x.json"), array_file=True)
+    assert {(r.id, r.s) for r in rows.select("id", T.path_partition("source", F.input_file_name()).alias("s")).collect()} == {(1, "s1"), (2, "s1")}
+
+
+def test_clustering_by_several_columns_and_compaction(spark, tmp_path):
+    df = spark.range(4000).select((F.col("id") % 64).cast("string").alias("a"), (F.col("id") / 64).cast("int").alias("b"), F.lit("p").alias("part"))
+    z = T.interleaved(spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y")), ["x", "y"], 4)
+    assert {(r.x, r.y): r._z for r in z.collect()} == {(x, y): sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(4)) for x in range(16) for y in range(16)}
+    T.write_versioned(df, str(tmp_path / "v"), 1, ["a", "b"], ["part"])
+    assert T.compact(spark, str(tmp_path / "v"), 1, 2) == 2
+    for v in (1, 2):
+        assert T.read_version(spark, str(tmp_path / "v"), v).select("a", "b").exceptAll(df.select("a", "b")).count() == 0
+    assert len(list((tmp_path / "v" / "v=2").glob("*.parquet"))) == 2
+
+
+def test_catalogue_is_written(spark, tmp_path):
+    folder = tmp_path / "raw" / "source=s1" / "run_date=2024-01-01"
+    folder.mkdir(parents=True)
+    (folder / "x.json").write_text('{"id": 1, "brand": "b", "category": "c", "price": 5.0, "rating": 4.0, "ingest_ts": 1}\n')
+    out = pipelines.run_catalog(spark, str(tmp_path / "raw"), "id long, brand string, category string, price double, rating double, ingest_ts long, source string, run_date string", str(tmp_path / "out"))
+    assert out["silver"].count() == 1 and (tmp_path / "out" / "source=s1" / "run_date=2024-01-01").exists() and out["prices"].first()[0] == "< $10"
