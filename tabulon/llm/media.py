@@ -16,7 +16,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,17 +47,46 @@ SEEK_POINTS = 16
 # ---- checksums ----
 
 
-@cache
-def _crc_frame(protected: bytes) -> int:
-    """CRC-16 with polynomial 0x8005, most significant bit first, start 0xFFFF: the frames' own checksum."""
+@lru_cache(4096)
+def _crc_frame(protected: bytes, bits: int | None = None) -> int:
+    """CRC-16 with polynomial 0x8005, most significant bit first, start 0xFFFF: the frames' own checksum, over the first ``bits``."""
     crc = 0xFFFF
-    for byte in protected:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    for k in range(8 * len(protected) if bits is None else bits):
+        one = crc >> 15 ^ protected[k >> 3] >> (7 - (k & 7)) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if one else 0)
     return crc
 
 
+# Fixed values of ISO/IEC 11172-3 and 13818-3: (subbands, bits of an allocation) by Layer II table.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _protected_bits(head: bytes, body: bytes) -> int:
+    """How many bits after the checksum it covers in Layers I and II: the bit allocation and, in Layer II, what selects scale factors."""
+    version, layer, mode = head[1] >> 3 & 3, 4 - (head[1] >> 1 & 3), head[3] >> 6
+    channels = 1 if mode == 3 else 2
+    shared = 4 * ((head[3] >> 4 & 3) + 1) if mode == 1 else 32  # from this subband on, joint stereo has one allocation for both
+    if layer == 1:
+        return 4 * sum(1 if channels == 1 or sb >= shared else 2 for sb in range(32))
+    hertz, kbps = SAMPLE_RATES[version][head[2] >> 2 & 3], BITRATES[version == 3, 2][head[2] >> 4] // channels
+    low, high = ("d" if hertz == 32000 else "c"), ("a" if hertz == 48000 else "b")
+    name = "lsf" if version != 3 else low if kbps <= 48 else "a" if kbps <= 80 else high
+    value, at, chosen = int.from_bytes(body[:128].ljust(128, b"\0"), "big"), 0, 0
+    widths = [w for n, w in ALLOCATIONS[name] for _ in range(n)]
+    for sb, width in enumerate(widths):
+        for _ in range(1 if channels == 1 or sb >= shared else 2):
+            used = value >> (1024 - at - width) & (1 << width) - 1
+            chosen += bool(used) * (channels if sb >= shared else 1)
+            at += width
+    return at + 2 * chosen
+
+
 ROW = 256
 
 
@@ -176,7 +205,7 @@ class Parsed:
     parts: list[bytes] = field(default_factory=list)
 
 
-@cache
+@lru_cache(65536)
 def _decode(head: bytes) -> tuple[int, int, int, int, bool] | None:
     """(frame bytes, samples, Hz, side-info bytes, protected) of a four-byte header, None if it is none."""
     if head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
@@ -224,7 +253,8 @@ def _tags(data: bytes, out: Parsed) -> tuple[int, int]:
         size = int.from_bytes(data[end - 20:end - 16], "little")
         out.tags.setdefault("APE", str(int.from_bytes(data[end - 16:end - 12], "little")))
         end -= size + (32 if data[end - 9] & 0x80 else 0) if size + 32 <= end - at else 32
-    return min(at, len(data)), max(end, at)
+    at = min(at, len(data))
+    return at, max(end, at)
 
 
 def _vbr(data: bytes, at: int, size: int, side: int, protected: bool, out: Parsed) -> bool:
@@ -247,7 +277,7 @@ def _vbr(data: bytes, at: int, size: int, side: int, protected: bool, out: Parse
                 out.music_crc_ok = crc16(data[at + size:at + length]) == music if length >= size else None
             return True
     mark = data[at + 36:at + 40]
-    if mark == b"VBRI":
+    if mark == b"VBRI" and at + 54 <= len(data):
         out.vbr = "VBRI"
         out.vbr_bytes, out.vbr_frames = struct.unpack(">II", data[at + 46:at + 54])
         return True
@@ -280,7 +310,13 @@ def parse(data: bytes | None, payload: bool = False) -> Parsed:
             continue
         if protected:
             out.crc_checked += 1
-            out.crc_bad += _crc_frame(data[at + 2:at + 4] + data[at + 6:at + 6 + side]) != int.from_bytes(data[at + 4:at + 6], "big")
+            head = data[at:at + 4]
+            if side:
+                own = _crc_frame(head[2:] + data[at + 6:at + 6 + side])
+            else:
+                bits = _protected_bits(head, data[at + 6:at + size])
+                own = _crc_frame(head[2:] + data[at + 6:at + size][: -(-bits // 8)].ljust(-(-bits // 8), b"\0"), 16 + bits)
+            out.crc_bad += own != int.from_bytes(data[at + 4:at + 6], "big")
         if payload:
             out.parts.append(data[at + 4 + 2 * protected + side:at + size])
         out.offsets.append(at)

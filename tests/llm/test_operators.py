@@ -100,6 +100,63 @@ def test_media_resync_and_damage():
         assert media.parse(nothing).frames == 0
 
 
+def _by_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ b) & 1 else 0)) & 0xFFFF
+    return crc
+
+
+def _bits(data):
+    return [byte >> k & 1 for byte in data for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize("head, covered", [
+    (b"\xff\xfe\x90\xc0", 128),  # Layer I, mono
+    (b"\xff\xfe\x90\x00", 256),  # Layer I, stereo
+    (b"\xff\xfe\x90\x40", 4 * (2 * 4 + 28)),  # Layer I, joint stereo from subband 4
+    (b"\xff\xfc\xa4\xc0", None),  # Layer II, 48 kHz, mono: 27 subbands
+    (b"\xff\xfc\x14\x00", None),  # Layer II, 48 kHz, stereo at 16 kbit/s each: 8 subbands
+])
+def test_frame_checksums_of_layers_one_and_two(head, covered):
+    rng = random.Random(22)
+    size = media._decode(head)[0]
+    frames = []
+    for _ in range(5):
+        body = bytes(rng.randrange(256) for _ in range(size - 6))
+        bits = _bits(body)
+        if covered is None:
+            stereo = head[3] >> 6 != 3
+            widths = [4] * 2 + [3] * 6 if stereo else [4] * 11 + [3] * 12 + [2] * 4
+            at = used = 0
+            for w in widths:
+                for _ in range(2 if stereo else 1):
+                    used += any(bits[at:at + w])
+                    at += w
+            n = at + 2 * used
+        else:
+            n = covered
+        frames.append(head + _by_bits(_bits(head[2:]) + bits[:n]).to_bytes(2, "big") + body)
+    got = media.parse(b"".join(frames))
+    assert (got.frames, got.crc_checked, got.crc_bad) == (5, 5, 0)
+    frames[2] = frames[2][:6] + bytes([frames[2][6] ^ 0x80]) + frames[2][7:]
+    assert media.parse(b"".join(frames)).crc_bad == 1
+
+
+def test_parsing_cut_and_damaged_streams_never_fails():
+    rng = random.Random(23)
+    whole = media.mux(bytes(rng.randrange(256) for _ in range(3000)))
+    vbri = b"\xff\xfb\x90\xc0".ljust(36, b"\0") + b"VBRI"
+    for data in [*(whole[:k] for k in range(0, len(whole), 37)), *(vbri[:k] for k in range(41)), *((vbri + bytes(400))[:k] for k in range(30, 440, 3))]:
+        media.parse(data, payload=True)
+    for _ in range(300):
+        data = bytearray(whole[: rng.randrange(600)] + bytes(rng.choice(b"\xff\xfb\xfaI3DTAGAPEVBRIXing\0") for _ in range(rng.randrange(200))))
+        for _ in range(rng.randrange(20)):
+            if data:
+                data[rng.randrange(len(data))] = rng.randrange(256)
+        media.parse(bytes(data), payload=True)
+
+
 def test_crc16_against_its_definition():
     rng = random.Random(1)
     assert media.crc16(b"123456789") == 0xBB3D
