@@ -39,8 +39,12 @@ SIMPLE = 0x250
 
 @cache
 def _simple_text() -> re.Pattern:
-    """Only characters that every Unicode version lower-cases and classes alike."""
-    return re.compile(f"[\0-{chr(SIMPLE - 1)}‘-”–—]*")
+    """Only characters that every Unicode version lower-cases and classes alike, to characters of the same range.
+
+    U+001C to U+001F are left out: Python counts them as white space, the tokenizer's pattern doesn't.
+    """
+    simple = "".join(re.escape(c) for c in map(chr, range(SIMPLE)) if not "\x1c" <= c <= "\x1f" and max(c.lower()) < chr(SIMPLE))
+    return re.compile(f"[{simple}‘-”–—]*")
 
 
 @cache

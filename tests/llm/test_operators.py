@@ -306,6 +306,18 @@ def test_packing_of_special_tokens(spark):
     assert own.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
 
 
+def test_cached_words_have_the_ids_of_the_tokenizer():
+    own = packing.WordTokenizer(packing.default_tokenizer())
+    rng = random.Random(24)
+    every = [chr(c) for c in [*range(1, 0x300), *range(0x2010, 0x2030), 0x1E9E, 0x212A, 0x4E00, 0x1F600]]
+    texts = [f"a{c}b {c} {c}{c}1 A{c}" for c in every]
+    texts += ["".join(rng.choice(every if k % 3 else every[:0x90]) for _ in range(rng.randint(0, 40))) for k in range(4000)]
+    texts += ["it's <|endoftext|> x", "<|StartOfText|>", "I'LL we'Ve ''s"]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = own.encode(texts)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
 def test_packing_plan_covers_exactly():
     rng = random.Random(4)
     for n in (1, 50, 3000):
