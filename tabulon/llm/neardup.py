@@ -11,7 +11,7 @@ with the likeliest one. Buckets that still hold several components are compared
 alone, and of each two components the likeliest pair is confirmed; at last all pairs that may link two different components are.
 
 Null texts, empty ones and texts without words have no shingles and link with nothing. Repeated rows of a text form one
-class; a repeated doc_id gives one row for each of its rows. Extra columns and rows without doc_id are ignored.
+class; a repeated doc_id gives one row for each of its rows, each by its own text, and different texts of one doc_id link only if they are alike. Extra columns and rows without doc_id are ignored.
 """
 
 from __future__ import annotations
@@ -119,6 +119,11 @@ def band_keys(samples: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def digests(h: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes: 128 bits that stand for the set."""
+    return int(h.sum().view(np.int64)), int(mix64(h ^ STEP).sum().view(np.int64))
+
+
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -134,8 +139,7 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
                 if not len(h):
                     rows.append((0, 0, 0, []))
                     continue
-                keys = int(h.sum().view(np.int64)), int(mix64(h ^ STEP).sum().view(np.int64))
-                rows.append((len(h), *keys, band_keys(minhash(h))))
+                rows.append((len(h), *digests(h), band_keys(minhash(h))))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
@@ -144,15 +148,16 @@ def sketch(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(id, n, hashes, odd): the whole set of each document and its odd sketch."""
+    """(set_a, set_b, n, hashes, odd): the whole set of each document with its two digests, and its odd sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_hashes(t, words) for t in b["text"]]
             odd = [odd_sketch(minhash(h, SKETCH_SAMPLES)).tobytes() for h in sets]
-            yield pd.DataFrame({"id": b["doc_id"], "n": [len(h) for h in sets], "hashes": [h.view(np.int64) for h in sets], "odd": odd})
+            one, two = zip(*[digests(h) for h in sets], strict=True) if sets else ((), ())
+            yield pd.DataFrame({"set_a": one, "set_b": two, "n": [len(h) for h in sets], "hashes": [h.view(np.int64) for h in sets], "odd": odd})
 
-    return docs.mapInPandas(run, "id long, n long, hashes array<long>, odd binary")
+    return docs.mapInPandas(run, "set_a long, set_b long, n long, hashes array<long>, odd binary")
 
 
 def most_apart(percent: int) -> float:
@@ -239,13 +244,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     source = documents_of(docs)
     sketches = cut(sketch(source, words))
     some = sketches.where("n_shingles > 0")
-    classes = cut(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("bands").alias("bands")))
+    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first_doc"), F.min("bands").alias("bands"))
+    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()))  # a doc_id may have several texts, so it can't name a class
     buckets = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
     first = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))
     leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("m")).where("n > 1")
     shared = cut(buckets.join(leaders.select("bucket", F.col("m.id").alias("leader")), "bucket"))
-    texts = source.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = cut(full_sets(texts, words).dropDuplicates(["id"]))
+    wanted = classes.join(shared.select(F.col("id").alias("class_id")).distinct(), "class_id", "left_semi")
+    texts = source.join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    named = wanted.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.col("class_id").alias("id"))
+    sets = cut(full_sets(texts, words).join(named, ["set_a", "set_b", "n"]).dropDuplicates(["id"]).select("id", "n", "hashes", "odd"))
     odd = sets.select("id", "odd")
 
     star = shared.where("id <> leader").select("id", "leader").distinct()
@@ -267,9 +275,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
             links = links.unionByName(new)
             components = connected_components(links, "a", "b")
 
-    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.drop("bands"), ["set_a", "set_b", "n_shingles"])
-    found = found.join(components.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    linked = found.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    rooted = classes.select("set_a", "set_b", "n_shingles", "class_id", "first_doc").join(components.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    rooted = rooted.select("set_a", "set_b", "n_shingles", "first_doc", F.coalesce("component", "class_id").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    known = rooted.join(smallest, "root").select("set_a", "set_b", "n_shingles", "component_id")
+    linked = some.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -265,6 +265,39 @@ def test_language(spark, docs, texts, empty):
     assert {r.lang_pred for r in language.op6_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    rng = random.Random(26)
+    bases = {"aa": "abcdé", "bb": "cdefg", "cc": "efgaß"}
+    rows = [(i, words(rng, rng.randint(1, 30), bases[lang]) + rng.choice(["", " 12!", "\n\n", " Ünx"]), lang) for i, lang in enumerate(sorted(bases) * 40)]
+    rows += [(500, None, "aa"), (501, "", "bb"), (502, "123 !?", "cc"), (503, "abc abc", None), (rows[3][0], rows[3][1], rows[3][2])]
+
+    def grams(text):
+        runs = re.sub(r"[^a-zéßüñ]+", "_", f" {(text or '').lower()} ")
+        found = collections.Counter()
+        for n in (1, 2, 3):
+            for k in range(len(runs) - n + 1):
+                g = runs[k:k + n]
+                if g != "_" and "_" not in g[1:-1]:
+                    found[g] += 1
+        return found if runs.strip("_") else collections.Counter()
+
+    def ranked(counts):
+        return sorted(counts, key=lambda g: (-counts[g], g.replace("_", "\x01").rjust(3, "\0")))[: language.TOP]
+
+    total = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            total[lang].update(grams(text))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in total.items()}
+    got = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.op6_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = set()
+    for i, text, _ in rows:
+        own = ranked(grams(text))
+        away = sorted((sum(abs(p[g] - r) if g in p else language.TOP for r, g in enumerate(own)), lang) for lang, p in profiles.items())
+        want.add((i, away[0][1], round(1 - away[0][0] / (language.TOP * len(own)), 9)) if own else (i, "und", 0.0))
+    assert got == want
+
+
 def test_language_chunks(monkeypatch):
     text = words(random.Random(2), 400)
     whole = language.ngram_counts(text)
@@ -363,6 +396,14 @@ def test_near_duplicates(docs, texts, empty):
     assert neardup.op8_neardup(empty).count() == 0
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    rng = random.Random(25)
+    one, two = words(rng, 60), words(rng, 60)
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, words(rng, 60)), (2, one + " end")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.op8_neardup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 57, 1), (2, 58, 1), (3, 58, 1), (4, 57, 4)}
+
+
 def test_near_duplicates_of_one_large_group(spark):
     rng = random.Random(11)
     base = words(rng, 120).split(" ")
