@@ -26,25 +26,36 @@ def _like_documents(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go; null and empty texts stay."""
+    """Documents with a toxicity score of 0.5 or more go.
+
+    Null and empty texts stay, and so do rows without an id unless their text is toxic; repeated rows are scored each for itself. Extra
+    columns, whatever their names, pass through. An empty table gives an empty one.
+    """
     model = learn_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs.select(F.struct("*").alias("doc")), model, "doc.text")
     return scored.where("toxicity.score < 0.5").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; a document of which no line is left goes too, unless it was blank before."""
-    found = dedup_lines(docs)  # its own column replaces one of the same name; documents has none
+    """Repeated and nearly repeated lines go; a document of which no line is left goes too, unless it was blank before.
+
+    A null text stays null. Rows without an id keep all their lines, and so do both rows of an id that is repeated whole, where
+    they are the first. Extra columns, whatever their names, pass through. An empty table gives an empty one.
+    """
+    found = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("doc")))
     emptied = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"\S")
-    return _like_documents(found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns))
+    own = [F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return _like_documents(found.where(~F.coalesce(emptied, F.lit(False))).select(*own))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8 or more) the document with the smallest id stays, and one row of each id.
 
-    Of an id's rows the one with the least text in Spark's order stays; rows without an id all stay.
+    An id of which any row is kept stays; of its rows the one with the least text in Spark's order does. Null, empty and wordless texts are
+    in no group and stay; so do all rows without an id. Extra columns, whatever their names, pass through. An empty table gives an empty one.
     """
-    dropped = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    decided = near_duplicates(docs, words=5, percent=80).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    dropped = decided.where(~F.col("kept")).select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     rows = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("doc"))
@@ -53,13 +64,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item go."""
+    """Documents that hold at least half of a benchmark item go, with all rows of their id.
+
+    Null and empty texts and rows without an id stay; repeated rows share their id's decision. Extra columns, whatever their names, pass
+    through. An empty table, of documents or of items, removes nothing.
+    """
     found = contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed."""
+    """Token pieces of all documents, packed.
+
+    Null and empty texts are pieces of one token; repeated rows are pieces of their own; rows without an id are left out. Extra columns
+    are ignored. An empty table gives an empty one.
+    """
     return op7_packing(docs)
 
 
