@@ -73,6 +73,23 @@ def test_run_packs_what_is_left(spark, folder):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_odd_tables(spark, folder, name, stage):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clashing = [F.lit(c).alias(c) for c in ("removed_lines", "kept", "n", "doc", "toxicity", "component", "bucket", "gone", "id")]
+    wide = docs.select("*", *clashing)
+    assert stage(spark, wide.where("false"), folder).count() == 0
+    twice = wide.unionByName(wide.where("doc_id in (1, 5) or text is null"))
+    out = stage(spark, twice, folder)
+    if name == "pack":
+        assert out.where("doc_id = 5").count() == 2 and out.where("doc_id = 302").select("length").distinct().collect() == [(1,)]
+        return
+    assert out.columns == wide.columns
+    assert {tuple(r) for r in out.select("removed_lines", "kept", "n", "doc", "toxicity", "component", "bucket", "gone", "id").distinct().collect()} == {("removed_lines", "kept", "n", "doc", "toxicity", "component", "bucket", "gone", "id")}
+    n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert n[302] == (1 if name == "near_dedup" else 2) and n[303] == 1 and n[5] == (1 if name == "near_dedup" else 2)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles(spark, name):
