@@ -75,31 +75,44 @@ def canonical(words: Column) -> Column:
 
 
 def _with_forms(rows: DataFrame, *keep: str) -> DataFrame:
-    """``rows`` (keep, marked) with words, form (all that may be a name is one), strict (only sure names are) and literal (none is)."""
+    """``rows`` (keep, marked) with words, form (all that may be a name is one), strict (only sure names are) and literal (none is).
+
+    Texts without a sure name have one form only, which isn't made again.
+    """
     words = F.transform("marked", plain)
     sure = F.transform(F.filter("marked", lambda t: t.startswith(NAME)), plain)
     maybe = F.transform(F.filter("marked", lambda t: t.startswith(CAPITAL)), plain)
-    rows = rows.select(*keep, "marked", words.alias("words"), F.array_intersect(sure, maybe).alias("also"))
-    rows = rows.select(*keep, "marked", "words", "also", canonical(F.col("words")).alias("literal"))
+    named = F.size("sure") > 0
+    rows = rows.select(*keep, "marked", words.alias("words"), sure.alias("sure"))
+    rows = rows.select(*keep, "marked", "words", named.alias("named"), F.when(named, F.array_intersect("sure", maybe)).alias("also"), canonical(F.col("words")).alias("literal"))
     strict = F.transform("literal", lambda t, i: F.when(F.get("marked", i).startswith(NAME), "<name>").otherwise(t))
-    rows = rows.select(*keep, "marked", "words", "also", "literal", strict.alias("strict"))
+    rows = rows.select(*keep, "marked", "words", "named", "also", "literal", F.when(F.col("named"), strict).otherwise(F.col("literal")).alias("strict"))
     form = F.transform("strict", lambda t, i: F.when(F.get("marked", i).startswith(CAPITAL) & F.array_contains("also", F.get("words", i)), "<name>").otherwise(t))
-    return rows.select(*keep, "words", "literal", "strict", F.when(F.size("also") > 0, form).otherwise(F.col("strict")).alias("form"))
+    return rows.select(*keep, "named", "words", "literal", "strict", F.when(F.size("also") > 0, form).otherwise(F.col("strict")).alias("form"))
 
 
 def _hashed(forms: DataFrame, *keep: str) -> DataFrame:
-    return forms.select(*keep, *[F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in ("form", "strict", "literal")])
+    """The forms as hashes of their tokens; without a sure name, ``form`` and ``strict`` are null, as they equal ``literal``."""
+
+    def hashes(c: str) -> Column:
+        return F.transform(c, lambda t: F.xxhash64(t))
+
+    return forms.select(*keep, "named", hashes("literal").alias("literal"), *[F.when(F.col("named"), hashes(c)).alias(c) for c in ("form", "strict")])
 
 
 def _windows(size: int) -> Column:
     """(pos, hs) of the windows of the hashed forms; hs has each form's hash once."""
-    n = F.size("form") - size
+    n = F.size("literal") - size
     places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
-    def window(i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.array_distinct(F.array(*[F.xxhash64(F.slice(c, i + 1, size)) for c in ("form", "strict", "literal")])).alias("hs"))
+    def windows(*forms: str) -> Column:
+        def window(i: Column) -> Column:
+            hs = F.array(*[F.xxhash64(F.slice(c, i + 1, size)) for c in forms])
+            return F.struct(i.alias("pos"), (F.array_distinct(hs) if len(forms) > 1 else hs).alias("hs"))
+
+        return F.transform(places, window)
 
-    return F.transform(places, window)
+    return F.when(F.col("named"), windows("form", "strict", "literal")).otherwise(windows("literal"))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -111,7 +124,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("marked")).where(F.size("marked") > 0)
     items = cut(_with_forms(items.dropDuplicates(["item_id", "marked"]), "item_id"))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # WINDOW values at most
-    asked = _hashed(items, "item_id").withColumn("size", F.least(F.size("form"), F.lit(WINDOW)))
+    asked = _hashed(items, "item_id").withColumn("size", F.least(F.size("literal"), F.lit(WINDOW)))
     none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
     whole = F.concat(none, *[F.when(F.col("size") == k, _windows(k)).otherwise(none) for k in sizes])
     asked = cut(asked.select("item_id", "size", F.explode(whole).alias("w")).select("item_id", "size", F.col("w.pos").alias("ipos"), F.explode("w.hs").alias("h")))
