@@ -237,6 +237,81 @@ def test_decontamination_by_case_names_and_numbers(spark):
     assert {r.doc_id: r.n_changed for r in found}[2] == {r.doc_id: r.n_changed for r in found}[3] == 0
 
 
+def _forms(text):
+    """(words, form, strict, literal) by the documented rules, a token at a time."""
+    found = []
+    for m in re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[%$€£¥°]", text):
+        t = m.group()
+        capital = len(t) > 1 and t[0].isupper() and t[1].islower()
+        before = text[max(0, m.start() - 2):m.start()]
+        sure = capital and len(before) == 2 and before[1] in " \t" and (before[0].islower() or before[0].isdigit() or before[0] in ",;")
+        found.append((t.lower(), sure, capital and not sure))
+    words = [w for w, _, _ in found]
+    also = {w for w, a, _ in found if a} & {w for w, _, b in found if b}
+
+    def number(w):
+        return w[0].isdigit() or w in decontam.NUMBER_WORDS
+
+    literal = []
+    for k, w in enumerate(words):
+        unit = w in decontam.UNITS and k > 0 and number(words[k - 1]) or w in decontam.SIGNS and k + 1 < len(words) and number(words[k + 1])
+        literal.append("<num>" if number(w) else "<unit>" if unit else w)
+    strict = ["<name>" if found[k][1] else w for k, w in enumerate(literal)]
+    form = ["<name>" if found[k][2] and found[k][0] in also else w for k, w in enumerate(strict)]
+    return words, form, strict, literal
+
+
+def _contaminated(text, item):
+    """(matched, slots, changed) if at least half of the item's windows are found at consistent alignments."""
+    dw, *ds = _forms(text)
+    iw, *its = _forms(item)
+    size = min(6, len(iw))
+    if not size:
+        return None
+    n = len(iw) - size + 1
+    shifts = collections.defaultdict(set)
+    for q in range(n):
+        own = {tuple(f[q:q + size]) for f in its}
+        for p in range(len(dw) - size + 1):
+            if own & {tuple(f[p:p + size]) for f in ds}:
+                shifts[p - q].add(q)
+    covered, slots, changed = set(), [], []
+    for shift, places in shifts.items():
+        at = {p for q in places for p in range(q, q + size) if its[0][p] in ("<num>", "<unit>", "<name>")}
+        pairs = {(iw[p], dw[p + shift]) for p in at}
+        if len({a for a, _ in pairs}) == len(pairs):
+            covered |= places
+            slots.append(len(pairs))
+            changed.append(sum(a != b for a, b in pairs))
+    return (n, len(covered), max(slots), min(changed)) if 2 * len(covered) >= n and covered else None
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(27)
+    base = ["the", "train", "leaves", "with", "apples", "km", "euros", "seven", "buys", "and", "pays", "from", "gives", "kg"]
+    names = ["Anna", "Bert", "Carla", "Oslo", "Rome"]
+
+    def sentence(n):
+        out = [rng.choice(names) if rng.random() < 0.15 else str(rng.randint(1, 40)) if rng.random() < 0.2 else rng.choice(base) for _ in range(n)]
+        return " ".join(out) + rng.choice([".", ", then", "?"])
+
+    items = {i: " ".join(sentence(rng.randint(3, 9)) for _ in range(rng.randint(1, 3))) for i in range(12)} | {90: "", 91: "12 km", 92: None}
+    docs = {}
+    for k in range(60):
+        text = rng.choice([items[i] for i in range(12)])
+        if k % 3 == 1:
+            text = re.sub(r"\d+", lambda m: str(int(m.group()) + 50), text)
+        if k % 3 == 2:
+            text = " ".join(w if rng.random() > 0.12 else rng.choice(base + names) for w in text.split(" "))
+        docs[k] = f"{sentence(rng.randint(0, 6))} {text if k % 5 else text.lower()} {sentence(rng.randint(0, 6))}"
+    docs |= {70: None, 71: "", 72: sentence(20), 73: " ".join(sentence(9) for _ in range(3000)) + " " + items[0]}
+    want = {(d, i, *found) for d, t in docs.items() for i, x in items.items() if t and x and (found := _contaminated(t, x))}
+    table = [spark.createDataFrame(list(x.items()), f"{key} long, text string") for x, key in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id, r.n_windows, r.n_matched, r.n_slots, r.n_changed) for r in decontam.op4_decontam(table[0].union(table[0].where("doc_id = 3")), table[1]).collect()}
+    assert got == want and len(got) > 40
+    assert decontam.op4_decontam(table[0].where("false"), table[1]).count() == 0 and decontam.op4_decontam(table[0], table[1].where("false")).count() == 0
+
+
 def test_substrings(docs, texts, empty):
     got, seen = by_id(substrings.op5_substrings(docs)), set()
     for i, t in sorted(texts.items()):
