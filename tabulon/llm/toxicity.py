@@ -39,7 +39,7 @@ from tabulon.llm.bytesops import documents_of, held_out, small_batches
 from tabulon.session import cut, free
 
 MAX_EXAMPLES = 20_000
-WORD_EXAMPLES = 4_000
+WORD_EXAMPLES = 2_000
 MAX_TERMS = 20_000
 MIN_ROWS = 5
 MIN_Z = 5.0
@@ -186,7 +186,7 @@ class Model:
         self.words: WordIndex | None = None
         self.shared: Broadcast | None = None
         self.blank_rate = float(self.labels[self.blank].mean()) if self.blank.any() else 0.0
-        self._search = lru_cache(20_000)(self._search_one)
+        self._search = lru_cache(2_000)(self._search_one)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
@@ -380,7 +380,7 @@ def _state(model: Model) -> dict:
 def _restore(state: dict) -> Model:
     model = Model.__new__(Model)
     model.__dict__ |= state
-    model._search = lru_cache(20_000)(model._search_one)
+    model._search = lru_cache(2_000)(model._search_one)
     return model
 
 
