@@ -276,7 +276,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
         return []
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_terms = lru_cache(100_000)(terms_of)
+        own_terms = lru_cache(5_000)(terms_of)
         for b in batches:
             rows: tuple[Counter, Counter] = Counter(), Counter()
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
