@@ -44,7 +44,7 @@ CAPITAL = "\x02"
 CAPITAL_START = r"(?<![\p{L}\p{M}\x01'’-])(?=\p{Lu}\p{Ll})"
 SIGNS = ("$", "€", "£", "¥")
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
-COMPOUND = rf"(?<=\b{_NUMBER})[ \t-](?={_NUMBER}\b)|(?<=\b(?:hundred|thousand|million))[ \t]and[ \t](?={_NUMBER}\b)"
+COMPOUND = rf"\b(?:({_NUMBER})[ \t-]|(hundred|thousand|million)[ \t]and[ \t])(?={_NUMBER}\b)"
 TOKEN = r"[\x01\x02]?[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:/]\p{N}+)*|[%$€£¥°]"
 
 
@@ -52,7 +52,7 @@ def tokens(text: Column) -> Column:
     """Words, numbers and unit signs in lower case; names carry a mark, other capitalised words another one."""
     clean = F.translate(text.cast("string"), NAME + CAPITAL, "  ")
     marked = F.lower(F.regexp_replace(F.regexp_replace(clean, NAME_START, NAME), CAPITAL_START, CAPITAL))
-    return F.regexp_extract_all(F.regexp_replace(marked, COMPOUND, "-"), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(marked, COMPOUND, "$1$2-"), F.lit(TOKEN), F.lit(0))
 
 
 def plain(token: Column) -> Column:
