@@ -12,6 +12,7 @@ from tabulon.llm.lines import op10_lines
 from tabulon.llm.media import op1_media
 from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
+from tabulon.llm.periodic import OP11_SQL, op11_runs
 from tabulon.llm.preferences import OP2_SQL, op2_preferences
 from tabulon.llm.substrings import op5_substrings
 from tabulon.llm.toxicity import op9_toxicity
@@ -36,8 +37,10 @@ QUERIES: dict[str, Query] = {
     "op8_neardup": _on_documents(op8_neardup),
     "op9_toxicity": lambda spark, sf_dir: op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lines": _on_documents(op10_lines),
+    "op11_runs": _on_documents(op11_runs),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preferences": OP2_SQL,
+    "op11_runs": OP11_SQL,
 }
