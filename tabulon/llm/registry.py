@@ -14,6 +14,7 @@ from tabulon.llm.neardup import op8_neardup
 from tabulon.llm.packing import op7_packing
 from tabulon.llm.periodic import OP11_SQL, op11_runs
 from tabulon.llm.preferences import OP2_SQL, op2_preferences
+from tabulon.llm.spotsigs import OP13_SQL, op13_spotsigs
 from tabulon.llm.substrings import op5_substrings
 from tabulon.llm.toxicity import op9_toxicity
 from tabulon.llm.weak_labels import op3_quality
@@ -38,9 +39,11 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": lambda spark, sf_dir: op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lines": _on_documents(op10_lines),
     "op11_runs": _on_documents(op11_runs),
+    "op13_spotsigs": _on_documents(op13_spotsigs),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preferences": OP2_SQL,
     "op11_runs": OP11_SQL,
+    "op13_spotsigs": OP13_SQL,
 }
