@@ -17,6 +17,7 @@ from tabulon.llm.preferences import OP2_SQL, op2_preferences
 from tabulon.llm.spotsigs import OP13_SQL, op13_spotsigs
 from tabulon.llm.substrings import op5_substrings
 from tabulon.llm.toxicity import op9_toxicity
+from tabulon.llm.trie import OP12_SQL, op12_trie
 from tabulon.llm.weak_labels import op3_quality
 from tabulon.session import table
 
@@ -39,11 +40,13 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": lambda spark, sf_dir: op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lines": _on_documents(op10_lines),
     "op11_runs": _on_documents(op11_runs),
+    "op12_trie": lambda spark, sf_dir: op12_trie(table(spark, sf_dir, "conversations")),
     "op13_spotsigs": _on_documents(op13_spotsigs),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_preferences": OP2_SQL,
     "op11_runs": OP11_SQL,
+    "op12_trie": OP12_SQL,
     "op13_spotsigs": OP13_SQL,
 }
