@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tabulon.operators.cleaning import with_ingest_lineage
+from tabulon.sources.snapshots import read_snapshot, write_version
 
 
 def read_log_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -148,14 +149,13 @@ def interleaved(df: DataFrame, columns: Sequence[str], bits: int = 8) -> DataFra
 
 
 def write_versioned(df: DataFrame, root: str, version: int, cluster: Sequence[str] = (), parts: Sequence[str] = ()) -> None:
-    """A snapshot folder, partitioned by ``parts``; rows clustered by one or several columns make its files' statistics selective."""
+    """A published snapshot, partitioned by ``parts``; rows clustered by one or several columns make its files' statistics selective."""
     out = df
     if len(cluster) == 1:
         out = df.repartitionByRange(*cluster).sortWithinPartitions(*parts, *cluster)
     elif cluster:
         out = interleaved(df, cluster).repartitionByRange(*parts, "_z").sortWithinPartitions(*parts, "_z").drop("_z")
-    writer = out.write.mode("errorifexists")
-    (writer.partitionBy(*parts) if parts else writer).parquet(f"{root}/v={version}")
+    write_version(out, root, version, parts)
 
 
 def compact(spark: SparkSession, root: str, version: int, files: int, cluster: Sequence[str] = ()) -> int:
@@ -166,7 +166,7 @@ def compact(spark: SparkSession, root: str, version: int, files: int, cluster: S
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={version}")
+    return read_snapshot(spark, root, version)
 
 
 def append_by_day(df: DataFrame, path: str, time: str) -> None:

@@ -97,6 +97,38 @@ def order_anomalies(totals: DataFrame, k: float = 1.5, size: str = "24 hours", s
     return with_window_bounds(windows.join(stats, ["window", *keys]).withColumn("is_anomalous", (F.col("iqr") != 0) & outside))
 
 
+def order_anomalies_stream(sales: DataFrame, gap: str = "30 minutes", k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", keys: tuple[str, ...] = ("warehouse", "country"), delay: str = "26 hours", accuracy: int = 100) -> DataFrame:
+    """``order_anomalies`` of the totals of sales (order_id, event_time, amount, quantity), as a stream: each order in each of its windows once that window is closed.
+
+    An order is complete when no line of it came for ``gap`` of event time (lines further apart are orders of their own). Its total moves on with the time of
+    its session's end; windows are shifted by the same, so they are those of the last line's time. Statistics are a second aggregation of these totals, and meet
+    them again in a join of both streams on the window, whose end lets the state go. On a table the result is the same.
+    """
+    late = with_lateness(sales, "event_time", delay)
+    orders = late.groupBy(F.session_window("event_time", gap).alias("session"), "order_id", *keys)
+    totals = orders.agg(F.max("event_time").alias("last_time"), F.sum("amount").cast("double").alias("order_total"), F.sum("quantity").alias("units"))
+    closed = totals.withColumn("closed", F.window_time("session")).drop("session")  # a microsecond before the session's end
+    shift = _micros(gap) - 1
+    window = F.window("closed", size, slide, f"{shift % _micros(slide)} microseconds")
+    stats = closed.groupBy(window.alias("window"), *keys).agg(F.percentile_approx("order_total", [0.25, 0.75], accuracy).alias("q"))
+    both = closed.withColumn("window", window).join(stats, ["window", *keys])
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    outside = (F.col("order_total") < q1 - k * (q3 - q1)) | (F.col("order_total") > q3 + k * (q3 - q1))
+    moved = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(shift / 1e6).cast("decimal(18,6)"))
+    return both.select(
+        "order_id", *keys, "last_time", "order_total", "units", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), ((q3 != q1) & outside).alias("is_anomalous"),
+        (F.col("window.start") - moved).alias("window_start"), (F.col("window.end") - moved).alias("window_end"),
+    )
+
+
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+
+
+def _micros(duration: str) -> int:
+    number, unit = duration.split()
+    return int(number) * UNITS[unit.rstrip("s")] * 1_000_000
+
+
 def enrich_stream(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sales of known products (product_id, product_name, category, avg_cost) with their margin, and the side stream of all others."""
     known = products.select("product_id", "product_name", "category", "avg_cost")
