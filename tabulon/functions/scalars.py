@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from tabulon.functions.binding import let
+from tabulon.functions.folding import without_marks
 
 CLF = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?$'
 MAX_LINE = 8192
@@ -85,14 +86,15 @@ def week_start(d: Column) -> Column:
 
 
 def to_seconds(s: Column) -> Column:
-    """H:M:S, M:S, a day fraction below 1 or plain seconds, as seconds."""
+    """H:M:S or M:S (whole parts count), a day fraction below 1, or whole seconds, as seconds; anything else is null."""
     text = F.trim(s)
 
     def of(parts: Column) -> Column:
-        n = F.transform(parts, lambda p: p.try_cast("double"))
-        number = F.get(n, F.lit(0))
-        clock = F.aggregate(n, F.lit(0.0), lambda acc, x: acc * 60 + x)
-        return F.when(F.size(parts).between(2, 3), clock).when(F.size(parts) == 1, F.when((number > 0) & (number < 1), F.round(number * 86400)).otherwise(number))
+        number = F.get(parts, F.lit(0)).try_cast("double")
+        whole = F.transform(parts, lambda p: p.try_cast("double").try_cast("long"))
+        clock = F.aggregate(whole, F.lit(0).cast("long"), lambda acc, x: acc * 60 + x).cast("double")
+        plain = F.when(F.isnan(number), None).when((number >= 0) & (number < 1), F.bround(number * 86400)).when((number >= 0) & (number == F.floor(number)), number)
+        return F.when(F.size(parts).between(2, 3), clock).when(F.size(parts) == 1, plain)
 
     return let(F.split(text, ":"), of)
 
@@ -103,19 +105,14 @@ def to_hms(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), F.concat(hours.cast("string"), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"), F.lpad(rest.cast("string"), 2, "0")))
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăâîșşțţ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaisstt"
-
-
 def normalize_name(s: Column) -> Column:
-    """Lower case, Latin accents stripped, anything else but letters and digits a single space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(s), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    """Lower case, without marks, anything else but letters and digits of ASCII a single space."""
+    return F.trim(F.regexp_replace(without_marks(F.lower(s)), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def nfkd(s: pd.Series) -> pd.Series:
+def nfkd(s: Column) -> Column:
     """Lower case without any combining marks, for all scripts."""
-    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
+    return without_marks(F.lower(s))
 
 
 def canonical_gtin(s: Column) -> Column:
@@ -146,41 +143,108 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(0.0))
 
 
-def _matched(a: str, b: str) -> int:
-    """Characters in matching blocks: the longest common block, then the same on either side of it.
+class Automaton:
+    """The suffix automaton of a text: its states are sets of substrings that end at the same places.
+
+    Walking another text along it gives, at each place, the longest substring that ends there and is in this text.
+    """
 
-    As usual for this ratio, characters that make up over a hundredth of a second string of 200 or more start no block.
+    def __init__(self, text: list[str | None]) -> None:
+        self.next: list[dict[str | None, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [0]
+        last = 0
+        for k, c in enumerate(text):
+            new = self._state({}, self.length[last] + 1, k + 1)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[q] > self.length[p] + 1:  # only the shorter substrings of q end here as well
+                    twin = self._state(dict(self.next[q]), self.length[p] + 1, self.end[q])
+                    self.link[twin] = self.link[q]
+                    self.link[q] = twin
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = twin
+                        p = self.link[p]
+                    q = twin
+                self.link[new] = q
+            last = new
+
+    def _state(self, following: dict[str | None, int], length: int, end: int) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest(self, text: str, begin: int, stop: int) -> tuple[int, int, int]:
+        """(place in ``text`` within begin and stop, place here, length) of the longest common substring; of equals the first in ``text``, then the first here."""
+        state = n = 0
+        best = (begin, 0, 0)
+        for i in range(begin, stop):
+            c = text[i]
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                n += 1
+                if n > best[2]:
+                    best = (i - n + 1, self.end[state] - n, n)
+        return best
+
+
+def _rare(text: str) -> list[str | None]:
+    """The characters of a text; in one of 200 or more those that make up over a hundredth of it are no part of any block's core."""
+    if len(text) < 200:
+        return list(text)
+    often = {c for c, n in Counter(text).items() if n > len(text) // 100 + 1}
+    return [None if c in often else c for c in text]
+
+
+def matched(a: str, b: str, core: list[str | None], whole: Automaton) -> int:
+    """Characters in matching blocks of a and b: the longest common block, grown by what is equal beside it, then the same to its left and right.
+
+    ``core`` is ``_rare(b)`` and ``whole`` its automaton, which serves all texts that b is compared with.
     """
-    places: dict[str, list[int]] = {}
-    for k, c in enumerate(b):
-        places.setdefault(c, []).append(k)
-    common = {c for c, at in places.items() if len(b) >= 200 and len(at) > len(b) // 100 + 1}
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        best, at, bt, runs = 0, alo, blo, {}
-        for i in range(alo, ahi):
-            new: dict[int, int] = {}
-            for j in () if a[i] in common else places.get(a[i], ()):
-                if blo <= j < bhi:
-                    new[j] = n = runs.get(j - 1, 0) + 1
-                    if n > best:
-                        best, at, bt = n, i - n + 1, j - n + 1
-            runs = new
-        while best and at > alo and bt > blo and a[at - 1] == b[bt - 1]:
-            best, at, bt = best + 1, at - 1, bt - 1
-        while at + best < ahi and bt + best < bhi and a[at + best] == b[bt + best]:
-            best += 1
-        if best:
-            total += best
-            todo += [(alo, at, blo, bt), (at + best, ahi, bt + best, bhi)]
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        automaton = whole if b1 - b0 == len(b) else Automaton(core[b0:b1])
+        i, j, n = automaton.longest(a, a0, a1)
+        j += b0
+        if n:
+            left = 0
+            while i - left > a0 and j - left > b0 and a[i - left - 1] == b[j - left - 1]:
+                left += 1
+            i, j, n = i - left, j - left, n + left
+        while i + n < a1 and j + n < b1 and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            total += n
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
     return total
 
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters (Ratcliff and Obershelp); 0 if either is null, 1 if both are empty."""
-    return pd.Series([0.0 if x is None or y is None else 2 * _matched(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype=float)
+    """Twice the matching characters over all characters (Ratcliff and Obershelp); 0 if either is null, 1 if both are empty.
+
+    Each distinct text of ``b`` in a batch gets one automaton, each distinct pair one ratio.
+    """
+    pairs = pd.DataFrame({"a": a, "b": b})
+    found: dict[tuple[str, str], float] = {}
+    for right, lefts in pairs.dropna().drop_duplicates().groupby("b", sort=False)["a"]:
+        core = _rare(right)
+        whole = Automaton(core)
+        for left in lefts:
+            size = len(left) + len(right)
+            found[left, right] = 2 * matched(left, right, core, whole) / size if size else 1.0
+    return pd.Series([found.get(pair, 0.0) for pair in zip(a, b, strict=True)], dtype=float)
 
 
 def dup_key(*columns: Column) -> Column:

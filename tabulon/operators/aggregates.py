@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.ranks import equal_bins, quantiles
@@ -199,10 +199,21 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return both.groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def collapse_dim(df: DataFrame, key: str, order: str, text: str, number: str) -> DataFrame:
-    """First non-blank text and median number per key."""
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    return df.groupBy(key).agg(F.min_by(F.when(~blank, F.col(text)), F.when(~blank, F.col(order))).alias(text), F.median(number).alias(number))
+def collapse_dim(df: DataFrame, key: str, order: str, texts: str | Sequence[str], number: str) -> DataFrame:
+    """First non-blank texts and median number per key. The median comes from the counts of equal numbers, so that no task holds a key's rows."""
+    names = [texts] if isinstance(texts, str) else list(texts)
+
+    def first(text: str) -> Column:
+        blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+        return F.min_by(F.when(~blank, F.col(text)), F.when(~blank, F.col(order))).alias(text)
+
+    out = df.groupBy(key).agg(*[first(t) for t in names])
+    counts = df.where(F.col(number).isNotNull()).groupBy(key, F.col(number).cast(DOUBLE).alias("v")).agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"upto": F.sum("n").over(up_to), "every": F.sum("n").over(Window.partitionBy(key))})
+    middle = (F.col("upto") * 2 >= F.col("every")) & ((F.col("upto") - F.col("n")) * 2 <= F.col("every"))
+    medians = placed.where(middle).groupBy(key).agg(((F.min("v") + F.max("v")) / 2).alias(number))
+    return out.join(medians, key, "left")
 
 
 def regatta_measures(fact: DataFrame) -> DataFrame:
@@ -245,10 +256,10 @@ def coverage_score(inventory: DataFrame, threshold: float) -> DataFrame:
     return inventory.agg((100 - F.try_divide(low, F.sum("quantity_on_hand")) * 100).alias("score"))
 
 
-def monitoring_series(events: DataFrame, seconds: int, dead_letters: DataFrame | None = None) -> DataFrame:
-    """Per window and type: rate, approximate quantiles of the value, share of errors in the window, and its dead letters."""
+def monitoring_series(events: DataFrame, seconds: int, dead_letters: DataFrame | None = None, score: str | None = None) -> DataFrame:
+    """Per window and type: rate, approximate quantiles of the value, mean of the quality ``score`` if there is one, share of errors in the window, and its dead letters."""
     w = F.window("ts", f"{seconds} seconds")["start"]
-    by = events.groupBy(w.alias("window_start"), "event_type").agg(F.count("*").alias("n"), (F.count("*") / seconds).alias("rate"), F.percentile_approx("value", 0.5).alias("p50"), F.percentile_approx("value", 0.95).alias("p95"))
+    by = events.groupBy(w.alias("window_start"), "event_type").agg(F.count("*").alias("n"), (F.count("*") / seconds).alias("rate"), F.percentile_approx("value", 0.5).alias("p50"), F.percentile_approx("value", 0.95).alias("p95"), *([F.avg(score).alias("mean_quality")] if score else []))
     errors = by.groupBy("window_start").agg(F.try_divide(F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)), F.sum("n")).alias("error_rate"))
     out = by.join(errors, "window_start").drop("n")
     if dead_letters is None:

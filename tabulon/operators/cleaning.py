@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.folding import title_case
 from tabulon.functions.scalars import canonical_gtin
 
 
@@ -111,9 +112,7 @@ def transform_transactions(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 def normalize_text(value: Column) -> Column:
     """Trimmed, words capitalised (also after punctuation); blank becomes null."""
-    low = F.lower(F.trim(value))
-    parts = F.regexp_extract_all(low, F.lit(r"[a-z]+|[^a-z]+"), F.lit(0))
-    return F.nullif(F.array_join(F.transform(parts, lambda p: F.initcap(p)), ""), F.lit(""))
+    return F.nullif(title_case(F.trim(value)), F.lit(""))
 
 
 def coerce_integer(value: Column) -> Column:

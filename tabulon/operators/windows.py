@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,16 @@ def top_n_per(df: DataFrame, keys: Sequence[str], by: str, n: int, tie: str, den
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _with_group(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group, nulls among the keys equal; partial sums and a join, so that no task holds a group."""
+    names = {k: f"_g{i}" for i, k in enumerate(keys)}
+    groups = df.groupBy(*[F.col(k).alias(g) for k, g in names.items()]).agg(*aggregates)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(g)) for k, g in names.items()])
+    return df.join(groups, same).drop(*names.values())
+
+
 def share_within(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.withColumn("share", F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))
+    return _with_group(df, keys, F.sum(value).alias("_sum")).withColumn("share", F.try_divide(F.col(value), F.col("_sum"))).drop("_sum")
 
 
 def rank_by(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
@@ -56,8 +65,12 @@ def year_over_year(daily: DataFrame, day: str, value: str) -> DataFrame:
     return daily.join(before, day, "left").withColumn("yoy", F.try_divide(F.col(value) - F.col("before"), F.col("before")))
 
 
-def flag_ties(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumn("tied", F.count("*").over(Window.partitionBy(*keys)) > 1)
+def flag_ties(df: DataFrame, keys: Sequence[str], ranked: str | None = None) -> DataFrame:
+    """Whether other rows have the same keys; rows without a value of ``ranked`` are no ties."""
+    tied = F.col("_n") > 1
+    if ranked is not None:
+        tied &= F.col(ranked).isNotNull()
+    return _with_group(df, keys, F.count("*").alias("_n")).withColumn("tied", tied).drop("_n")
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str, max_lag: int) -> DataFrame:

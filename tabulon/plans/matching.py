@@ -128,3 +128,13 @@ def canonical_records(df: DataFrame) -> DataFrame:
 def dedup_summary(mapped: DataFrame) -> DataFrame:
     sizes = mapped.groupBy("component").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("n").alias("records"), F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("multi"), F.avg("n").alias("mean_size"))
+
+
+def dedup_report(canonical: DataFrame, clusters: int = 25, brands: int = 25) -> DataFrame:
+    """(section, label, value) of canonical records (component, name, brand, size): how many clusters have each size, the largest
+    clusters, and the brands of most records. Equal ones are in the order of their ids and names."""
+    sizes = canonical.groupBy("size").agg(F.count("*").alias("value")).select(F.lit("size").alias("section"), F.col("size").cast("string").alias("label"), "value")
+    top = canonical.orderBy(F.desc("size"), "component").limit(clusters).select(F.lit("cluster").alias("section"), F.col("component").cast("string").alias("label"), F.col("size").alias("value"))
+    named = canonical.select(F.trim(F.col("brand").cast("string")).alias("label")).where("label <> ''")
+    most = named.groupBy("label").agg(F.count("*").alias("value")).orderBy(F.desc("value"), "label").limit(brands).select(F.lit("brand").alias("section"), "label", "value")
+    return sizes.unionByName(top).unionByName(most)

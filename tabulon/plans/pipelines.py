@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tabulon.functions.scalars import recommend, to_seconds
+from tabulon.functions.scalars import recommend, to_hms, to_seconds
 from tabulon.operators import aggregates as A
 from tabulon.operators import cleaning as P
 from tabulon.operators import joins as J
@@ -27,16 +27,19 @@ def run_log_analytics(spark: SparkSession, source: str, out: str) -> list[Stream
 
 
 def build_lakehouse(sales: DataFrame, products: DataFrame, country: Column) -> dict[str, DataFrame]:
-    """Bronze, silver and gold tables: valid sales, the latest of each order, product and warehouse, known products, and their aggregates.
+    """Bronze, silver and gold tables: all sales, the latest of each order, product and warehouse if it is valid, known products, and their aggregates.
+
+    A latest row that breaks an expectation is rejected; the one before it doesn't come back.
 
     ``products`` is a reference (product_id, product_name, category, avg_cost); ``country`` is that of a warehouse.
     """
-    bronze, rejected = P.split_valid(sales, (F.col("quantity") > 0) & (F.col("amount") > 0))
-    silver = W.latest_by(bronze, ["order_id", "product_id", "warehouse"], "event_time", "line_no", "quantity", "amount").withColumn("country", country)
+    latest = W.latest_by(sales, ["order_id", "product_id", "warehouse"], "event_time", "line_no", "quantity", "amount")
+    silver, rejected = P.split_valid(latest, (F.col("quantity") > 0) & (F.col("amount") > 0))
+    silver = silver.withColumn("country", country)
     enriched, unknown = R.enrich_stream(silver, products)
     gold = enriched.groupBy("warehouse", "category").agg(A.total("amount").alias("revenue"), F.count_distinct("order_id").alias("orders"))
     totals = A.order_totals(enriched, "country")
-    return {"bronze": bronze, "rejected": rejected, "silver": silver, "enriched": enriched, "unknown": unknown, "gold_category": gold, "gold_performance": R.sales_performance(enriched), "gold_anomalies": R.order_anomalies(totals)}
+    return {"bronze": sales, "rejected": rejected, "silver": silver, "enriched": enriched, "unknown": unknown, "gold_category": gold, "gold_performance": R.sales_performance(enriched), "gold_anomalies": R.order_anomalies(totals)}
 
 
 def update_stock(inventory: DataFrame, sales: DataFrame, days: int, newest: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -84,33 +87,55 @@ def audit_counts(audited: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _times(fact: DataFrame) -> DataFrame:
+    """With both times also as H:MM:SS, and whether the corrected one is missing."""
+    return fact.withColumns({"elapsed_hms": to_hms(F.col("elapsed")), "corrected_hms": to_hms(F.col("corrected")), "corrected_missing": F.col("corrected").isNull()})
+
+
+RESULTS = ("regatta", "race", "division", "rank", "sail", "boat", "class", "club", "rating", "points", "elapsed", "corrected")
+
+
 def build_star(rows: DataFrame) -> dict[str, DataFrame]:
-    """Race results (regatta, race, division, rank, sail, boat, class, club, rating, points, elapsed, corrected) as a fact with keys, three dimensions and a report.
+    """Race results (``RESULTS``) as a fact with keys, three dimensions and a report.
 
-    Texts are normalised, times become seconds, ranks and numbers are coerced; a missing corrected time comes from elapsed time and
-    rating where both are there. The report has one row a check.
+    Texts are normalised, times become seconds, ranks and numbers are coerced. Ties are rows of one rank in a race and division, unranked ones
+    are none. The report has one row a check.
     """
-    P.require_columns(rows, ["regatta", "race", "division", "rank", "sail", "boat", "class", "club", "rating", "points", "elapsed", "corrected"])
-    texts = {c: P.normalize_text(F.col(c)) for c in ("division", "boat", "class", "club")}
+    P.require_columns(rows, list(RESULTS))
+    texts = {c: P.normalize_text(F.col(c).cast("string")) for c in ("division", "sail", "boat", "class", "club")}
     numbers = {c: P.coerce_integer(F.col(c).cast("string")) for c in ("regatta", "race", "rank")}
     values = {c: F.col(c).cast("string").try_cast("double") for c in ("rating", "points")}
     times = {c: to_seconds(F.col(c).cast("string")) for c in ("elapsed", "corrected")}
-    clean = rows.withColumns(texts | numbers | values | times | {"sail": F.nullif(F.upper(F.trim("sail")), F.lit(""))})
+    clean = rows.withColumns(texts | numbers | values | times)
     clean = clean.withColumn("race_key", P.compose_key(F.col("regatta"), F.col("race")))
-    fact = W.flag_ties(clean, ["regatta", "race", "division", "rank"])
-    boats = A.collapse_dim(clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "boat", "club")), "sail", "_o", "boat", "rating")
-    clubs = A.collapse_dim(clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "club", "boat")), "sail", "_o", "club", "rating").select("sail", "club")
-    dim_boat = boats.join(clubs, "sail")
+    clean = clean.withColumn("fact_key", P.compose_key(F.col("race_key"), F.col("sail")))
+    fact = _times(W.flag_ties(clean, ["regatta", "race", "division", "rank"], "rank"))
+    known = clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "boat", "class", "club"))
+    dim_boat = A.collapse_dim(known, "sail", "_o", ["boat", "class", "club"], "rating")
     dim_race = W.distinct_keys(clean.where("race_key is not null"), ["race_key", "regatta", "race"])
     dim_division = W.distinct_keys(clean.where("division is not null"), ["division"])
     checks = clean.agg(F.count("*").alias("rows"), F.count_if(F.col("elapsed").isNull()).alias("missing_elapsed"), F.count_if(F.col("corrected").isNull()).alias("missing_corrected"), F.count_if(F.col("sail").isNull()).alias("missing_sail"))
     checks = checks.selectExpr("stack(4, 'rows', rows, 'missing_elapsed', missing_elapsed, 'missing_corrected', missing_corrected, 'missing_sail', missing_sail) as (name, n)")
     ties = fact.where("tied").select("regatta", "race", "division", "rank").distinct().agg(F.count("*").alias("n")).select(F.lit("tie_groups").alias("name"), "n")
     sizes = [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, d in (("boats", dim_boat), ("races", dim_race), ("divisions", dim_division))]
-    measures = fact.select("regatta", "race_key", "division", "sail", "rank", "points", "rating", "elapsed", "corrected", "tied")
+    measures = fact.select("fact_key", "race_key", *RESULTS[:3], "sail", "boat", "class", "club", "rating", "rank", "points", "elapsed_hms", "elapsed", "corrected_hms", "corrected", "corrected_missing", "tied")
     return {"fact_results": measures, "dim_boat": dim_boat, "dim_race": dim_race, "dim_division": dim_division, "report": W.union_all(checks, ties, *sizes)}
 
 
+def backfill_times(fact: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fact with missing times from rows of ``raw`` (regatta, race, sail, elapsed, corrected) with the same keys, trimmed and in any case;
+    and how complete both times were before and after, in percent."""
+    keys = {c: P.coerce_integer(F.col(c).cast("string")) for c in ("regatta", "race")}
+    times = {c: to_seconds(F.col(c).cast("string")) for c in ("elapsed", "corrected")}
+    filled = _times(J.backfill(fact, raw.withColumns(keys | times), ["regatta", "race", "sail"], ["elapsed", "corrected"]))
+
+    def complete(df: DataFrame, when: str) -> DataFrame:
+        shares = [F.coalesce(F.count(c) * 100.0 / F.count("*"), F.lit(0.0)).alias(c) for c in ("elapsed", "corrected")]
+        return df.agg(*shares).select(F.lit(when).alias("state"), "elapsed", "corrected")
+
+    return filled, complete(fact, "before").unionByName(complete(filled, "after"))
+
+
 def run_fashion(products: DataFrame, transactions: DataFrame, days: int = 30, as_of: Column | None = None) -> dict[str, DataFrame]:
     """Staged products and transactions as cleaned dimension and fact, the gates, and the ten best ranks of products of each region in the last ``days`` days."""
     dim = P.transform_products(products)

@@ -272,10 +272,10 @@ def _(spark, sf):
     return A.pipeline_health(P.trailing(V.events(spark, sf), "ts", 1))
 
 
-@register("a46_monitoring_series", "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, * FROM events), w AS (SELECT window_start, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS error_rate, count(*) FILTER (value > 150) AS dlq FROM e GROUP BY 1) SELECT window_start, event_type, count(*) / 3600.0::DOUBLE AS rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, any_value(error_rate) AS error_rate, any_value(dlq) AS dlq FROM e JOIN w USING (window_start) GROUP BY ALL")
+@register("a46_monitoring_series", "WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, * FROM events), w AS (SELECT window_start, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS error_rate, count(*) FILTER (value > 150) AS dlq FROM e GROUP BY 1) SELECT window_start, event_type, count(*) / 3600.0::DOUBLE AS rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, avg(100.0 - value % 10) AS mean_quality, any_value(error_rate) AS error_rate, any_value(dlq) AS dlq FROM e JOIN w USING (window_start) GROUP BY ALL")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    return A.monitoring_series(e, 3600, e.where("value > 150"))
+    return A.monitoring_series(e.withColumn("quality", 100.0 - F.col("value") % 10), 3600, e.where("value > 150"), "quality")
 
 
 @register("a47_best_days", _with("SELECT day, revenue::DOUBLE AS revenue, revenue::DOUBLE / orders AS average_order FROM (SELECT CAST(event_time AS DATE) AS day, sum(amount) AS revenue, count(DISTINCT order_id) AS orders FROM sales GROUP BY 1) ORDER BY 2 DESC, 1 LIMIT 7"))
@@ -319,14 +319,24 @@ def _(spark, sf):
     return e.select("event_id", S.to_seconds(F.col("hms")).alias("seconds"), "hms")
 
 
-@register("f12_normalize_name", f"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{S.ACCENTED}', '{S.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))) AS h FROM documents")
+DURATIONS = {0: "05:30.7", 1: "1.5", 2: "-5", 3: "0.25", 4: "1:00:00", 5: "a:b", 6: "", 7: "90", 8: "1:2:3:4", 9: "0"}
+
+
+@register("f10_duration_forms", "SELECT event_id, CASE event_id % 10 WHEN 0 THEN 330.0 WHEN 3 THEN 21600.0 WHEN 4 THEN 3600.0 WHEN 7 THEN 90.0 WHEN 9 THEN 0.0 END AS seconds FROM events")
+def _(spark, sf):
+    """Forms that are times, and others that are none: fractions of seconds don't count, numbers that are neither whole nor below 1 are no times."""
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in DURATIONS.items() for x in pair]), (F.col("event_id") % 10).cast("int"))
+    return table(spark, sf, "events").select("event_id", S.to_seconds(text).alias("seconds"))
+
+
+@register("f12_normalize_name", "SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS h FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.normalize_name(F.col("text"))).alias("h"))
 
 
 @register("f12_nfkd", "SELECT doc_id, md5(strip_accents(lower(text))) AS h FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(S.nfkd("text")).alias("h"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(S.nfkd(F.col("text"))).alias("h"))
 
 
 @register("f13_canonical_gtin", "SELECT p_partkey, CASE WHEN length(p_partkey::VARCHAR || '12345678') IN (8, 12, 13, 14) THEN lpad(p_partkey::VARCHAR || '12345678', 14, '0') END AS gtin FROM part")
@@ -350,7 +360,19 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.edit_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
-@register("f17_seq_ratio")
+#: The longest common block of each piece is the greatest of all (length, first place in a, first place in b); what is left and right of it are two more pieces.
+RATIO = """ratio_of(a, b, ratio) AS (
+  WITH RECURSIVE piece(a, b, a0, a1, b0, b1, best) AS (
+    SELECT a, b, 0, length(a), 0, length(b), 0::BIGINT FROM names
+    UNION ALL SELECT a, b, side[1], side[2], side[3], side[4], best FROM (
+      SELECT a, b, found AS best, unnest([[a0, i, b0, j], [i + n, a1, j + n, b1]]) AS side FROM (
+        SELECT *, found // 1000000 AS n, 999 - found // 1000 % 1000 AS i, 999 - found % 1000 AS j FROM (
+          SELECT *, coalesce(list_max(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j: 1000000 * coalesce(list_max(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda k: substr(a, (i + 1)::BIGINT, k) = substr(b, (j + 1)::BIGINT, k))), 0) + 1000 * (999 - i) + 999 - j)))), 0) AS found FROM piece WHERE a0 < a1 AND b0 < b1
+        )) WHERE n > 0)
+  ) SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE sum(best // 1000000)::DOUBLE / (length(a) + length(b)) END FROM piece GROUP BY a, b)"""
+
+
+@register("f17_seq_ratio", "WITH names AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part), " + RATIO + " SELECT p_partkey, ratio FROM part JOIN ratio_of ON a = p_name AND b = p_type")
 def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.seq_ratio("p_name", "p_type").alias("ratio"))
 

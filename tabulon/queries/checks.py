@@ -338,6 +338,13 @@ def _(spark, sf):
     return matching.dedup_summary(V.products(spark, sf).withColumn("component", F.concat("brand", "product_name")))
 
 
+@register("a39_dedup_report", """WITH c AS (SELECT p_brand || p_name AS component, any_value(p_brand) AS brand, count(*) AS size FROM part GROUP BY 1), t AS (SELECT * FROM c ORDER BY size DESC, component LIMIT 25), b AS (SELECT brand, count(*) AS n FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)
+SELECT 'size' AS section, CAST(size AS VARCHAR) AS label, count(*) AS value FROM c GROUP BY size UNION ALL SELECT 'cluster', component, size FROM t UNION ALL SELECT 'brand', brand, n FROM b""")
+def _(spark, sf):
+    p = V.products(spark, sf).withColumn("component", F.concat("brand", "product_name"))
+    return matching.dedup_report(p.groupBy("component").agg(F.first("brand").alias("brand"), F.count("*").alias("size")))
+
+
 STOCKED = """inv AS (SELECT warehouse, product_id, arg_max(quantity_on_hand, inventory_date) AS q, max(inventory_date) AS inventory_date FROM inventory WHERE product_id % 5 <> 0 GROUP BY ALL),
 so AS (SELECT warehouse, product_id, sum(quantity) AS sold, max(event_time) AS new_sale, CAST(sum(amount) AS DOUBLE) AS revenue FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 365 DAYS GROUP BY ALL)"""
 
@@ -402,31 +409,45 @@ def _(spark, sf):
     return out.select("region_id", "month", *[F.round(c, d).alias(c) for c, d in (("v", 1), ("forecast", 1), ("error", 1), ("ape", 5))])
 
 
-RACES = """races AS (SELECT o_custkey % 50 AS regatta, l_linenumber AS race, CASE WHEN l_suppkey % 2 = 0 THEN 'cruising' ELSE 'CLUB' END AS division, l_quantity AS rank, 'fr' || l_suppkey AS sail, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'boat ' || l_suppkey END AS boat, 'club' AS club,
+RACES = """races AS (SELECT o_custkey % 50 AS regatta, l_linenumber AS race, CASE WHEN l_suppkey % 2 = 0 THEN 'cruising' ELSE 'CLUB' END AS division, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity END AS rank, 'fr' || l_suppkey AS sail, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'boat ' || l_suppkey END AS boat, 'club' AS club,
 l_extendedprice AS rating, l_discount AS points, CASE WHEN l_partkey % 3 <> 0 THEN '1:' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ':05' END AS elapsed FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _star(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        (F.col("o_custkey") % 50).alias("regatta"), F.col("l_linenumber").alias("race"), F.when(F.col("l_suppkey") % 2 == 0, "cruising").otherwise("CLUB").alias("division"), F.col("l_quantity").alias("rank"), F.concat(F.lit("fr"), F.col("l_suppkey").cast("string")).alias("sail"),
+        (F.col("o_custkey") % 50).alias("regatta"), F.col("l_linenumber").alias("race"), F.when(F.col("l_suppkey") % 2 == 0, "cruising").otherwise("CLUB").alias("division"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity")).alias("rank"), F.concat(F.lit("fr"), F.col("l_suppkey").cast("string")).alias("sail"),
         F.when(F.col("l_partkey") % 2 == 0, "").otherwise(F.concat(F.lit("boat "), F.col("l_suppkey").cast("string"))).alias("boat"), F.lit("c1").alias("class"), F.lit("club").alias("club"), F.col("l_extendedprice").alias("rating"), F.col("l_discount").alias("points"),
         F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("1:"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit(":05"))).alias("elapsed"), F.lit(None).cast("string").alias("corrected"),
     )
     return pipelines.build_star(rows)
 
 
-@register("c12_fact_results", "WITH " + RACES + " SELECT regatta, regatta || '-' || race AS race_key, CASE WHEN division = 'CLUB' THEN 'Club' ELSE 'Cruising' END AS division, upper(sail) AS sail, CAST(rank AS BIGINT) AS rank, CASE WHEN elapsed IS NOT NULL THEN 3605.0 + 60 * race END AS elapsed, count(*) OVER (PARTITION BY regatta, race, division, rank) > 1 AS tied, rating FROM races")
+FACT = """fact AS (SELECT regatta, race, regatta || '-' || race AS race_key, regatta || '-' || race || '-Fr' || substr(sail, 3) AS fact_key, CASE WHEN division = 'CLUB' THEN 'Club' ELSE 'Cruising' END AS division, 'Fr' || substr(sail, 3) AS sail,
+nullif(upper(left(boat, 1)) || substr(boat, 2), '') AS boat, 'C1' AS class, 'Club' AS club, CAST(rank AS BIGINT) AS rank, points, CASE WHEN elapsed IS NOT NULL THEN 3605.0 + 60 * race END AS elapsed, rank IS NOT NULL AND count(*) OVER (PARTITION BY regatta, race, division, rank) > 1 AS tied, rating FROM races)"""
+
+
+@register("c12_fact_results", "WITH " + RACES + ", " + FACT + " SELECT *, CASE WHEN elapsed IS NOT NULL THEN '1:' || lpad(CAST(race AS VARCHAR), 2, '0') || ':05' END AS elapsed_hms, NULL::VARCHAR AS corrected_hms, NULL::DOUBLE AS corrected, true AS corrected_missing FROM fact")
+def _(spark, sf):
+    return _star(spark, sf)["fact_results"]
+
+
+@register("c12_backfill", "WITH " + RACES + ", " + FACT + """, raw AS (SELECT sail, regatta, race, min(3605.0 + 60 * race + sec) AS e, min(race * 60.0) AS c FROM (SELECT upper(sail) AS sail, regatta, race, CAST(points * 100 AS BIGINT) % 7 AS sec FROM races) GROUP BY ALL)
+SELECT fact_key, f.race, coalesce(elapsed, e) AS elapsed, c AS corrected, '0:' || lpad(CAST(f.race AS VARCHAR), 2, '0') || ':00' AS corrected_hms, c IS NULL AS corrected_missing FROM fact f LEFT JOIN raw r ON upper(f.sail) = r.sail AND f.regatta = r.regatta AND f.race = r.race""")
 def _(spark, sf):
-    return _star(spark, sf)["fact_results"].select("regatta", "race_key", "division", "sail", "rank", "elapsed", "tied", "rating")
+    """Times from a second copy of the results with other spelling of sails."""
+    fact = _star(spark, sf)["fact_results"]
+    seconds = 3605 + 60 * F.col("race") + (F.col("points") * 100).cast("long") % 7
+    raw = fact.select(F.concat(F.lit(" "), F.upper("sail")).alias("sail"), F.col("regatta").cast("string").alias("regatta"), F.col("race").cast("double").alias("race"), seconds.cast("string").alias("elapsed"), F.concat(F.col("race").cast("string"), F.lit(":00")).alias("corrected"))
+    return pipelines.backfill_times(fact, raw)[0].select("fact_key", "race", "elapsed", "corrected", "corrected_hms", "corrected_missing")
 
 
-@register("c12_dim_boat", "WITH " + RACES + " SELECT upper(sail) AS sail, any_value(upper(left(boat, 1)) || substr(boat, 2)) FILTER (boat <> '') AS boat, median(rating) AS rating, 'Club' AS club FROM races GROUP BY 1")
+@register("c12_dim_boat", "WITH " + RACES + " SELECT 'Fr' || substr(sail, 3) AS sail, any_value(upper(left(boat, 1)) || substr(boat, 2)) FILTER (boat <> '') AS boat, median(rating) AS rating, 'C1' AS class, 'Club' AS club FROM races GROUP BY 1")
 def _(spark, sf):
     return _star(spark, sf)["dim_boat"]
 
 
-@register("c12_report", "WITH " + RACES + " SELECT 'rows' AS name, count(*) AS n FROM races UNION ALL SELECT 'missing_elapsed', count(*) FILTER (elapsed IS NULL) FROM races UNION ALL SELECT 'missing_corrected', count(*) FROM races UNION ALL SELECT 'missing_sail', 0 UNION ALL SELECT 'tie_groups', (SELECT count(*) FROM (SELECT 1 FROM races GROUP BY regatta, race, division, rank HAVING count(*) > 1)) UNION ALL SELECT 'boats', count(DISTINCT sail) FROM races UNION ALL SELECT 'races', count(DISTINCT regatta || '-' || race) FROM races UNION ALL SELECT 'divisions', 2")
+@register("c12_report", "WITH " + RACES + " SELECT 'rows' AS name, count(*) AS n FROM races UNION ALL SELECT 'missing_elapsed', count(*) FILTER (elapsed IS NULL) FROM races UNION ALL SELECT 'missing_corrected', count(*) FROM races UNION ALL SELECT 'missing_sail', 0 UNION ALL SELECT 'tie_groups', (SELECT count(*) FROM (SELECT 1 FROM races WHERE rank IS NOT NULL GROUP BY regatta, race, division, rank HAVING count(*) > 1)) UNION ALL SELECT 'boats', count(DISTINCT sail) FROM races UNION ALL SELECT 'races', count(DISTINCT regatta || '-' || race) FROM races UNION ALL SELECT 'divisions', 2")
 def _(spark, sf):
     return _star(spark, sf)["report"]
 
@@ -495,7 +516,7 @@ def _(spark, sf):
     return _elt(spark, sf)[1].withColumn("total", F.col("total").cast(D))
 
 
-LAKE = f"""kept AS (SELECT *, {COUNTRY_SQL} AS country FROM sales WHERE quantity > 5 AND amount > 0), silver AS (SELECT DISTINCT ON (order_id, product_id, warehouse) * FROM kept ORDER BY order_id, product_id, warehouse, event_time DESC, line_no DESC, quantity DESC, amount DESC)"""
+LAKE = f"""flipped AS (SELECT * REPLACE (CASE WHEN quantity > 5 THEN quantity ELSE -quantity END AS quantity), {COUNTRY_SQL} AS country FROM sales), latest AS (SELECT DISTINCT ON (order_id, product_id, warehouse) * FROM flipped ORDER BY order_id, product_id, warehouse, event_time DESC, line_no DESC, quantity DESC, amount DESC), silver AS (SELECT * FROM latest WHERE quantity > 0 AND amount > 0)"""
 
 
 @register("c2_lakehouse_gold", _with("SELECT warehouse, products.category, CAST(sum(amount) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM silver JOIN products USING (product_id) WHERE size > 2 GROUP BY ALL", LAKE))
@@ -504,7 +525,7 @@ def _(spark, sf):
     return pipelines.build_lakehouse(sales, _reference(spark, sf), _country())["gold_category"]
 
 
-@register("c2_lakehouse_rejected", _with("SELECT order_id, line_no, product_id FROM sales WHERE quantity <= 5", views=("sales",)))
+@register("c2_lakehouse_rejected", _with("SELECT order_id, line_no, product_id FROM latest WHERE quantity <= 0 OR amount <= 0", LAKE, views=("sales",)))
 def _(spark, sf):
     sales = V.sales(spark, sf).withColumn("quantity", F.when(F.col("quantity") > 5, F.col("quantity")).otherwise(-F.col("quantity")))
     return pipelines.build_lakehouse(sales, _reference(spark, sf), _country())["rejected"].select("order_id", "line_no", "product_id")

@@ -136,7 +136,8 @@ def test_candidate_pairs_are_all_found(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.text("abcd ", max_size=30), st.text("abcd ", max_size=30))
 def test_sequence_ratio(a, b):
-    assert 2 * S._matched(a, b) == pytest.approx(SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)))
+    core = S._rare(b)
+    assert 2 * S.matched(a, b, core, S.Automaton(core)) == pytest.approx(SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)))
 
 
 def test_sequence_ratio_of_long_texts():
