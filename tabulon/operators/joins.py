@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.session import cut
+
 
 def join_dim(fact: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return fact.join(dim, key, "inner")
@@ -50,18 +52,52 @@ def with_category_fallback(values: DataFrame, products: DataFrame, by_category:
     return out.withColumn(value, F.coalesce(value, "_fallback")).drop("_fallback")
 
 
-def candidate_pairs(df: DataFrame, key: str, blocks: Column, cell_rows: int = 1000) -> DataFrame:
+def candidate_pairs(df: DataFrame, key: str, blocks: Column, cell_rows: int = 1000, size: str | None = None, least: float = 0.0) -> DataFrame:
     """All distinct pairs (a, b), a < b, of rows that share a block key; ``blocks`` is an array of keys.
 
     Larger blocks are dealt into cells of about ``cell_rows`` rows, and each two cells meet on their own: a block isn't one task's work.
+    With ``size``, a column, only pairs whose smaller size is at least ``least`` times the larger one.
     """
-    rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(blocks)).alias("block")).where("block is not null")
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / cell_rows).alias("cells"), F.count("*").alias("n")).where("n > 1").drop("n")
+    n = F.col(size) if size else F.lit(1)
+    rows = df.select(F.col(key).alias("id"), n.alias("n"), F.explode(F.array_distinct(blocks)).alias("block")).where("block is not null")
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / cell_rows).alias("cells"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
     dealt = rows.join(sizes, "block").withColumn("cell", F.expr("pmod(xxhash64(id), cells)"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    left = dealt.select("block", F.col("id").alias("a"), F.col("cell").alias("left_cell"), every.alias("right_cell"))
-    right = dealt.select("block", F.col("id").alias("b"), F.col("cell").alias("right_cell"), every.alias("left_cell"))
-    return left.join(right, ["block", "left_cell", "right_cell"]).where("a < b").select("a", "b").distinct()
+    left = dealt.select("block", F.col("id").alias("a"), F.col("n").alias("n"), F.col("cell").alias("left_cell"), every.alias("right_cell"))
+    right = dealt.select("block", F.col("id").alias("b"), F.col("n").alias("m"), F.col("cell").alias("right_cell"), every.alias("left_cell"))
+    fits = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    return left.join(right, ["block", "left_cell", "right_cell"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
+def prefix_tokens(df: DataFrame, key: str, tokens: str, least: Column, name: str = "prefix") -> DataFrame:
+    """(key, name): of each row's distinct tokens the rarest ones that a set of Jaccard similarity ``least`` or more can't do without.
+
+    In order of rarity, two such sets of n tokens share one of their first n - ceil(least n) + 1; without a bound above 0 all tokens are taken, and none if it
+    is above 1. Equal counts are in the order of the tokens, so the order is one for all rows.
+    """
+    rows = df.select(key, least.alias("_least"), F.explode(F.array_distinct(tokens)).alias("_t"))
+    counts = rows.groupBy("_t").agg(F.count("*").alias("_n"))
+    ordered = rows.join(counts, "_t").groupBy(key, "_least").agg(F.sort_array(F.collect_list(F.struct("_n", "_t"))).alias("_s"))
+    n = F.size("_s")
+    kept = F.when(F.col("_least") <= 0, n).when(F.col("_least") > 1, 0).otherwise(n - F.ceil(n * F.col("_least") - 1e-9) + 1).cast("int")
+    return ordered.select(key, F.slice(F.col("_s._t"), F.lit(1), kept).alias(name))
+
+
+def similar_sets(df: DataFrame, key: str, tokens: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows by their distinct tokens: (key, class), a class being the smallest key of equal sets, and (a, b, similarity), all pairs a < b of classes whose
+    Jaccard similarity is ``least`` (above 0) or more.
+
+    Sets meet in the tokens that ``prefix_tokens`` leaves, those of fitting sizes only, and are confirmed in whole. Rows without tokens have no class.
+    """
+    rows = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("s")).where(F.size("s") > 0)
+    sets = cut(rows.groupBy("s").agg(F.min(key).alias("class")).withColumn("n", F.size("s")))
+    keyed = prefix_tokens(sets, "class", "s", F.lit(least)).join(sets.select("class", "n"), "class")
+    met = candidate_pairs(keyed, "class", F.col("prefix"), size="n", least=least)
+    left, right = (sets.select(F.col("class").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    similarity = common / (F.size("sa") + F.size("sb") - common)
+    pairs = met.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    return rows.join(sets.select("s", "class"), "s").select(key, "class"), pairs
 
 
 def backfill(fact: DataFrame, raw: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

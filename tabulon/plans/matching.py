@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.scalars import canonical_gtin, jaccard, model_tokens, normalize_name, seq_ratio, stable_uid, tokens
 from tabulon.operators.graph import connected_components
-from tabulon.operators.joins import candidate_pairs
+from tabulon.operators.joins import candidate_pairs, prefix_tokens
 from tabulon.session import cut
 
 # Weights of the pair score, and the identifiers whose equality decides.
@@ -62,17 +62,52 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, threshold: float = 0.0) -> Da
     return sure.unionByName(open_.select("a", "b", (F.col("rest") + WEIGHTS["ratio"] * ratio).alias("score")).where(F.col("score") >= threshold))
 
 
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of prepared rows that share a block and whose words and models leave a score of ``threshold`` in reach.
+
+    A pair without a common code needs names, models and brand to give what the ratio can't. So a row with its brand and models at their best needs a
+    similarity of words, and with its brand and words at their best one of models; pairs meet in a block's key with a word and a model of the prefixes that these
+    bounds leave. A row that no other can match makes no key, and a block of common words no pairs.
+    """
+    need = threshold - WEIGHTS["ratio"] - WEIGHTS["brand"] * (F.col("brand") != "").cast("double")
+    words = (need - WEIGHTS["model"] * (F.size("models") > 0).cast("double")) / WEIGHTS["name"] - 1e-9
+    models = (need - WEIGHTS["name"] * (F.size("words") > 0).cast("double")) / WEIGHTS["model"] - 1e-9
+    bounds = rows.select("id", "words", "models", block_keys().alias("blocks"), words.alias("least_words"), models.alias("least_models")).where("least_words <= 1 and least_models <= 1")
+    of_words, of_models = prefix_tokens(bounds, "id", "words", F.col("least_words"), "w"), prefix_tokens(bounds, "id", "models", F.col("least_models"), "m")
+    both = bounds.select("id", "blocks", "least_words", "least_models").join(of_words, "id", "left").join(of_models, "id", "left")
+
+    def choices(prefix: str, least: str) -> Column:
+        """The prefix's tokens, and one that stands for none where none need be shared."""
+        none = F.array().cast("array<string>")
+        return F.concat(F.coalesce(F.col(prefix), none), F.when(F.col(least) <= 0, F.array(F.lit(""))).otherwise(none))
+
+    def keys(column: Column) -> Column:
+        """Each block with each choice."""
+        return F.flatten(F.transform("_k", lambda k: F.transform(column, lambda t: F.concat_ws("\x01", k, t))))
+
+    keyed = both.withColumn("_k", F.col("blocks"))
+    keyed = keyed.withColumn("_k", keys(choices("w", "least_words"))).withColumn("_k", keys(choices("m", "least_models")))
+    return candidate_pairs(keyed, "id", F.col("_k"))
+
+
+def same_codes(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of prepared rows that share a block and a code, to the smallest id of each such group."""
+    both = rows.select("id", F.explode(block_keys()).alias("block"), "codes").select("id", "block", F.explode("codes").alias("code"))
+    first = both.groupBy("block", "code").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
+    return both.join(first, ["block", "code"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def deduplicate(df: DataFrame, key: str, name: str = "name", threshold: float = 0.8) -> DataFrame:
     """(id, component): rows whose chained scores reach ``threshold`` share a component, others have their own.
 
-    Rows that are equal in all that is scored meet through the smallest id of them; all other pairs of a block are scored.
+    Rows that are equal in all that is scored meet through the smallest id of them, rows of one code through the smallest id of these.
     """
     rows = cut(prepared(df, key, name))
     alike = [c for c in rows.columns if c != "id"]
     first = cut(rows.groupBy(*alike).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     equal = rows.alias("r").join(first.where("n > 1").alias("f"), alike).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
-    pairs = candidate_pairs(first, "id", block_keys())
-    links = cut(score_pairs(equal.unionByName(pairs), rows, threshold).select("a", "b"))
+    pairs = equal.unionByName(similar_pairs(first, threshold))
+    links = cut(score_pairs(pairs, rows, threshold).select("a", "b").unionByName(same_codes(first)))
     components = connected_components(links, "a", "b")
     return rows.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -14,7 +14,7 @@ from tabulon.operators import windows as W
 from tabulon.operators.graph import connected_components
 from tabulon.plans import forecasting, matching, pipelines
 from tabulon.plans import views as V
-from tabulon.queries.analytics import CLF_CTE, COSTS, INV, WEEKLY
+from tabulon.queries.analytics import CLF_CTE, COSTS, INV, RATIO, WEEKLY
 from tabulon.queries.relational import STAGED, STAGED_DIM, STAGED_FACT, STOCK, _with, staged_products, staged_transactions
 from tabulon.registry import register
 from tabulon.session import table
@@ -265,9 +265,9 @@ def _(spark, sf):
     return _enriched(spark, sf)[1].select("order_id", "line_no", "product_id", "warehouse", F.col("amount").cast(D).alias("amount"))
 
 
-@register("r12_order_anomalies", _with("SELECT window_start, window_start + INTERVAL 30 DAYS AS window_end, order_id, warehouse, country, order_total, q1, q3, q3 - q1 AS iqr, q3 <> q1 AND (order_total < q1 - 1.5 * (q3 - q1) OR order_total > q3 + 1.5 * (q3 - q1)) AS is_anomalous FROM w JOIN q USING (window_start, warehouse)", f"t AS (SELECT order_id, warehouse, {COUNTRY_SQL} AS country, max(event_time) AS last_time, CAST(sum(amount) AS DOUBLE) AS order_total FROM sales GROUP BY ALL), w AS (SELECT t.*, time_bucket(INTERVAL 15 DAYS, last_time, TIMESTAMP '1970-01-01') - INTERVAL 15 DAY * k AS window_start FROM t, range(2) r(k)), q AS (SELECT window_start, warehouse, quantile_disc(order_total, 0.25) AS q1, quantile_disc(order_total, 0.75) AS q3 FROM w GROUP BY ALL)", views=("sales",)))
+@register("r12_order_anomalies", _with("SELECT window_start, window_start + INTERVAL 30 DAYS AS window_end, order_id, warehouse, country, units, order_total, q1, q3, q3 - q1 AS iqr, q3 <> q1 AND (order_total < q1 - 1.5 * (q3 - q1) OR order_total > q3 + 1.5 * (q3 - q1)) AS is_anomalous FROM w JOIN q USING (window_start, warehouse)", f"t AS (SELECT order_id, warehouse, {COUNTRY_SQL} AS country, max(event_time) AS last_time, sum(quantity) AS units, CAST(sum(amount) AS DOUBLE) AS order_total FROM sales GROUP BY ALL), w AS (SELECT t.*, time_bucket(INTERVAL 15 DAYS, last_time, TIMESTAMP '1970-01-01') - INTERVAL 15 DAY * k AS window_start FROM t, range(2) r(k)), q AS (SELECT window_start, warehouse, quantile_disc(order_total, 0.25) AS q1, quantile_disc(order_total, 0.75) AS q3 FROM w GROUP BY ALL)", views=("sales",)))
 def _(spark, sf):
-    totals = A.order_totals(V.sales(spark, sf).withColumn("country", _country()), "country").drop("units")
+    totals = A.order_totals(V.sales(spark, sf).withColumn("country", _country()), "country")
     return R.order_anomalies(totals, 1.5, "30 days", "15 days", accuracy=10_000).drop("last_time")
 
 
@@ -320,6 +320,32 @@ def _(spark, sf):
     return matching.deduplicate(p.withColumn("name", F.col("product_name")), "product_id")
 
 
+MODELS = """item AS (SELECT p_partkey AS id, p_brand AS brand, name, string_split(name, ' ') AS words, list_sort(string_split(name, ' ')) AS ordered, 'mx' || p_partkey % 40 || 'b' AS model
+  FROM (SELECT *, p_name || ' mx' || p_partkey % 40 || 'b' || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' large' ELSE ' larger' END AS name FROM part)),
+block AS (SELECT id, '3' || words[1] || ':' || words[2] || ':' || words[3] AS k FROM item UNION ALL SELECT id, 't' || brand || ':' || model FROM item UNION ALL SELECT id, 'x' || array_to_string(ordered[1:5], ':') FROM item),
+pair AS (SELECT DISTINCT x.id AS a, y.id AS b FROM block x JOIN block y ON x.k = y.k AND x.id < y.id),
+rest AS (SELECT p.a, p.b, x.name AS na, y.name AS nb, 0.4::DOUBLE * len(list_intersect(x.words, y.words)) / len(list_distinct(x.words || y.words)) + CASE WHEN x.model = y.model THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN x.brand = y.brand THEN 0.1::DOUBLE ELSE 0 END AS rest FROM pair p JOIN item x ON x.id = p.a JOIN item y ON y.id = p.b),
+names AS (SELECT DISTINCT na AS a, nb AS b FROM rest WHERE rest > 0.599), """ + RATIO + """,
+linked AS (SELECT rest.a, rest.b, rest + 0.2::DOUBLE * ratio AS score FROM rest JOIN ratio_of r ON r.a = na AND r.b = nb WHERE rest + 0.2::DOUBLE * ratio >= 0.8)"""
+
+
+def _models(spark, sf):
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.lit(" mx"), (k % 40).cast("string"), F.lit("b"), F.when(k % 3 == 0, "").when(k % 3 == 1, " large").otherwise(" larger"))
+    return table(spark, sf, "part").select(k.alias("id"), name.alias("name"), F.col("p_brand").alias("brand"))
+
+
+@register("c4_similar_pairs", "WITH " + MODELS + " SELECT a, b, round(score, 6) AS score FROM linked")
+def _(spark, sf):
+    rows = matching.prepared(_models(spark, sf), "id")
+    return matching.score_pairs(matching.similar_pairs(rows, 0.8), rows, 0.8).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@register("c4_components", "WITH RECURSIVE " + MODELS + ", edge AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reach AS (SELECT id AS a, id AS b FROM item UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM reach GROUP BY a")
+def _(spark, sf):
+    return matching.deduplicate(_models(spark, sf), "id")
+
+
 @register("c6_canonical_records", """WITH r AS (SELECT p_brand AS component, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, p_type, p_retailprice AS price, CASE WHEN p_partkey % 4 = 0 THEN '1234567' || p_partkey % 2 END AS gtin, 'u' || p_size AS url FROM part),
 n AS (SELECT component, lower(name) AS norm, count(*) AS c, max(length(name)) AS l, arg_max(name, (length(name), name)) AS t FROM r GROUP BY ALL), best AS (SELECT component, arg_max(t, (c, l, t)) AS name FROM n GROUP BY 1)
 SELECT component, any_value(best.name) AS name, count(*) AS size, min(price) AS price_min, max(price) AS price_max, median(price) AS price_median, min(gtin) AS gtin, array_to_string(list_sort(list_distinct(list(url))), ',') AS urls,
@@ -371,10 +397,15 @@ def _(spark, sf):
     return Q.check_stock(J.reconcile_stock(by("channel <> 'R'"), by("channel = 'N'"), by("channel = 'A'")))
 
 
-@register("c9_price_elasticity", _with("SELECT products.product_id, products.category, round(coalesce(own.e, cat.e), 5) AS elasticity, own.n AS n FROM products LEFT JOIN (SELECT product_id, regr_slope(ln(units), ln(price)) AS e, count(*) AS n FROM weekly GROUP BY 1 HAVING count(*) >= 12) own USING (product_id) LEFT JOIN (SELECT category, regr_slope(ln(units), ln(weekly.price)) AS e FROM weekly JOIN products USING (product_id) GROUP BY 1 HAVING count(*) >= 50) cat ON products.category = cat.category", WEEKLY))
+ADVISED = """own AS (SELECT product_id, regr_slope(ln(units), ln(price)) AS e, count(*) AS n FROM weekly GROUP BY 1 HAVING count(*) >= 12), cat AS (SELECT category, regr_slope(ln(units), ln(weekly.price)) AS e FROM weekly JOIN products USING (product_id) GROUP BY 1 HAVING count(*) >= 50),
+up AS (SELECT product_id, avg(units) FILTER (promo_share > 0) / nullif(avg(units) FILTER (promo_share = 0), 0) - 1 AS uplift FROM weekly GROUP BY 1),
+f AS (SELECT products.product_id, products.category, coalesce(own.e, cat.e) AS e, own.n AS n, up.uplift FROM products LEFT JOIN own USING (product_id) LEFT JOIN cat ON products.category = cat.category LEFT JOIN up ON up.product_id = products.product_id)"""
+
+
+@register("c9_price_elasticity", _with("SELECT product_id, category, round(e, 5) AS elasticity, n, round(uplift, 5) AS uplift, CASE WHEN e IS NULL THEN 'Keep price; insufficient data' WHEN e > -0.8 THEN 'Candidate +2–5% price (inelastic)' WHEN e < -1.2 AND n IS NOT NULL AND uplift < 0.05 THEN 'Reduce discounts; focus on value' ELSE 'Monitor price; A/B small steps' END AS advice FROM f", WEEKLY, ADVISED))
 def _(spark, sf):
     w = A.weekly_product(V.sales(spark, sf), F.col("discount") > 0.05)
-    return pipelines.price_elasticity(w, V.products(spark, sf)).select("product_id", "category", F.round("elasticity", 5).alias("elasticity"), "n")
+    return pipelines.price_elasticity(w, V.products(spark, sf)).select("product_id", "category", F.round("elasticity", 5).alias("elasticity"), "n", F.round("uplift", 5).alias("uplift"), "advice")
 
 
 MONTHLY = "m AS (SELECT region_id, CAST(date_trunc('month', event_time) AS DATE) AS month, CAST(sum(amount) AS DOUBLE) AS v FROM sales GROUP BY ALL)"

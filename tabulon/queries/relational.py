@@ -163,9 +163,13 @@ def _(spark, sf):
     return P.repeatable_sample(table(spark, sf, "events"), "event_id", 10)
 
 
-@register("p20_random_rows", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM (SELECT o_orderkey FROM orders ORDER BY random() LIMIT 100)")
+@register("p20_random_rows", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(*) AS given FROM (SELECT o_orderkey FROM orders ORDER BY random() LIMIT 100)")
 def _(spark, sf):
-    return P.random_rows(table(spark, sf, "orders"), 100).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    """The rows are random; that they are whole rows of the table isn't."""
+    orders = table(spark, sf, "orders")
+    drawn = P.random_rows(orders, 100)
+    given = drawn.join(orders.withColumn("given", F.lit(1)), orders.columns, "left")
+    return given.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count("given").alias("given"))
 
 
 @register("p21_lineage", "SELECT n_nationkey, 'tpch' AS lineage_source, 'load' AS lineage_step, '1' AS lineage_version, md5('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS row_md5 FROM nation")
@@ -173,12 +177,20 @@ def _(spark, sf):
     return P.with_lineage(table(spark, sf, "nation").select("n_nationkey", "n_name"), "tpch", "load").drop("n_name", "lineage_time")
 
 
-@register("p22_detect_pii", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS n_email,
-CAST(len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS INTEGER) AS n_ipv4,
-md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '<ipv4>', 'g')) AS masked FROM documents""")
+PII_TEXT = "CASE WHEN doc_id % 3 = 0 THEN text || ' user_' || doc_id || ' 0123abcd-0000-1111-2222-0123456789ab' ELSE text END"
+PII_SQL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "uuid": r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "user_id": r"\buser[_-]?[0-9]+\b"}
+PII_MASKED = "t"
+for _kind, _pattern in PII_SQL.items():
+    PII_MASKED = f"regexp_replace({PII_MASKED}, '{_pattern}', '<{_kind}>', 'g')"
+PII_COUNTS = ", ".join(f"CAST(len(regexp_extract_all(t, '{p}')) AS INTEGER) AS n_{k}" for k, p in PII_SQL.items())
+
+
+@register("p22_detect_pii", f"SELECT doc_id, {PII_COUNTS}, md5({PII_MASKED}) AS masked FROM (SELECT doc_id, {PII_TEXT} AS t FROM documents)")
 def _(spark, sf):
-    found = P.detect_pii(table(spark, sf, "documents"), "text")
-    return found.select("doc_id", "n_email", "n_ipv4", F.md5("masked").alias("masked"))
+    """A third of the texts with a user id and a UUID at the end."""
+    planted = table(spark, sf, "documents").withColumn("text", F.expr(PII_TEXT))
+    found = P.detect_pii(planted, "text")
+    return found.select("doc_id", *[f"n_{k}" for k in PII_SQL], F.md5("masked").alias("masked"))
 
 
 @register("p23_retention", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1999-06-30'")
@@ -271,6 +283,12 @@ def _(spark, sf):
     return J.candidate_pairs(table(spark, sf, "part"), "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_size")))
 
 
+@register("j10_similar_sets", "WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand || ' s' || p_size, ' ')) AS s FROM part), f AS (SELECT min(id) AS id, any_value(s) AS s FROM t GROUP BY list_sort(s)), e AS (SELECT id, len(s) AS n, unnest(s) AS w FROM f), c AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY ALL) SELECT a, b, k::DOUBLE / (n + m - k) AS similarity FROM c WHERE k::DOUBLE / (n + m - k) >= 0.6")
+def _(spark, sf):
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.concat(F.lit("s"), F.col("p_size").cast("string"))), " ")
+    return J.similar_sets(table(spark, sf, "part").select("p_partkey", words.alias("words")), "p_partkey", "words", 0.6)[1]
+
+
 @register("j11_backfill", "SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(spark, sf):
     fact = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit(" k"), "n_regionkey").alias("code"), F.lit(None).cast("string").alias("r_name"))

@@ -145,7 +145,7 @@ def test_sequence_ratio_of_long_texts():
     for n in (150, 250, 400):
         a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for _ in range(2))
         b = a[: n // 2] + b[n // 2 :]
-        assert 2 * S._matched(a, b) / (2 * n) == pytest.approx(SequenceMatcher(None, a, b).ratio())
+        assert 2 * S.matched(a, b, S._rare(b), S.Automaton(S._rare(b))) / (2 * n) == pytest.approx(SequenceMatcher(None, a, b).ratio())
 
 
 def test_pair_scores_by_hand(spark):
