@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabulon.functions import scalars as S
 from tabulon.operators import aggregates as A
 from tabulon.operators import cleaning as P
+from tabulon.operators import sketches as K
 from tabulon.plans import views as V
 from tabulon.queries.relational import _with
 from tabulon.registry import register
-from tabulon.session import table
+from tabulon.session import shared_dir, table
 
 D = "double"
 WEEKLY = "weekly AS (SELECT product_id, CAST(date_trunc('week', event_time) AS DATE) AS week, sum(quantity) AS units, avg(unit_price) AS price, avg(CAST(discount > 0.05 AS INTEGER)) AS promo_share FROM sales GROUP BY ALL)"
@@ -100,6 +103,21 @@ def _(spark, sf):
     return A.distinct_orders(V.sales(spark, sf), ["warehouse"])
 
 
+@register("a12_a13_rollup", "SELECT CAST(date_trunc('week', ts) AS DATE) AS period, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close, true AS p95_close FROM events GROUP BY ALL")
+def _(spark, sf):
+    """Weeks from sketches of days that are kept as a table: users within 8 % (and 2), quantiles within 2 % of the ranks of the exact ones."""
+    e = table(spark, sf, "events")
+    root = f"{shared_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    K.write_sketches(K.daily_sketches(e, "ts", ["event_type"], "user_id", "value"), root)
+    week = F.to_date(F.date_trunc("week", "day"))
+    rolled = K.roll_up(K.read_sketches(spark, root, "0001-01-01", "9999-12-31"), week, ["event_type"], {"median": 0.5, "p95": 0.95})
+    ranks = F.percentile_approx("value", [0.48, 0.52, 0.93, 0.97], 100_000).alias("q")
+    exact = e.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("period"), "event_type").agg(F.count_distinct("user_id").alias("users"), ranks)
+    both = rolled.join(exact, ["period", "event_type"])
+    close = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.col("users") * 0.08, F.lit(2))
+    return both.select("period", "event_type", "n", "users", close.alias("users_close"), F.col("median").between(F.col("q")[0], F.col("q")[1]).alias("median_close"), F.col("p95").between(F.col("q")[2], F.col("q")[3]).alias("p95_close"))
+
+
 @register("a14_period_kpis", _with("SELECT CAST(sum(amount) AS DOUBLE) AS total, CAST(sum(amount) AS DOUBLE) / count(DISTINCT order_id) AS average_order, sum(quantity) AS units, count(DISTINCT customer_id) AS customers FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 30 DAYS"))
 def _(spark, sf):
     return A.period_kpis(P.trailing(V.sales(spark, sf), "event_time", 30, newest=V.newest_sale(spark, sf)))

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tabulon.queries import analytics, checks, relational  # noqa: F401
+    from tabulon.queries import analytics, checks, relational, streams  # noqa: F401
 
 
 _load()

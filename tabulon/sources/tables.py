@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tabulon.operators.cleaning import with_ingest_lineage
 from tabulon.sources.snapshots import read_snapshot, write_version
@@ -57,6 +58,53 @@ def ingest_inventory_stream(spark: SparkSession, path: str, hints: str, sep: str
     return with_ingest_lineage(rows)
 
 
+def read_csv_by_header(spark: SparkSession, files: Sequence[str], hints: str, sep: str = ",") -> DataFrame:
+    """CSV files with columns by each file's own header: the hinted ones, missing ones null, and further ones as text.
+
+    ``_rescued`` is JSON: values that don't fit their hint by column, and the whole line (``_line``) of a row with more fields than its header.
+    Files of one header are read together; the headers themselves are read by the driver, a line a file.
+    """
+    hinted = StructType.fromDDL(hints)
+    groups: dict[str, list[str]] = {}
+    for f in files:
+        groups.setdefault(_first_line(spark, f), []).append(f)
+    parts = []
+    for header, own in groups.items():
+        names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(sep)]
+        schema = StructType([StructField(n, StringType()) for n in [*names, "_line"]])
+        rows = spark.read.schema(schema).options(header=True, sep=sep, columnNameOfCorruptRecord="_line").csv(own)
+        fits = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType) for f in hinted}
+        misfits = [F.when(fits[n].isNull(), F.col(f"`{n}`")).alias(n) for n in names if n in fits]
+        extra = F.when(F.size(F.split("_line", sep, -1)) > len(names), F.col("_line")).alias("_line")
+        rescued = F.nullif(F.to_json(F.struct(*misfits, extra)), F.lit("{}"))
+        parts.append(rows.select(*[c.alias(n) for n, c in fits.items()], *[F.col(f"`{n}`") for n in names if n not in fits], rescued.alias("_rescued")))
+    empty = spark.createDataFrame([], hinted.add("_rescued", "string"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else empty
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def start_csv_ingestion(spark: SparkSession, path: str, hints: str, name: str, checkpoint: str, out: str, sep: str = ",", files_per_trigger: int = 1000) -> StreamingQuery:
+    """CSV files as they arrive into Parquet, by ``read_csv_by_header`` and with their lineage; columns that new files bring are added.
+
+    Each micro-batch has its own folder, so a repeated one overwrites itself; read the table with ``mergeSchema``.
+    """
+    found = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger).load(path).select("path")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        files = sorted(r.path for r in batch.collect())  # at most ``files_per_trigger``
+        with_ingest_lineage(read_csv_by_header(batch.sparkSession, files, hints, sep)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return found.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def _dated(root: str, name: str, day: str, suffix: str) -> str:
     return f"{root}/raw/{name}/{day}/{name}_{day}.{suffix}*"  # also with .gz
 
