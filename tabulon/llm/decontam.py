@@ -4,7 +4,7 @@ A text becomes its words and numbers in lower case. Numbers (digits or number wo
 a number, currency signs before one and names become the typed placeholders ``<num>``, ``<unit>`` and ``<name>``. Names are
 capitalised words that follow a lower-case word, and in a second form also other capitalised words that are such names elsewhere in
 the text; in a third form names stay words, so that copies in other case match. A window matches in any form. Windows of six canonical tokens (all of them for an item with fewer) are hash-joined between documents and
-benchmark items. Matches of one alignment (document position less item position) are checked for slot consistency: each
+benchmark items; windows of placeholders only are compared where others have aligned both, so an item that has nothing else is never found. Matches of one alignment (document position less item position) are checked for slot consistency: each
 value of a slot in the item must stand for one value in the document, as in a question asked again with other
 numbers; alignments that fail are dropped. A document is contaminated by an item if what is left covers at least half
 of the item's windows.
@@ -38,6 +38,7 @@ NUMBER_WORDS = (
     "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
     "thousand", "million", "billion",
 )
+PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 NAME = "\x01"
 NAME_START = r"(?<=[\p{Ll}\p{N},;][ \t])(?=\p{Lu}\p{Ll})"
 CAPITAL = "\x02"
@@ -115,6 +116,24 @@ def _windows(size: int) -> Column:
     return F.when(F.col("named"), windows("form", "strict", "literal")).otherwise(windows("literal"))
 
 
+def _seeds(items: DataFrame) -> DataFrame:
+    """(item_id, size, ipos, hs): each window of an item, and the hashes of those of its forms that have a literal token.
+
+    A window of placeholders only would meet every list of numbers; it has no hash and is checked where other windows have aligned a text with the item.
+    """
+
+    def of(i: Column) -> Column:
+        def seed(c: str) -> Column:
+            window = F.slice(c, i + 1, F.col("size"))
+            literal = F.exists(window, lambda t: ~t.isin(*PLACEHOLDERS))
+            return F.when(literal, F.xxhash64(F.transform(window, lambda t: F.xxhash64(t))))
+
+        return F.struct(i.cast("int").alias("ipos"), F.array_distinct(F.array_compact(F.array(*[seed(c) for c in ("form", "strict", "literal")]))).alias("hs"))
+
+    places = F.sequence(F.lit(0), F.size("literal") - F.col("size"))
+    return items.select("item_id", "size", F.explode(F.transform(places, of)).alias("w")).select("item_id", "size", "w.*")
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, n_slots, n_changed) of every contaminated pair.
 
@@ -124,11 +143,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("marked")).where(F.size("marked") > 0)
     items = cut(_with_forms(items.dropDuplicates(["item_id", "marked"]), "item_id"))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # WINDOW values at most
-    asked = _hashed(items, "item_id").withColumn("size", F.least(F.size("literal"), F.lit(WINDOW)))
-    none = F.array().cast("array<struct<pos:int,hs:array<bigint>>>")
-    whole = F.concat(none, *[F.when(F.col("size") == k, _windows(k)).otherwise(none) for k in sizes])
-    asked = cut(asked.select("item_id", "size", F.explode(whole).alias("w")).select("item_id", "size", F.col("w.pos").alias("ipos"), F.explode("w.hs").alias("h")))
-    n_windows = asked.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
+    items = items.withColumn("size", F.least(F.size("literal"), F.lit(WINDOW)))
+    seeds = _seeds(items)
+    asked = cut(seeds.select("item_id", "size", "ipos", F.explode("hs").alias("h")))
+    counts = seeds.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"), F.collect_set(F.when(F.size("hs") == 0, F.col("ipos"))).alias("blanks"))
+    counts = cut(counts)
 
     found = _hashed(_with_forms(texts.select("doc_id", tokens(F.col("text")).alias("marked")), "doc_id"), "doc_id")
     parts = [found.select("doc_id", F.lit(k).alias("size"), F.explode(_windows(k)).alias("w")) for k in sizes]
@@ -141,15 +160,22 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     small = asked.count() <= BROADCAST_ROWS
     matches = windows.join(F.broadcast(asked) if small else asked, ["size", "h"])
     aligned = matches.groupBy("doc_id", "item_id", "size", (F.col("wpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("iposes"))
-    enough = aligned.groupBy("doc_id", "item_id").agg(F.sum(F.size("iposes")).alias("most")).join(n_windows, "item_id").where(F.col("most") >= F.col("n_windows") * coverage)
-    aligned = cut(aligned.join(enough.select("doc_id", "item_id", "n_windows"), ["doc_id", "item_id"]))
+    most = aligned.groupBy("doc_id", "item_id").agg(F.sum(F.size("iposes")).alias("most"), F.count("*").alias("shifts")).join(counts.select("item_id", "n_windows", F.size("blanks").alias("n_blank")), "item_id")
+    enough = most.where(F.col("most") + F.col("n_blank") * F.col("shifts") >= F.col("n_windows") * coverage)
+    aligned = cut(aligned.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"]))
 
     # slot values of both sides, for what is left
     wanted = aligned.select("doc_id").distinct()
-    theirs = texts.join(wanted, "doc_id", "left_semi").select("doc_id", F.transform(tokens(F.col("text")), plain).alias("doc_words")).dropDuplicates(["doc_id", "doc_words"])
-    both = aligned.join(items.select("item_id", "words", "form"), "item_id").join(theirs, "doc_id")
+    theirs = _with_forms(texts.join(wanted, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("marked")), "doc_id")
+    theirs = theirs.select("doc_id", F.col("words").alias("doc_words"), F.col("form").alias("doc_form")).dropDuplicates(["doc_id", "doc_words"])
+    both = aligned.drop("size").join(items.select("item_id", "size", "words", "form"), "item_id").join(counts, "item_id").join(theirs, "doc_id")
+
+    def fits(i: Column) -> Column:
+        return F.when(i + F.col("shift") >= 0, F.slice("form", i + 1, F.col("size")) == F.slice("doc_form", i + F.col("shift") + 1, F.col("size"))).otherwise(False)
+
+    both = both.withColumn("iposes", F.array_union("iposes", F.filter("blanks", fits)))
     place = F.array_distinct(F.flatten(F.transform("iposes", lambda i: F.sequence(i, i + F.col("size") - 1))))
-    slots = F.filter(place, lambda p: F.get("form", p).isin("<num>", "<unit>", "<name>"))
+    slots = F.filter(place, lambda p: F.get("form", p).isin(*PLACEHOLDERS))
     values = F.array_distinct(F.transform(slots, lambda p: F.struct(F.get("words", p).alias("item"), F.get("doc_words", p + F.col("shift")).alias("doc"))))
     checked = both.select("doc_id", "item_id", "n_windows", "iposes", values.alias("v"))
     consistent = F.size(F.array_distinct(F.transform("v", lambda x: x["item"]))) == F.size("v")

@@ -269,14 +269,17 @@ def _contaminated(text, item):
     if not size:
         return None
     n = len(iw) - size + 1
-    shifts = collections.defaultdict(set)
+    shifts, blanks = collections.defaultdict(set), []
     for q in range(n):
-        own = {tuple(f[q:q + size]) for f in its}
+        own = {tuple(f[q:q + size]) for f in its if set(f[q:q + size]) - set(decontam.PLACEHOLDERS)}
+        if not own:
+            blanks.append(q)
         for p in range(len(dw) - size + 1):
             if own & {tuple(f[p:p + size]) for f in ds}:
                 shifts[p - q].add(q)
     covered, slots, changed = set(), [], []
     for shift, places in shifts.items():
+        places |= {q for q in blanks if q + shift >= 0 and its[0][q:q + size] == ds[0][q + shift:q + shift + size]}
         at = {p for q in places for p in range(q, q + size) if its[0][p] in ("<num>", "<unit>", "<name>")}
         pairs = {(iw[p], dw[p + shift]) for p in at}
         if len({a for a, _ in pairs}) == len(pairs):
@@ -286,6 +289,16 @@ def _contaminated(text, item):
     return (n, len(covered), max(slots), min(changed)) if 2 * len(covered) >= n and covered else None
 
 
+def test_lists_of_numbers_meet_no_numeric_item(spark):
+    items = [(k, f"add {' '.join(str(7 * k + j) for j in range(30))}") for k in range(20)] + [(50, " ".join(map(str, range(12))))]
+    numbers = " ".join(map(str, range(400)))
+    changed = items[3][1].replace("add", "please add")
+    changed = " ".join(str(int(w) + 900) if w.isdigit() else w for w in changed.split(" "))
+    docs = spark.createDataFrame([(1, numbers), (2, f"{numbers} {changed} and {numbers}"), (3, items[50 - 30][1])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_matched) for r in decontam.op4_decontam(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, k, 26) for k in range(20)}
+
+
 def test_decontamination_by_brute_force(spark):
     rng = random.Random(27)
     base = ["the", "train", "leaves", "with", "apples", "km", "euros", "seven", "buys", "and", "pays", "from", "gives", "kg"]
