@@ -40,13 +40,13 @@ NUMBER_WORDS = (
 )
 PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 NAME = "\x01"
-NAME_START = r"(?<=[\p{Ll}\p{N},;][ \t])(?=\p{Lu}\p{Ll})"
+NAME_START = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;][ \t])"  # what is rare is looked for first
 CAPITAL = "\x02"
-CAPITAL_START = r"(?<![\p{L}\p{M}\x01'’-])(?=\p{Lu}\p{Ll})"
+CAPITAL_START = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\x01'’-])"
 SIGNS = ("$", "€", "£", "¥")
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
-COMPOUND = rf"\b(?:({_NUMBER})[ \t-]|(hundred|thousand|million)[ \t]and[ \t])(?={_NUMBER}\b)"
-TOKEN = r"[\x01\x02]?[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:/]\p{N}+)*|[%$€£¥°]"
+COMPOUND = rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS}))}])\b(?:({_NUMBER})[ \t-]|(hundred|thousand|million)[ \t]and[ \t])(?={_NUMBER}\b)"
+TOKEN = r"[\x01\x02]?[a-z\p{L}\p{M}]+(?:['’-][a-z\p{L}\p{M}]+)*|\p{N}+(?:[.,:/]\p{N}+)*|[%$€£¥°]"
 
 
 def tokens(text: Column) -> Column:
@@ -57,12 +57,12 @@ def tokens(text: Column) -> Column:
 
 
 def plain(token: Column) -> Column:
-    return F.translate(token, NAME + CAPITAL, "")
+    return F.when(token < "\x03", F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
 def _is_number(token: Column) -> Column:
     """Of a token without marks; compound number words start with one and a hyphen."""
-    return ((token >= "0") & (token < ":")) | F.substring_index(token, "-", 1).isin(*NUMBER_WORDS) & token.rlike(rf"^{_NUMBER}(?:-{_NUMBER})*$")
+    return ((token >= "0") & (token < ":")) | token.isin(*NUMBER_WORDS) | token.contains("-") & token.rlike(rf"^{_NUMBER}(?:-{_NUMBER})*$")
 
 
 def canonical(words: Column) -> Column:
