@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.session import cut
+
 HELD_OUT_FOLDS = 5
 
 
@@ -22,6 +24,13 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null")
 
 
+def with_part(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and more) with ``part``, which tells the texts of a repeated doc_id apart; it is 0 where an id has one row."""
+    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_repeated")))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(repeated, "doc_id", "left").withColumn("part", F.when(F.col("_repeated"), text).otherwise(F.lit(0).cast("long"))).drop("_repeated")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts don't multiply a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

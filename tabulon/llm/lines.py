@@ -2,14 +2,14 @@
 
 Lines are what ``\\n`` separates; blank ones (white space only) stay and link with nothing. Equal lines are one class.
 A class's signature is the bottom of a MinHash order of its character shingles: the least hashes, under a bound that leaves about
-``KEYS`` of them. Two lines whose signatures share a value are candidates: of two lines of similarity 0.8 at least 0.55 of the shingles
+``KEYS`` of them; lines that repeat a pattern are bounded by their different shingles, and have a key for the whole set as well. Two lines whose signatures share a value are candidates: of two lines of similarity 0.8 at least 0.55 of the shingles
 are common, so they miss each other with a probability of about e^-7.7 at most. Signatures of short lines are of shorter shingles (see ``CLASSES``; lines at
 a border have both kinds), and lines of one repeated pattern of up to three characters have one for the pattern.
 Candidates pass a test on bitmaps of their sets and are confirmed by the exact Jaccard similarity (0.8 or more) of their sets of five-character
 shingles, a line shorter than that being one shingle. Of each component of links, the line that comes first (smallest
 doc_id, then position) stays; all other occurrences of its lines go.
 
-A null text stays null and has no lines; an empty one has one blank line. doc_id is a key; rows repeated whole are
+A null text stays null and has no lines; an empty one has one blank line. Texts of a repeated doc_id are told apart by their content; rows repeated whole are
 each treated as first occurrences of the same place and both keep the line. Other columns, whatever their names, pass through.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
-from tabulon.llm.bytesops import documents_of
+from tabulon.llm.bytesops import documents_of, with_part
 from tabulon.llm.linking import linked_components
 from tabulon.session import cut, free
 
@@ -36,14 +36,27 @@ SPLITS = 14
 SPACE = " \t\x0b\f\r"
 
 
+def _repeats(line: Column) -> Column:
+    """Whether a line may have much fewer shingles than places: a fifth of its words are repeated, or one is so long that it may repeat a pattern."""
+    return let(F.split(line, " "), lambda words: F.size(F.array_distinct(words)) * 5 < F.size(words) * 4) | line.rlike(r"\S{16}")
+
+
+def _distinct(wide: Column, size: int, width: int) -> Column:
+    """The different hashes of an encoded line's shingles."""
+    last = F.greatest((F.octet_length(wide) / width).cast("int") - size, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * width + 1, F.lit(width * size)))))
+
+
 def _shingled(lines: DataFrame, size: int, code: str = "UTF-32") -> DataFrame:
-    """(cid, n, h): a row for each place where a shingle of a line (cid, line) begins; n is how many the line has, at least one.
+    """(cid, n, h): a row for each place where a shingle of a line (cid, line) begins; n is how many places the line has, at least one, or
+    in lines that may repeat a pattern how many different shingles.
 
     In ``code`` every character has the same number of bytes, so each shingle is found at once.
     """
     width = 4 if code == "UTF-32" else 2
-    wide = lines.select("cid", F.encode("line", code).alias("wide")).withColumn("n", F.greatest((F.octet_length("wide") / width).cast("int") - size + 1, F.lit(1)))
-    places = wide.select("cid", "n", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    wide = lines.select("cid", F.encode("line", code).alias("wide"), _repeats(F.col("line")).alias("repeats")).withColumn("places", F.greatest((F.octet_length("wide") / width).cast("int") - size + 1, F.lit(1)))
+    wide = wide.select("cid", "wide", "places", F.when(F.col("repeats"), F.size(_distinct(F.col("wide"), size, width))).otherwise(F.col("places")).alias("n"))
+    places = wide.select("cid", "n", "wide", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
     return places.select("cid", "n", F.xxhash64(F.lit(size), F.substring("wide", F.col("i") * width + 1, F.lit(width * size))).alias("h"))
 
 
@@ -58,7 +71,8 @@ def signatures(classes: DataFrame) -> DataFrame:
     same = [F.substr(F.col("line"), F.lit(p + 1)) == F.substr(F.col("line"), F.lit(1), F.length("line") - p) for p in (1, 2, 3)]
     turns = [F.when(F.length("line") >= p + SHINGLE - 1, F.xxhash64(F.lit(-1), F.substring("line", p, SHINGLE))) for p in (1, 2, 3)]
     pattern = classes.where(F.length("line") >= SHINGLE).where(reduce(Column.__or__, same)).select(F.col("cid").alias("id"), F.least(*turns).alias("bucket"))
-    return reduce(DataFrame.unionByName, [*parts, pattern])
+    whole = classes.where(_repeats(F.col("line"))).select(F.col("cid").alias("id"), F.xxhash64(F.lit(-2), let(F.encode("line", "UTF-16BE"), lambda wide: F.array_sort(_distinct(wide, SHINGLE, 2)))).alias("bucket"))
+    return reduce(DataFrame.unionByName, [*parts, pattern, whole])
 
 
 def sketches(lines: DataFrame) -> DataFrame:
@@ -131,8 +145,8 @@ def _set(line: Column) -> Column:
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, k1, k2) of every line that isn't blank; the two hashes stand for the line."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+    """(doc_id, part, pos, line, k1, k2) of every line that isn't blank; the two hashes stand for the line."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "part", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
     return lines.where(F.btrim("line", F.lit(SPACE)) != "").select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -166,22 +180,22 @@ def line_groups(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos) of every occurrence that goes."""
-    places = split_lines(docs).select("doc_id", "pos", "k1", "k2")
+    """(doc_id, part, pos) of every occurrence that goes."""
+    places = split_lines(docs).select("doc_id", "part", "pos", "k1", "k2")
     groups = line_groups(docs)
-    grouped = cut(places.join(groups, ["k1", "k2"]).select("doc_id", "pos", "grp"))
+    grouped = cut(places.join(groups, ["k1", "k2"]).select("doc_id", "part", "pos", "grp"))
     free(groups)
-    first_doc = grouped.groupBy("grp").agg(F.min("doc_id").alias("first_doc"))
-    with_first = grouped.join(first_doc, "grp")
-    first = with_first.where("doc_id = first_doc").groupBy("grp").agg(F.min("pos").alias("first_pos"))
-    return with_first.join(first, "grp").where("doc_id <> first_doc or pos <> first_pos").select("doc_id", "pos")
+    first_doc = grouped.groupBy("grp").agg(F.min(F.struct("doc_id", "part")).alias("first_doc"))
+    with_first = grouped.join(first_doc, "grp").withColumn("own", F.struct("doc_id", "part"))
+    first = with_first.where("own = first_doc").groupBy("grp").agg(F.min("pos").alias("first_pos"))
+    return with_first.join(first, "grp").where("own <> first_doc or pos <> first_pos").select("doc_id", "part", "pos")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and the array ``removed_lines`` of their positions."""
-    gone = cut(repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc"))  # no name can clash
-    both = whole.join(gone, "doc_id", "left")
+    told = with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("doc")))  # no name can clash
+    gone = cut(repeated_lines(told.select("doc_id", "part", "text")).groupBy("doc_id", "part").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
+    both = told.select("doc_id", "part", "doc").join(gone, ["doc_id", "part"], "left")
     text = F.col("doc.text").cast("string")
 
     def rest(lines: Column) -> Column:
