@@ -9,7 +9,7 @@ all. The remaining suffixes are merged in only where an anchor has several conte
 its own fingerprint, and the first of each name (smallest doc_id, then start) is told from the later ones. Fingerprints
 are 64-bit ones within groups of equal 64-bit anchors.
 
-A null text is empty. doc_id is a key: rows repeated whole give one row each, with the same result, as their strings
+A null text is empty. Texts of a repeated doc_id are documents of their own, in the order of a hash (of 31 bits); rows repeated whole give one row each, with the same result, as their strings
 start at the same place. Extra columns and rows without doc_id are ignored.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.bytesops import documents_of, mix64, small_batches, utf8, with_part
@@ -73,26 +73,33 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(utf8(text), np.uint8)
 
 
+def _part(place: str) -> Column:
+    return F.shiftright(place, 32).alias("part")
+
+
+def _place(place: str) -> Column:
+    return F.col(place).bitwiseAND(0xFFFFFFFF).cast("int").alias(place)
+
+
 def find_contexts(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id, part, lo, hi, at) of every document (doc_id, part, text)."""
+    """(anchor, context, doc_id, lo, hi, at) of every document (doc_id, part, text); the part is in the upper half of each place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, own, parts = [], [], []
+            ids, parts = [], []
             for i, part, text in zip(b["doc_id"], b["part"], b["text"], strict=True):
-                found = contexts(_bytes(text))
-                ids.append(np.full(len(found[0]), i, np.int64))
-                own.append(np.full(len(found[0]), part, np.int64))
-                parts.append(found)
+                anchor, context, *places = contexts(_bytes(text))
+                ids.append(np.full(len(anchor), i, np.int64))
+                parts.append((anchor, context, *(p.astype(np.int64) + (part << 32) for p in places)))
             if ids:
                 columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-                yield pd.DataFrame({"anchor": columns[0], "context": columns[1], "doc_id": np.concatenate(ids), "part": np.concatenate(own), "lo": columns[2], "hi": columns[3], "at": columns[4]})
+                yield pd.DataFrame({"anchor": columns[0], "context": columns[1], "doc_id": np.concatenate(ids), "lo": columns[2], "hi": columns[3], "at": columns[4]})
 
-    return docs.mapInPandas(run, "anchor long, context long, doc_id long, part long, lo int, hi int, at int")
+    return docs.mapInPandas(run, "anchor long, context long, doc_id long, lo long, hi long, at long")
 
 
 def _first_windows(docs: DataFrame, several: DataFrame) -> DataFrame:
-    """(doc_id, part, start) of the first window of each name among the windows of ``several`` contexts."""
+    """(doc_id, start) of the first window of each name among the windows of ``several`` contexts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,14 +112,14 @@ def _first_windows(docs: DataFrame, several: DataFrame) -> DataFrame:
                 n = hi - lo + 1
                 starts = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 name = _names(_prefix(_bytes(text)), starts, starts + LENGTH).view(np.int64)
-                out.append(pd.DataFrame({"anchor": np.repeat(anchor, n), "offset": (np.repeat(at, n) - starts) // PART, "name": name, "doc_id": i, "part": part, "start": starts}))
+                out.append(pd.DataFrame({"anchor": np.repeat(anchor, n), "offset": (np.repeat(at, n) - starts) // PART, "name": name, "doc_id": i, "start": starts + (part << 32)}))
             if out:
                 yield pd.concat(out)
 
-    places = several.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "lo", "hi", "at")).alias("places"))
-    windows = docs.join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "places").mapInPandas(run, "anchor long, offset int, name long, doc_id long, part long, start int")
+    places = several.groupBy("doc_id", _part("lo")).agg(F.collect_list(F.struct("anchor", *[_place(c) for c in ("lo", "hi", "at")])).alias("places"))
+    windows = docs.join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "places").mapInPandas(run, "anchor long, offset int, name long, doc_id long, start long")
     # equal windows have their anchor at equal offsets; dealt by it, windows of one context stay together, which compresses
-    return windows.repartition("anchor", "offset").groupBy("anchor", "offset", "name").agg(F.min(F.struct("doc_id", "part", "start")).alias("f")).select("f.doc_id", "f.part", "f.start")
+    return windows.repartition("anchor", "offset").groupBy("anchor", "offset", "name").agg(F.min(F.struct("doc_id", "start")).alias("f")).select("f.doc_id", "f.start")
 
 
 def removed_spans(raw: np.ndarray, repeats: list[tuple[int, int]], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +141,18 @@ def removed_spans(raw: np.ndarray, repeats: list[tuple[int, int]], firsts: np.nd
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``; spans are byte positions."""
     small_batches(docs.sparkSession)
-    source = with_part(documents_of(docs).fillna("", "text"))
+    source = with_part(documents_of(docs).fillna("", "text")).withColumn("part", F.shiftrightunsigned("part", 33))
     found = find_contexts(source)
     repeated = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = cut(found.join(repeated, "anchor"))
-    kinds = cut(places.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "part", "lo", "hi", "at")).alias("f")))
+    kinds = cut(places.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "lo", "hi", "at")).alias("f")))
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    several = cut(kinds.join(many, "anchor").select("anchor", "f.doc_id", "f.part", "f.lo", "f.hi", "f.at"))
+    several = cut(kinds.join(many, "anchor").select("anchor", "f.doc_id", "f.lo", "f.hi", "f.at"))
     firsts = cut(_first_windows(source, several))
-    first_of = kinds.select("anchor", "context", F.col("f.doc_id").alias("first_doc"), F.col("f.part").alias("first_part"), F.col("f.lo").alias("first_lo"))
-    later = places.join(first_of, ["anchor", "context"]).where("doc_id <> first_doc or part <> first_part or lo <> first_lo").select("doc_id", "part", "lo", "hi")
-    marked = later.unionByName(several.select("doc_id", "part", "lo", "hi")).groupBy("doc_id", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("repeats"))
-    starts = firsts.groupBy("doc_id", "part").agg(F.collect_list("start").alias("firsts"))
+    first_of = kinds.select("anchor", "context", F.col("f.doc_id").alias("first_doc"), F.col("f.lo").alias("first_lo"))
+    later = places.join(first_of, ["anchor", "context"]).where("doc_id <> first_doc or lo <> first_lo").select("doc_id", "lo", "hi")
+    marked = later.unionByName(several.select("doc_id", "lo", "hi")).groupBy("doc_id", _part("lo")).agg(F.collect_list(F.struct(_place("lo"), _place("hi"))).alias("repeats"))
+    starts = firsts.groupBy("doc_id", _part("start")).agg(F.collect_list(_place("start")).alias("firsts"))
     both = source.join(marked, ["doc_id", "part"], "left").join(starts, ["doc_id", "part"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
