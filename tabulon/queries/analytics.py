@@ -138,10 +138,10 @@ def _(spark, sf):
     return _weekly(spark, sf).withColumn("price", F.round("price", 9))
 
 
-@register("a18_category_week_means", _with("SELECT category, week, round(avg(units), 6) AS units, round(avg(weekly.price), 6) AS price FROM weekly JOIN products USING (product_id) GROUP BY ALL", WEEKLY))
+@register("a18_category_week_means", _with("SELECT category, week, round(avg(units), 6) AS units, round(avg(weekly.price), 9) AS price FROM weekly JOIN products USING (product_id) GROUP BY ALL", WEEKLY))
 def _(spark, sf):
     out = A.category_week_means(_weekly(spark, sf), V.products(spark, sf))
-    return out.select("category", "week", F.round("units", 6).alias("units"), F.round("price", 6).alias("price"))
+    return out.select("category", "week", F.round("units", 6).alias("units"), F.round("price", 9).alias("price"))
 
 
 @register("a19_elasticity", _with("SELECT product_id, round(regr_slope(ln(units), ln(price)), 6) AS elasticity, round(regr_r2(ln(units), ln(price)), 6) AS r2, CAST(regr_count(ln(units), ln(price)) AS BIGINT) AS n FROM weekly GROUP BY 1 HAVING count(*) >= 12", WEEKLY))
