@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Learning: of the labelled rows, at most ``max_examples`` (the first ones by a hash of the id) are examples. They are indexed twice:
-the first ``word_examples`` of them by all their words, whatever these tell, and all of them by a lexicon of words and character 4- to 6-grams of words with their borders
+Learning: of the labelled rows, at most ``max_examples`` (the first ones by a hash of the id) are examples. All of them are indexed twice:
+by all their words, whatever these tell, and by a lexicon of words and character 4- to 6-grams of words with their borders
 that tell toxic examples apart (``MIN_Z``, ``MIN_PRECISION``, at least ``MIN_ROWS`` rows, at most ``max_terms``). N-grams
 outside the lexicon aren't indexed. Document frequencies of words and lexicon are counted over all documents.
 
-Search by all words: a text's cosine with every one of these examples is summed over the postings of its words, in full. Votes weigh c / (1 - c), so a copy of an example gets that one's label.
+Search by all words: block-max bounds find every example whose cosine with the text is ``LEAST_COSINE`` or more, exactly; further ones
+don't vote. Votes weigh c / (1 - c), so a copy of an example gets that one's label.
 
 Search in the lexicon: the examples' unit vectors form an inverted index of postings in blocks of ``BLOCK`` examples, each block with
 the largest weight it holds for a term. A query bounds every block by these, visits blocks from the highest bound on, and
@@ -34,18 +35,21 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tabulon.llm.bytesops import documents_of, held_out, small_batches
 from tabulon.session import cut, free
 
 MAX_EXAMPLES = 20_000
-WORD_EXAMPLES = 2_000
 MAX_TERMS = 20_000
 MIN_ROWS = 5
 MIN_Z = 5.0
 MIN_PRECISION = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
+WORD_BLOCK = 256  # a place in a block takes one byte
+LEAST_COSINE = 0.6
+SLACK = 1e-5  # of weights with single precision
 GRAMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 LEAST_POOL = 50
@@ -78,23 +82,51 @@ class Vectors:
         return dict(Counter(i for _, i in self.automaton.iter("^" + "$^".join(words) + "$")))
 
 
-class WordIndex:
-    """All words of the examples: each word's postings, and the cosines of a text with all examples."""
+def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges one after the other, and the ranges' lengths."""
+    n = end - begin
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(begin - (ends - n), n), n
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """64-bit fingerprints, so that workers hold 8 bytes a word instead of its spelling."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], unseen: float = 1.0, k: int = NEIGHBOURS) -> None:
-        """``examples`` is (doc_id, label, places in ``vocabulary``, counts); a word of a text that no example has weighs ``unseen``."""
-        self.vocabulary, self.idf, self.unseen, self.k = vocabulary, idf, unseen, k
+
+class WordIndex:
+    """All words of the examples as a block-max index, and the nearest examples of a text whose cosine is ``least`` or more.
+
+    A text's commonest words are set aside as long as their weights' length stays under ``least``: by Cauchy and Schwarz they can't bring any example
+    there alone. The other words bound every block of ``WORD_BLOCK`` examples by their largest weights in it; only blocks that can reach
+    ``least`` are opened, and there the cosine is summed over all words.
+    """
+
+    def __init__(self, vocabulary: list[str] | np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], unseen: float = 1.0, k: int = NEIGHBOURS, least: float = 0.0) -> None:
+        """``examples`` is (doc_id, label, places in ``vocabulary``, counts), ``vocabulary`` words or their keys; a word of a text that no example has weighs ``unseen``."""
+        keys = vocabulary if isinstance(vocabulary, np.ndarray) else word_keys(vocabulary)
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        self.idf, self.unseen, self.k, self.least = idf.astype(np.float32), unseen, k, least
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.float64)
         self.rate = float(self.labels.mean()) if len(examples) else 0.0
+        self.blocks = -(-len(examples) // WORD_BLOCK)
         cols = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int32)]).astype(np.int32)
         weights = np.concatenate([self.unit(e[2], e[3]).astype(np.float32) for e in examples] or [np.empty(0, np.float32)])
+        rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
         order = np.argsort(cols, kind="stable")
-        self.rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])[order]
-        self.weights = weights[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=len(vocabulary)))])
+        cols, rows, self.weights = cols[order], rows[order], weights[order]
+        self.inside = (rows % WORD_BLOCK).astype(np.uint8)
+        block = rows // WORD_BLOCK
+        first = np.ones(len(cols), bool)  # postings of one word and block are neighbours
+        first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
+        at = np.nonzero(first)[0]
+        self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0, np.float32)
+        self.block_of = block[at].astype(np.int32)
+        self.postings = np.append(at, len(cols)).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols[at], minlength=len(keys)))]).astype(np.int32)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
-        self.places: dict[str, int] | None = None  # made where first needed, not sent around
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
@@ -102,32 +134,47 @@ class WordIndex:
 
     def query(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(places, weights, spellings) of a text's words that examples have; all its words count in its length."""
-        if self.places is None:
-            self.places = {w: i for i, w in enumerate(self.vocabulary)}
         found = Counter(words)
-        known = [(self.places[w], n, w) for w, n in found.items() if w in self.places]
-        at, counts = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.float64)
-        w = (1 + np.log(counts)) * self.idf[at] if len(at) else counts
-        rest = np.array([n for t, n in found.items() if t not in self.places], np.float64)
-        length = (w * w).sum() + ((1 + np.log(rest)) ** 2).sum() * self.unseen**2
-        return at, w / max(np.sqrt(length), 1e-300), [k[2] for k in known]
+        if not found or not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0), []
+        keys, spelt = word_keys(list(found)), list(found)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        w = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
+        w *= np.where(known, self.idf[self.order[at]], self.unseen)
+        w /= max(np.sqrt((w * w).sum()), 1e-300)
+        return self.order[at[known]], w[known], [spelt[i] for i in np.nonzero(known)[0].tolist()]
+
+    def _open(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The blocks that may hold an example with a cosine of ``least``, ascending."""
+        n = self.starts[at + 1] - self.starts[at]
+        order = np.argsort(-n, kind="stable")
+        length = np.sqrt(np.cumsum(weights[order] ** 2))
+        aside = int(np.searchsorted(length, self.least - SLACK))
+        own = order[aside:]
+        entries, n = spans(self.starts[at[own]], self.starts[at[own] + 1])
+        bound = np.bincount(self.block_of[entries], self.block_max[entries] * np.repeat(weights[own], n), self.blocks)
+        return np.nonzero((bound > 0) & (bound + (length[aside - 1] if aside > 0 else 0.0) >= self.least - SLACK))[0]
 
     def neighbours(self, at: np.ndarray, weights: np.ndarray, leave: int | None = None) -> list[tuple[int, float]]:
-        """(row, cosine) of the k nearest examples with a cosine over 0; ties go to the smaller id."""
-        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(n)
-        if not len(at) or not ends[-1]:
+        """(row, cosine) of the k nearest examples with a cosine over 0 and of ``least`` or more; ties go to the smaller id."""
+        opened = self._open(at, weights) if len(at) and self.blocks else at[:0]
+        if not len(opened):
             return []
-        own = np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)
-        scores = np.bincount(self.rows[own], self.weights[own] * np.repeat(weights, n), len(self.ids))
+        place = np.full(self.blocks, -1)
+        place[opened] = np.arange(len(opened))
+        entries, n = spans(self.starts[at], self.starts[at + 1])
+        own = place[self.block_of[entries]]
+        held = own >= 0
+        entries, own, w = entries[held], own[held], np.repeat(weights, n)[held]
+        postings, n = spans(self.postings[entries], self.postings[entries + 1])
+        scores = np.bincount(np.repeat(own * WORD_BLOCK, n) + self.inside[postings], self.weights[postings] * np.repeat(w, n), len(opened) * WORD_BLOCK)
+        hit = np.nonzero((scores > 0) & (scores >= self.least - SLACK))[0]
+        rows, scores = opened[hit // WORD_BLOCK] * WORD_BLOCK + hit % WORD_BLOCK, scores[hit]
         if leave is not None:
-            scores[self.ids == leave] = 0.0
-        rows = np.nonzero(scores > 0)[0]
-        if len(rows) > self.k:
-            kth = np.partition(scores, -self.k)[-self.k]
-            rows = np.nonzero((scores > 0) & (scores >= kth))[0]
-        first = rows[np.lexsort((self.ids[rows], -scores[rows]))[: self.k]]
-        return [(r, min(1.0, c)) for r, c in zip(first.tolist(), scores[first].tolist(), strict=True)]
+            rows, scores = rows[self.ids[rows] != leave], scores[self.ids[rows] != leave]
+        first = np.lexsort((self.ids[rows], -scores))[: self.k]
+        return [(r, min(1.0, c)) for r, c in zip(rows[first].tolist(), scores[first].tolist(), strict=True)]
 
     def vote(self, found: list[tuple[int, float]]) -> float:
         w = np.array([c / (1 - c + 1e-3) for _, c in found])
@@ -292,14 +339,13 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     return [r["term"] for r in told.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, word_examples: int = WORD_EXAMPLES) -> Model:
-    """The model of at most ``max_examples`` examples, ``word_examples`` of them with all their words; statistics of its terms come from all of ``docs``."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, least: float = LEAST_COSINE) -> Model:
+    """The model of at most ``max_examples`` examples, each with all its words; statistics of its terms come from all of ``docs``."""
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     source = documents_of(docs)
     examples = cut(_examples(source, labels, max_examples))
     terms = _vocabulary(examples, max_terms)
-    whole = {r["doc_id"] for r in examples.orderBy(F.xxhash64("doc_id"), "doc_id").limit(word_examples).select("doc_id").collect()}
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(terms)
@@ -308,26 +354,29 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
             for i, toxic, text in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
                 words = words_of(text)
                 own = vectors.counts(words)
-                distinct = Counter(words) if i in whole else {}
-                rows.append((i, toxic, list(own), list(own.values()), " ".join(distinct), list(distinct.values())))
+                distinct = Counter(words)
+                rows.append((i, toxic, list(own), list(own.values()), word_keys(list(distinct)).tobytes(), np.fromiter(distinct.values(), np.int32, len(distinct)).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "at", "n", "words", "times"])
 
-    schema = "doc_id long, toxic int, at array<int>, n array<int>, words string, times array<int>"
+    schema = "doc_id long, toxic int, at array<int>, n array<int>, words binary, times binary"
     held = sorted(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema).collect(), key=lambda r: r["doc_id"])
-    vocabulary = sorted({w for r in held for w in r["words"].split()})
-    places = {w: i for i, w in enumerate(vocabulary)}
+    vocabulary, places = np.unique(np.frombuffer(b"".join(r["words"] for r in held), np.uint64), return_inverse=True)
+    places = np.split(places.astype(np.int32), np.cumsum([len(r["words"]) // 8 for r in held])[:-1]) if held else []
     seen = context.broadcast((terms, vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_terms, own_words = seen.value
-        vectors, known = Vectors(own_terms), {w: len(own_terms) + i for i, w in enumerate(own_words)}
-        n, df = 0, np.zeros(len(own_terms) + len(own_words), np.int64)
+        own_words, vectors = np.append(own_words, np.uint64(0)), Vectors(own_terms)  # the end equals no place before it
+        n, df, df_words = 0, np.zeros(len(own_terms), np.int64), np.zeros(len(own_words), np.int64)
         for b in batches:
             n += len(b)
             for text in b["text"]:
                 words = words_of(text)
                 df[list(vectors.counts(words))] += 1
-                df[[known[w] for w in set(words) if w in known]] += 1
+                keys = word_keys(list(set(words)))
+                at = np.searchsorted(own_words[:-1], keys)
+                df_words[at[own_words[at] == keys]] += 1
+        df = np.append(df, df_words[:-1])
         some = np.nonzero(df)[0]
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], n)})
 
@@ -343,8 +392,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         rows += int(n[at < 0].sum())
     idf = np.log((1 + rows) / (1 + df)) + 1
     model = Model(terms, idf[: len(terms)], [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in held])
-    indexed = [(r["doc_id"], int(r["toxic"] > 0), np.array([places[w] for w in r["words"].split()], np.int32), np.array(r["times"], np.int32)) for r in held if r["doc_id"] in whole]
-    model.words = WordIndex(vocabulary, idf[len(terms):], indexed, float(np.log(1 + rows) + 1))
+    indexed = [(r["doc_id"], int(r["toxic"] > 0), own, np.frombuffer(r["times"], np.int32)) for r, own in zip(held, places, strict=True)]
+    model.words = WordIndex(vocabulary, idf[len(terms):], indexed, float(np.log(1 + rows) + 1), least=least)
     del held, indexed, places
     shared = context.broadcast(_state(model))
 
