@@ -48,7 +48,9 @@ MIN_PRECISION = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
 WORD_BLOCK = 256  # a place in a block takes one byte
-LEAST_COSINE = 0.6
+LEAST_COSINE = 0.7
+ASIDE = 0.9  # of it is the most that the words set aside bring
+PARTS = 16  # ranges of words whose postings are made together
 SLACK = 1e-5  # of weights with single precision
 GRAMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -94,12 +96,24 @@ def word_keys(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def postings_of(cols: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings by word and block: each entry's word, block, number of postings and largest weight; each posting's place in its block and weight."""
+    order = np.lexsort((rows, cols))
+    cols, rows, weights = cols[order], rows[order], weights[order]
+    block = rows // WORD_BLOCK
+    first = np.ones(len(cols), bool)
+    first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
+    at = np.nonzero(first)[0]
+    largest = np.maximum.reduceat(weights, at) if len(at) else weights
+    return cols[at].astype(np.int32), block[at].astype(np.int32), np.diff(np.append(at, len(cols))).astype(np.int32), largest.astype(np.float32), (rows % WORD_BLOCK).astype(np.uint8), weights.astype(np.float32)
+
+
 class WordIndex:
     """All words of the examples as a block-max index, and the nearest examples of a text whose cosine is ``least`` or more.
 
-    A text's commonest words are set aside as long as their weights' length stays under ``least``: by Cauchy and Schwarz they can't bring any example
-    there alone. The other words bound every block of ``WORD_BLOCK`` examples by their largest weights in it; only blocks that can reach
-    ``least`` are opened, and there the cosine is summed over all words.
+    A text's commonest words are set aside as long as their weights' length stays under ``ASIDE`` of ``least``: by Cauchy and Schwarz that is all they
+    can bring. The other words bound every block of ``WORD_BLOCK`` examples by their largest weights in it; only blocks that can reach
+    ``least`` are opened, and the words set aside are summed where an example of these still can.
     """
 
     def __init__(self, vocabulary: list[str] | np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], unseen: float = 1.0, k: int = NEIGHBOURS, least: float = 0.0) -> None:
@@ -108,24 +122,19 @@ class WordIndex:
         self.order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
         self.idf, self.unseen, self.k, self.least = idf.astype(np.float32), unseen, k, least
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], np.float64)
-        self.rate = float(self.labels.mean()) if len(examples) else 0.0
-        self.blocks = -(-len(examples) // WORD_BLOCK)
         cols = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int32)]).astype(np.int32)
         weights = np.concatenate([self.unit(e[2], e[3]).astype(np.float32) for e in examples] or [np.empty(0, np.float32)])
         rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
-        order = np.argsort(cols, kind="stable")
-        cols, rows, self.weights = cols[order], rows[order], weights[order]
-        self.inside = (rows % WORD_BLOCK).astype(np.uint8)
-        block = rows // WORD_BLOCK
-        first = np.ones(len(cols), bool)  # postings of one word and block are neighbours
-        first[1:] = (cols[1:] != cols[:-1]) | (block[1:] != block[:-1])
-        at = np.nonzero(first)[0]
-        self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0, np.float32)
-        self.block_of = block[at].astype(np.int32)
-        self.postings = np.append(at, len(cols)).astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols[at], minlength=len(keys)))]).astype(np.int32)
+        self.hold([e[0] for e in examples], [e[1] for e in examples], [postings_of(cols, rows, weights)])
+
+    def hold(self, ids: list[int], labels: list[int], parts: list[tuple[np.ndarray, ...]]) -> None:
+        """Take the parts of ``postings_of``, each of further places in the vocabulary."""
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
+        self.rate = float(self.labels.mean()) if len(ids) else 0.0
+        self.blocks = -(-len(ids) // WORD_BLOCK)
+        cols, self.block_of, counts, self.block_max, self.inside, self.weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.postings = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=len(self.keys)))]).astype(np.int32)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -145,36 +154,51 @@ class WordIndex:
         w /= max(np.sqrt((w * w).sum()), 1e-300)
         return self.order[at[known]], w[known], [spelt[i] for i in np.nonzero(known)[0].tolist()]
 
-    def _open(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The blocks that may hold an example with a cosine of ``least``, ascending."""
-        n = self.starts[at + 1] - self.starts[at]
-        order = np.argsort(-n, kind="stable")
-        length = np.sqrt(np.cumsum(weights[order] ** 2))
-        aside = int(np.searchsorted(length, self.least - SLACK))
-        own = order[aside:]
-        entries, n = spans(self.starts[at[own]], self.starts[at[own] + 1])
-        bound = np.bincount(self.block_of[entries], self.block_max[entries] * np.repeat(weights[own], n), self.blocks)
-        return np.nonzero((bound > 0) & (bound + (length[aside - 1] if aside > 0 else 0.0) >= self.least - SLACK))[0]
+    def _entries(self, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index entries of words, and each one's weight in the text."""
+        entries, n = spans(self.starts[at], self.starts[at + 1])
+        return entries, np.repeat(weights, n)
 
-    def neighbours(self, at: np.ndarray, weights: np.ndarray, leave: int | None = None) -> list[tuple[int, float]]:
-        """(row, cosine) of the k nearest examples with a cosine over 0 and of ``least`` or more; ties go to the smaller id."""
-        opened = self._open(at, weights) if len(at) and self.blocks else at[:0]
-        if not len(opened):
-            return []
+    def _sums(self, opened: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Parts of cosines of the examples in the ``opened`` blocks."""
         place = np.full(self.blocks, -1)
         place[opened] = np.arange(len(opened))
-        entries, n = spans(self.starts[at], self.starts[at + 1])
         own = place[self.block_of[entries]]
         held = own >= 0
-        entries, own, w = entries[held], own[held], np.repeat(weights, n)[held]
+        entries, own, weights = entries[held], own[held], weights[held]
         postings, n = spans(self.postings[entries], self.postings[entries + 1])
-        scores = np.bincount(np.repeat(own * WORD_BLOCK, n) + self.inside[postings], self.weights[postings] * np.repeat(w, n), len(opened) * WORD_BLOCK)
-        hit = np.nonzero((scores > 0) & (scores >= self.least - SLACK))[0]
-        rows, scores = opened[hit // WORD_BLOCK] * WORD_BLOCK + hit % WORD_BLOCK, scores[hit]
+        return np.bincount(np.repeat(own * WORD_BLOCK, n) + self.inside[postings], self.weights[postings] * np.repeat(weights, n), len(opened) * WORD_BLOCK)
+
+    def _candidates(self, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(opened blocks, examples that may reach ``least`` as places in them, parts of their cosines, words set aside)."""
+        order = np.argsort(self.starts[at] - self.starts[at + 1], kind="stable")
+        length = np.sqrt(np.cumsum(weights[order] ** 2))
+        aside = int(np.searchsorted(length, self.least * ASIDE))
+        rest = length[aside - 1] if aside > 0 else 0.0
+        entries, w = self._entries(at[order[aside:]], weights[order[aside:]])
+        bound = np.bincount(self.block_of[entries], self.block_max[entries] * w, self.blocks)
+        opened = np.nonzero((bound > 0) & (bound + rest >= self.least - SLACK))[0]
+        if not len(opened):
+            return opened, opened, bound[:0], order[:aside]
+        sums = self._sums(opened, entries, w)
+        hit = np.nonzero((sums > 0) & (sums + rest >= self.least - SLACK))[0]
+        return opened, hit, sums[hit], order[:aside]
+
+    def neighbours(self, at: np.ndarray, weights: np.ndarray, leave: int | None = None) -> list[tuple[int, float]]:
+        """(row, cosine) of the k nearest examples with a cosine over 0 and of ``least`` or more; ties go to the smaller id."""
+        if not len(at) or not self.blocks:
+            return []
+        opened, hit, cosines, aside = self._candidates(at, weights)
+        rows = opened[hit // WORD_BLOCK] * WORD_BLOCK + hit % WORD_BLOCK
         if leave is not None:
-            rows, scores = rows[self.ids[rows] != leave], scores[self.ids[rows] != leave]
-        first = np.lexsort((self.ids[rows], -scores))[: self.k]
-        return [(r, min(1.0, c)) for r, c in zip(rows[first].tolist(), scores[first].tolist(), strict=True)]
+            rows, cosines = rows[self.ids[rows] != leave], cosines[self.ids[rows] != leave]
+        if len(rows) and len(aside):
+            again = np.unique(rows // WORD_BLOCK)
+            more = self._sums(again, *self._entries(at[aside], weights[aside]))
+            cosines = cosines + more[np.searchsorted(again, rows // WORD_BLOCK) * WORD_BLOCK + rows % WORD_BLOCK]
+            rows, cosines = rows[cosines >= self.least - SLACK], cosines[cosines >= self.least - SLACK]
+        first = np.lexsort((self.ids[rows], -cosines))[: self.k]
+        return [(r, min(1.0, c)) for r, c in zip(rows[first].tolist(), cosines[first].tolist(), strict=True)]
 
     def vote(self, found: list[tuple[int, float]]) -> float:
         w = np.array([c / (1 - c + 1e-3) for _, c in found])
@@ -339,6 +363,55 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     return [r["term"] for r in told.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
+def _part_of(keys: np.ndarray) -> np.ndarray:
+    """The range of keys, of ``PARTS`` equal ones."""
+    return (keys >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+
+
+def _keys_of(examples: DataFrame) -> np.ndarray:
+    """The different keys of the words of all examples, ascending."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = np.unique(np.frombuffer(b"".join(b["words"]), np.uint64))
+            part = _part_of(keys)
+            yield pd.DataFrame([(p, keys[part == p].tobytes()) for p in range(PARTS)], columns=["part", "words"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": rows["part"][:1], "words": [np.unique(np.frombuffer(b"".join(rows["words"]), np.uint64)).tobytes()]})
+
+    schema = "part long, words binary"
+    found = examples.select("words").mapInPandas(spread, schema).groupBy("part").applyInPandas(merge, schema).collect()
+    return np.frombuffer(b"".join(r["words"] for r in sorted(found, key=lambda r: r["part"])), np.uint64)
+
+
+def _postings(examples: DataFrame, index: WordIndex, ids: list[int]) -> list[tuple[np.ndarray, ...]]:
+    """The parts of the index of all words, made by ranges of words; row numbers are places in ``ids``, which ascend."""
+    shared = examples.sparkSession.sparkContext.broadcast((index, np.array(ids, np.int64)))
+    kinds = (np.int32, np.int32, np.float32)
+    made = (np.int32, np.int32, np.int32, np.float32, np.uint8, np.float32)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, known = shared.value
+        for b in batches:
+            at = [np.searchsorted(words.keys, np.frombuffer(k, np.uint64)) for k in b["words"]]
+            weights = [words.unit(a, np.frombuffer(n, np.int32)).astype(np.float32) for a, n in zip(at, b["times"], strict=True)]
+            rows = np.repeat(np.searchsorted(known, b["doc_id"].to_numpy(np.int64)), [len(a) for a in at])
+            both = [x.astype(t) for x, t in zip((np.concatenate(at or [rows]), rows, np.concatenate(weights or [rows])), kinds, strict=True)]
+            part = _part_of(words.keys[both[0]])
+            yield pd.DataFrame([(p, *(x[part == p].tobytes() for x in both)) for p in range(PARTS)], columns=["part", "cols", "rows", "weights"])
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        own = postings_of(*(np.frombuffer(b"".join(rows[c]), t) for c, t in zip(("cols", "rows", "weights"), kinds, strict=True)))
+        return pd.DataFrame({"part": rows["part"][:1], **{f"c{i}": [x.tobytes()] for i, x in enumerate(own)}})
+
+    spread_rows = examples.select("doc_id", "words", "times").mapInPandas(spread, "part long, cols binary, rows binary, weights binary")
+    found = spread_rows.groupBy("part").applyInPandas(build, "part long, " + ", ".join(f"c{i} binary" for i in range(len(made)))).collect()
+    out = [tuple(np.frombuffer(r[f"c{i}"], t) for i, t in enumerate(made)) for r in sorted(found, key=lambda r: r["part"])]
+    shared.unpersist()
+    return out or [postings_of(*(np.empty(0, t) for t in kinds))]
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, least: float = LEAST_COSINE) -> Model:
     """The model of at most ``max_examples`` examples, each with all its words; statistics of its terms come from all of ``docs``."""
     small_batches(docs.sparkSession)
@@ -359,9 +432,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "at", "n", "words", "times"])
 
     schema = "doc_id long, toxic int, at array<int>, n array<int>, words binary, times binary"
-    held = sorted(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema).collect(), key=lambda r: r["doc_id"])
-    vocabulary, places = np.unique(np.frombuffer(b"".join(r["words"] for r in held), np.uint64), return_inverse=True)
-    places = np.split(places.astype(np.int32), np.cumsum([len(r["words"]) // 8 for r in held])[:-1]) if held else []
+    counted_examples = cut(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema))
+    held = sorted(counted_examples.select("doc_id", "toxic", "at", "n").collect(), key=lambda r: r["doc_id"])
+    vocabulary = _keys_of(counted_examples)
     seen = context.broadcast((terms, vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,9 +465,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         rows += int(n[at < 0].sum())
     idf = np.log((1 + rows) / (1 + df)) + 1
     model = Model(terms, idf[: len(terms)], [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in held])
-    indexed = [(r["doc_id"], int(r["toxic"] > 0), own, np.frombuffer(r["times"], np.int32)) for r, own in zip(held, places, strict=True)]
-    model.words = WordIndex(vocabulary, idf[len(terms):], indexed, float(np.log(1 + rows) + 1), least=least)
-    del held, indexed, places
+    model.words = WordIndex(vocabulary, idf[len(terms):], [], float(np.log(1 + rows) + 1), least=least)
+    ids = [r["doc_id"] for r in held]
+    model.words.hold(ids, [int(r["toxic"] > 0) for r in held], _postings(counted_examples, model.words, ids))
+    del held, ids
     shared = context.broadcast(_state(model))
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -418,7 +492,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         missed = votes[np.where(votes["vote"].isna(), model.blank_rate, lexicon) < 0.5].dropna(subset="by_words")
         model.words.curve = isotonic(missed["by_words"].to_numpy(), missed["label"].to_numpy(), LEAST_POOL)
     model.shared = shared  # scoring needs no second copy on disk, only the curves
-    free(examples)
+    free(examples, counted_examples)
     return model
 
 

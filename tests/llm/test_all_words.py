@@ -39,7 +39,7 @@ def test_every_example_of_a_cosine_is_found(monkeypatch, least):
         clear = {r for r in range(401) if cosines[r] >= least + 1e-4 and r != i}
         got = {r for r, _ in index.neighbours(own, w, i)}
         assert clear <= got and all(cosines[r] >= least - 1e-4 for r in got)
-        opened.append(len(index._open(own, w)))
+        opened.append(len(index._candidates(own, w)[0]))
     assert least < 0.9 or np.mean(opened) < index.blocks / 4
     assert index.neighbours(*index.query([])[:2]) == [] == index.neighbours(*index.query(["unknown"])[:2])
 
