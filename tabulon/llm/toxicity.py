@@ -381,7 +381,7 @@ def _keys_of(examples: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": rows["part"][:1], "words": [np.unique(np.frombuffer(b"".join(rows["words"]), np.uint64)).tobytes()]})
 
     schema = "part long, words binary"
-    found = examples.select("words").mapInPandas(spread, schema).groupBy("part").applyInPandas(merge, schema).collect()
+    found = examples.select("words").mapInPandas(spread, schema).groupBy("part").applyInPandas(merge, schema).toLocalIterator()
     return np.frombuffer(b"".join(r["words"] for r in sorted(found, key=lambda r: r["part"])), np.uint64)
 
 
@@ -406,7 +406,7 @@ def _postings(examples: DataFrame, index: WordIndex, ids: list[int]) -> list[tup
         return pd.DataFrame({"part": rows["part"][:1], **{f"c{i}": [x.tobytes()] for i, x in enumerate(own)}})
 
     spread_rows = examples.select("doc_id", "words", "times").mapInPandas(spread, "part long, cols binary, rows binary, weights binary")
-    found = spread_rows.groupBy("part").applyInPandas(build, "part long, " + ", ".join(f"c{i} binary" for i in range(len(made)))).collect()
+    found = spread_rows.groupBy("part").applyInPandas(build, "part long, " + ", ".join(f"c{i} binary" for i in range(len(made)))).toLocalIterator()  # a part at a time
     out = [tuple(np.frombuffer(r[f"c{i}"], t) for i, t in enumerate(made)) for r in sorted(found, key=lambda r: r["part"])]
     shared.unpersist()
     return out or [postings_of(*(np.empty(0, t) for t in kinds))]
@@ -446,7 +446,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
             for text in b["text"]:
                 words = words_of(text)
                 df[list(vectors.counts(words))] += 1
-                keys = word_keys(list(set(words)))
+                keys = np.sort(word_keys(list(set(words))))
                 at = np.searchsorted(own_words[:-1], keys)
                 df_words[at[own_words[at] == keys]] += 1
         df = np.append(df, df_words[:-1])
@@ -470,6 +470,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     model.words.hold(ids, [int(r["toxic"] > 0) for r in held], _postings(counted_examples, model.words, ids))
     del held, ids
     shared = context.broadcast(_state(model))
+    model.words = WordIndex(vocabulary[:0], idf[:0], [])  # the driver keeps no second copy, only the curve
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, vectors = _restore(shared.value), Vectors(terms)
