@@ -104,7 +104,8 @@ def learn_profiles(df: DataFrame, lang: str = "lang", text: str = "text", top: i
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("t")).where("lang is not null and t is not null")
     counts = rows.mapInPandas(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < top)
+    first = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)  # so each task sends its first ones only
+    return first.withColumn("rank", F.col("rank") - 1)
 
 
 class Profiles:
