@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.operators.ranks import equal_bins, quantiles
+from tabulon.operators.ranks import equal_bins_of, quantiles
 from tabulon.session import cut
 
 DOUBLE = "double"
@@ -54,18 +54,24 @@ def sales_by_warehouse_product(sales: DataFrame) -> DataFrame:
     return sales.groupBy("warehouse", "product_id").agg(F.sum("quantity").alias("sold"), F.max("event_time").alias("last_sale"), F.sum("amount").alias("revenue"))
 
 
-def sales_trend(sales: DataFrame, days: int) -> DataFrame:
-    """Units and revenue of each of the last ``days`` days, zero where nothing was sold."""
-    daily = sales.groupBy(F.to_date("event_time").alias("day")).agg(F.sum("quantity").alias("units"), F.sum("amount").alias("revenue"))
-    last = sales.agg(F.to_date(F.max("event_time")).alias("last"))
-    calendar = last.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
+def sales_trend(sales: DataFrame, days: int, newest: DataFrame | None = None) -> DataFrame:
+    """Units and revenue of each of the last ``days`` days, zero where nothing was sold.
+
+    ``newest`` gives the latest time in its first column, as in ``trailing``: pass it from the base table where ``sales`` is a costly view.
+    """
+    last = newest if newest is not None else sales.select(F.max("event_time"))
+    first = F.date_sub(F.to_date(last.scalar()), days - 1)
+    recent = sales.where(F.col("event_time") >= first.cast(sales.schema["event_time"].dataType))
+    daily = recent.groupBy(F.to_date("event_time").alias("day")).agg(F.sum("quantity").alias("units"), F.sum("amount").alias("revenue"))
+    day = F.to_date(F.col(last.columns[0]))
+    calendar = last.select(F.explode(F.sequence(F.date_sub(day, days - 1), day)).alias("day"))
     return calendar.join(daily, "day", "left").select("day", F.coalesce("units", F.lit(0.0)).alias("units"), F.coalesce(F.col("revenue").cast(DOUBLE), F.lit(0.0)).alias("revenue"))
 
 
-def inventory_summary(inventory: DataFrame) -> DataFrame:
-    """Units and value of the latest snapshot: in all, by warehouse, by category (grouping sets)."""
-    last = inventory.agg(F.max("inventory_date").alias("inventory_date"))
-    now = inventory.join(F.broadcast(last), "inventory_date", "left_semi")  # one row
+def inventory_summary(inventory: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """Units and value of the latest snapshot: in all, by warehouse, by category (grouping sets). ``newest`` as in ``sales_trend``."""
+    last = newest if newest is not None else inventory.select(F.max("inventory_date"))
+    now = inventory.where(F.col("inventory_date") == F.to_date(last.scalar()))
     sets = now.groupingSets([["warehouse"], ["category"], []], "warehouse", "category")
     value = F.sum(F.col("quantity_on_hand").cast("decimal(18,2)") * F.col("unit_cost")).cast(DOUBLE)
     return sets.agg(F.sum("quantity_on_hand").alias("units"), value.alias("stock_value"), F.grouping_id().cast("long").alias("level"))
@@ -142,7 +148,7 @@ def rfm(sales: DataFrame, bins: int = 5) -> DataFrame:
     last = sales.agg(F.max("order_time").alias("as_of"))
     by = sales.groupBy("customer_id").agg(F.max("order_time").alias("latest"), F.count_distinct("order_id").alias("frequency"), total("amount").alias("monetary"))
     by = cut(by.join(F.broadcast(last)).select("customer_id", F.datediff("as_of", "latest").alias("recency"), "frequency", "monetary"))  # one row is broadcast
-    binned = equal_bins(equal_bins(by, -F.col("recency"), "customer_id", bins, "r_bin"), F.col("frequency"), "customer_id", bins, "f_bin")
+    binned = equal_bins_of(by, {"r_bin": -F.col("recency"), "f_bin": F.col("frequency")}, "customer_id", bins)
     return binned.select("customer_id", "recency", "frequency", "monetary", "r_bin", "f_bin")
 
 

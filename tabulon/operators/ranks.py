@@ -53,16 +53,28 @@ def quantiles(df: DataFrame, column: str, asked: Mapping[str, float]) -> DataFra
 
 def equal_bins(df: DataFrame, value: Column, tie: str, bins: int, name: str) -> DataFrame:
     """``df`` with the bin (from 1) of each row in the order of ``value`` and ``tie``; the first bins have a row more where they don't divide."""
-    rows = df.withColumn("_v", value.cast("double"))
-    parts = cut(_ranges(rows, tie).withColumnRenamed("_range", "_part"))  # rows of one value are dealt by their tie
-    counts = parts.groupBy("_v").agg(F.count("*").alias("n"))
-    starts = running(counts, "_v", "n").select("_v", F.col("before_n").alias("_before"), F.col("all_n").alias("_all"))
-    sizes = parts.groupBy("_v", "_part").agg(F.count("*").alias("n"))
-    inside = Window.partitionBy("_v").orderBy("_part")  # at most RANGES rows
-    offsets = sizes.select("_v", "_part", (F.sum("n").over(inside) - F.col("n")).alias("_inside")).join(starts, "_v")
-    place = F.row_number().over(Window.partitionBy("_v", "_part").orderBy(tie)) - 1
-    placed = parts.withColumn("_place", place).join(offsets, ["_v", "_part"]).withColumn("_place", F.col("_place") + F.col("_before") + F.col("_inside"))
+    return equal_bins_of(df, {name: value}, tie, bins)
+
+
+def equal_bins_of(df: DataFrame, values: Mapping[str, Column], tie: str, bins: int) -> DataFrame:
+    """``equal_bins`` of several values by the names of their bins: rows are dealt by their tie and written once for all of them."""
+    rows = df.withColumns({f"_v_{name}": value.cast("double") for name, value in values.items()})
+    placed = parts = cut(_ranges(rows, tie).withColumnRenamed("_range", "_part"))  # rows of one value are dealt by their tie
+    for name in values:
+        placed = _binned(placed, parts, f"_v_{name}", tie, bins, name)
+    return placed.select(*df.columns, *values)
+
+
+def _binned(placed: DataFrame, parts: DataFrame, value: str, tie: str, bins: int, name: str) -> DataFrame:
+    """``placed`` with the bin of ``value`` as ``name``; ``parts`` is the written table that it comes from, whose counts give each row's place."""
+    sizes = parts.groupBy(value, "_part").agg(F.count("*").alias("n"))
+    starts = running(sizes.groupBy(value).agg(F.sum("n").alias("n")), value, "n").select(value, F.col("before_n").alias("_before"), F.col("all_n").alias("_all"))
+    inside = Window.partitionBy(value).orderBy("_part")  # at most RANGES rows
+    offsets = sizes.select(value, "_part", (F.sum("n").over(inside) - F.col("n")).alias("_inside")).join(starts, value)
+    place = F.row_number().over(Window.partitionBy(value, "_part").orderBy(tie)) - 1
+    at = F.col("_place") + F.col("_before") + F.col("_inside")
+    out = placed.withColumn("_place", place).join(offsets, [value, "_part"]).withColumn("_place", at)
     size, more = F.floor(F.col("_all") / bins), F.col("_all") % bins
     first = more * (size + 1)
-    at = F.when(F.col("_place") < first, F.floor(F.col("_place") / (size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_place") - first, size)))
-    return placed.select(*df.columns, (at + 1).cast("int").alias(name))
+    bin_ = F.when(F.col("_place") < first, F.floor(F.col("_place") / (size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_place") - first, size)))
+    return out.withColumn(name, (bin_ + 1).cast("int")).drop("_place", "_before", "_inside", "_all")

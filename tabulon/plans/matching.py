@@ -112,47 +112,85 @@ def deduplicate(df: DataFrame, key: str, name: str = "name", threshold: float =
     return rows.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _majority(df: DataFrame, column: str) -> DataFrame:
-    """(component, column): of the texts of each component, the longest one of the commonest normalised form.
+# Columns of catalogue rows by what a record keeps of them.
+TEXTS = ("name", "title", "brand", "model", "description")
+ADDRESSES = ("url", "product_url", "image", "image_url", "images")
+PRICES = ("price", "amount", "price_value")
 
-    Equal counts go to the form with the longest text, equal lengths to the greater text.
+
+def _forms(df: DataFrame, modal: list[str], price: str | None) -> DataFrame:
+    """(component, column, norm, n, least, longest) of the non-blank values of each column, equal forms counted: one pass over the rows.
+
+    A row without any is counted too, under an empty column name. Prices are numbers, and others than numbers are none.
     """
-    texts = df.where(F.trim(F.col(column).cast("string")) != "").select("component", F.col(column).cast("string").alias("t"), normalize_name(F.col(column).cast("string")).alias("norm"))
-    forms = texts.groupBy("component", "norm").agg(F.count("*").alias("c"), F.max(F.struct(F.length("t").alias("l"), "t")).alias("m"))
-    return forms.groupBy("component").agg(F.max(F.struct("c", "m.l", "m.t")).alias("best")).select("component", F.col("best.t").alias(column))
+
+    def form(column: str) -> Column:
+        text = F.col(column).cast("string")
+        if column in TEXTS:
+            norm = normalize_name(text)
+        elif column in CODES:
+            norm = canonical_gtin(text)
+        else:
+            norm = text
+        return F.when((F.trim(text) != "") & norm.isNotNull(), F.struct(F.lit(column).alias("column"), norm.alias("norm"), text.alias("t")))
+
+    rows = F.struct(F.lit("").alias("column"), F.lit("").alias("norm"), F.lit("").alias("t"))
+    kept = [form(c) for c in (*TEXTS, *modal, *ADDRESSES) if c in df.columns]
+    if price:
+        value = F.col(price).cast("string").try_cast("double").cast("string")
+        kept.append(F.when(value.isNotNull(), F.struct(F.lit("price").alias("column"), value.alias("norm"), value.alias("t"))))
+    long = df.select("component", F.inline(F.array_compact(F.array(rows, *kept))))
+    return long.groupBy("component", "column", "norm").agg(F.count("*").alias("n"), F.min("t").alias("least"), F.max(F.struct(F.length("t").alias("l"), "t")).alias("longest"))
+
+
+def _addresses(forms: DataFrame, columns: list[str]) -> DataFrame:
+    """(component, and each of ``columns`` as a list): up to ``MAX_URLS`` distinct addresses of each column, the least ones; others aren't shuffled."""
+    order = Window.partitionBy("component", "column").orderBy("norm")
+    first = forms.where(F.col("column").isin(columns)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= MAX_URLS)
+    return first.groupBy("component").agg(*[F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("norm")))).alias(c) for c in columns])
+
+
+def _median_price(forms: DataFrame) -> DataFrame:
+    """(component, price_median) from the counts of equal prices."""
+    counts = forms.where(F.col("column") == "price").select("component", F.col("norm").cast("double").alias("v"), "n")
+    up_to = Window.partitionBy("component").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"upto": F.sum("n").over(up_to), "every": F.sum("n").over(Window.partitionBy("component"))})
+    middle = (F.col("upto") * 2 >= F.col("every")) & ((F.col("upto") - F.col("n")) * 2 <= F.col("every"))
+    return placed.where(middle).groupBy("component").agg(((F.min("v") + F.max("v")) / 2).alias("price_median"))
 
 
-def _modal(df: DataFrame, column: str, code: bool) -> DataFrame:
-    """(component, column): the commonest value, or for codes the least text of the commonest code; equal counts go to the lesser value."""
-    texts = df.where(F.trim(F.col(column).cast("string")) != "").select("component", F.col(column).cast("string").alias("t"))
-    forms = texts.withColumn("norm", canonical_gtin(F.col("t")) if code else F.col("t")).where("norm is not null")
-    counts = forms.groupBy("component", "norm").agg(F.count("*").alias("c"), F.min("t").alias("t"))
-    return counts.groupBy("component").agg(F.min(F.struct((-F.col("c")).alias("c"), "norm", "t")).alias("best")).select("component", F.col("best.t").alias(column))
+def _attached(records: DataFrame, more: DataFrame) -> DataFrame:
+    """``records`` with the columns of ``more``; rows without a component are a record of their own."""
+    same = F.col("component").eqNullSafe(F.col("_c"))
+    return records.join(more.withColumnRenamed("component", "_c"), same, "left").drop("_c")
 
 
 def canonical_records(df: DataFrame) -> DataFrame:
     """One record a component of the rows (component, and any catalogue columns).
 
-    Texts by majority, identifiers by mode, up to ``MAX_URLS`` distinct addresses (the least ones), prices, and a stable id from the code, else
-    brand and model, else name.
+    Texts by majority (the longest one of the commonest normalised form; equal counts go to the form with the longest text, equal lengths to the greater
+    text), identifiers by mode (codes: the least text of the commonest code; equal counts go to the lesser value), up to ``MAX_URLS`` distinct addresses
+    (the least ones), prices, and a stable id from the code, else brand and model, else name. Rows are read once: all figures come from counted forms.
     """
     have = set(df.columns)
-    out = df.groupBy("component").agg(F.count("*").alias("size"))
-    for c in ("name", "title", "brand", "model", "description"):
-        if c in have:
-            out = out.join(_majority(df, c), "component", "left")
-    for c in (*CODES, "sku"):
-        if c in have:
-            out = out.join(_modal(df, c, c != "sku"), "component", "left")
-    for c in ("url", "product_url", "image", "image_url", "images"):
-        if c in have:
-            distinct = df.where(F.trim(F.col(c).cast("string")) != "").select("component", F.col(c).cast("string").alias("u")).distinct()
-            first = distinct.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("u"))).where(F.col("k") <= MAX_URLS)
-            out = out.join(first.groupBy("component").agg(F.array_sort(F.collect_list("u")).alias(f"{c}_list")), "component", "left")
-    price = next((c for c in ("price", "amount", "price_value") if c in have), None)
+    texts, modal, urls = [c for c in TEXTS if c in have], [c for c in (*CODES, "sku") if c in have], [c for c in ADDRESSES if c in have]
+    price = next((c for c in PRICES if c in have), None)
+    forms = cut(_forms(df, modal, price))
+
+    def of(column: str, value: Column) -> Column:
+        return F.when(F.col("column") == column, value)
+
+    best = [F.max(of(c, F.struct("n", "longest.l", "longest.t"))).alias(c) for c in texts]
+    least = [F.min(of(c, F.struct((-F.col("n")).alias("c"), "norm", "least"))).alias(c) for c in modal]
+    number = F.col("norm").try_cast("double")
+    prices = [F.min(of("price", number)).alias("price_min"), F.max(of("price", number)).alias("price_max")] if price else []
+    by = forms.groupBy("component").agg(F.sum(of("", F.col("n"))).alias("size"), *best, *least, *prices)
+    out = by.select("component", "size", *[F.col(c)["t"].alias(c) for c in texts], *[F.col(c)["least"].alias(c) for c in modal], *(["price_min", "price_max"] if price else []))
+    if urls:
+        lists = _addresses(forms, urls)
+        out = _attached(out, lists.select("component", *[F.when(F.size(c) > 0, F.col(c)).alias(f"{c}_list") for c in urls]))
     if price:
-        value = F.col(price).cast("string").try_cast("double")
-        out = out.join(df.groupBy("component").agg(F.min(value).alias("price_min"), F.max(value).alias("price_max"), F.median(value).alias("price_median")), "component", "left")
+        out = _attached(out, _median_price(forms))
     brand, model = normalize_name(_text(out, "brand")), normalize_name(_text(out, "model"))
     code = F.coalesce(*[canonical_gtin(F.col(c)) for c in CODES if c in out.columns], F.lit(None).cast("string"))
     named = F.nullif(normalize_name(_text(out, "name", "title")), F.lit(""))

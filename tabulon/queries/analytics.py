@@ -73,12 +73,12 @@ def _(spark, sf):
 
 @register("a8_sales_trend", _with("SELECT CAST(d AS DATE) AS day, coalesce(units, 0) AS units, coalesce(CAST(revenue AS DOUBLE), 0) AS revenue FROM (SELECT unnest(generate_series(CAST(max(event_time) AS DATE) - INTERVAL 89 DAYS, max(event_time), INTERVAL 1 DAY)) AS d FROM sales) LEFT JOIN (SELECT CAST(event_time AS DATE) AS day, sum(quantity) AS units, sum(amount) AS revenue FROM sales GROUP BY 1) ON CAST(d AS DATE) = day"))
 def _(spark, sf):
-    return A.sales_trend(V.sales(spark, sf), 90)
+    return A.sales_trend(V.sales(spark, sf), 90, V.newest_sale(spark, sf))
 
 
 @register("a9_inventory_summary", _with("SELECT warehouse, category, sum(quantity_on_hand) AS units, CAST(sum(CAST(quantity_on_hand AS DECIMAL(18,2)) * unit_cost) AS DOUBLE) AS stock_value, grouping(warehouse, category) AS level FROM inventory WHERE inventory_date = (SELECT max(inventory_date) FROM inventory) GROUP BY GROUPING SETS ((warehouse), (category), ())", views=INV))
 def _(spark, sf):
-    return A.inventory_summary(V.inventory(spark, sf))
+    return A.inventory_summary(V.inventory(spark, sf), V.newest_sale(spark, sf))
 
 
 @register("a10_supplier_summary", "WITH f AS (SELECT DISTINCT s_nationkey, p_type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), a AS (SELECT s_nationkey, string_agg(p_type, ',' ORDER BY p_type) AS areas FROM f GROUP BY 1) SELECT s.s_nationkey, count(*) AS suppliers, round(avg(s_acctbal), 4) AS avg_balance, areas FROM supplier s LEFT JOIN a ON s.s_nationkey = a.s_nationkey GROUP BY ALL")

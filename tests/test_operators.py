@@ -247,3 +247,37 @@ def test_connected_components(spark, edges):
 def test_connected_components_of_a_path(spark):
     df = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert connected_components(df).select("component").distinct().collect()[0][0] == 0
+
+
+def test_canonical_record_figures(spark):
+    """Counted medians, addresses beyond the limit, rows without a component, ties of codes; nothing but components at all."""
+    prices = ["1", "3", "3", "10", "x", None]
+    rows = [(1, f"u{i:03}", None, p, None) for i, p in enumerate(prices * 30)] + [(None, "z", "i", "4", "22345678"), (None, " ", None, "5", "12345678"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "component long, url string, image string, price string, ean string")
+    out = {r.component: r for r in matching.canonical_records(df).collect()}
+    assert out[1].url_list == [f"u{i:03}" for i in range(matching.MAX_URLS)] and out[1].image_list is None
+    assert (out[1].size, out[1].price_min, out[1].price_max, out[1].price_median) == (180, 1.0, 10.0, 3.0)
+    assert (out[None].size, out[None].url_list, out[None].image_list, out[None].price_median, out[None].ean) == (2, ["z"], ["i"], 4.5, "12345678")
+    assert (out[2].size, out[2].url_list, out[2].price_median, out[2].uid) == (1, None, None, None)
+    assert [tuple(r) for r in matching.canonical_records(df.select("component").where("component = 2")).collect()] == [(2, 1, None)]
+    assert matching.canonical_records(df.where("false")).count() == 0
+
+
+def test_bins_of_several_values(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 6), rng.random()) for i in range(203)]
+    df = spark.createDataFrame(rows, "id long, a long, b double")
+    got = {r.id: (r.x, r.y) for r in ranks.equal_bins_of(df, {"x": F.col("a"), "y": -F.col("b")}, "id", 5).collect()}
+    for at, order in ((0, sorted(rows, key=lambda r: (r[1], r[0]))), (1, sorted(rows, key=lambda r: (-r[2], r[0])))):
+        sizes = [41, 41, 41, 40, 40]
+        assert [got[r[0]][at] for r in order] == [b + 1 for b, n in enumerate(sizes) for _ in range(n)]
+
+
+def test_latest_day_alone(spark):
+    """The bound of the latest time is the same from a table of its own, and empty tables give nothing."""
+    day = dt.datetime.fromisoformat
+    sales = spark.createDataFrame([(day("2024-01-01T05:00"), 1.0, 2.0), (day("2024-01-03T00:00"), 2.0, 3.0), (day("2024-01-03T23:00"), 4.0, 5.0), (None, 9.0, 9.0)], "event_time timestamp, quantity double, amount double")
+    for newest in (None, sales.select(F.max("event_time"))):
+        got = sorted(tuple(r) for r in A.sales_trend(sales, 2, newest).collect())
+        assert [(str(d), u, v) for d, u, v in got] == [("2024-01-02", 0.0, 0.0), ("2024-01-03", 6.0, 8.0)]
+    assert A.sales_trend(sales.where("false"), 2).count() == 0
