@@ -145,9 +145,9 @@ def waterfall(sales: DataFrame, cost: Column) -> DataFrame:
 
 def rfm(sales: DataFrame, bins: int = 5) -> DataFrame:
     """Recency in days, frequency and monetary value per customer, with bins of equal sizes by rank (ties by id)."""
-    last = sales.agg(F.max("order_time").alias("as_of"))
-    by = sales.groupBy("customer_id").agg(F.max("order_time").alias("latest"), F.count_distinct("order_id").alias("frequency"), total("amount").alias("monetary"))
-    by = cut(by.join(F.broadcast(last)).select("customer_id", F.datediff("as_of", "latest").alias("recency"), "frequency", "monetary"))  # one row is broadcast
+    by = cut(sales.groupBy("customer_id").agg(F.max("order_time").alias("latest"), F.count_distinct("order_id").alias("frequency"), total("amount").alias("monetary")))
+    last = by.select(F.max("latest"))  # of all sales
+    by = by.select("customer_id", F.datediff(last.scalar(), "latest").alias("recency"), "frequency", "monetary")
     binned = equal_bins_of(by, {"r_bin": -F.col("recency"), "f_bin": F.col("frequency")}, "customer_id", bins)
     return binned.select("customer_id", "recency", "frequency", "monetary", "r_bin", "f_bin")
 

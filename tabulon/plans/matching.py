@@ -126,20 +126,15 @@ def _forms(df: DataFrame, modal: list[str], price: str | None) -> DataFrame:
 
     def form(column: str) -> Column:
         text = F.col(column).cast("string")
-        if column in TEXTS:
-            norm = normalize_name(text)
-        elif column in CODES:
-            norm = canonical_gtin(text)
-        else:
-            norm = text
-        return F.when((F.trim(text) != "") & norm.isNotNull(), F.struct(F.lit(column).alias("column"), norm.alias("norm"), text.alias("t")))
+        norm = normalize_name(text) if column in TEXTS else canonical_gtin(text) if column in CODES else text
+        return F.when(F.trim(text) != "", F.struct(F.lit(column).alias("column"), norm.alias("norm"), text.alias("t")))
 
     rows = F.struct(F.lit("").alias("column"), F.lit("").alias("norm"), F.lit("").alias("t"))
     kept = [form(c) for c in (*TEXTS, *modal, *ADDRESSES) if c in df.columns]
     if price:
         value = F.col(price).cast("string").try_cast("double").cast("string")
         kept.append(F.when(value.isNotNull(), F.struct(F.lit("price").alias("column"), value.alias("norm"), value.alias("t"))))
-    long = df.select("component", F.inline(F.array_compact(F.array(rows, *kept))))
+    long = df.select("component", F.inline(F.array_compact(F.array(rows, *kept)))).where("norm is not null")
     return long.groupBy("component", "column", "norm").agg(F.count("*").alias("n"), F.min("t").alias("least"), F.max(F.struct(F.length("t").alias("l"), "t")).alias("longest"))
 
 
