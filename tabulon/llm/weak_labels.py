@@ -3,9 +3,10 @@
 Each labeller votes 1 (good), 0 (bad) or abstains (-1). Only the counts of vote patterns (at most 3 ** labellers rows)
 reach the driver, where expectation-maximisation estimates the share of good documents and each labeller's accuracy on
 either class. The posterior of a document's pattern is its soft label. A logistic regression on hashed words
-learns from the soft labels of at most ``max_rows`` documents (the first by a hash of the id) and scores all.
+learns from the soft labels of at most ``max_rows`` different texts (the first by a hash of the id) and scores all.
 
-Null and empty texts get the votes of a text without words; repeated rows count each; extra columns are ignored. Without
+Null and empty texts get the votes of a text without words; repeated rows count each and the texts of a
+repeated id have labels and scores of their own; extra columns are ignored. Without
 documents, or with labels of one class only, the score is the posterior.
 """
 
@@ -91,12 +92,16 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return post, share, right
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, part) of all rows: ``part`` tells the texts of a repeated id apart."""
+    return documents_of(docs).fillna("", "text").withColumn("part", F.xxhash64("text"))
+
+
 def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
-    """(doc_id, pattern, posterior), written; and each labeller's accuracy on bad and good documents."""
-    source = documents_of(docs).fillna("", "text")
+    """(doc_id, part, pattern, posterior), written, ``part`` by the text; and each labeller's accuracy on bad and good documents."""
     votes = labellers()
-    counted = source.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    voted = cut(counted.select("doc_id", F.array(*votes.values()).alias("pattern")))
+    counted = _texts(docs).select("doc_id", "part", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    voted = cut(counted.select("doc_id", "part", F.array(*votes.values()).alias("pattern")))
     rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers rows at most
     if not rows:
         return voted.withColumn("posterior", F.lit(None).cast("double")), {}
@@ -107,10 +112,10 @@ def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, floa
 
 
 def score_quality(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, posterior, score, kept) of every document."""
+    """(doc_id, posterior, score, kept) of every row."""
     labelled, _ = weak_labels(docs)
-    source = documents_of(docs).fillna("", "text")
-    chosen = labelled.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it may be broadcast
+    source, row = _texts(docs), ["doc_id", "part"]
+    chosen = labelled.dropDuplicates(row).orderBy(F.xxhash64("doc_id"), *row).limit(max_rows)  # bounded, so it may be broadcast
     tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES, binary=True)
     norm = Normalizer(inputCol="tf", outputCol="features")
 
@@ -119,15 +124,15 @@ def score_quality(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         words = F.regexp_extract_all(shape, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
         return norm.transform(tf.transform(df.withColumn("words", words))).drop("words", "tf", "text")
 
-    train = cut(hashed(source.join(F.broadcast(chosen.select("doc_id", "posterior")), "doc_id")))
+    train = cut(hashed(source.join(F.broadcast(chosen.select(*row, "posterior")), row).dropDuplicates(row)))
     seen = train.agg(F.min("posterior").alias("lo"), F.max("posterior").alias("hi")).first()
-    posterior = labelled.groupBy("doc_id").agg(F.max("posterior").alias("posterior"))
     if seen["lo"] is None or not (seen["lo"] < 0.5 <= seen["hi"]):
-        return posterior.select("doc_id", "posterior", F.col("posterior").alias("score"), (F.col("posterior") >= 0.5).alias("kept"))
+        return labelled.select("doc_id", "posterior", F.col("posterior").alias("score"), (F.col("posterior") >= 0.5).alias("kept"))
     both = train.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).unionByName(train.select("features", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))
     model = LogisticRegression(maxIter=30, regParam=1e-3, weightCol="weight").fit(both.where("weight > 1e-6"))
-    scored = model.transform(hashed(source)).select("doc_id", vector_to_array("probability")[1].alias("score"))
-    return scored.join(posterior, "doc_id").select("doc_id", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    scored = model.transform(hashed(source)).select(*row, vector_to_array("probability")[1].alias("score"))
+    posterior = labelled.groupBy(*row).agg(F.max("posterior").alias("posterior"))  # of equal rows
+    return scored.join(posterior, row).select("doc_id", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def op3_quality(docs: DataFrame) -> DataFrame:
