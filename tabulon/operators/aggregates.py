@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.operators.ranks import equal_bins_of, quantiles
+from tabulon.operators.ranks import equal_bins_of, grouped_quantiles, quantiles
 from tabulon.session import cut
 
 DOUBLE = "double"
@@ -88,9 +88,11 @@ def order_totals(sales: DataFrame, *more: str) -> DataFrame:
     return sales.groupBy("order_id", "warehouse", *more).agg(F.max("event_time").alias("last_time"), F.sum("quantity").alias("units"), total("amount").alias("order_total"))
 
 
-def quartiles(df: DataFrame, keys: Sequence[Column | str], value: str, approximate: bool = True) -> DataFrame:
-    """Quartiles from Spark's bounded summaries; interpolated exact ones only for groups known to be small."""
-    q = F.percentile_approx(value, [0.25, 0.5, 0.75]) if approximate else F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def quartiles(df: DataFrame, keys: Sequence[Column | str], value: str, approximate: bool = False) -> DataFrame:
+    """Quartiles: values of the group, exact ones of any number of rows; with ``approximate``, and on a stream, from Spark's bounded summaries."""
+    if not (approximate or df.isStreaming):
+        return grouped_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = F.percentile_approx(value, [0.25, 0.5, 0.75])
     return df.groupBy(*keys).agg(q.alias("q")).select("*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).drop("q")
 
 

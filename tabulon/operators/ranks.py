@@ -6,7 +6,7 @@ each on its own, and start where the ranges below them end: the sums of at most
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +16,9 @@ from tabulon.session import cut
 RANGES = 200
 
 
-def _ranges(values: DataFrame, column: str) -> DataFrame:
-    """``values`` with ``_range``: ascending ranges of about as many rows each."""
-    ends = values.agg(F.percentile_approx(F.col(column).cast("double"), [k / RANGES for k in range(1, RANGES)]).alias("_ends"))
+def _ranges(values: DataFrame, column: str, source: DataFrame | None = None) -> DataFrame:
+    """``values`` with ``_range``: ascending ranges of about as many rows each, of ``source`` if that has the same column."""
+    ends = (source or values).agg(F.percentile_approx(F.col(column).cast("double"), [k / RANGES for k in range(1, RANGES)]).alias("_ends"))
     below = F.size(F.filter("_ends", lambda e: e < F.col(column).cast("double")))
     return values.join(F.broadcast(ends)).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_ends")  # one row
 
@@ -51,6 +51,33 @@ def quantiles(df: DataFrame, column: str, asked: Mapping[str, float]) -> DataFra
     return placed.agg(*[c.alias(n) for n, c in out.items()])
 
 
+def grouped_quantiles(df: DataFrame, keys: Sequence[Column | str], value: str, asked: Mapping[str, float], pane: Column | None = None, steps: Sequence[Column] = ()) -> DataFrame:
+    """(keys, and each of ``asked``) of every group: the least value that at least this share of the group's values doesn't exceed; nulls don't count.
+
+    With ``pane`` the groups are windows as well, named ``window_start``: a row is in those that begin at its pane and one of ``steps`` before it. Equal values of a
+    pane are counted and dealt into ranges. Counts of ranges add up to those of windows and tell in which range a quantile lies; only rows of this range
+    are ranked. So no row is repeated for its windows, and no task holds a group.
+    """
+    rows = df.select(F.struct(*keys).alias("_g"), (F.lit(0) if pane is None else pane).alias("_pane"), F.col(value).alias("_v"))
+    steps = list(steps) or [F.lit(0)]
+    counts = rows.groupBy("_g", "_pane", "_v").agg(F.count("_v").alias("_n"))
+    dealt = cut(_ranges(counts, "_v", rows))
+    cells = dealt.groupBy("_g", "_pane", "_range").agg(F.sum("_n").alias("_n")).repartition("_g", "_range")
+    spread = cells.select("_g", "_range", "_n", F.explode(F.array(*[F.col("_pane") - s for s in steps])).alias("_window"))
+    found = spread.groupBy("_g", "_range", "_window").agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy("_g", "_window")  # at most RANGES rows
+    up_to = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    placed = found.withColumns({"_before": F.sum("_n").over(up_to) - F.col("_n"), "_all": F.sum("_n").over(whole)})
+    places = [F.struct(F.lit(i).alias("_ask"), (F.greatest(F.ceil(F.col("_all") * p), F.lit(1)) - F.col("_before")).alias("_place")) for i, p in enumerate(asked.values())]
+    none = F.col("_all") == 0
+    hits = cut(placed.select("_g", "_window", "_range", "_n", "_all", F.inline(F.array(*places))).where(F.col("_place").between(1, F.col("_n")) | none).drop("_n"))
+    held = hits.select("*", F.explode(F.array(*[F.col("_window") + s for s in steps])).alias("_pane")).join(dealt, ["_g", "_pane", "_range"])
+    inside = F.sum("_n").over(Window.partitionBy("_g", "_window", "_ask").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    at = held.withColumn("_upto", inside).where(((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place"))) | none)
+    out = at.groupBy("_g", "_window").agg(*[F.max(F.when(F.col("_ask") == i, F.col("_v"))).alias(name) for i, name in enumerate(asked)])
+    return out.select("_g.*", *([] if pane is None else [F.col("_window").alias("window_start")]), *asked)
+
+
 def equal_bins(df: DataFrame, value: Column, tie: str, bins: int, name: str) -> DataFrame:
     """``df`` with the bin (from 1) of each row in the order of ``value`` and ``tie``; the first bins have a row more where they don't divide."""
     return equal_bins_of(df, {name: value}, tie, bins)
