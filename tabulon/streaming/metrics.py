@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulon.functions.scalars import endpoint, is_server_error, parse_clf, status_class
+from tabulon.operators.ranks import grouped_quantiles
+from tabulon.session import cut
 
 
 def with_lateness(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -86,15 +88,48 @@ def sales_performance(sales: DataFrame, size: str = "1 hour", slide: str = "5 mi
 
 
 def order_anomalies(totals: DataFrame, k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", keys: tuple[str, ...] = ("warehouse", "country"), time: str = "last_time", value: str = "order_total", accuracy: int = 100) -> DataFrame:
-    """Every order in each of its windows, with the approximate quartiles there and whether it is outside their fences.
+    """Every order in each of its windows, with the quartiles there and whether it is outside their fences.
 
-    A window whose quartiles agree has no anomalies.
+    Quartiles are exact; on a stream they are approximate, by ``accuracy``. A window whose quartiles agree has no anomalies.
     """
-    windows = totals.withColumn("window", F.window(time, size, slide))
-    stats = windows.groupBy("window", *keys).agg(F.percentile_approx(value, [0.25, 0.75], accuracy).alias("q"))
-    stats = stats.select("window", *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
-    outside = (F.col(value) < F.col("q1") - k * F.col("iqr")) | (F.col(value) > F.col("q3") + k * F.col("iqr"))
-    return with_window_bounds(windows.join(stats, ["window", *keys]).withColumn("is_anomalous", (F.col("iqr") != 0) & outside))
+    q1, q3, iqr = F.col("q1"), F.col("q3"), F.col("q3") - F.col("q1")
+    outside = (F.col(value) < q1 - k * iqr) | (F.col(value) > q3 + k * iqr)
+    marked = {"iqr": iqr, "is_anomalous": (q1 != q3) & outside}
+    if totals.isStreaming:
+        windows = totals.withColumn("window", F.window(time, size, slide))
+        stats = windows.groupBy("window", *keys).agg(F.percentile_approx(value, [0.25, 0.75], accuracy).alias("q"))
+        stats = stats.select("window", *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+        return with_window_bounds(windows.join(stats, ["window", *keys]).withColumns(marked))
+    totals = cut(totals)
+    each, step = _micros(size), _micros(slide)
+    if each % step == 0:
+        paned, steps = totals.withColumn("pane", F.window(time, slide)), [F.expr(f"INTERVAL {i * step} MICROSECONDS") for i in range(each // step)]
+    else:
+        paned, steps = totals.withColumn("pane", F.window(time, size, slide)), [F.expr("INTERVAL 0 MICROSECONDS")]
+    # written, so that Spark knows how small the quartiles are before it would shuffle each order once for each of its windows
+    stats = cut(grouped_quantiles(paned, keys, value, {"q1": 0.25, "q3": 0.75}, F.col("pane.start"), steps))
+    windows = with_window_bounds(totals.withColumn("window", F.window(time, size, slide)))
+    return windows.join(stats, ["window_start", *keys]).withColumns(marked)
+
+
+def _order_sessions(sales: DataFrame, gap: str, keys: tuple[str, ...], delay: str) -> DataFrame:
+    orders = with_lateness(sales, "event_time", delay).groupBy(F.session_window("event_time", gap).alias("session"), "order_id", *keys)
+    return orders.agg(F.max("event_time").alias("last_time"), F.sum("amount").cast("double").alias("order_total"), F.sum("quantity").alias("units"))
+
+
+def order_totals_stream(sales: DataFrame, gap: str = "30 minutes", keys: tuple[str, ...] = ("warehouse", "country"), delay: str = "26 hours") -> DataFrame:
+    """(order_id, keys, last_time, order_total, units) of the orders that are complete, each once; the totals that ``order_anomalies_stream`` compares."""
+    return _order_sessions(sales, gap, keys, delay).drop("session")
+
+
+def closed_anomalies(totals: DataFrame, watermark: str | None, gap: str = "30 minutes", k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", keys: tuple[str, ...] = ("warehouse", "country")) -> DataFrame:
+    """What ``order_anomalies_stream`` gives up to a ``watermark`` (UTC; none: nothing), with exact quartiles, from the table that a stream of ``order_totals_stream`` writes.
+
+    The stream keeps the orders that are open, and an order is written once instead of once for each of its windows.
+    """
+    found = order_anomalies(totals, k, size, slide, keys)
+    end = F.col("window_end").cast("timestamp") + F.expr(f"INTERVAL {_micros(gap) - 1} MICROSECONDS")
+    return found.where(end <= F.lit(watermark).cast("timestamp"))
 
 
 def order_anomalies_stream(sales: DataFrame, gap: str = "30 minutes", k: float = 1.5, size: str = "24 hours", slide: str = "1 hour", keys: tuple[str, ...] = ("warehouse", "country"), delay: str = "26 hours", accuracy: int = 100) -> DataFrame:
@@ -104,10 +139,7 @@ def order_anomalies_stream(sales: DataFrame, gap: str = "30 minutes", k: float =
     its session's end; windows are shifted by the same, so they are those of the last line's time. Statistics are a second aggregation of these totals, and meet
     them again in a join of both streams on the window, whose end lets the state go. On a table the result is the same.
     """
-    late = with_lateness(sales, "event_time", delay)
-    orders = late.groupBy(F.session_window("event_time", gap).alias("session"), "order_id", *keys)
-    totals = orders.agg(F.max("event_time").alias("last_time"), F.sum("amount").cast("double").alias("order_total"), F.sum("quantity").alias("units"))
-    closed = totals.withColumn("closed", F.window_time("session")).drop("session")  # a microsecond before the session's end
+    closed = _order_sessions(sales, gap, keys, delay).withColumn("closed", F.window_time("session")).drop("session")  # a microsecond before the session's end
     shift = _micros(gap) - 1
     window = F.window("closed", size, slide, f"{shift % _micros(slide)} microseconds")
     stats = closed.groupBy(window.alias("window"), *keys).agg(F.percentile_approx("order_total", [0.25, 0.75], accuracy).alias("q"))
@@ -121,12 +153,12 @@ def order_anomalies_stream(sales: DataFrame, gap: str = "30 minutes", k: float =
     )
 
 
-UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
 
 
 def _micros(duration: str) -> int:
-    number, unit = duration.split()
-    return int(number) * UNITS[unit.rstrip("s")] * 1_000_000
+    parts = duration.split()
+    return sum(int(number) * UNITS[unit.rstrip("s")] * 1_000_000 for number, unit in zip(parts[::2], parts[1::2], strict=True))
 
 
 def enrich_stream(sales: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
