@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tabulon.sources.snapshots import Folder
@@ -29,6 +30,11 @@ def counters_of(progress) -> list[Row]:
     return [one | {"counter": k, "value": None if v is None else float(v)} for k, v in found.items()]
 
 
+def newest_watermark(query: StreamingQuery) -> str | None:
+    """The latest watermark of a stream's batches so far, as UTC text; none without a batch that has one."""
+    return max((p.eventTime["watermark"] for p in query.recentProgress if "watermark" in p.eventTime), default=None)
+
+
 class ProgressTable(StreamingQueryListener):
     """Writes the counters of each batch as one small file of JSON lines; one per run and batch, so that a repetition replaces it."""
 
