@@ -338,7 +338,7 @@ def _models(spark, sf):
 @register("c4_similar_pairs", "WITH " + MODELS + " SELECT a, b, round(score, 6) AS score FROM linked")
 def _(spark, sf):
     rows = matching.prepared(_models(spark, sf), "id")
-    return matching.score_pairs(matching.similar_pairs(rows, 0.8), rows, 0.8).select("a", "b", F.round("score", 6).alias("score"))
+    return matching.every_similar_pair(rows, 0.8).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("c4_components", "WITH RECURSIVE " + MODELS + ", edge AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reach AS (SELECT id AS a, id AS b FROM item UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM reach GROUP BY a")
