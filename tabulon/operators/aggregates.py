@@ -207,8 +207,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return both.groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def collapse_dim(df: DataFrame, key: str, order: str, texts: str | Sequence[str], number: str) -> DataFrame:
-    """First non-blank texts and median number per key. The median comes from the counts of equal numbers, so that no task holds a key's rows."""
+def collapse_dim(df: DataFrame, key: str, order: str, texts: str | Sequence[str], number: str, numbers: DataFrame | None = None) -> DataFrame:
+    """First non-blank texts and median number per key. The median comes from the counts of equal numbers, so that no task holds a key's rows.
+
+    ``numbers`` (key, number, n) gives numbers that are counted already.
+    """
     names = [texts] if isinstance(texts, str) else list(texts)
 
     def first(text: str) -> Column:
@@ -216,7 +219,8 @@ def collapse_dim(df: DataFrame, key: str, order: str, texts: str | Sequence[str]
         return F.min_by(F.when(~blank, F.col(text)), F.when(~blank, F.col(order))).alias(text)
 
     out = df.groupBy(key).agg(*[first(t) for t in names])
-    counts = df.where(F.col(number).isNotNull()).groupBy(key, F.col(number).cast(DOUBLE).alias("v")).agg(F.count("*").alias("n"))
+    given, n = (df, F.count("*")) if numbers is None else (numbers, F.sum("n"))
+    counts = given.where(F.col(number).isNotNull()).groupBy(key, F.col(number).cast(DOUBLE).alias("v")).agg(n.alias("n"))
     up_to = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumns({"upto": F.sum("n").over(up_to), "every": F.sum("n").over(Window.partitionBy(key))})
     middle = (F.col("upto") * 2 >= F.col("every")) & ((F.col("upto") - F.col("n")) * 2 <= F.col("every"))

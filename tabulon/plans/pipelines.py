@@ -102,24 +102,72 @@ def build_star(rows: DataFrame) -> dict[str, DataFrame]:
     are none. The report has one row a check.
     """
     P.require_columns(rows, list(RESULTS))
-    texts = {c: P.normalize_text(F.col(c).cast("string")) for c in ("division", "sail", "boat", "class", "club")}
-    numbers = {c: P.coerce_integer(F.col(c).cast("string")) for c in ("regatta", "race", "rank")}
-    values = {c: F.col(c).cast("string").try_cast("double") for c in ("rating", "points")}
-    times = {c: to_seconds(F.col(c).cast("string")) for c in ("elapsed", "corrected")}
-    clean = rows.withColumns(texts | numbers | values | times)
+    clean = rows.withColumns(_results(rows))
     clean = clean.withColumn("race_key", P.compose_key(F.col("regatta"), F.col("race")))
     clean = clean.withColumn("fact_key", P.compose_key(F.col("race_key"), F.col("sail")))
     fact = _times(W.flag_ties(clean, ["regatta", "race", "division", "rank"], "rank"))
-    known = clean.where("sail is not null").withColumn("_o", F.struct("regatta", "race", "rank", "boat", "class", "club"))
-    dim_boat = A.collapse_dim(known, "sail", "_o", ["boat", "class", "club"], "rating")
     dim_race = W.distinct_keys(clean.where("race_key is not null"), ["race_key", "regatta", "race"])
     dim_division = W.distinct_keys(clean.where("division is not null"), ["division"])
-    checks = clean.agg(F.count("*").alias("rows"), F.count_if(F.col("elapsed").isNull()).alias("missing_elapsed"), F.count_if(F.col("corrected").isNull()).alias("missing_corrected"), F.count_if(F.col("sail").isNull()).alias("missing_sail"))
-    checks = checks.selectExpr("stack(4, 'rows', rows, 'missing_elapsed', missing_elapsed, 'missing_corrected', missing_corrected, 'missing_sail', missing_sail) as (name, n)")
-    ties = fact.where("tied").select("regatta", "race", "division", "rank").distinct().agg(F.count("*").alias("n")).select(F.lit("tie_groups").alias("name"), "n")
-    sizes = [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, d in (("boats", dim_boat), ("races", dim_race), ("divisions", dim_division))]
     measures = fact.select("fact_key", "race_key", *RESULTS[:3], "sail", "boat", "class", "club", "rating", "rank", "points", "elapsed_hms", "elapsed", "corrected_hms", "corrected", "corrected_missing", "tied")
-    return {"fact_results": measures, "dim_boat": dim_boat, "dim_race": dim_race, "dim_division": dim_division, "report": W.union_all(checks, ties, *sizes)}
+    return {"fact_results": measures, "dim_boat": _boats(rows), "dim_race": dim_race, "dim_division": dim_division, "report": _star_report(rows)}
+
+
+def _results(rows: DataFrame) -> dict[str, Column]:
+    """The columns ``RESULTS`` as the star holds them, by name."""
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    def number(name: str) -> Column:
+        """What is stored as a number needs no way through its text."""
+        return F.col(name) if rows.schema[name].dataType.typeName() in ("double", "long", "integer", "short", "byte") else text(name)
+
+    names = {c: P.normalize_text(text(c)) for c in ("division", "sail", "boat", "class", "club")}
+    whole = {c: P.coerce_integer(number(c)) for c in ("regatta", "race", "rank")}
+    return names | whole | {c: number(c).try_cast("double") for c in ("rating", "points")} | {c: to_seconds(text(c)) for c in ("elapsed", "corrected")}
+
+
+def _boats(rows: DataFrame) -> DataFrame:
+    """(sail, boat, class, club, rating): the first of each text and the median rating.
+
+    Equal spellings are grouped before they are normalised. Blank sails go by their spelling, and the normalised ones can't be null: a filter on these would be
+    pushed down to every row.
+    """
+    rows = rows.where(F.trim(F.col("sail").cast("string")) != "")
+    made, spelled, order = _results(rows), ["sail", "boat", "class", "club"], ["regatta", "race", "rank"]
+    sail = F.coalesce(made["sail"], F.lit("")).alias("sail")
+    forms = rows.groupBy(*spelled).agg(F.min(F.struct(*[made[c].alias(c) for c in order])).alias("_first"))
+    boats = forms.select("_first", sail, *[made[c].alias(c) for c in spelled[1:]]).withColumn("_o", F.struct("_first.*", *spelled[1:]))
+    ratings = rows.groupBy("sail", "rating").agg(F.count("*").alias("n")).select(sail, made["rating"].alias("rating"), "n")
+    return A.collapse_dim(boats, "sail", "_o", spelled[1:], "rating", ratings)
+
+
+def _star_report(rows: DataFrame) -> DataFrame:
+    """The checks (name, n) in one pass over the rows: what they are made of is counted by its spelling and normalised after that."""
+    made, places = _results(rows), ["regatta", "race", "division", "rank"]
+    alone = ["sail", "elapsed", "corrected"]
+    counts = rows.groupingSets([places, *[[c] for c in alone]], *places, *alone).agg(F.count("*").alias("n"), F.grouping("rank").alias("_place"), *[F.grouping(c).alias(f"_{c}") for c in alone])
+    kind = F.when(F.col("_place") == 0, "place")
+    for c in alone:
+        kind = kind.when(F.col(f"_{c}") == 0, c)
+    keys = [kind.alias("kind"), *[made[c].alias(c) for c in places], made["sail"].alias("sail"), *[made[c].isNull().alias(f"no_{c}") for c in ("elapsed", "corrected")]]
+    groups = counts.select(*keys, "n").groupBy("kind", *places, "sail", "no_elapsed", "no_corrected").agg(F.sum("n").alias("n"))
+    place, race = F.col("kind") == "place", P.compose_key(F.col("regatta"), F.col("race"))
+
+    def rows_with(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    checks = {
+        "rows": rows_with(place),
+        **{f"missing_{c}": rows_with((F.col("kind") == c) & F.col(f"no_{c}")) for c in ("elapsed", "corrected")},
+        "missing_sail": rows_with((F.col("kind") == "sail") & F.col("sail").isNull()),
+        "tie_groups": F.count_if(place & F.col("rank").isNotNull() & (F.col("n") > 1)),
+        "boats": F.count_if((F.col("kind") == "sail") & F.col("sail").isNotNull()),
+        "races": F.count_distinct(F.when(place, race)),
+        "divisions": F.count_distinct(F.when(place, F.col("division"))),
+    }
+    one = groups.agg(*[c.alias(name) for name, c in checks.items()])
+    return one.selectExpr(f"stack({len(checks)}, {', '.join(f'{chr(39)}{name}{chr(39)}, {name}' for name in checks)}) as (name, n)")
 
 
 def backfill_times(fact: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,30 @@ def test_race_results(spark):
     assert {r.state: (r.elapsed, r.corrected) for r in completeness.collect()} == {"before": (20.0, 20.0), "after": (60.0, 20.0)}
 
 
+def _spelled(spark):
+    rows = [
+        ("101", "1", "club", "2.0", "fr 1", " ", "c", "k", "5", "1", "1:00:00", None), ("101", "1.0", "CLUB", "2", "FR 1 ", "beta", "c", "k", "7", "1", "60:00", "bad"),
+        ("101", "1", " Club", None, " ", "gone", "c", "k", "9", "1", "", "1:00"), ("100", "1", None, "2", "Fr 1", "alpha", "c", "k", "x", "1", "x", "1:00"), (None, "1", "club", "2", "fr 2", None, "c", "k", None, "1", None, ""),
+    ]
+    return spark.createDataFrame(rows, RACE)
+
+
+def test_report_is_one_pass_over_the_results(spark):
+    report = pipelines.build_star(_spelled(spark))["report"]
+    assert {r["name"]: r.n for r in report.collect()} == {"rows": 5, "missing_elapsed": 3, "missing_corrected": 3, "missing_sail": 1, "tie_groups": 1, "boats": 2, "races": 2, "divisions": 1}
+    assert {r["name"]: r.n for r in pipelines.build_star(_spelled(spark).where("false"))["report"].collect()} == dict.fromkeys(("rows", "missing_elapsed", "missing_corrected", "missing_sail", "tie_groups", "boats", "races", "divisions"), 0)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_spellings_of_a_boat_are_grouped_before_they_are_normalised(spark, tmp_path):
+    boats = {r.sail: (r.boat, r["class"], r.club, r.rating) for r in pipelines.build_star(_spelled(spark))["dim_boat"].collect()}
+    assert boats == {"Fr 1": ("Alpha", "C", "K", 6.0), "Fr 2": (None, "C", "K", None)}
+    _spelled(spark).write.parquet(f"{tmp_path}/rows")
+    plan = pipelines.build_star(spark.read.parquet(f"{tmp_path}/rows"))["dim_boat"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "regexp_extract_all" in line]
+
+
 def test_a_cancelled_sale_stays_cancelled(spark):
     sales = spark.createDataFrame([(1, 1, "w", "2024-01-01", 1, 5.0, 9.0), (1, 1, "w", "2024-01-02", 2, -5.0, 9.0), (2, 1, "w", "2024-01-01", 1, 2.0, 4.0)], "order_id long, product_id long, warehouse string, event_time string, line_no int, quantity double, amount double")
     sales = sales.withColumns({"event_time": F.to_timestamp("event_time"), "amount": F.col("amount").cast("decimal(18,4)")})
