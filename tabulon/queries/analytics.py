@@ -10,6 +10,7 @@ from tabulon.functions import scalars as S
 from tabulon.operators import aggregates as A
 from tabulon.operators import cleaning as P
 from tabulon.operators import sketches as K
+from tabulon.operators.ranks import grouped_quantiles
 from tabulon.plans import views as V
 from tabulon.queries.relational import _with
 from tabulon.registry import register
@@ -111,11 +112,12 @@ def _(spark, sf):
     K.write_sketches(K.daily_sketches(e, "ts", ["event_type"], "user_id", "value"), root)
     week = F.to_date(F.date_trunc("week", "day"))
     rolled = K.roll_up(K.read_sketches(spark, root, "0001-01-01", "9999-12-31"), week, ["event_type"], {"median": 0.5, "p95": 0.95})
-    ranks = F.percentile_approx("value", [0.48, 0.52, 0.93, 0.97], 100_000).alias("q")
-    exact = e.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("period"), "event_type").agg(F.count_distinct("user_id").alias("users"), ranks)
-    both = rolled.join(exact, ["period", "event_type"])
+    weekly = e.select(F.to_date(F.date_trunc("week", "ts")).alias("period"), "event_type", "user_id", "value")
+    users = weekly.groupBy("period", "event_type").agg(F.count_distinct("user_id").alias("users"))
+    ranks = grouped_quantiles(weekly, ["period", "event_type"], "value", {"q0": 0.48, "q1": 0.52, "q2": 0.93, "q3": 0.97})
+    both = rolled.join(users, ["period", "event_type"]).join(ranks, ["period", "event_type"])
     close = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.col("users") * 0.08, F.lit(2))
-    return both.select("period", "event_type", "n", "users", close.alias("users_close"), F.col("median").between(F.col("q")[0], F.col("q")[1]).alias("median_close"), F.col("p95").between(F.col("q")[2], F.col("q")[3]).alias("p95_close"))
+    return both.select("period", "event_type", "n", "users", close.alias("users_close"), F.col("median").between(F.col("q0"), F.col("q1")).alias("median_close"), F.col("p95").between(F.col("q2"), F.col("q3")).alias("p95_close"))
 
 
 @register("a14_period_kpis", _with("SELECT CAST(sum(amount) AS DOUBLE) AS total, CAST(sum(amount) AS DOUBLE) / count(DISTINCT order_id) AS average_order, sum(quantity) AS units, count(DISTINCT customer_id) AS customers FROM sales WHERE event_time >= (SELECT max(event_time) FROM sales) - INTERVAL 30 DAYS"))
