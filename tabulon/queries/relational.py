@@ -280,7 +280,7 @@ def _(spark, sf):
 
 @register("j10_candidate_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def _(spark, sf):
-    return J.candidate_pairs(table(spark, sf, "part"), "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_size")))
+    return J.candidate_pairs(table(spark, sf, "part"), "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_size")), one_block=True)
 
 
 @register("j10_similar_sets", "WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand || ' s' || p_size, ' ')) AS s FROM part), f AS (SELECT min(id) AS id, any_value(s) AS s FROM t GROUP BY list_sort(s)), e AS (SELECT id, len(s) AS n, unnest(s) AS w FROM f), c AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY ALL) SELECT a, b, k::DOUBLE / (n + m - k) AS similarity FROM c WHERE k::DOUBLE / (n + m - k) >= 0.6")
@@ -443,6 +443,4 @@ def _(spark, sf):
 @register("u5_singletons", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey <> p.p_partkey AND q.p_name = p.p_name AND q.p_brand = p.p_brand AND q.p_size = p.p_size)")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    pairs = J.candidate_pairs(p, "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_size")))
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("p_partkey")).distinct()
-    return J.anti_join(p.select("p_partkey"), linked, "p_partkey")
+    return J.anti_join(p.select("p_partkey"), J.in_shared_blocks(p, "p_partkey", F.array(F.concat_ws("|", "p_name", "p_brand", "p_size"))), "p_partkey")
