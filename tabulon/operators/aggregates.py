@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.ranks import equal_bins_of, grouped_quantiles, quantiles
-from tabulon.session import cut
+from tabulon.session import cut, spread
 
 DOUBLE = "double"
 
@@ -129,7 +129,8 @@ def promo_uplift(weekly: DataFrame, key: str) -> DataFrame:
 
 
 def bi_measures(sales: DataFrame, cost: Column, by: Sequence[str]) -> DataFrame:
-    out = sales.groupBy(*by).agg(total("amount").alias("sales"), F.sum("quantity").alias("units"), F.sum((F.col("quantity") * cost).cast("decimal(18,4)")).cast(DOUBLE).alias("cogs"), F.count_distinct("order_id").alias("orders"))
+    """Measures by keys; orders are dealt to tasks, which count their own."""
+    out = spread(sales, "order_id").groupBy(*by).agg(total("amount").alias("sales"), F.sum("quantity").alias("units"), F.sum((F.col("quantity") * cost).cast("decimal(18,4)")).cast(DOUBLE).alias("cogs"), F.count_distinct("order_id").alias("orders"))
     margin = F.col("sales") - F.col("cogs")
     return out.withColumns({"gross_margin": margin, "margin_share": F.try_divide(margin, F.col("sales")), "average_order": F.try_divide(F.col("sales"), F.col("orders"))})
 

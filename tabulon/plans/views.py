@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.session import table
+from tabulon.session import spread, table
 
 MONEY = "decimal(18,4)"
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line item, with its order and the nation of its supplier as warehouse."""
-    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    """One row for each line item, with its order and the nation of its supplier as warehouse; tasks by order."""
+    l, o = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "orders")
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     joined = l.join(o, l.l_orderkey == o.o_orderkey).join(s, l.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
     return joined.select(
@@ -40,8 +40,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock by product, warehouse (the supplier's nation) and snapshot day."""
-    s, p = sales(spark, sf_dir), products(spark, sf_dir)
+    """Stock by product, warehouse (the supplier's nation) and snapshot day; tasks by product."""
+    s, p = spread(sales(spark, sf_dir), "product_id"), products(spark, sf_dir)
     by = s.groupBy("product_id", "warehouse", F.to_date("event_time").alias("inventory_date")).agg(F.sum("quantity").alias("quantity_on_hand"))
     return by.join(p, "product_id").select("product_id", "product_name", "category", "warehouse", "inventory_date", "quantity_on_hand", F.col("price").cast(MONEY).alias("unit_cost"), (F.col("size") * 1.0).alias("restock_threshold"))
 

@@ -80,6 +80,24 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+#: Bytes of input files for a task of ``spread`` (about a million rows of the given tables at most), and the tasks up to which it leaves an input as it is.
+TASK_BYTES, FEW = 8 << 20, 8
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its files have times ``TASK_BYTES``, so that a task's rows don't grow with the tables.
+
+    What joins or groups by these keys afterwards stays in these tasks. Inputs of ``FEW`` tasks, and streams, are left as they are.
+    """
+    if df.isStreaming:
+        return df
+    context = df.sparkSession.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    tasks = -(-sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) // TASK_BYTES)
+    return df.repartition(tasks, *keys) if tasks > FEW else df
+
+
 def free(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote and nothing will read again; anything else is left alone."""
     for df in tables:
