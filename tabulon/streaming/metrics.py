@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulon.functions.scalars import endpoint, is_server_error, parse_clf, status_class
 from tabulon.operators.ranks import grouped_quantiles
-from tabulon.session import cut
+from tabulon.session import cut, spread
 
 
 def with_lateness(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -80,7 +81,23 @@ def orders_per_minute(orders: DataFrame, time: str = "ts") -> DataFrame:
 
 
 def sales_performance(sales: DataFrame, size: str = "1 hour", slide: str = "5 minutes", keys: tuple[str, ...] = ("warehouse", "country"), time: str = "event_time") -> DataFrame:
-    """Revenue, units, margin and (approximate on a stream) distinct orders per sliding window of enriched sales."""
+    """Revenue, units, margin and (approximate on a stream) distinct orders per sliding window of enriched sales.
+
+    On a table a sale is in one pane of the slide's length, and panes make the windows: no sale is repeated for its windows. A window counts an order
+    in the first of its panes that has it, so an order's pane counts for the windows that begin after the one before it.
+    """
+    each, step = _micros(size), _micros(slide)
+    if not sales.isStreaming and each % step == 0:
+        paned = spread(sales, "order_id").withColumn("_pane", F.window(time, slide)["start"])
+        before = F.lag("_pane").over(Window.partitionBy(*keys, "order_id").orderBy("_pane"))
+        starts = [F.col("_pane") - F.expr(f"INTERVAL {i * step} MICROSECONDS") for i in range(each // step)]
+        new = reduce(Column.__add__, [F.when(F.col("_before").isNull() | (s > F.col("_before")), 1).otherwise(0) for s in starts])
+        new = F.when(F.col("order_id").isNull(), 0).otherwise(new)
+        panes = paned.withColumn("_before", before).groupBy("_pane", *keys, new.alias("_new")).agg(F.sum("amount").alias("_a"), F.sum("quantity").alias("_q"), F.sum("margin").alias("_m"), F.count("*").alias("_n"))
+        windows = panes.select("*", F.posexplode(F.array(*starts)).alias("_i", "window_start"))
+        orders = F.sum(F.when(F.col("_i") < F.col("_new"), F.col("_n")).otherwise(0)).alias("orders")
+        sums = windows.groupBy("window_start", *keys).agg(F.sum("_a").cast("double").alias("revenue"), F.sum("_q").alias("units"), F.sum("_m").cast("double").alias("margin"), orders)
+        return sums.select(*keys, "revenue", "units", "margin", "orders", "window_start", (F.col("window_start") + F.expr(f"INTERVAL {each} MICROSECONDS")).alias("window_end"))
     late = with_lateness(sales, time, "26 hours")
     orders = F.approx_count_distinct("order_id") if sales.isStreaming else F.count_distinct("order_id")
     sums = late.groupBy(F.window(time, size, slide).alias("window"), *keys).agg(F.sum("amount").cast("double").alias("revenue"), F.sum("quantity").alias("units"), F.sum("margin").cast("double").alias("margin"), orders.alias("orders"))
