@@ -24,10 +24,12 @@ Repeated rows are scored each for itself; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, pairwise
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -35,9 +37,8 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from tabulon.llm.bytesops import documents_of, held_out, small_batches
+from tabulon.llm.bytesops import documents_of, held_out, mix64, small_batches
 from tabulon.session import cut, free
 
 MAX_EXAMPLES = 20_000
@@ -54,6 +55,9 @@ PARTS = 16  # ranges of words whose postings are made together
 SLACK = 1e-5  # of weights with single precision
 GRAMS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
+KNOWN_WORDS = 1_000_000  # met before, that a worker keeps
+READ_CHARS = 500_000  # of texts that are read together
+COMMON = 16  # entries of a word whose largest weights are kept as a row of all blocks
 LEAST_POOL = 50
 
 
@@ -83,6 +87,14 @@ class Vectors:
             return {}
         return dict(Counter(i for _, i in self.automaton.iter("^" + "$^".join(words) + "$")))
 
+    def found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, term) of every occurrence, by places; no term reaches over a border."""
+        if not words or not self.any:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        hits = np.array(list(self.automaton.iter("^" + "$^".join(words) + "$")), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        return np.searchsorted(ends, hits[:, 0], "right"), hits[:, 1]
+
 
 def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of all ranges one after the other, and the ranges' lengths."""
@@ -91,9 +103,127 @@ def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(begin - (ends - n), n), n
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Whether a code point belongs to words, as ``WORD`` says."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        out[m.start():m.end()] = True
+    return out
+
+
+def keys_of(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of words that lie one after the other in ``codes``: sums of a random number for each letter times one for its place."""
+    if not len(first):
+        return np.empty(0, np.uint64)
+    by_place = mix64(np.arange(1, int(length.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+    place = np.arange(len(codes)) - np.repeat(first, length)
+    return mix64(np.add.reduceat(mix64(codes + np.uint64(1 << 40)) * by_place[place], first))
+
+
 def word_keys(words: list[str]) -> np.ndarray:
-    """64-bit fingerprints, so that workers hold 8 bytes a word instead of its spelling."""
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    """The fingerprints of single words, so that workers hold 8 bytes a word instead of its spelling; none is empty."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    return keys_of(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(length) - length, length)
+
+
+class Counted(NamedTuple):
+    """Some texts: distinct words (text, number, times) and terms of the lexicon (text, term, times), both by texts; of each number the key,
+    the place among the examples' words or -1, and where the word is in ``joined``."""
+
+    texts: int
+    word_text: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+    term_text: np.ndarray
+    term: np.ndarray
+    term_times: np.ndarray
+    key: np.ndarray
+    place: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    joined: str
+
+    def ranges(self, of: np.ndarray) -> list[int]:
+        return np.searchsorted(of, np.arange(self.texts + 1)).tolist()
+
+    def spelt(self, words: np.ndarray) -> list[str]:
+        return [self.joined[a:b] for a, b in zip(self.begin[words].tolist(), self.end[words].tolist(), strict=True)]
+
+
+class Reader:
+    """Reads texts, many at once: words are found and fingerprinted as arrays, and the automaton reads a word only when it is new.
+
+    At most ``KNOWN_WORDS`` words are kept, by their keys, with the terms they hold.
+    """
+
+    def __init__(self, terms: list[str], keys: np.ndarray) -> None:
+        """``keys``, of the examples' words, ascend."""
+        self.terms, self.keys, self.vectors = len(terms), keys, Vectors(terms)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_at = np.empty(0, np.uint64), np.empty(0, np.int64)  # ascending keys, and each one's place in ``starts``
+        self.starts, self.held = np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def _terms(self, key: np.ndarray, begin: np.ndarray, end: np.ndarray, joined: str) -> np.ndarray:
+        """The place in ``starts`` of each of these words, by ascending keys."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        at = np.searchsorted(self.known, key)
+        new = at == len(self.known)
+        new[~new] = self.known[at[~new]] != key[~new]
+        if new.any():
+            words = [joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            own, terms = self.vectors.found(words)
+            self.known_at = np.insert(self.known_at, at[new], len(self.starts) - 1 + np.arange(len(words)))
+            self.known = np.insert(self.known, at[new], key[new])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.bincount(own, minlength=len(words))))
+            self.held = np.append(self.held, terms)
+            at += np.cumsum(new) - new
+        return self.known_at[at]
+
+    def _read(self, texts: list[str]) -> Counted:
+        lower = [t.lower() for t in texts]
+        joined = "\n".join(lower)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.nonzero(letters()[codes])[0]
+        first = np.nonzero(np.diff(at, prepend=-2) > 1)[0]  # of each word, among the letters
+        length = np.diff(first, append=len(at))
+        key, where, number = np.unique(keys_of(codes[at], first, length), return_index=True, return_inverse=True)
+        begin = at[first]
+        text = np.searchsorted(np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1), begin, "right")
+        some = max(1, len(key))
+        pairs, times = np.unique(text * some + number, return_counts=True)
+        text, word = pairs // some, pairs % some
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = -1
+        place[place >= 0] = np.where(self.keys[place[place >= 0]] == key[place >= 0], place[place >= 0], -1)
+        begin, end = begin[where], begin[where] + length[where]
+        held = self._terms(key, begin, end, joined)[word]
+        at, n = spans(self.starts[held], self.starts[held + 1])
+        some = max(1, self.terms)
+        found, own = np.unique(np.repeat(text, n) * some + self.held[at], return_inverse=True)
+        term_times = np.bincount(own, np.repeat(times, n), len(found)).astype(np.int64)
+        return Counted(len(texts), text, word, times, found // some, found % some, term_times, key, place, begin, end, joined)
+
+    def read(self, texts: Iterable[str | None]) -> Iterator[Counted]:
+        """All texts in their order, about ``READ_CHARS`` at a time."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t or "")
+            size += len(some[-1])
+            if size > READ_CHARS:
+                yield self._read(some)
+                some, size = [], 0
+        if some:
+            yield self._read(some)
+
+
+def unit_weights(text: np.ndarray, times: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
+    """Weights of terms with these document weights, by texts of length 1."""
+    w = (1 + np.log(times)) * idf
+    return w / np.maximum(np.sqrt(np.bincount(text, w * w, texts)), 1e-300)[text]
 
 
 def postings_of(cols: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -125,18 +255,31 @@ class WordIndex:
         cols = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int32)]).astype(np.int32)
         weights = np.concatenate([self.unit(e[2], e[3]).astype(np.float32) for e in examples] or [np.empty(0, np.float32)])
         rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
-        self.hold([e[0] for e in examples], [e[1] for e in examples], [postings_of(cols, rows, weights)])
-
-    def hold(self, ids: list[int], labels: list[int], parts: list[tuple[np.ndarray, ...]]) -> None:
-        """Take the parts of ``postings_of``, each of further places in the vocabulary."""
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
-        self.rate = float(self.labels.mean()) if len(ids) else 0.0
-        self.blocks = -(-len(ids) // WORD_BLOCK)
-        cols, self.block_of, counts, self.block_max, self.inside, self.weights = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.postings = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=len(self.keys)))]).astype(np.int32)
+        self.name([e[0] for e in examples], [e[1] for e in examples])
+        self.hold(*postings_of(cols, rows, weights))
+
+    def name(self, ids: np.ndarray, labels: np.ndarray) -> None:
+        """Take the examples' ids and labels."""
+        self.ids, self.labels = np.asarray(ids, np.int64), np.asarray(labels, np.float64)
+        self.rate = float(self.labels.mean()) if len(self.ids) else 0.0
+        self.blocks = -(-len(self.ids) // WORD_BLOCK)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
 
+    def hold(self, cols: np.ndarray, block_of: np.ndarray, counts: np.ndarray, block_max: np.ndarray, inside: np.ndarray, weights: np.ndarray) -> None:
+        """Take what ``postings_of`` gives."""
+        self.block_of, self.block_max, self.inside, self.weights = block_of, block_max, inside, weights
+        self.postings = np.zeros(len(counts) + 1, np.int32)
+        np.cumsum(counts, out=self.postings[1:])
+        n = np.bincount(cols, minlength=len(self.keys))
+        self.starts = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=self.starts[1:])
+        self.row = np.full(len(n), -1, np.int32)  # of a common word in ``maxima``
+        common = n >= COMMON
+        self.row[common] = np.arange(common.sum())
+        self.maxima = np.zeros((int(common.sum()), self.blocks), np.float32)
+        entries, n = spans(self.starts[:-1][common], self.starts[1:][common])
+        self.maxima[np.repeat(np.arange(len(n)), n), self.block_of[entries]] = self.block_max[entries]
+
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
         return w / max(np.sqrt((w * w).sum()), 1e-300)
@@ -175,12 +318,15 @@ class WordIndex:
         length = np.sqrt(np.cumsum(weights[order] ** 2))
         aside = int(np.searchsorted(length, self.least * ASIDE))
         rest = length[aside - 1] if aside > 0 else 0.0
-        entries, w = self._entries(at[order[aside:]], weights[order[aside:]])
-        bound = np.bincount(self.block_of[entries], self.block_max[entries] * w, self.blocks)
+        at, weights = at[order[aside:]], weights[order[aside:]]
+        row = self.row[at]
+        common = row >= 0
+        entries, w = self._entries(at[~common], weights[~common])
+        bound = weights[common].astype(np.float32) @ self.maxima[row[common]] + np.bincount(self.block_of[entries], self.block_max[entries] * w, self.blocks)
         opened = np.nonzero((bound > 0) & (bound + rest >= self.least - SLACK))[0]
         if not len(opened):
             return opened, opened, bound[:0], order[:aside]
-        sums = self._sums(opened, entries, w)
+        sums = self._sums(opened, *self._entries(at, weights))
         hit = np.nonzero((sums > 0) & (sums + rest >= self.least - SLACK))[0]
         return opened, hit, sums[hit], order[:aside]
 
@@ -204,14 +350,23 @@ class WordIndex:
         w = np.array([c / (1 - c + 1e-3) for _, c in found])
         return float(((w * self.labels[[r for r, _ in found]]).sum() + self.rate) / (w.sum() + 1))
 
-    def score(self, words: list[str]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
-        at, w, spelt = self.query(words)
+    def queries(self, texts: Counted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, weights, numbers) of each text's words that examples have; all its words count in its length."""
+        places = texts.place[texts.word]
+        known = places >= 0
+        idf = np.full(len(known), self.unseen)
+        idf[known] = self.idf[places[known]]
+        w = unit_weights(texts.word_text, texts.times, idf, texts.texts)[known]
+        place, word, at = places[known], texts.word[known], texts.ranges(texts.word_text[known])
+        return ((place[a:b], w[a:b], word[a:b]) for a, b in pairwise(at))
+
+    def score(self, at: np.ndarray, w: np.ndarray, word: np.ndarray, texts: Counted) -> tuple[float, list[tuple[int, float, int]], list[str]]:
         found = self.neighbours(at, w)
         if not found or self.curve is None:
             return 0.0, [], []
-        own = np.argsort(-w, kind="stable")[:3]
+        own = np.lexsort((at, -w))[:3]
         near = [(int(self.ids[r]), c, int(self.labels[r])) for r, c in found[:3]]
-        return float(np.interp(self.vote(found), *self.curve)), near, [f"^{spelt[i]}$" for i in own.tolist()]
+        return float(np.interp(self.vote(found), *self.curve)), near, [f"^{x}$" for x in texts.spelt(word[own])]
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -235,27 +390,37 @@ class Model:
 
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS) -> None:
         self.terms, self.idf, self.k = terms, idf, k
-        vectors = [(i, y, *self.vector(c)) for i, y, c in examples]
+        size = [len(c) for _, _, c in examples]
+        at = np.array([i for _, _, c in examples for i in sorted(c)], np.int64)
+        times = np.array([c[i] for _, _, c in examples for i in sorted(c)], np.int64)
+        self.hold(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64), np.repeat(np.arange(len(size)), size), at, times)
+
+    def hold(self, ids: np.ndarray, labels: np.ndarray, own: np.ndarray, cols: np.ndarray, times: np.ndarray) -> None:
+        """Take the examples: ids and labels, and (place in ``ids``, term, times), by places and terms."""
+        weights = unit_weights(own, times, self.idf[cols], len(ids))
         # alike examples share blocks: order by the heaviest term, then its weight
-        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]) if len(v[2]) else -1, -float(v[3].max()) if len(v[2]) else 0.0, v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.float64)
-        self.blank = np.array([len(v[2]) == 0 for v in vectors], bool)
-        self.blocks = -(-len(vectors) // BLOCK)
-        rows = np.concatenate([np.full(len(v[2]), r) for r, v in enumerate(vectors)] or [np.empty(0)]).astype(np.int64)
-        cols = np.concatenate([v[2] for v in vectors] or [np.empty(0)]).astype(np.int64)
-        weights = np.concatenate([v[3] for v in vectors] or [np.empty(0)])
+        top = np.lexsort((cols, -weights, own))
+        top = top[np.unique(own[top], return_index=True)[1]]
+        heaviest, weight = np.full(len(ids), -1), np.zeros(len(ids))
+        heaviest[own[top]], weight[own[top]] = cols[top], weights[top]
+        order = np.lexsort((ids, -weight, heaviest))
+        self.ids, self.labels, self.blank = ids[order], labels[order], heaviest[order] < 0
+        self.blocks = -(-len(ids) // BLOCK)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        rows = place[own]
         order = np.lexsort((rows, cols))
         self.rows, self.weights = rows[order], weights[order]
-        self.starts = np.searchsorted(cols[order], np.arange(len(terms) + 1))
+        self.starts = np.searchsorted(cols[order], np.arange(len(self.terms) + 1))
         key = cols[order] * max(1, self.blocks) + self.rows // BLOCK
         own, at = np.unique(key, return_index=True)  # postings of one term and block are neighbours
         self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.empty(0)
         self.block_of = own % max(1, self.blocks)
-        self.block_starts = np.searchsorted(own // max(1, self.blocks), np.arange(len(terms) + 1))
+        self.postings = np.append(at, len(key))
+        self.block_starts = np.searchsorted(own // max(1, self.blocks), np.arange(len(self.terms) + 1))
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
         self.words: WordIndex | None = None
-        self.shared: Broadcast | None = None
+        self.shared: dict[str, Broadcast] | None = None
         self.blank_rate = float(self.labels[self.blank].mean()) if self.blank.any() else 0.0
         self._search = lru_cache(2_000)(self._search_one)
 
@@ -271,10 +436,9 @@ class Model:
 
     def _search_one(self, at_bytes: bytes, weight_bytes: bytes, leave: int | None) -> list[tuple[int, float]]:
         at, q = np.frombuffer(at_bytes, np.int64), np.frombuffer(weight_bytes)
-        bound = np.zeros(self.blocks)
-        for t, w in zip(at.tolist(), q.tolist(), strict=True):
-            s = slice(self.block_starts[t], self.block_starts[t + 1])
-            bound[self.block_of[s]] += w * self.block_max[s]
+        entries, n = spans(self.block_starts[at], self.block_starts[at + 1])
+        w, block_of = np.repeat(q, n), self.block_of[entries]
+        bound = np.bincount(block_of, w * self.block_max[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
         best: list[tuple[float, int, int]] = []
@@ -287,12 +451,10 @@ class Model:
                 break
             place = np.full(self.blocks, -1)
             place[some] = np.arange(len(some))
-            scores = np.zeros(len(some) * BLOCK)
-            for t, w in zip(at.tolist(), q.tolist(), strict=True):
-                s = slice(self.starts[t], self.starts[t + 1])
-                own = place[self.rows[s] // BLOCK]
-                here = own >= 0
-                scores[own[here] * BLOCK + self.rows[s][here] % BLOCK] += w * self.weights[s][here]  # one posting a term and row
+            own = place[block_of]
+            here = own >= 0
+            postings, n = spans(self.postings[entries[here]], self.postings[entries[here] + 1])
+            scores = np.bincount(np.repeat(own[here] * BLOCK, n) + self.rows[postings] % BLOCK, self.weights[postings] * np.repeat(w[here], n), len(some) * BLOCK)
             hit = np.nonzero(scores > 0)[0]
             rows = some[hit // BLOCK] * BLOCK + hit % BLOCK
             if leave is not None:
@@ -312,9 +474,13 @@ class Model:
         """Isotonic regression of labels on votes."""
         self.curve = isotonic(votes, labels)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+    def queries(self, texts: Counted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each text."""
+        w = unit_weights(texts.term_text, texts.term_times, self.idf[texts.term], texts.texts)
+        return ((texts.term[a:b], w[a:b]) for a, b in pairwise(texts.ranges(texts.term_text)))
+
+    def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[tuple[int, float, int]], list[str]]:
         """Calibrated score, the three nearest examples (id, cosine, label), the heaviest terms."""
-        at, w = self.vector(counts)
         found = self.neighbours(at, w) if len(at) else []
         if not found:
             return self.blank_rate, [], []
@@ -323,13 +489,12 @@ class Model:
         near = [(int(self.ids[r]), c, int(self.labels[r])) for r, c in found[:3]]
         return out, near, [self.terms[i] for i in at[np.argsort(-w, kind="stable")[:3]].tolist()]
 
-    def score_text(self, words: list[str], counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]], list[str]]:
-        """The larger of the lexicon's score and that of all words, with its evidence."""
-        by_terms = self.score(counts)
-        if self.words is None or by_terms[0] >= 0.5:
-            return by_terms
-        by_words = self.words.score(words)
-        return by_words if by_words[0] > by_terms[0] or not by_terms[1] and by_words[0] == by_terms[0] else by_terms
+    def scores(self, texts: Counted) -> Iterator[tuple[float, list[tuple[int, float, int]], list[str]]]:
+        """Of each text the larger of the lexicon's score and that of all words, with its evidence."""
+        for own, all_words in zip(self.queries(texts), self.words.queries(texts), strict=True):
+            by_terms = self.score(*own)
+            by_words = self.words.score(*all_words, texts) if by_terms[0] < 0.5 else (0.0, [], [])
+            yield by_words if by_words[0] > by_terms[0] or not by_terms[1] and by_words[1] and by_words[0] == by_terms[0] else by_terms
 
 
 def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
@@ -347,13 +512,20 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
         return []
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_terms = lru_cache(5_000)(terms_of)
         for b in batches:
-            rows: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = set(WORD.findall((text or "").lower()))
-                rows[toxic > 0].update(set(chain.from_iterable(map(own_terms, words))))
-            yield pd.DataFrame([(t, rows[0][t], rows[1][t]) for t in rows[0].keys() | rows[1].keys()], columns=["term", "n0", "n1"])
+            words = [set(words_of(t)) for t in b["text"]]
+            numbers: dict[str, int] = {}
+            met: dict[str, np.ndarray] = {}
+            for w in set().union(*words):
+                met[w] = np.array([numbers.setdefault(t, len(numbers)) for t in terms_of(w)], np.int32)
+            n, last = np.zeros((2, len(numbers)), np.int64), np.empty(len(numbers), np.int32)
+            for some, toxic in zip(words, b["toxic"], strict=True):
+                if some:
+                    terms = np.concatenate([met[w] for w in some])
+                    places = np.arange(len(terms), dtype=np.int32)
+                    last[terms] = places
+                    n[int(toxic > 0), terms[last[terms] == places]] += 1
+            yield pd.DataFrame({"term": list(numbers), "n0": n[0], "n1": n[1]})
 
     counted = examples.select("text", "toxic").mapInPandas(spread, "term string, n0 long, n1 long")
     total = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -385,31 +557,50 @@ def _keys_of(examples: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(r["words"] for r in sorted(found, key=lambda r: r["part"])), np.uint64)
 
 
-def _postings(examples: DataFrame, index: WordIndex, ids: list[int]) -> list[tuple[np.ndarray, ...]]:
-    """The parts of the index of all words, made by ranges of words; row numbers are places in ``ids``, which ascend."""
-    shared = examples.sparkSession.sparkContext.broadcast((index, np.array(ids, np.int64)))
+#: What ``postings_of`` gives, by the names under which it is sent.
+POSTINGS = {"cols": np.int32, "block_of": np.int32, "counts": np.int32, "block_max": np.float32, "inside": np.uint8, "weights": np.float32}
+
+
+def _postings(examples: DataFrame, index: WordIndex) -> dict[str, Broadcast]:
+    """The index of all words, made by ranges of words; row numbers are places in the index's ids, which ascend.
+
+    The ranges are a written table. Each of its columns is one array, which the driver holds only until it is sent.
+    """
+    context = examples.sparkSession.sparkContext
+    shared = context.broadcast((index.keys, index.idf, index.ids))
     kinds = (np.int32, np.int32, np.float32)
-    made = (np.int32, np.int32, np.int32, np.float32, np.uint8, np.float32)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, known = shared.value
+        keys, idf, known = shared.value
         for b in batches:
-            at = [np.searchsorted(words.keys, np.frombuffer(k, np.uint64)) for k in b["words"]]
-            weights = [words.unit(a, np.frombuffer(n, np.int32)).astype(np.float32) for a, n in zip(at, b["times"], strict=True)]
-            rows = np.repeat(np.searchsorted(known, b["doc_id"].to_numpy(np.int64)), [len(a) for a in at])
-            both = [x.astype(t) for x, t in zip((np.concatenate(at or [rows]), rows, np.concatenate(weights or [rows])), kinds, strict=True)]
-            part = _part_of(words.keys[both[0]])
+            at = [np.searchsorted(keys, np.frombuffer(k, np.uint64)) for k in b["words"]]
+            size = [len(a) for a in at]
+            times = np.concatenate([np.frombuffer(n, np.int32) for n in b["times"]] or [np.empty(0, np.int32)])
+            at, text = np.concatenate(at or [np.empty(0, np.int64)]), np.repeat(np.arange(len(b)), size)
+            rows = np.repeat(np.searchsorted(known, b["doc_id"].to_numpy(np.int64)), size)
+            both = [x.astype(t) for x, t in zip((at, rows, unit_weights(text, times, idf[at].astype(np.float64), len(b))), kinds, strict=True)]
+            part = _part_of(keys[at])
             yield pd.DataFrame([(p, *(x[part == p].tobytes() for x in both)) for p in range(PARTS)], columns=["part", "cols", "rows", "weights"])
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         own = postings_of(*(np.frombuffer(b"".join(rows[c]), t) for c, t in zip(("cols", "rows", "weights"), kinds, strict=True)))
-        return pd.DataFrame({"part": rows["part"][:1], **{f"c{i}": [x.tobytes()] for i, x in enumerate(own)}})
+        return pd.DataFrame({"part": rows["part"][:1], **{c: [x.tobytes()] for c, x in zip(POSTINGS, own, strict=True)}})
 
     spread_rows = examples.select("doc_id", "words", "times").mapInPandas(spread, "part long, cols binary, rows binary, weights binary")
-    found = spread_rows.groupBy("part").applyInPandas(build, "part long, " + ", ".join(f"c{i} binary" for i in range(len(made)))).toLocalIterator()  # a part at a time
-    out = [tuple(np.frombuffer(r[f"c{i}"], t) for i, t in enumerate(made)) for r in sorted(found, key=lambda r: r["part"])]
-    shared.unpersist()
-    return out or [postings_of(*(np.empty(0, t) for t in kinds))]
+    parts = cut(spread_rows.groupBy("part").applyInPandas(build, "part long, " + ", ".join(f"{c} binary" for c in POSTINGS)))
+
+    def column(name: str, kind: type) -> np.ndarray:
+        sizes = {r["part"]: r["n"] for r in parts.select("part", F.octet_length(name).alias("n")).collect()}
+        ends = dict(zip(sorted(sizes), np.cumsum([sizes[p] for p in sorted(sizes)]).tolist(), strict=True))
+        out = np.empty(sum(sizes.values()), np.uint8)
+        for r in parts.select("part", name).toLocalIterator():  # a part at a time
+            out[ends[r["part"]] - sizes[r["part"]]:ends[r["part"]]] = np.frombuffer(r[name], np.uint8)
+        return out.view(kind)
+
+    sent = {c: context.broadcast(column(c, t)) for c, t in POSTINGS.items()}
+    shared.destroy()
+    free(parts)
+    return sent
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, least: float = LEAST_COSINE) -> Model:
@@ -421,35 +612,35 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     terms = _vocabulary(examples, max_terms)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = Vectors(terms)
+        reader = Reader(terms, np.empty(0, np.uint64))
         for b in batches:
-            rows = []
-            for i, toxic, text in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
-                words = words_of(text)
-                own = vectors.counts(words)
-                distinct = Counter(words)
-                rows.append((i, toxic, list(own), list(own.values()), word_keys(list(distinct)).tobytes(), np.fromiter(distinct.values(), np.int32, len(distinct)).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "at", "n", "words", "times"])
-
-    schema = "doc_id long, toxic int, at array<int>, n array<int>, words binary, times binary"
-    counted_examples = cut(examples.select("doc_id", "toxic", "text").mapInPandas(counts, schema))
-    held = sorted(counted_examples.select("doc_id", "toxic", "at", "n").collect(), key=lambda r: r["doc_id"])
+            own = []
+            for c in reader.read(b["text"]):
+                keys = c.key[c.word]
+                at, n, times = c.term.astype(np.int32), c.term_times.astype(np.int32), c.times.astype(np.int32)
+                own += [(at[i:j].tobytes(), n[i:j].tobytes()) + (keys[k:m].tobytes(), times[k:m].tobytes()) for (i, j), (k, m) in zip(pairwise(c.ranges(c.term_text)), pairwise(c.ranges(c.word_text)), strict=True)]
+            yield pd.concat([b[["doc_id", "toxic"]], pd.DataFrame(own, columns=["at", "n", "words", "times"])], axis=1)
+
+    counted_examples = cut(examples.select("doc_id", "toxic", "text").mapInPandas(counts, "doc_id long, toxic int, at binary, n binary, words binary, times binary"))
+    held = counted_examples.select("doc_id", "toxic", "at", "n").toPandas().sort_values("doc_id", ignore_index=True)
+    ids, toxic = held["doc_id"].to_numpy(np.int64), (held["toxic"].to_numpy() > 0).astype(np.float64)
+    own = np.repeat(np.arange(len(held)), [len(x) // 4 for x in held["at"]])
+    cols, times = (np.frombuffer(b"".join(held[c]), np.int32).astype(np.int64) for c in ("at", "n"))
+    del held
     vocabulary = _keys_of(counted_examples)
     seen = context.broadcast((terms, vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_terms, own_words = seen.value
-        own_words, vectors = np.append(own_words, np.uint64(0)), Vectors(own_terms)  # the end equals no place before it
+        reader = Reader(own_terms, own_words)
         n, df, df_words = 0, np.zeros(len(own_terms), np.int64), np.zeros(len(own_words), np.int64)
         for b in batches:
-            n += len(b)
-            for text in b["text"]:
-                words = words_of(text)
-                df[list(vectors.counts(words))] += 1
-                keys = np.sort(word_keys(list(set(words))))
-                at = np.searchsorted(own_words[:-1], keys)
-                df_words[at[own_words[at] == keys]] += 1
-        df = np.append(df, df_words[:-1])
+            for c in reader.read(b["text"]):
+                n += c.texts
+                df += np.bincount(c.term, minlength=len(df))
+                known = c.place >= 0  # places differ
+                df_words[c.place[known]] += np.bincount(c.word, minlength=len(known))[known]
+        df = np.append(df, df_words)
         some = np.nonzero(df)[0]
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], n)})
 
@@ -464,25 +655,26 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
         df[at[at >= 0]] = n[at >= 0]
         rows += int(n[at < 0].sum())
     idf = np.log((1 + rows) / (1 + df)) + 1
-    model = Model(terms, idf[: len(terms)], [(r["doc_id"], int(r["toxic"] > 0), dict(zip(r["at"], r["n"], strict=True))) for r in held])
+    seen.destroy()
+    model = Model(terms, idf[: len(terms)], [])
+    model.hold(ids, toxic, own, cols, times)
     model.words = WordIndex(vocabulary, idf[len(terms):], [], float(np.log(1 + rows) + 1), least=least)
-    ids = [r["doc_id"] for r in held]
-    model.words.hold(ids, [int(r["toxic"] > 0) for r in held], _postings(counted_examples, model.words, ids))
-    del held, ids
-    shared = context.broadcast(_state(model))
-    model.words = WordIndex(vocabulary[:0], idf[:0], [])  # the driver keeps no second copy, only the curve
+    model.words.name(ids, toxic)
+    sent = _postings(counted_examples, model.words)
+    shared = {"model": context.broadcast(_state(model)), **sent}
+    model.words = WordIndex(vocabulary[:0], idf[:0], [])  # the driver keeps no copy, only the curve
+    del vocabulary, idf, df, ids, toxic, own, cols, times
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, vectors = _restore(shared.value), Vectors(terms)
+        own = _restore(shared)
+        reader = Reader(terms, own.words.keys)
         for b in batches:
-            rows = []
-            for i, y, t in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
-                words = words_of(t)
-                at, w = own.vector(vectors.counts(words))
-                found = own.neighbours(at, w, int(i)) if len(at) else []
-                at, w, _ = own.words.query(words)
-                near = own.words.neighbours(at, w, int(i))
-                rows.append((own.vote(found) if found else None, own.words.vote(near) if near else None, float(y > 0)))
+            rows, ids = [], iter(zip(b["doc_id"], b["toxic"], strict=True))
+            for c in reader.read(b["text"]):
+                for (at, w), (places, weights, _), (i, y) in zip(own.queries(c), own.words.queries(c), islice(ids, c.texts), strict=True):
+                    found = own.neighbours(at, w, int(i)) if len(at) else []
+                    near = own.words.neighbours(places, weights, int(i))
+                    rows.append((own.vote(found) if found else None, own.words.vote(near) if near else None, float(y > 0)))
             yield pd.DataFrame(rows, columns=["vote", "by_words", "label"])
 
     votes = examples.select("doc_id", "toxic", "text").mapInPandas(leave_one_out, "vote double, by_words double, label double").toPandas()
@@ -501,29 +693,29 @@ def _state(model: Model) -> dict:
     return {k: v for k, v in model.__dict__.items() if k not in ("_search", "shared")}
 
 
-def _restore(state: dict) -> Model:
+def _restore(shared: dict[str, Broadcast]) -> Model:
     model = Model.__new__(Model)
-    model.__dict__ |= state
+    model.__dict__ |= shared["model"].value
+    if "cols" in shared:
+        model.words.hold(*(shared[c].value for c in POSTINGS))
     model._search = lru_cache(2_000)(model._search_one)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the struct column ``toxicity``: score, nearest examples, heaviest terms."""
-    shared = model.shared or docs.sparkSession.sparkContext.broadcast(_state(model))
-    curves = model.curve, model.words.curve if model.words else None
-    kept: dict[int, tuple[Model, Vectors]] = {}
+    shared = model.shared or {"model": docs.sparkSession.sparkContext.broadcast(_state(model))}
+    curves = model.curve, model.words.curve
+    kept: dict[int, tuple[Model, Reader]] = {}
 
     @F.pandas_udf("score double, nearest array<struct<doc_id:bigint,cosine:double,label:int>>, terms array<string>")
     def toxicity(texts: pd.Series) -> pd.DataFrame:
         if not kept:
-            own = _restore(shared.value)
-            own.curve = curves[0]
-            if own.words:
-                own.words.curve = curves[1]
-            kept[0] = own, Vectors(own.terms)
-        own, vectors = kept[0]
-        rows = [own.score_text(words, vectors.counts(words)) for words in map(words_of, texts)]
+            own = _restore(shared)
+            own.curve, own.words.curve = curves
+            kept[0] = own, Reader(own.terms, own.words.keys)
+        own, reader = kept[0]
+        rows = [r for c in reader.read(texts) for r in own.scores(c)]
         return pd.DataFrame({
             "score": [r[0] for r in rows],
             "nearest": [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in r[1]] for r in rows],
