@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -238,6 +239,13 @@ def postings_of(cols: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tupl
     return cols[at].astype(np.int32), block[at].astype(np.int32), np.diff(np.append(at, len(cols))).astype(np.int32), largest.astype(np.float32), (rows % WORD_BLOCK).astype(np.uint8), weights.astype(np.float32)
 
 
+def bounds(n: np.ndarray) -> np.ndarray:
+    """Where ranges of these lengths begin and end that lie one after the other."""
+    out = np.zeros(len(n) + 1, np.int32)
+    np.cumsum(n, out=out[1:])
+    return out
+
+
 class WordIndex:
     """All words of the examples as a block-max index, and the nearest examples of a text whose cosine is ``least`` or more.
 
@@ -256,7 +264,8 @@ class WordIndex:
         weights = np.concatenate([self.unit(e[2], e[3]).astype(np.float32) for e in examples] or [np.empty(0, np.float32)])
         rows = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
         self.name([e[0] for e in examples], [e[1] for e in examples])
-        self.hold(*postings_of(cols, rows, weights))
+        cols, block_of, counts, *rest = postings_of(cols, rows, weights)
+        self.hold(bounds(np.bincount(cols, minlength=len(self.keys))), block_of, bounds(counts), *rest)
 
     def name(self, ids: np.ndarray, labels: np.ndarray) -> None:
         """Take the examples' ids and labels."""
@@ -265,20 +274,17 @@ class WordIndex:
         self.blocks = -(-len(self.ids) // WORD_BLOCK)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
 
-    def hold(self, cols: np.ndarray, block_of: np.ndarray, counts: np.ndarray, block_max: np.ndarray, inside: np.ndarray, weights: np.ndarray) -> None:
-        """Take what ``postings_of`` gives."""
-        self.block_of, self.block_max, self.inside, self.weights = block_of, block_max, inside, weights
-        self.postings = np.zeros(len(counts) + 1, np.int32)
-        np.cumsum(counts, out=self.postings[1:])
-        n = np.bincount(cols, minlength=len(self.keys))
-        self.starts = np.zeros(len(n) + 1, np.int32)
-        np.cumsum(n, out=self.starts[1:])
-        self.row = np.full(len(n), -1, np.int32)  # of a common word in ``maxima``
-        common = n >= COMMON
-        self.row[common] = np.arange(common.sum())
-        self.maxima = np.zeros((int(common.sum()), self.blocks), np.float32)
-        entries, n = spans(self.starts[:-1][common], self.starts[1:][common])
-        self.maxima[np.repeat(np.arange(len(n)), n), self.block_of[entries]] = self.block_max[entries]
+    def hold(self, starts: np.ndarray, block_of: np.ndarray, postings: np.ndarray, block_max: np.ndarray, inside: np.ndarray, weights: np.ndarray) -> None:
+        """Take what ``postings_of`` gives, with the bounds of each word's entries and each entry's postings."""
+        self.starts, self.block_of, self.postings, self.block_max, self.inside, self.weights = starts, block_of, postings, block_max, inside, weights
+        common = np.nonzero(np.diff(starts) >= COMMON)[0]
+        self.row = np.full(len(starts) - 1, -1, np.int32)  # of a common word in ``maxima``
+        self.row[common] = np.arange(len(common))
+        self.maxima = np.zeros((len(common), self.blocks), np.float32)
+        for k in range(0, len(common), 1000):
+            some = common[k:k + 1000]
+            entries, n = spans(starts[some], starts[some + 1])
+            self.maxima[np.repeat(np.arange(k, k + len(some)), n), block_of[entries]] = block_max[entries]
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
@@ -513,15 +519,19 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [set(words_of(t)) for t in b["text"]]
+            known: dict[str, int] = {}
+            words = [np.array([known.setdefault(w, len(known)) for w in set(words_of(t))], np.int32) for t in b["text"]]
             numbers: dict[str, int] = {}
-            met: dict[str, np.ndarray] = {}
-            for w in set().union(*words):
-                met[w] = np.array([numbers.setdefault(t, len(numbers)) for t in terms_of(w)], np.int32)
+            held, ends = array("i"), array("i", [0])  # terms of each word
+            for w in known:
+                held.extend([numbers.setdefault(t, len(numbers)) for t in terms_of(w)])
+                ends.append(len(held))
+            del known
+            flat, starts = np.frombuffer(held, np.int32), np.frombuffer(ends, np.int32)
             n, last = np.zeros((2, len(numbers)), np.int64), np.empty(len(numbers), np.int32)
-            for some, toxic in zip(words, b["toxic"], strict=True):
-                if some:
-                    terms = np.concatenate([met[w] for w in some])
+            for own, toxic in zip(words, b["toxic"], strict=True):
+                if len(own):
+                    terms = flat[spans(starts[own], starts[own + 1])[0]]
                     places = np.arange(len(terms), dtype=np.int32)
                     last[terms] = places
                     n[int(toxic > 0), terms[last[terms] == places]] += 1
@@ -557,7 +567,7 @@ def _keys_of(examples: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(r["words"] for r in sorted(found, key=lambda r: r["part"])), np.uint64)
 
 
-#: What ``postings_of`` gives, by the names under which it is sent.
+#: What ``postings_of`` gives, by the names under which it is sent; ``cols`` and ``counts`` are sent as ``bounds``.
 POSTINGS = {"cols": np.int32, "block_of": np.int32, "counts": np.int32, "block_max": np.float32, "inside": np.uint8, "weights": np.float32}
 
 
@@ -597,7 +607,8 @@ def _postings(examples: DataFrame, index: WordIndex) -> dict[str, Broadcast]:
             out[ends[r["part"]] - sizes[r["part"]]:ends[r["part"]]] = np.frombuffer(r[name], np.uint8)
         return out.view(kind)
 
-    sent = {c: context.broadcast(column(c, t)) for c, t in POSTINGS.items()}
+    ranges = {"cols": lambda x: bounds(np.bincount(x, minlength=len(index.keys))), "counts": bounds}
+    sent = {c: context.broadcast(ranges.get(c, np.asarray)(column(c, t))) for c, t in POSTINGS.items()}
     shared.destroy()
     free(parts)
     return sent

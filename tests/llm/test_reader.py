@@ -53,3 +53,19 @@ def test_driver_holds_no_postings(spark):
     assert not len(model.words.weights) and not len(model.words.keys)
     whole = toxicity._restore(model.shared).words
     assert len(whole.weights) == sum(len(set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_restored_index_is_the_one_made(spark, monkeypatch):
+    """Ranges and bounds of blocks that a worker gets are those of an index made in one place."""
+    monkeypatch.setattr(toxicity, "COMMON", 1)
+    rng = random.Random(44)
+    rows = [(i, " ".join(f"{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x" for _ in range(30))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    sent = toxicity._restore(model.shared).words
+    assert sent.starts.dtype == sent.postings.dtype == np.int32 and model.shared["cols"].value is sent.starts  # no second copy in a worker
+    examples = [(i, 0, *np.unique(np.searchsorted(sent.keys, toxicity.word_keys(t.split())), return_counts=True)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    whole = toxicity.WordIndex(sent.keys, sent.idf, examples)
+    for name in ("starts", "postings", "block_of", "inside", "row"):
+        assert np.array_equal(getattr(sent, name), getattr(whole, name)), name
+    assert np.allclose(sent.weights, whole.weights) and np.allclose(sent.maxima, whole.maxima)
