@@ -36,9 +36,28 @@ SPLITS = 14
 SPACE = " \t\x0b\f\r"
 
 
-def _repeats(line: Column) -> Column:
-    """Whether a line may have much fewer shingles than places: a fifth of its words are repeated, or one is so long that it may repeat a pattern."""
-    return let(F.split(line, " "), lambda words: F.size(F.array_distinct(words)) * 5 < F.size(words) * 4) | line.rlike(r"\S{16}")
+def _long(line: Column) -> Column:
+    """Whether a word is so long that it may repeat a pattern."""
+    return line.rlike(r"(?:^|\s)\S{16}")
+
+
+def _repeats(line: Column, percent: int = 80) -> Column:
+    """Whether a line may have much fewer shingles than places: less than ``percent`` of its words differ, or one may repeat a pattern."""
+    return let(F.split(line, " "), lambda words: F.size(F.array_distinct(words)) * 100 < F.size(words) * percent) | _long(line)
+
+
+def _repeats_passages(line: Column) -> Column:
+    """``_repeats`` for shingles that always reach into a second word: of each five pairs of neighbouring words one is repeated, or a word may repeat a pattern.
+
+    Ordinary text repeats many words, but few pairs. A pair is repeated only where both words are, so the words are counted first.
+    """
+
+    def pairs(words: Column) -> Column:
+        n = F.size(words) - 1
+        differ = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))))
+        return F.when((n > 1) & (F.size(F.array_distinct(words)) * 5 < F.size(words) * 4 + 5), differ * 5 < n * 4).otherwise(False)
+
+    return let(F.split(line, " "), pairs) | _long(line)
 
 
 def _distinct(wide: Column, size: int, width: int) -> Column:
@@ -47,31 +66,54 @@ def _distinct(wide: Column, size: int, width: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * width + 1, F.lit(width * size)))))
 
 
-def _shingled(lines: DataFrame, size: int, code: str = "UTF-32") -> DataFrame:
-    """(cid, n, h): a row for each place where a shingle of a line (cid, line) begins; n is how many places the line has, at least one, or
-    in lines that may repeat a pattern how many different shingles.
+def _number_of(wide: Column, size: int, width: int) -> Column:
+    """How many different shingles an encoded line has; bound, as the loop would encode it for each place."""
+    return let(wide, lambda w: F.size(_distinct(w, size, width)))
 
-    In ``code`` every character has the same number of bytes, so each shingle is found at once.
+
+def with_numbers(lines: DataFrame) -> DataFrame:
+    """``lines`` (cid, line and more) with the numbers of different shingles of those that may repeat a pattern, null for others: ``n5``, ``n8``
+    and ``n20`` for signatures, by ``CLASSES``, and ``sampled`` for the levels of sketches, where a line is long and less than half of its words differ.
+
+    These are the only loops over shingles that aren't compiled; all else takes them from here.
+    """
+    n, own = F.length("line"), []
+    for size, low, high in CLASSES:
+        here = (n >= low) if high is None else n.between(low, high)
+        repeats = (_repeats_passages if size >= 16 else _repeats)(F.col("line"))
+        own.append(F.when(here, F.when(repeats, _number_of(F.encode("line", "UTF-16BE"), size, 2))).alias(f"n{size}"))
+    sampled = F.when(n >= 2 * BITS, F.when(_repeats(F.col("line"), 50), _number_of(F.encode("line", "UTF-32"), SHINGLE, 4)))
+    return lines.select("*", *own, sampled.alias("sampled"))
+
+
+def _shingled(lines: DataFrame, size: int, code: str = "UTF-32", n: str | None = None) -> DataFrame:
+    """(cid, n, h): a row for each place where a shingle of a line (cid, line) begins; n is the number in this column or, where that is null, how many
+    places the line has, at least one.
+
+    In ``code`` every character has the same number of bytes, so each shingle is found at once. The encoded line is made where its places are:
+    read from a row it would be copied for each of them.
     """
     width = 4 if code == "UTF-32" else 2
-    wide = lines.select("cid", F.encode("line", code).alias("wide"), _repeats(F.col("line")).alias("repeats")).withColumn("places", F.greatest((F.octet_length("wide") / width).cast("int") - size + 1, F.lit(1)))
-    wide = wide.select("cid", "wide", "places", F.when(F.col("repeats"), F.size(_distinct(F.col("wide"), size, width))).otherwise(F.col("places")).alias("n"))
-    places = wide.select("cid", "n", "wide", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
+    wide = lines.select("cid", F.encode("line", code).alias("wide"), (F.col(n) if n else F.lit(None).cast("int")).alias("n"))
+    wide = wide.withColumn("places", F.greatest((F.octet_length("wide") / width).cast("int") - size + 1, F.lit(1)))
+    places = wide.select("cid", F.coalesce("n", "places").alias("n"), "wide", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i"))
     return places.select("cid", "n", F.xxhash64(F.lit(size), F.substring("wide", F.col("i") * width + 1, F.lit(width * size))).alias("h"))
 
 
 def signatures(classes: DataFrame) -> DataFrame:
     """(id, bucket): the values of each class (cid, line)'s signature; a value may repeat, as a shingle may."""
+    if "n5" not in classes.columns:
+        classes = cut(with_numbers(classes))
     parts = []
     for size, low, high in CLASSES:
         here = (F.length("line") >= low) if high is None else F.length("line").between(low, high)
         bound = F.lit(2.0**64 * KEYS) / F.col("n") - F.lit(2.0**63)  # signed hashes
-        least = _shingled(classes.where(here), size, "UTF-16BE").where(F.col("h").cast("double") < bound)
+        least = _shingled(classes.where(here), size, "UTF-16BE", f"n{size}").where(F.col("h").cast("double") < bound)
         parts.append(least.select(F.col("cid").alias("id"), F.col("h").alias("bucket")))
     same = [F.substr(F.col("line"), F.lit(p + 1)) == F.substr(F.col("line"), F.lit(1), F.length("line") - p) for p in (1, 2, 3)]
     turns = [F.when(F.length("line") >= p + SHINGLE - 1, F.xxhash64(F.lit(-1), F.substring("line", p, SHINGLE))) for p in (1, 2, 3)]
     pattern = classes.where(F.length("line") >= SHINGLE).where(reduce(Column.__or__, same)).select(F.col("cid").alias("id"), F.least(*turns).alias("bucket"))
-    whole = classes.where(_repeats(F.col("line"))).select(F.col("cid").alias("id"), F.xxhash64(F.lit(-2), let(F.encode("line", "UTF-16BE"), lambda wide: F.array_sort(_distinct(wide, SHINGLE, 2)))).alias("bucket"))
+    whole = classes.where("coalesce(n5, n8, n20) is not null").select(F.col("cid").alias("id"), F.xxhash64(F.lit(-2), let(F.encode("line", "UTF-16BE"), lambda wide: F.array_sort(_distinct(wide, SHINGLE, 2)))).alias("bucket"))
     return reduce(DataFrame.unionByName, [*parts, pattern, whole])
 
 
@@ -80,7 +122,9 @@ def sketches(lines: DataFrame) -> DataFrame:
 
     Lines of up to 1023 shingle places are at level 0, which takes all; each level halves what the one before takes.
     """
-    rows = _shingled(lines, SHINGLE)
+    if "sampled" not in lines.columns:
+        lines = cut(with_numbers(lines))
+    rows = _shingled(lines, SHINGLE, n="sampled")
     rows = rows.withColumn("level", F.floor(F.log2(F.greatest(F.col("n") / BITS, F.lit(1.0)))).cast("int"))
     rows = rows.where(F.col("h").bitwiseAND(F.expr("shiftleft(1L, level) - 1")) == 0)
     rows = rows.select("cid", "level", F.expr("h & shiftleft(1L, level) = 0").alias("next"), F.expr(f"shiftrightunsigned(h, 32) % {WORDS}").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
@@ -153,12 +197,12 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame) -> DataFrame:
     """(k1, k2, grp): the component of every line that has an equal or a similar one; a written table."""
     classes = split_lines(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "line"))
-    buckets = cut(signatures(classes.select("cid", "line")))
+    classes = cut(with_numbers(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "line")))
+    buckets = cut(signatures(classes.select("cid", "line", "n5", "n8", "n20")))
     texts = []
 
     def own(ids: DataFrame) -> DataFrame:
-        texts.append(cut(classes.select("cid", "line").join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi")))
+        texts.append(cut(classes.select("cid", "line", "sampled").join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi")))
         return sketches(texts[0])
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -669,3 +669,40 @@ def test_line_sketches_of_long_lines(spark):
     both = found.select(F.col("id").alias("a"), F.col("sketch").alias("sa")).join(found.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), F.col("a") < F.col("b"))
     kept = {(r.a, r.b) for r in both.where(lines.likely("sa", "sb")).collect()}
     assert (0, 1) in kept and (0, 2) not in kept and (3, 4) not in kept
+
+
+def test_line_numbers_are_exact_where_passages_repeat(spark):
+    rng = random.Random(23)
+    vocabulary = [words(rng, 1) for _ in range(40)]
+    ordinary = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(300)]
+    close = []
+    for x in ordinary:
+        own = x.split(" ")
+        own[rng.randrange(60)] = "zq"
+        close.append(" ".join(own))
+    periodic = [(w * 40)[:400] for w in ("abcdefgh ij, klm nopq; ", "| --- | :-- | --: ", "x" * 17 + "y", "ab cd ef ")]
+    texts = [t for pair in zip(ordinary, close, strict=True) for t in pair] + periodic + ["a b a b", "ab", "a", "alone"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "cid long, line string")
+    found = {r.cid: r for r in lines.with_numbers(rows).collect()}
+    assert sum(found[k].n20 is None for k in range(600)) > 590  # words repeat, passages don't
+    for k, x in enumerate(periodic, 600):
+        assert found[k].n20 == len({x[i:i + 20] for i in range(len(x) - 19)}), x
+    assert found[604].n5 == len({"a b a", " b a ", "b a b"})
+    keys = collections.defaultdict(list)
+    for r in lines.signatures(rows).collect():
+        keys[r.id].append(r.bucket)
+    assert not [k for k in range(300) if not set(keys[2 * k]) & set(keys[2 * k + 1])]
+    assert max(len(keys[k]) for k in range(600)) < 60  # about 14
+    long = rows.where("cid < 600").select("cid", "line", F.lit(None).cast("int").alias("sampled"))
+    for plan in (lines._shingled(long, 20, "UTF-16BE", "sampled"), lines.sketches(long)):
+        assert "lambda" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no loop that isn't compiled
+
+
+def test_line_sketches_of_long_periodic_lines(spark):
+    rng = random.Random(29)
+    base = words(rng, 30) + " "
+    rows = spark.createDataFrame([(0, base * 7), (1, base * 60), (2, (words(rng, 30) + " ") * 60)], "cid long, line string")
+    found = lines.sketches(rows)
+    both = found.select(F.col("id").alias("a"), F.col("sketch").alias("sa")).join(found.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), F.col("a") < F.col("b"))
+    kept = {(r.a, r.b) for r in both.where(lines.likely("sa", "sb")).collect()}
+    assert kept == {(0, 1)}
