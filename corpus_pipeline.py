@@ -6,6 +6,9 @@ of ``documents``; the last returns the packed pieces. Stages are written as Parq
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,4 +99,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        gc.collect()  # models refer to themselves; what they sent goes with them, on the driver's JVM too
+        pa.default_memory_pool().release_unused()
     return STAGES[-1][1](spark, docs, sf_dir)

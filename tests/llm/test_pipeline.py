@@ -1,12 +1,13 @@
 """The pipeline: its contract, and what its stages decide on a small corpus."""
 
+import gc
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import registry
+from tabulon.llm import registry, toxicity
 from tests.oracle import DATA, connect, same
 
 
@@ -94,3 +95,20 @@ def test_stages_of_odd_tables(spark, folder, name, stage):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles(spark, name):
     same(registry.QUERIES[name](spark, str(DATA)), connect(), registry.ORACLE_SQL[name])
+
+
+def test_no_model_is_held_after_its_stage(spark, folder, monkeypatch):
+    gc.collect()
+    before, held = sum(isinstance(o, toxicity.Model) for o in gc.get_objects()), []
+
+    def look(spark, docs, sf_dir):
+        held.append(sum(isinstance(o, toxicity.Model) for o in gc.get_objects()))
+        return docs
+
+    gc.disable()
+    try:
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("look", look)])
+        corpus_pipeline.run(spark, folder)
+    finally:
+        gc.enable()
+    assert held == [before]
